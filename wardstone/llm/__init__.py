@@ -18,6 +18,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _modules() -> list:
-    from . import mixing, token_counts
+    from . import mixing, repeats, token_counts
 
-    return [mixing, token_counts]
+    return [repeats, token_counts, mixing]

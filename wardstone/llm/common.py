@@ -41,7 +41,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, so a lost executor costs a reread."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/wardstone/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
