@@ -18,6 +18,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _modules() -> list:
-    from . import mixing, repeats, token_counts
+    from . import mixing, ngram_join, repeats, token_counts
 
-    return [repeats, token_counts, mixing]
+    return [repeats, ngram_join, token_counts, mixing]
