@@ -18,6 +18,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _modules() -> list:
-    from . import mixing, ngram_join, repeats, token_counts
+    from . import chat, decontamination, licenses, mixing, neighbours, ngram_join, quality, repeats, token_counts
 
-    return [repeats, ngram_join, token_counts, mixing]
+    return [repeats, neighbours, decontamination, licenses, ngram_join, token_counts, chat, quality, mixing]
