@@ -176,7 +176,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
 
 
 def score_quality(docs: DataFrame, model: GatedAttention | None, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score and predicted for each input row; with keep, behind the input's own columns instead of doc_id.
+    """doc_id, held_out, score and predicted for each input row; with keep, the input row as the struct `row` instead of doc_id.
 
     All passages of the whole text are encoded. Null, empty and blank texts have one empty passage.
     Without a model every score is 1. Repeated rows score alike; extra columns are ignored; an
@@ -189,15 +189,14 @@ def score_quality(docs: DataFrame, model: GatedAttention | None, threshold: floa
             if shipped.value is None:
                 yield pd.Series(np.ones(len(series)))
                 continue
-            parts = [shipped.value.scores(*passage_features(p)) for p in slices(pa.array(series, pa.string()))]
+            column = pa.array(series, pa.string(), from_pandas=True)
+            parts = [shipped.value.scores(*passage_features(p)) for p in slices(column)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     score = F.pandas_udf(score_all, "double")
-    scored = (docs.select("*") if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumns(
-        {"held_out": _is_held_out(), "score": score("text")}
-    )
-    scored = scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    return scored if keep else scored.drop("text")
+    first = F.struct(*docs.columns).alias("row") if keep else F.col("doc_id").cast("long").alias("doc_id")
+    scored = docs.select(first, _is_held_out().alias("held_out"), score("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

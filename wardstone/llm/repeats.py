@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import Slice, partitions_for, rows_of, stored, table
 from .shared_keys import with_shared_keys
@@ -55,8 +56,10 @@ def _digest(data: bytes, by_words: bool) -> str:
     return hashlib.sha256(b" ".join(data.split()) if by_words else data).hexdigest()
 
 
-def _runs(docs: DataFrame, plan: Plan) -> DataFrame:
-    """A row for each document. Those without a shared run are finished here; others keep their text and runs.
+def _runs(docs: DataFrame, plan: Plan, carried: tuple[str, ...]) -> DataFrame:
+    """A row for each document. Those without a shared run have a digest; others have runs and their text.
+
+    With carried columns every row keeps its text.
 
     new_*: runs that this batch of rows meets for the first time, with their minimiser and bytes.
     """
@@ -93,7 +96,9 @@ def _runs(docs: DataFrame, plan: Plan) -> DataFrame:
         digests = [
             None if held[i] else _digest(data[offsets[i] : offsets[i + 1]], by_words) for i in range(part.n)
         ]
-        texts = pa.array([data[offsets[i] : offsets[i + 1]].decode() if held[i] else None for i in range(part.n)], pa.string())
+        texts = pa.array(
+            [data[offsets[i] : offsets[i + 1]].decode() if held[i] or carried else None for i in range(part.n)], pa.string()
+        )
         yield pa.RecordBatch.from_arrays(
             [
                 rows_of(rows, "rid"),
@@ -107,11 +112,13 @@ def _runs(docs: DataFrame, plan: Plan) -> DataFrame:
                 _lists(hashes[first].view(np.int64), new_bounds, pa.int64()),
                 _lists(key[first].view(np.int64), new_bounds, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(new_bounds, pa.int32()), pa.array(bodies, pa.binary())),
+                *[rows_of(rows, c) for c in carried],
             ],
-            ["rid", "doc_id", "text", "n_units", "kept_sha256", "starts", "counts", "runs", "new_runs", "new_keys", "new_bodies"],
+            schema.names,
         )
 
-    return with_shared_keys(docs, keys_of, emit, RUN_SCHEMA, plan.keys_per_byte)
+    schema = StructType(StructType.fromDDL(RUN_SCHEMA).fields + [docs.schema[c] for c in carried])
+    return with_shared_keys(docs, keys_of, emit, schema, plan.keys_per_byte, carried)
 
 
 def _ranges(window: np.ndarray, least: np.ndarray) -> list[dict]:
@@ -239,11 +246,16 @@ def _searched(runs: DataFrame, plan: Plan, search: Callable) -> tuple[DataFrame,
     return counts, ranges
 
 
-def _removed(docs: DataFrame, plan: Plan, search: Callable) -> DataFrame:
-    """doc_id, n_units, n_removed, n_spans, kept_sha256 for each input row."""
+def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = False) -> DataFrame:
+    """doc_id, n_units, n_removed, n_spans, kept_sha256 for each input row; with_text: also kept_text, and the row itself as `row`."""
     spark = docs.sparkSession
-    identified = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    runs = stored(_runs(identified.withColumn("rid", F.xxhash64("doc_id", "text")), plan), "runs")
+    carried = ("row",) if with_text else ()
+    identified = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        *[F.struct(*[docs[c] for c in docs.columns if c not in ("text",)]).alias(c) for c in carried],
+    )
+    runs = stored(_runs(identified.withColumn("rid", F.xxhash64("doc_id", "text")), plan, carried), "runs")
     counts, ranges = _searched(runs, plan, search)
     # a run whose minimiser has no other run: all its windows occur as often as itself
     found = counts.join(ranges, "run", "left").select(
@@ -271,7 +283,12 @@ def _removed(docs: DataFrame, plan: Plan, search: Callable) -> DataFrame:
         )
     )
     by_words = plan.units is word_units
-    schema = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string"
+    results = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string"
+    schema = StructType(
+        StructType.fromDDL(results).fields
+        + [StructField("kept_text", StringType())] * with_text
+        + [runs.schema[c] for c in carried]
+    )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, lows, highs = None, [], []
@@ -281,6 +298,7 @@ def _removed(docs: DataFrame, plan: Plan, search: Callable) -> DataFrame:
             texts, doc_ids = rows_of(batch, "text"), rows_of(batch, "doc_id")
             edges = np.flatnonzero((np.diff(rid) != 0) | (np.diff(kind) != 0)) + 1
             out: list[tuple] = []
+            taken: list[int] = []
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rid)], strict=True):
                 if a == b:
                     continue
@@ -303,23 +321,27 @@ def _removed(docs: DataFrame, plan: Plan, search: Callable) -> DataFrame:
                         kept = b" ".join([w for w, g in zip(units, gone.tolist(), strict=True) if not g])
                     else:
                         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                    out.append((doc_ids[i].as_py(), len(units), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+                    facts = (doc_ids[i].as_py(), len(units), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+                    out.append((*facts, kept.decode("utf-8", "ignore")) if with_text else facts)
+                    taken.append(i)
             if out:
                 columns = list(zip(*out, strict=True))
-                kinds = [pa.int64()] * 4 + [pa.string()]
+                kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                    ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"],
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                    + [rows_of(batch, c).take(pa.array(taken)) for c in carried],
+                    schema.names,
                 )
 
     nothing = F.lit(None)
-    open_rows = runs.where(F.col("text").isNotNull()).select(
-        "rid", F.lit(1).alias("kind"), "doc_id", "text", nothing.cast("int").alias("lo"), nothing.cast("int").alias("hi")
+    open_rows = runs.where(F.col("kept_sha256").isNull()).select(
+        "rid", F.lit(1).alias("kind"), "doc_id", "text", nothing.cast("int").alias("lo"), nothing.cast("int").alias("hi"), *carried
     )
     n_bytes = open_rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     applied = (
         hits.select(
-            "rid", F.lit(0).alias("kind"), nothing.cast("long").alias("doc_id"), nothing.cast("string").alias("text"), "lo", "hi"
+            "rid", F.lit(0).alias("kind"), nothing.cast("long").alias("doc_id"), nothing.cast("string").alias("text"), "lo", "hi",
+            *[nothing.cast(runs.schema[c].dataType).alias(c) for c in carried],
         )
         .unionByName(open_rows)
         .repartition(partitions_for(spark, n_bytes), "rid")
@@ -327,8 +349,9 @@ def _removed(docs: DataFrame, plan: Plan, search: Callable) -> DataFrame:
         .mapInArrow(apply, schema)
     )
     zero = F.lit(0).cast("long")
-    closed = runs.where(F.col("text").isNull()).select(
-        "doc_id", "n_units", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256"
+    closed = runs.where(F.col("kept_sha256").isNotNull()).select(
+        "doc_id", "n_units", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256",
+        *[F.col("text").alias("kept_text")] * with_text, *carried,
     )
     return closed.unionByName(applied)
 
@@ -348,7 +371,7 @@ def remove_repeated_words(docs: DataFrame, plan: Plan = WORDS) -> DataFrame:
     return _removed(docs, plan, search_words).withColumnRenamed("n_units", "n_words")
 
 
-def remove_repeated_bytes(docs: DataFrame, plan: Plan = BYTES) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, plan: Plan = BYTES, with_text: bool = False) -> DataFrame:
     """Remove every byte that a 50-byte string covers which also starts in a document with a smaller doc_id.
 
     Output, a row for each input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
@@ -359,9 +382,10 @@ def remove_repeated_bytes(docs: DataFrame, plan: Plan = BYTES) -> DataFrame:
 
     Null texts count as empty. A null doc_id counts as greater than all others. A cut inside a
     multi-byte character leaves its remaining bytes. Extra columns are ignored; an empty table
-    gives no rows.
+    gives no rows. with_text adds kept_text, without the bytes of cut characters, and the input
+    row but its text as the struct `row`.
     """
-    return _removed(docs, plan, search_bytes).withColumnRenamed("n_units", "n_bytes")
+    return _removed(docs, plan, search_bytes, with_text).withColumnRenamed("n_units", "n_bytes")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

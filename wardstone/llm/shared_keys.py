@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Slice, partitions_for, rows_of, size_of, slices
 
@@ -67,10 +68,11 @@ def with_shared_keys(
     docs: DataFrame,
     keys_of: Callable[[Slice], tuple[np.ndarray, np.ndarray]],
     emit: Callable[[Slice, pa.RecordBatch, Callable[[np.ndarray], np.ndarray]], Iterator[pa.RecordBatch]],
-    schema: str,
+    schema: str | StructType,
     keys_per_byte: float,
+    carried: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Stream documents (rid, doc_id, text) through emit, which is told which keys occur in more than one place.
+    """Stream documents (rid, doc_id, text, and carried columns) through emit, which is told which keys occur in more than one place.
 
     keys_of gives uint64 keys and their documents (of the slice); a key given twice for one
     document counts as two places. emit gets a slice, its rows and a test of keys. A test may
@@ -168,12 +170,10 @@ def with_shared_keys(
                 for part in slices(rows_of(run, "text")):
                     yield from emit(part, run.slice(part.first, part.n), test)
 
-    nothing = F.lit(None)
+    nothing, own = F.lit(None), ["rid", "doc_id", "text", *carried]
     return (
-        lists.select(
-            "bucket", F.lit(0).alias("kind"), "blob", nothing.cast("long").alias("rid"), nothing.cast("long").alias("doc_id"), nothing.cast("string").alias("text")
-        )
-        .unionByName(bucketed.select("bucket", F.lit(1).alias("kind"), nothing.cast("binary").alias("blob"), "rid", "doc_id", "text"))
+        lists.select("bucket", F.lit(0).alias("kind"), "blob", *[nothing.cast(docs.schema[c].dataType).alias(c) for c in own])
+        .unionByName(bucketed.select("bucket", F.lit(1).alias("kind"), nothing.cast("binary").alias("blob"), *own))
         .repartition(n_parts, "bucket")
         .sortWithinPartitions("bucket", "kind")
         .mapInArrow(stream, schema)
