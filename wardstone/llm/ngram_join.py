@@ -22,7 +22,10 @@ CELL_BITS = 18
 #: Partners that one task compares with a copy of a pivot, about.
 CHUNK = 128
 
-SET_SCHEMA = "doc_id long, key long, n int, text string, shingles array<long>, places array<int>"
+#: 64-bit words of a set's bitmap; minor sets of a group that one task holds.
+BITMAP, MINORS = 32, 1024
+
+SET_SCHEMA = "doc_id long, key long, n int, text string, shingles array<long>, places array<int>, bitmap array<long>"
 
 
 def shingle_sets(part: Slice, n: int = SHINGLE) -> list[np.ndarray]:
@@ -58,6 +61,14 @@ def _set_key(values: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64) + np.uint64(len(values))).view(np.int64)[0])
 
 
+def _bitmap(values: np.ndarray) -> np.ndarray:
+    """One bit for each value, by its hash; a set bit that another set lacks is a value that it lacks."""
+    out = np.zeros(BITMAP, np.uint64)
+    cells = (values >> np.uint64(20)) % np.uint64(64 * BITMAP)
+    np.bitwise_or.at(out, (cells >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cells & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def cell_counts(docs: DataFrame, n: int = SHINGLE, bits: int = CELL_BITS) -> np.ndarray:
     """How many shingles of all documents fall into each cell of the hash; a table of fixed size.
 
@@ -115,20 +126,20 @@ def _sets(docs: DataFrame) -> DataFrame:
     seen: set[int] = set()
 
     def emit(part: Slice, rows: pa.RecordBatch, shared: Callable) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {"key": [], "n": [], "text": [], "shingles": [], "places": []}
+        out: dict[str, list] = {"key": [], "n": [], "text": [], "shingles": [], "places": [], "bitmap": []}
         data, offsets = part.data.tobytes(), part.offsets
         for i, values in enumerate(shingle_sets(part)):
             key = _set_key(values)
-            text, mine, places = None, None, None
+            text, mine, places, bits = None, None, None, None
             if len(values) and key not in seen:
                 seen.add(key)
                 first = prefix(values)
                 places = np.flatnonzero(shared(first))
                 if len(places):
-                    mine, text = first[places].view(np.int64), data[offsets[i] : offsets[i + 1]].decode()
+                    mine, text, bits = first[places].view(np.int64), data[offsets[i] : offsets[i + 1]].decode(), _bitmap(values)
                 else:
                     places = None
-            for name, value in zip(out, (key, len(values), text, mine, places), strict=True):
+            for name, value in zip(out, (key, len(values), text, mine, places, bits), strict=True):
                 out[name].append(value)
         yield pa.RecordBatch.from_arrays(
             [
@@ -138,8 +149,9 @@ def _sets(docs: DataFrame) -> DataFrame:
                 pa.array(out["text"], pa.string()),
                 pa.array(out["shingles"], pa.list_(pa.int64())),
                 pa.array(out["places"], pa.list_(pa.int32())),
+                pa.array(out["bitmap"], pa.list_(pa.int64())),
             ],
-            ["doc_id", "key", "n", "text", "shingles", "places"],
+            ["doc_id", "key", "n", "text", "shingles", "places", "bitmap"],
         )
 
     return with_shared_keys(docs, keys_of, emit, SET_SCHEMA, 1 / 25)
@@ -152,6 +164,68 @@ def _may_link(n_a: Column, place_a: Column, n_b: Column, place_b: Column) -> Col
     return long_enough & ((F.least(n_a - place_a, n_b - place_b)) * (100 + PERCENT) >= needed)
 
 
+def _across_classes(rest: DataFrame, loads: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in different classes that share a prefix shingle and pass all filters, each pair once.
+
+    rest: shingle, key, n, place, class; loads: shingle, major, minors; profiles: key, shingles, bitmap.
+    Minor sets, those outside the group's largest class, are held MINORS at a time in a task, past
+    which the whole group streams. A pair comes from the first shingle that both list.
+    """
+    spark = rest.sparkSession
+    chunked = (
+        rest.join(loads.withColumn("chunks", F.ceil(F.col("minors") / MINORS).cast("int")), "shingle")
+        .withColumn("home", F.when(F.col("class") != F.col("major"), F.pmod(F.xxhash64("key"), "chunks").cast("int")).otherwise(-1))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .join(profiles, "key")
+        .select("shingle", "chunk", (F.col("home") == F.col("chunk")).alias("held"), "key", "n", "place", "class", "major", "shingles", "bitmap")
+    )
+
+    def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return rows_of(batch, name).to_numpy(zero_copy_only=False)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            shingle, chunk = numbers(batch, "shingle"), numbers(batch, "chunk")
+            columns = [numbers(batch, c) for c in ("held", "key", "n", "place", "class", "major")]
+            lists = rows_of(batch, "shingles").to_pylist()
+            bits = rows_of(batch, "bitmap").flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP)
+            found: list[tuple[int, int]] = []
+            edges = np.flatnonzero((np.diff(shingle) != 0) | (np.diff(chunk) != 0)) + 1
+            edges = sorted({0, len(shingle), *edges.tolist(), *range(0, len(shingle), MINORS)})
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if (shingle[lo], chunk[lo]) != current:
+                    current, held = (shingle[lo], chunk[lo]), []
+                is_held, key, n, place, class_, major = (c[lo:hi] for c in columns)
+                own = np.flatnonzero(is_held.astype(bool))
+                if len(own):
+                    held.append((key[own], n[own], place[own], class_[own], bits[lo + own], [lists[lo + i] for i in own.tolist()]))
+                for a_key, a_n, a_place, a_class, a_bits, a_lists in held:
+                    total = a_n[:, None] + n[None, :]
+                    ok = np.minimum(a_n[:, None], n[None, :]) * 100 >= np.maximum(a_n[:, None], n[None, :]) * PERCENT
+                    ok &= np.minimum((a_n - a_place)[:, None], (n - place)[None, :]) * (100 + PERCENT) >= total * PERCENT
+                    ok &= (a_class[:, None] != class_[None, :]) & ((class_ == major)[None, :] | (a_key[:, None] < key[None, :]))
+                    i, j = np.nonzero(ok)
+                    x, y = a_bits[i], bits[lo + j]
+                    most = np.minimum(a_n[i] - np.bitwise_count(x & ~y).sum(axis=1), n[j] - np.bitwise_count(y & ~x).sum(axis=1))
+                    for i_, j_ in zip(*(v[most * (100 + PERCENT) >= total[i, j] * PERCENT] for v in (i, j)), strict=True):
+                        others = set(lists[lo + j_])
+                        if next(g for g in a_lists[i_] if g in others) == current[0]:
+                            found.append((int(a_key[i_]), int(key[j_])))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        chunked.repartition(n_parts, "shingle", "chunk")
+        .sortWithinPartitions("shingle", "chunk", F.desc("held"))
+        .mapInArrow(pairs, "a long, b long")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+
+
 def suffix_filter(a: np.ndarray, b: np.ndarray, needed: int, parts: int = 16) -> bool:
     """Whether ascending sets a and b may share `needed` values, by their counts in parts of the hash range."""
     cuts = (np.arange(1, parts, dtype=np.uint64) << np.uint64(60)) if parts == 16 else None
@@ -219,11 +293,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts with equal sets count as one set. Sets are joined on prefix shingles, rarest first, that
     occur in two prefixes at least. To lose no link and not emit all pairs of a group:
 
-    1. every set is compared with one pivot for each of its prefix shingles, the least key, and
-       links give classes;
+    1. the least key of a prefix shingle's group is its pivot; every set is compared with the one
+       pivot that it shares most prefix shingles with, and links give classes;
     2. then only pairs of different classes are left. In a prefix shingle's group these are the
-       sets outside its largest class, against all of the group. Length and positional filters
-       cut pairs before, the suffix filter at the comparison, and each pair is compared once.
+       sets outside its largest class, against all of the group. Length, positional and bitmap
+       filters cut pairs before, the suffix filter at the comparison, and each pair is compared once.
 
     Null, empty and blank texts have no shingles and stand alone with their own doc_id. Null
     doc_ids take part and are never the smallest unless alone. Repeated rows have equal sets, so
@@ -242,10 +316,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).where("p.key <> last").select("shingle", "p")
     pivots = stored(pivots, "shared-shingles")
     grouped = stored(postings.join(pivots, "shingle").distinct(), "postings")
-    first_pairs = grouped.where(
+    candidates = grouped.where(
         (F.col("key") != F.col("p.key")) & _may_link(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"))
-    ).select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct()
-    first_pairs = stored(first_pairs, "star-pairs")
+    ).groupBy(F.col("key").alias("a"), F.col("p.key").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    best = candidates.groupBy("a").agg(F.max(F.struct("common", "b")).alias("x")).select("a", "x.b")
+    first_pairs = stored(best, "star-pairs")
     links = _verified(first_pairs, texts)
 
     classes = components(links)
@@ -256,17 +331,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "classed",
     )
     by_class = classed.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("size"))
-    open_ = by_class.groupBy("shingle").agg(F.max(F.struct("size", "class")).alias("top"), F.count(F.lit(1)).alias("classes"))
-    open_ = stored(open_.where("classes > 1").select("shingle", F.col("top.class").alias("major")), "open-groups")
-    rest = stored(classed.join(open_, "shingle"), "rest")
-    minor = rest.where(F.col("class") != F.col("major")).select(
-        "shingle", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("class").alias("class_a")
-    )
-    second = minor.join(rest, "shingle").where(
-        (F.col("class_a") != F.col("class"))
-        & ((F.col("class") == F.col("major")) | (F.col("a") < F.col("key")))
-        & _may_link(F.col("n_a"), F.col("place_a"), F.col("n"), F.col("place"))
-    ).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+    loads = by_class.groupBy("shingle").agg(
+        F.max(F.struct("size", "class")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("classes")
+    ).where("classes > 1").select("shingle", F.col("top.class").alias("major"), (F.col("all") - F.col("top.size")).alias("minors"))
+    loads = stored(loads, "open-groups")
+    profiles = sets.where(F.col("bitmap").isNotNull()).select("key", "shingles", "bitmap").dropDuplicates(["key"])
+    second = _across_classes(classed, loads, profiles)
     tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _verified(second.join(tried, ["a", "b"], "left_anti"), texts)
 
