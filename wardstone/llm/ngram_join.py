@@ -125,7 +125,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     seen: set[int] = set()
 
-    def emit(part: Slice, rows: pa.RecordBatch, shared: Callable) -> Iterator[pa.RecordBatch]:
+    def emit(part: Slice, rows: pa.RecordBatch, shared: Callable, _: dict) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {"key": [], "n": [], "text": [], "shingles": [], "places": [], "bitmap": []}
         data, offsets = part.data.tobytes(), part.offsets
         for i, values in enumerate(shingle_sets(part)):

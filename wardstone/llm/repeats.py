@@ -24,9 +24,12 @@ from .suffixes import FmIndex, suffix_ranks
 from .windows import Units, byte_units, run_hashes, runs_of, word_units
 
 NO_DOC = 2**63 - 1
+#: Marks of rows whose text other rows hold too: COPY needs no runs, HEAD shows its runs for all of them.
+COPY, HEAD = 1, 2
+NOTHING = hashlib.sha256(b"").hexdigest()
 RUN_SCHEMA = (
-    "rid long, doc_id long, text string, n_units long, kept_sha256 string, starts array<int>, counts array<int>, runs array<long>, "
-    "new_runs array<long>, new_keys array<long>, new_bodies array<binary>"
+    "rid long, doc_id long, text string, n_units long, n_removed long, kept_sha256 string, starts array<int>, counts array<int>, "
+    "runs array<long>, keys array<long>, new_runs array<long>, new_keys array<long>, new_bodies array<binary>, new_bytes long"
 )
 FOUND_SCHEMA = "run long, ranges array<struct<lo:int,hi:int,least:long>>"
 #: Bytes of distinct runs in a shard, about.
@@ -45,7 +48,7 @@ class Plan:
 
 
 WORDS = Plan(35, 12, word_units, True, 1 / 50)
-BYTES = Plan(50, 24, byte_units, False, 1 / 13)
+BYTES = Plan(50, 20, byte_units, False, 1 / 15)
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -56,12 +59,23 @@ def _digest(data: bytes, by_words: bool) -> str:
     return hashlib.sha256(b" ".join(data.split()) if by_words else data).hexdigest()
 
 
+def _copies(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(rid, mark) of rows with equal texts. Where repeats anywhere count, all such rows lose whole windows, and one
+    shows the runs; else those do whose doc_id isn't the least, and the others are like any document."""
+    place = F.col("rid") if plan.within else F.coalesce("doc_id", F.lit(NO_DOC))
+    rows = docs.select("rid", place.alias("place"), F.sha2(F.encode("text", "UTF-8"), 256).alias("h"))
+    least = rows.groupBy("h").agg(F.min("place").alias("least"), F.max("place").alias("last")).where("least < last")
+    mark = F.when(F.col("place") > F.col("least"), COPY).otherwise(HEAD)
+    marks = rows.join(least, "h").select("rid", mark.alias("mark")).distinct()
+    return marks if plan.within else marks.where(F.col("mark") == COPY)
+
+
 def _runs(docs: DataFrame, plan: Plan, carried: tuple[str, ...]) -> DataFrame:
-    """A row for each document. Those without a shared run have a digest; others have runs and their text.
+    """A row for each document. Marked ones and those without a shared run have a digest; others have runs and their text.
 
     With carried columns every row keeps its text.
 
-    new_*: runs that this batch of rows meets for the first time, with their minimiser and bytes.
+    new_*: runs that this task meets for the first time, with their minimiser and bytes.
     """
     by_words = plan.units is word_units
 
@@ -76,26 +90,37 @@ def _runs(docs: DataFrame, plan: Plan, carried: tuple[str, ...]) -> DataFrame:
             keys, doc = keys[new], doc[new]
         return keys, doc
 
-    def emit(part: Slice, rows: pa.RecordBatch, shared: Callable) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
+
+    def emit(part: Slice, rows: pa.RecordBatch, shared: Callable, marks: dict[int, int]) -> Iterator[pa.RecordBatch]:
         units = plan.units(part, plan.k)
         runs = runs_of(units, plan.length, plan.k)
-        on = shared(runs.key) if len(runs.key) else np.zeros(0, bool)
+        sizes = np.diff(units.offsets)
+        mark = np.array([marks.get(r, 0) for r in rows_of(rows, "rid").to_pylist()])
+        mark[sizes < plan.length] = 0
+        on = shared(runs.key) & (mark[runs.doc] != COPY) if len(runs.key) else np.zeros(0, bool)
         hashes = run_hashes(units, runs, plan.length)[on]
         doc, start, count, key = runs.doc[on], runs.start[on], runs.count[on], runs.key[on]
         bounds = np.searchsorted(doc, np.arange(part.n + 1))
-        _, first = np.unique(hashes, return_index=True)
-        first.sort()
+        first = []
+        for i, value in enumerate(hashes.tolist()):
+            if value not in seen:
+                seen.add(value)
+                first.append(i)
+        first = np.array(first, np.int64)
         data = part.data.tobytes()
         bodies = []
         for at, n in zip(start[first].tolist(), count[first].tolist(), strict=True):
             lo, hi = units.bytes_of(at, at + n - 1 + plan.length)
             bodies.append(data[lo:hi])
         new_bounds = np.searchsorted(doc[first], np.arange(part.n + 1))
-        held = np.diff(bounds) > 0
+        held = (np.diff(bounds) > 0) & (mark == 0)
         offsets = part.offsets
         digests = [
-            None if held[i] else _digest(data[offsets[i] : offsets[i + 1]], by_words) for i in range(part.n)
+            NOTHING if mark[i] else None if held[i] else _digest(data[offsets[i] : offsets[i + 1]], by_words) for i in range(part.n)
         ]
+        new_bytes = np.zeros(part.n, np.int64)
+        np.add.at(new_bytes, doc[first], [len(x) for x in bodies])
         texts = pa.array(
             [data[offsets[i] : offsets[i + 1]].decode() if held[i] or carried else None for i in range(part.n)], pa.string()
         )
@@ -104,21 +129,24 @@ def _runs(docs: DataFrame, plan: Plan, carried: tuple[str, ...]) -> DataFrame:
                 rows_of(rows, "rid"),
                 rows_of(rows, "doc_id"),
                 texts,
-                pa.array(np.diff(units.offsets), pa.int64()),
+                pa.array(sizes, pa.int64()),
+                pa.array(np.where(mark > 0, sizes, 0), pa.int64()),
                 pa.array(digests, pa.string()),
                 _lists(start - units.offsets[doc] if len(doc) else start, bounds, pa.int32()),
                 _lists(count, bounds, pa.int32()),
                 _lists(hashes.view(np.int64), bounds, pa.int64()),
+                _lists(key.view(np.int64), bounds, pa.int64()),
                 _lists(hashes[first].view(np.int64), new_bounds, pa.int64()),
                 _lists(key[first].view(np.int64), new_bounds, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(new_bounds, pa.int32()), pa.array(bodies, pa.binary())),
+                pa.array(new_bytes),
                 *[rows_of(rows, c) for c in carried],
             ],
             schema.names,
         )
 
     schema = StructType(StructType.fromDDL(RUN_SCHEMA).fields + [docs.schema[c] for c in carried])
-    return with_shared_keys(docs, keys_of, emit, schema, plan.keys_per_byte, carried)
+    return with_shared_keys(docs, keys_of, emit, schema, plan.keys_per_byte, carried, _copies(docs, plan))
 
 
 def _ranges(window: np.ndarray, least: np.ndarray) -> list[dict]:
@@ -197,53 +225,52 @@ def search_bytes(bodies: list[bytes], _: np.ndarray, least_doc: np.ndarray, leng
     return [_ranges(window[lo:hi], least[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def _searched(runs: DataFrame, plan: Plan, search: Callable) -> tuple[DataFrame, DataFrame]:
-    """Counts of all runs (run, n, least_doc), and ranges of those whose minimiser has different runs."""
+def _searched(runs: DataFrame, plan: Plan, search: Callable) -> DataFrame:
+    """(run, ranges) of every run in which some window is repeated."""
     spark = runs.sparkSession
-    occurrences = runs.select("doc_id", F.explode("runs").alias("run"))
-    counts = occurrences.groupBy("run").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(NO_DOC))).alias("least_doc")
+    counts = (
+        runs.select("doc_id", F.explode(F.arrays_zip("runs", "keys")).alias("x"))
+        .groupBy(F.col("x.keys").alias("key"), F.col("x.runs").alias("run"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(NO_DOC))).alias("least_doc"))
     )
     fresh = runs.select(F.explode(F.arrays_zip("new_runs", "new_keys", "new_bodies")).alias("x")).select(
         F.col("x.new_runs").alias("run"), F.col("x.new_keys").alias("key"), F.col("x.new_bodies").alias("body")
     )
-    mixed = fresh.groupBy("key").agg(F.min("run").alias("a"), F.max("run").alias("b")).where("a <> b").select("key")
-    mixed = stored(mixed, "mixed-keys")
-    fresh = fresh.join(mixed, "key", "left_semi")
-    keyed = fresh.select("run", "key").distinct().join(counts, "run")
-    n_bytes = fresh.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
+    n_bytes = runs.agg(F.sum("new_bytes")).first()[0] or 0
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // SHARD) + 1)
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("least", pa.int64())]))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body_of: dict[int, bytes] = {}
         facts: dict[int, tuple[int, int]] = {}
+        variants: dict[int, list[int]] = {}
         for batch in batches:
-            columns = [rows_of(batch, c).to_pylist() for c in ("run", "body", "n", "least_doc")]
-            for run, body, n, least_doc in zip(*columns, strict=True):
+            columns = [rows_of(batch, c).to_pylist() for c in ("key", "run", "body", "n", "least_doc")]
+            for key, run, body, n, least_doc in zip(*columns, strict=True):
                 if body is None:
                     facts[run] = (n, least_doc)
+                    variants.setdefault(key, []).append(run)
                 else:
                     body_of.setdefault(run, body)
-        if not body_of:
-            return
-        ids = list(body_of)
-        values = np.array([facts[x] for x in ids], np.int64)
-        found = search([body_of[x] for x in ids], values[:, 0], values[:, 1], plan.length)
-        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("least", pa.int64())]))
-        for at in range(0, len(ids), 5000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at : at + 5000], pa.int64()), pa.array(found[at : at + 5000], kind)], ["run", "ranges"]
-            )
+        # a minimiser's only run: its windows occur as often as itself
+        alone = [x[0] for x in variants.values() if len(x) == 1]
+        ids = [run for x in variants.values() if len(x) > 1 for run in x]
+        found = [[{"lo": 0, "hi": 2**31 - 1, "least": facts[x][1]}] if facts[x][0] > 1 else [] for x in alone]
+        if ids:
+            values = np.array([facts[x] for x in ids], np.int64)
+            found += search([body_of[x] for x in ids], values[:, 0], values[:, 1], plan.length)
+        named = [(run, ranges) for run, ranges in zip([*alone, *ids], found, strict=True) if ranges]
+        for at in range(0, len(named), 5000):
+            run, ranges = zip(*named[at : at + 5000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(ranges, kind)], ["run", "ranges"])
 
     nothing = F.lit(None)
-    ranges = (
+    return (
         fresh.select("key", "run", "body", nothing.cast("long").alias("n"), nothing.cast("long").alias("least_doc"))
-        .unionByName(keyed.select("key", "run", nothing.cast("binary").alias("body"), "n", "least_doc"))
+        .unionByName(counts.select("key", "run", nothing.cast("binary").alias("body"), "n", "least_doc"))
         .repartition(n_shards, "key")
-        .select("run", "body", "n", "least_doc")
         .mapInArrow(shard, FOUND_SCHEMA)
     )
-    return counts, ranges
 
 
 def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = False) -> DataFrame:
@@ -256,20 +283,9 @@ def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = Fa
         *[F.struct(*[docs[c] for c in docs.columns if c not in ("text",)]).alias(c) for c in carried],
     )
     runs = stored(_runs(identified.withColumn("rid", F.xxhash64("doc_id", "text")), plan, carried), "runs")
-    counts, ranges = _searched(runs, plan, search)
-    # a run whose minimiser has no other run: all its windows occur as often as itself
-    found = counts.join(ranges, "run", "left").select(
-        "run",
-        F.coalesce(
-            "ranges",
-            F.when(
-                F.col("n") > 1,
-                F.array(F.struct(F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi"), F.col("least_doc").alias("least"))),
-            ),
-        ).alias("ranges"),
-    )
-    found = found.where(F.size("ranges") > 0)
-    occurrences = runs.select("rid", "doc_id", F.explode(F.arrays_zip("starts", "counts", "runs")).alias("x")).select(
+    found = _searched(runs, plan, search)
+    is_open = F.col("kept_sha256").isNull()
+    occurrences = runs.where(is_open).select("rid", "doc_id", F.explode(F.arrays_zip("starts", "counts", "runs")).alias("x")).select(
         "rid", "doc_id", F.col("x.starts").alias("start"), F.col("x.counts").alias("count"), F.col("x.runs").alias("run")
     )
     hits = (
@@ -334,7 +350,7 @@ def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = Fa
                 )
 
     nothing = F.lit(None)
-    open_rows = runs.where(F.col("kept_sha256").isNull()).select(
+    open_rows = runs.where(is_open).select(
         "rid", F.lit(1).alias("kind"), "doc_id", "text", nothing.cast("int").alias("lo"), nothing.cast("int").alias("hi"), *carried
     )
     n_bytes = open_rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -348,10 +364,10 @@ def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = Fa
         .sortWithinPartitions("rid", "kind")
         .mapInArrow(apply, schema)
     )
-    zero = F.lit(0).cast("long")
-    closed = runs.where(F.col("kept_sha256").isNotNull()).select(
-        "doc_id", "n_units", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256",
-        *[F.col("text").alias("kept_text")] * with_text, *carried,
+    all_gone = F.col("n_removed") > 0
+    closed = runs.where(~is_open).select(
+        "doc_id", "n_units", "n_removed", all_gone.cast("long").alias("n_spans"), "kept_sha256",
+        *[F.when(all_gone, "").otherwise(F.col("text")).alias("kept_text")] * with_text, *carried,
     )
     return closed.unionByName(applied)
 

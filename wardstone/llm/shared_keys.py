@@ -67,16 +67,19 @@ def member(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def with_shared_keys(
     docs: DataFrame,
     keys_of: Callable[[Slice], tuple[np.ndarray, np.ndarray]],
-    emit: Callable[[Slice, pa.RecordBatch, Callable[[np.ndarray], np.ndarray]], Iterator[pa.RecordBatch]],
+    emit: Callable[[Slice, pa.RecordBatch, Callable[[np.ndarray], np.ndarray], dict[int, int]], Iterator[pa.RecordBatch]],
     schema: str | StructType,
     keys_per_byte: float,
     carried: tuple[str, ...] = (),
+    marks: DataFrame | None = None,
 ) -> DataFrame:
     """Stream documents (rid, doc_id, text, and carried columns) through emit, which is told which keys occur in more than one place.
 
     keys_of gives uint64 keys and their documents (of the slice); a key given twice for one
-    document counts as two places. emit gets a slice, its rows and a test of keys. A test may
-    pass a key that occurs once (hash bits are cut), never fail one that occurs again.
+    document counts as two places. emit gets a slice, its rows, a test of keys, and the marks
+    (rid, mark) of the bucket's documents. A test may pass a key that occurs once (hash bits are
+    cut), never fail one that occurs again. Texts travel in compressed blobs, one for each bucket
+    that a batch meets.
     """
     spark = docs.sparkSession
     _, n_bytes = size_of(docs)
@@ -150,31 +153,49 @@ def with_shared_keys(
         .mapInArrow(reduce, "bucket int, blob binary")
     )
 
+    own = ["rid", "doc_id", "text", *carried]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            buckets = rows_of(batch, "bucket").to_numpy()
+            order = np.argsort(buckets, kind="stable")
+            sorted_ = batch.select(own).take(pa.array(order))
+            full, heads = np.unique(buckets[order], return_index=True)
+            for bucket, lo, hi in zip(full.tolist(), heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, sorted_.schema, options=options) as writer:
+                    writer.write_batch(sorted_.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "blob"]
+                )
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, gathered, known = None, [], np.zeros(0, np.uint64)
+        current, gathered, known, marked = None, [], np.zeros(0, np.uint64), {}
         for batch in batches:
-            buckets, kinds = rows_of(batch, "bucket").to_numpy(), rows_of(batch, "kind").to_numpy()
-            edges = np.flatnonzero((np.diff(buckets) != 0) | (np.diff(kinds) != 0)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(buckets)], strict=True):
-                if lo == hi:
-                    continue
-                if buckets[lo] != current:
-                    current, gathered, known = buckets[lo], [], np.zeros(0, np.uint64)
-                run = batch.slice(lo, hi - lo)
-                if kinds[lo] == 0:
-                    gathered += [np.frombuffer(x.as_py(), np.uint64) for x in rows_of(run, "blob")]
-                    continue
-                if gathered:
-                    known, gathered = np.sort(np.concatenate([known, *gathered])), []
-                test = lambda keys, known=known: member(known, layout.short(keys))
-                for part in slices(rows_of(run, "text")):
-                    yield from emit(part, run.slice(part.first, part.n), test)
-
-    nothing, own = F.lit(None), ["rid", "doc_id", "text", *carried]
-    return (
-        lists.select("bucket", F.lit(0).alias("kind"), "blob", *[nothing.cast(docs.schema[c].dataType).alias(c) for c in own])
-        .unionByName(bucketed.select("bucket", F.lit(1).alias("kind"), nothing.cast("binary").alias("blob"), *own))
-        .repartition(n_parts, "bucket")
-        .sortWithinPartitions("bucket", "kind")
-        .mapInArrow(stream, schema)
-    )
+            columns = [rows_of(batch, c).to_pylist() for c in ("bucket", "kind", "rid", "mark")]
+            for bucket, kind, rid, mark, blob in zip(*columns, rows_of(batch, "blob"), strict=True):
+                if bucket != current:
+                    current, gathered, known, marked = bucket, [], np.zeros(0, np.uint64), {}
+                if kind == 0:
+                    gathered.append(np.frombuffer(blob.as_py(), np.uint64))
+                elif kind == 1:
+                    marked[rid] = mark
+                else:
+                    if gathered:
+                        known, gathered = np.sort(np.concatenate([known, *gathered])), []
+                    test = lambda keys, known=known: member(known, layout.short(keys))
+                    for rows in pa.ipc.open_stream(blob.as_buffer()):
+                        for part in slices(rows_of(rows, "text")):
+                            yield from emit(part, rows.slice(part.first, part.n), test, marked)
+
+    def kind(df: DataFrame, number: int) -> DataFrame:
+        missing = {"blob": "binary", "rid": "long", "mark": "int"}
+        columns = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in missing.items()]
+        return df.select("bucket", F.lit(number).alias("kind"), *columns)
+
+    rows = kind(lists, 0).unionByName(kind(bucketed.mapInArrow(pack, "bucket int, blob binary"), 2))
+    if marks is not None:
+        bucket = F.pmod("rid", F.lit(layout.buckets)).cast("int").alias("bucket")
+        rows = rows.unionByName(kind(marks.select(bucket, "rid", F.col("mark").cast("int").alias("mark")), 1))
+    return rows.repartition(n_parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(stream, schema)
