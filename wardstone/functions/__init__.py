@@ -1 +1 @@
-
+"""Column functions: text transforms and named rules."""

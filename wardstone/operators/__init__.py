@@ -1 +1 @@
-
+"""Relational operators over corpora, hits, answers and audit records."""

@@ -1 +1 @@
-
+"""Sources of documents."""

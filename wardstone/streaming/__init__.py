@@ -1 +1 @@
-
+"""Streaming jobs."""
