@@ -1,15 +1,18 @@
 """From raw documents to a training mix: the operators of wardstone.llm as stages over documents.
 
 Each stage reads what its predecessor kept and returns the columns of documents; the last
-returns the mix. run() writes every stage to the shared folder and reads it again.
+returns the mix. A stage's result is written before the next stage is called: run() writes it to
+the shared folder, and the next stage deletes the scratch tables that it was made from.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstone.llm.common import stored, table
+from wardstone.llm.common import release, scratch_dir, stored, table
 from wardstone.llm.decontamination import contamination
 from wardstone.llm.mixing import mix_sources
 from wardstone.llm.ngram_join import near_duplicates
@@ -19,12 +22,14 @@ from wardstone.llm.repeats import remove_repeated_bytes
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on labelled ones of these, doesn't reject."""
+    release(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model, keep=True).where("predicted = 1").select("row.*")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id; of repeated rows one."""
+    release(spark)
     groups = stored(near_duplicates(docs), "groups")
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
     repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
@@ -34,6 +39,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-byte strings that an earlier document holds; texts and n_chars change, no document goes."""
+    release(spark)
     cut = remove_repeated_bytes(docs, with_text=True)
     new = {
         "text": F.col("kept_text"),
@@ -44,12 +50,14 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
+    release(spark)
     found = contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id")).distinct()
     return docs.join(found, docs.doc_id.eqNullSafe(found.found_id), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What a mix of the sources by weight takes of each document."""
+    release(spark)
     return mix_sources(docs)
 
 
@@ -67,6 +75,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    path = f"{scratch_dir(spark)}/wardstone/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{path}/{k}")
+        docs = spark.read.schema(out.schema).parquet(f"{path}/{k}")
     return STAGES[-1][1](spark, docs, sf_dir)

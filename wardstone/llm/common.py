@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
+_stored: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +43,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/wardstone/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that stored() has written so far. For callers whose results so far are written elsewhere."""
+    while _stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def size_of(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of the text column."""
     row = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text).cast("long"))).first()
@@ -79,7 +88,7 @@ def _grow(n: int) -> None:
     global _powers, _inverse_powers
     if len(_powers) >= n:
         return
-    n = max(n, 1 << 20)
+    n = max(n, 1 << 19)
 
     def powers(base: int) -> np.ndarray:
         out = np.full(n, base, np.uint64)
@@ -135,7 +144,7 @@ def hash_span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * _inverse_powers[starts])
 
 
-def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[Slice]:
+def slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[Slice]:
     """Cut a string column into runs of whole rows of about `limit` bytes; a longer row stands alone. Null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

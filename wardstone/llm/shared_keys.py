@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from .common import Slice, partitions_for, rows_of, size_of, slices
 
 #: Bytes of an entry in a blob; entries that a task gathers before it sends them.
-WIDTH, FLUSH = 6, 1 << 21
+WIDTH, FLUSH = 6, 1 << 20
 
 
 class Layout:
@@ -160,12 +160,12 @@ def with_shared_keys(
         for batch in batches:
             buckets = rows_of(batch, "bucket").to_numpy()
             order = np.argsort(buckets, kind="stable")
-            sorted_ = batch.select(own).take(pa.array(order))
+            texts = batch.select(own)
             full, heads = np.unique(buckets[order], return_index=True)
             for bucket, lo, hi in zip(full.tolist(), heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, sorted_.schema, options=options) as writer:
-                    writer.write_batch(sorted_.slice(lo, hi - lo))
+                with pa.ipc.new_stream(sink, texts.schema, options=options) as writer:
+                    writer.write_batch(texts.take(pa.array(order[lo:hi])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([bucket], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "blob"]
                 )
