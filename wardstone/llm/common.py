@@ -6,6 +6,7 @@ tokenised and hashed without a Python object per word.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,12 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that no live frame needs, as those before a stored table; it acts when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def size_of(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of the text column."""
     row = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text).cast("long"))).first()

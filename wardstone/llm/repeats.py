@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Slice, partitions_for, rows_of, stored, table
+from .common import Slice, free_shuffles, partitions_for, rows_of, stored, table
 from .shared_keys import with_shared_keys
 from .suffixes import FmIndex, suffix_ranks
 from .windows import Units, byte_units, run_hashes, runs_of, word_units
@@ -283,7 +283,9 @@ def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = Fa
         *[F.struct(*[docs[c] for c in docs.columns if c not in ("text",)]).alias(c) for c in carried],
     )
     runs = stored(_runs(identified.withColumn("rid", F.xxhash64("doc_id", "text")), plan, carried), "runs")
-    found = _searched(runs, plan, search)
+    free_shuffles(spark)
+    found = stored(_searched(runs, plan, search), "repeated-runs")
+    free_shuffles(spark)
     is_open = F.col("kept_sha256").isNull()
     occurrences = runs.where(is_open).select("rid", "doc_id", F.explode(F.arrays_zip("starts", "counts", "runs")).alias("x")).select(
         "rid", "doc_id", F.col("x.starts").alias("start"), F.col("x.counts").alias("count"), F.col("x.runs").alias("run")
