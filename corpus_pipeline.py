@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstone.llm.common import release, scratch_dir, stored, table
+from wardstone.llm.common import free_shuffles, release, scratch_dir, stored, table
 from wardstone.llm.decontamination import contamination
 from wardstone.llm.mixing import mix_sources
 from wardstone.llm.ngram_join import near_duplicates
@@ -31,6 +31,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     """Of each group of linked documents the one with the smallest doc_id; of repeated rows one."""
     release(spark)
     groups = stored(near_duplicates(docs), "groups")
+    free_shuffles(spark)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
     repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
     out = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_CODES, Slice, grams, hash_span, mix, partitions_for, rows_of, size_of, slices, stored, table
+from .common import LOWER_CODES, Slice, free_shuffles, grams, hash_span, mix, partitions_for, rows_of, size_of, slices, stored, table
 from . import common
 from .components import components
 from .shared_keys import with_shared_keys
@@ -23,7 +23,7 @@ CELL_BITS = 18
 CHUNK = 128
 
 #: 64-bit words of a set's bitmap; minor sets of a group that one task holds.
-BITMAP, MINORS = 32, 1024
+BITMAP, MINORS = 8, 1024
 
 SET_SCHEMA = "doc_id long, key long, n int, text string, shingles array<long>, places array<int>, bitmap array<long>"
 
@@ -164,17 +164,18 @@ def _may_link(n_a: Column, place_a: Column, n_b: Column, place_b: Column) -> Col
     return long_enough & ((F.least(n_a - place_a, n_b - place_b)) * (100 + PERCENT) >= needed)
 
 
-def _across_classes(rest: DataFrame, loads: DataFrame, profiles: DataFrame) -> DataFrame:
+def _across_classes(rest: DataFrame, loads: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets in different classes that share a prefix shingle and pass all filters, each pair once.
 
-    rest: shingle, key, n, place, class; loads: shingle, major, minors; profiles: key, shingles, bitmap.
+    rest: shingle, key, n, place, class; loads: shingle, major, minors; bitmaps: key, bitmap.
     Minor sets, those outside the group's largest class, are held MINORS at a time in a task, past
-    which the whole group streams. A pair comes from the first shingle that both list.
+    which the whole group streams. A pair comes from the least open shingle that both have.
     """
     spark = rest.sparkSession
+    open_rows = stored(rest.join(loads.withColumn("chunks", F.ceil(F.col("minors") / MINORS).cast("int")), "shingle"), "open-rows")
+    profiles = open_rows.groupBy("key").agg(F.collect_list("shingle").alias("shingles")).join(bitmaps, "key")
     chunked = (
-        rest.join(loads.withColumn("chunks", F.ceil(F.col("minors") / MINORS).cast("int")), "shingle")
-        .withColumn("home", F.when(F.col("class") != F.col("major"), F.pmod(F.xxhash64("key"), "chunks").cast("int")).otherwise(-1))
+        open_rows.withColumn("home", F.when(F.col("class") != F.col("major"), F.pmod(F.xxhash64("key"), "chunks").cast("int")).otherwise(-1))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .join(profiles, "key")
         .select("shingle", "chunk", (F.col("home") == F.col("chunk")).alias("held"), "key", "n", "place", "class", "major", "shingles", "bitmap")
@@ -199,7 +200,7 @@ def _across_classes(rest: DataFrame, loads: DataFrame, profiles: DataFrame) -> D
                 is_held, key, n, place, class_, major = (c[lo:hi] for c in columns)
                 own = np.flatnonzero(is_held.astype(bool))
                 if len(own):
-                    held.append((key[own], n[own], place[own], class_[own], bits[lo + own], [lists[lo + i] for i in own.tolist()]))
+                    held.append((key[own], n[own], place[own], class_[own], bits[lo + own], [set(lists[lo + i]) for i in own.tolist()]))
                 for a_key, a_n, a_place, a_class, a_bits, a_lists in held:
                     total = a_n[:, None] + n[None, :]
                     ok = np.minimum(a_n[:, None], n[None, :]) * 100 >= np.maximum(a_n[:, None], n[None, :]) * PERCENT
@@ -209,8 +210,7 @@ def _across_classes(rest: DataFrame, loads: DataFrame, profiles: DataFrame) -> D
                     x, y = a_bits[i], bits[lo + j]
                     most = np.minimum(a_n[i] - np.bitwise_count(x & ~y).sum(axis=1), n[j] - np.bitwise_count(y & ~x).sum(axis=1))
                     for i_, j_ in zip(*(v[most * (100 + PERCENT) >= total[i, j] * PERCENT] for v in (i, j)), strict=True):
-                        others = set(lists[lo + j_])
-                        if next(g for g in a_lists[i_] if g in others) == current[0]:
+                        if min(a_lists[i_].intersection(lists[lo + j_])) == current[0]:
                             found.append((int(a_key[i_]), int(key[j_])))
             if found:
                 a, b = zip(*found, strict=True)
@@ -306,6 +306,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stored(_sets(docs.withColumn("rid", F.xxhash64("doc_id", "text"))), "shingle-sets")
+    free_shuffles(docs.sparkSession)
     texts = sets.where(F.col("text").isNotNull()).select("key", "text").dropDuplicates(["key"])
     postings = sets.where(F.col("text").isNotNull()).select(
         "key", "n", F.explode(F.arrays_zip("shingles", "places")).alias("x")
@@ -322,6 +323,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = candidates.groupBy("a").agg(F.max(F.struct("common", "b")).alias("x")).select("a", "x.b")
     first_pairs = stored(best, "star-pairs")
     links = _verified(first_pairs, texts)
+    free_shuffles(docs.sparkSession)
 
     classes = components(links)
     classed = stored(
@@ -335,10 +337,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.max(F.struct("size", "class")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("classes")
     ).where("classes > 1").select("shingle", F.col("top.class").alias("major"), (F.col("all") - F.col("top.size")).alias("minors"))
     loads = stored(loads, "open-groups")
-    profiles = sets.where(F.col("bitmap").isNotNull()).select("key", "shingles", "bitmap").dropDuplicates(["key"])
-    second = _across_classes(classed, loads, profiles)
+    bitmaps = sets.where(F.col("bitmap").isNotNull()).select("key", "bitmap").dropDuplicates(["key"])
+    second = _across_classes(classed, loads, bitmaps)
     tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _verified(second.join(tried, ["a", "b"], "left_anti"), texts)
+    free_shuffles(docs.sparkSession)
 
     classes = components(links.unionByName(more))
     members = sets.select("doc_id", "key", "n").join(classes, F.col("key") == F.col("node"), "left").select(
