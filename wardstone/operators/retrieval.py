@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,17 @@ def with_capability(requests: DataFrame, principals: DataFrame, role: str, grant
 # ------------------------------------------------------------------ search
 
 
+def with_embeddings(df: DataFrame, load: Callable[[], Callable[[list[str]], list]], text: str = "text", out: str = "embedding") -> DataFrame:
+    """df with a vector for each text. load gives the embedder, and is called once a task."""
+
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embedder = load()
+        for texts in batches:
+            yield pd.Series(list(embedder(texts.fillna("").tolist())))
+
+    return df.withColumn(out, F.pandas_udf(embed, "array<float>")(F.col(text)))
+
+
 def is_curated(origin: Column) -> Column:
     return F.coalesce(origin, F.lit(CURATED)) == CURATED
 
@@ -60,7 +72,8 @@ def nearest_chunks(
     questions: question_id, username, embedding; chunks: chunk_id, tier, origin, embedding;
     grants: username, tier, rank. `where` filters chunks before the search, never after. per_class
     gives curated and other chunks a budget of k each, so that volume can't evict curated ones.
-    Ties go to the lower tier, then to the lesser chunk_id. Vectors of norm 0 have distance 1.
+    Ties go to the lower tier, then to the lesser chunk_id. Vectors of norm 0 have distance 1;
+    null ones and those of another size than the questions' never match.
 
     Questions are a stated set, shipped in blocks of bounded size. Each pass reads the chunks
     once, keeps k a question of every batch, and only these are shuffled.
@@ -89,7 +102,7 @@ def nearest_chunks(
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v = np.array(batch.column("v").to_pylist())
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
                 distance = 1 - (v / np.where(norm == 0, 1, norm)) @ unit.T
                 rank = batch.column("rank").to_numpy()
@@ -115,7 +128,7 @@ def nearest_chunks(
                     ["question_id", "chunk_id", "tier", "rank", "origin", "curated", "distance"],
                 )
 
-        part = rows.mapInArrow(search, schema)
+        part = rows.where(F.size("v") == matrix.shape[1]).mapInArrow(search, schema)
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = spark.createDataFrame([], schema)

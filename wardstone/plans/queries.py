@@ -6,6 +6,8 @@ DataFrames and SQL (CHUNKS, HITS and so on below).
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text as t
 from ..operators import answers, audit, index, retrieval
 from ..sources import corpus
+from ..streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -475,6 +478,27 @@ def ungrounded_sentences(spark, sf_dir):
 # ------------------------------------------------------------------ conversations and calls
 
 
+@query(f"""SELECT doc_id AS question_id, '{rules.REFUSAL.replace(chr(39), chr(39) * 2)}' AS answer, flags FROM (SELECT doc_id, q, {_rules_sql(rules.INJECTION_RULES, 'q')} AS flags FROM (
+  SELECT doc_id, trim(regexp_replace({PAYLOAD}, '\\p{{Cc}}', '', 'g')) AS q FROM (SELECT conv_id * 100 + turn AS doc_id, text FROM conversations))) WHERE flags <> '' OR length(q) < 3 OR length(q) > 2000""")
+def refused_questions(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text")
+    questions = with_payloads(c).select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"))
+    return retrieval.screen_questions(questions)[1].select("question_id", "answer", F.array_join("flags", ",").alias("flags"))
+
+
+@query(f"""SELECT question_id, CASE WHEN question_id % 50 = 0 THEN '' ELSE array_to_string(list_sort(list(DISTINCT source)), ' ') END AS sources,
+  CASE WHEN question_id % 50 = 0 THEN '' ELSE coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (coalesce(origin, 'curated') <> 'curated')), ' '), '') END AS uploaded
+  FROM {NEAREST} n JOIN documents ON vec_id = doc_id GROUP BY question_id""")
+def answer_sources(spark, sf_dir):
+    questions, vectors, grants = _search_tables(spark, sf_dir)
+    found = retrieval.nearest_chunks(questions, vectors, grants, where=F.col("vec_id") % 2 == 1)
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "source")
+    hits = found.join(texts, "chunk_id")
+    told = hits.select("question_id").distinct().withColumn("blocked", F.col("question_id") % 50 == 0)
+    out = retrieval.result_sources(hits, told)
+    return out.select("question_id", F.array_join("sources", " ").alias("sources"), F.array_join("uploaded_sources", " ").alias("uploaded"))
+
+
 @query("""SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY turn, half) ::INT AS pos, role, content FROM (
   SELECT session_id, turn, unnest([0, 1]) AS half, unnest(['user', 'assistant']) AS role, unnest([question, answer]) AS content FROM (
   SELECT user_id AS session_id, event_id AS turn, event_type AS question, props AS answer, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 10)""")
@@ -564,9 +588,7 @@ def events_per_minute(spark, sf_dir):
 
 @query(f"SELECT event_id FROM {AUDIT} WHERE actor LIKE '%u7%'")
 def audit_search(spark, sf_dir):
-    from ..streaming.jobs import search
-
-    return search(audit_events(spark, sf_dir).drop("fields"), "u7").select("event_id")
+    return jobs.search(audit_events(spark, sf_dir).drop("fields"), "u7").select("event_id")
 
 
 @query("""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
@@ -579,6 +601,35 @@ def rate_limits(spark, sf_dir):
     return audit.rate_decisions(e, 3, 86400).select("event_id", "n", "allowed")
 
 
+@query(f"""SELECT date_trunc('minute', "at") AS start, actor, count(*) FILTER (event = 'query.answered' AND decision = 'deny') AS refusals, count(*) FILTER (event = 'auth.login' AND decision = 'deny') AS failed_logins,
+  count(*) FILTER (event = 'ingest.upload') AS uploads, count(*) FILTER (event = 'auth.role' AND decision = 'deny') AS refused_writes FROM {AUDIT} GROUP BY ALL
+  HAVING refusals >= 5 OR failed_logins >= 5 OR uploads > 0 OR refused_writes > 0""")
+def audit_alerts(spark, sf_dir):
+    return jobs.alerts(audit_events(spark, sf_dir)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 20 > 10")
+def late_events(spark, sf_dir):
+    received = F.col("at") + F.make_dt_interval(mins=F.col("event_id") % 20)
+    return jobs.late_records(audit_events(spark, sf_dir).withColumn("received", received))[1].select("event_id")
+
+
+@query("""SELECT start, event_type, count(*) AS n FROM (SELECT date_trunc('minute', ts) AS start, event_type FROM events)
+  WHERE start + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
+def streamed_counts(spark, sf_dir):
+    """The tumbling counts as a stream over the events, run until all that is there has been taken."""
+    # the pattern stands for a file or a folder; a stream takes a plain path for a folder
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-wardstone-")
+    path = f"{base.rstrip('/')}/wardstone-streams/{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*").withColumn("at", F.col("ts").cast("timestamp"))
+    counts = jobs.tumbling_counts(events, "event_type")
+    writer = counts.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(counts.schema).parquet(f"{path}/out")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 # ------------------------------------------------------------------ attack reports
 
 RUNS = """(SELECT event_id, event_type AS script, event_id % 2 AS phase, 'the window is ' || [30, 90, 45][(event_id % 3 + 1)::INT] || ' days' || CASE WHEN event_id % 4 = 0 THEN ', not 30 days' ELSE '' END AS answer, event_id % 5 < 2 AS ctx FROM events)"""
