@@ -169,16 +169,16 @@ def _across_classes(rest: DataFrame, loads: DataFrame, bitmaps: DataFrame) -> Da
 
     rest: shingle, key, n, place, class; loads: shingle, major, minors; bitmaps: key, bitmap.
     Minor sets, those outside the group's largest class, are held MINORS at a time in a task, past
-    which the whole group streams. A pair comes from the least open shingle that both have.
+    which the whole group streams. A task sends each minor set's partners as one list, and a second
+    pass by set leaves each partner once.
     """
     spark = rest.sparkSession
-    open_rows = stored(rest.join(loads.withColumn("chunks", F.ceil(F.col("minors") / MINORS).cast("int")), "shingle"), "open-rows")
-    profiles = open_rows.groupBy("key").agg(F.collect_list("shingle").alias("shingles")).join(bitmaps, "key")
     chunked = (
-        open_rows.withColumn("home", F.when(F.col("class") != F.col("major"), F.pmod(F.xxhash64("key"), "chunks").cast("int")).otherwise(-1))
+        rest.join(loads.withColumn("chunks", F.ceil(F.col("minors") / MINORS).cast("int")), "shingle")
+        .withColumn("home", F.when(F.col("class") != F.col("major"), F.pmod(F.xxhash64("key"), "chunks").cast("int")).otherwise(-1))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .join(profiles, "key")
-        .select("shingle", "chunk", (F.col("home") == F.col("chunk")).alias("held"), "key", "n", "place", "class", "major", "shingles", "bitmap")
+        .join(bitmaps, "key")
+        .select("shingle", "chunk", (F.col("home") == F.col("chunk")).alias("held"), "key", "n", "place", "class", "major", "bitmap")
     )
 
     def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -189,9 +189,8 @@ def _across_classes(rest: DataFrame, loads: DataFrame, bitmaps: DataFrame) -> Da
         for batch in batches:
             shingle, chunk = numbers(batch, "shingle"), numbers(batch, "chunk")
             columns = [numbers(batch, c) for c in ("held", "key", "n", "place", "class", "major")]
-            lists = rows_of(batch, "shingles").to_pylist()
             bits = rows_of(batch, "bitmap").flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP)
-            found: list[tuple[int, int]] = []
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             edges = np.flatnonzero((np.diff(shingle) != 0) | (np.diff(chunk) != 0)) + 1
             edges = sorted({0, len(shingle), *edges.tolist(), *range(0, len(shingle), MINORS)})
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -200,8 +199,8 @@ def _across_classes(rest: DataFrame, loads: DataFrame, bitmaps: DataFrame) -> Da
                 is_held, key, n, place, class_, major = (c[lo:hi] for c in columns)
                 own = np.flatnonzero(is_held.astype(bool))
                 if len(own):
-                    held.append((key[own], n[own], place[own], class_[own], bits[lo + own], [set(lists[lo + i]) for i in own.tolist()]))
-                for a_key, a_n, a_place, a_class, a_bits, a_lists in held:
+                    held.append((key[own], n[own], place[own], class_[own], bits[lo + own]))
+                for a_key, a_n, a_place, a_class, a_bits in held:
                     total = a_n[:, None] + n[None, :]
                     ok = np.minimum(a_n[:, None], n[None, :]) * 100 >= np.maximum(a_n[:, None], n[None, :]) * PERCENT
                     ok &= np.minimum((a_n - a_place)[:, None], (n - place)[None, :]) * (100 + PERCENT) >= total * PERCENT
@@ -209,18 +208,44 @@ def _across_classes(rest: DataFrame, loads: DataFrame, bitmaps: DataFrame) -> Da
                     i, j = np.nonzero(ok)
                     x, y = a_bits[i], bits[lo + j]
                     most = np.minimum(a_n[i] - np.bitwise_count(x & ~y).sum(axis=1), n[j] - np.bitwise_count(y & ~x).sum(axis=1))
-                    for i_, j_ in zip(*(v[most * (100 + PERCENT) >= total[i, j] * PERCENT] for v in (i, j)), strict=True):
-                        if min(a_lists[i_].intersection(lists[lo + j_])) == current[0]:
-                            found.append((int(a_key[i_]), int(key[j_])))
+                    on = most * (100 + PERCENT) >= total[i, j] * PERCENT
+                    found.append((a_key[i[on]], key[j[on]]))
             if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield from lists_of(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def lists_of(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        heads = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
+        blobs = [b[lo:hi].tobytes() for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(a)], strict=True)] if len(a) else []
+        if blobs:
+            yield pa.RecordBatch.from_arrays([pa.array(a[heads], pa.int64()), pa.array(blobs, pa.binary())], ["a", "partners"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, mine = None, []
+
+        def unique() -> pa.RecordBatch:
+            partners = np.unique(np.concatenate(mine))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(partners), current), pa.int64()), pa.array(partners, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for a, blob in zip(rows_of(batch, "a").to_pylist(), rows_of(batch, "partners"), strict=True):
+                if a != current:
+                    if mine:
+                        yield unique()
+                    current, mine = a, []
+                mine.append(np.frombuffer(blob.as_py(), np.int64))
+        if mine:
+            yield unique()
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         chunked.repartition(n_parts, "shingle", "chunk")
         .sortWithinPartitions("shingle", "chunk", F.desc("held"))
-        .mapInArrow(pairs, "a long, b long")
+        .mapInArrow(pairs, "a long, partners binary")
+        .repartition(n_parts, "a")
+        .sortWithinPartitions("a")
+        .mapInArrow(once, "a long, b long")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
