@@ -23,7 +23,7 @@ CELL_BITS = 18
 CHUNK = 128
 
 #: 64-bit words of a set's bitmap; minor sets of a group that one task holds.
-BITMAP, MINORS = 8, 1024
+BITMAP, MINORS = 16, 1024
 
 SET_SCHEMA = "doc_id long, key long, n int, text string, shingles array<long>, places array<int>, bitmap array<long>"
 
@@ -275,6 +275,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that link, as (u, v). A pivot b with many partners is copied to several tasks."""
     spark = pairs.sparkSession
     pairs = stored(pairs, "pairs")
+    free_shuffles(spark)
     loads = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     loads = stored(loads, "pivots")
     pairs = pairs.join(loads, "b").select("a", "b", F.pmod(F.xxhash64("a"), "chunks").cast("int").alias("chunk"))
