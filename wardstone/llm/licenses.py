@@ -68,11 +68,16 @@ class Matcher:
                 norm = math.sqrt(sum(x * x for x in vector.values()))
                 self.templates.append((name, {t: x / norm for t, x in vector.items()}))
 
-    def best(self, statement: str) -> tuple[float, str] | None:
-        counts = Counter(terms(statement))
-        if not any(t in self.idf for t in counts):
+    def best(self, statement: str, least: float = 0.0) -> tuple[float, str] | None:
+        """Largest cosine and its licence; None where no cosine can reach `least`, by the share of the norm that template terms make."""
+        found = terms(statement)
+        inside = [t for t in found if t in self.idf]
+        if not inside:
             return None
-        vector = {t: c * self.idf.get(t, self.unseen) for t, c in counts.items()}
+        known = sum((c * self.idf[t]) ** 2 for t, c in Counter(inside).items())
+        if known < least * least * (known + (len(found) - len(inside)) * self.unseen**2):
+            return None
+        vector = {t: c * self.idf.get(t, self.unseen) for t, c in Counter(found).items()}
         norm = math.sqrt(sum(x * x for x in vector.values()))
         scored = [(sum(x * vector.get(t, 0.0) for t, x in template.items()) / norm, name) for name, template in self.templates]
         top = max(s for s, _ in scored)
@@ -130,7 +135,7 @@ def scan_licenses(
         for batch in batches:
             names, scores = [], []
             for text in rows_of(batch, "text"):
-                found = [b for b in map(matcher.best, statements(text.as_py() or "")) if b]
+                found = [b for x in statements(text.as_py() or "") if (b := matcher.best(x, threshold))]
                 top = min(found, key=lambda b: (-b[0], b[1]), default=(0.0, ""))
                 names.append(top[1] if top[0] >= threshold else None)
                 scores.append(top[0] if top[0] >= threshold else None)
