@@ -33,7 +33,7 @@ RUN_SCHEMA = (
 )
 FOUND_SCHEMA = "run long, ranges array<struct<lo:int,hi:int,least:long>>"
 #: Bytes of distinct runs in a shard, about.
-SHARD = 3 << 19
+SHARD = 1 << 19
 
 
 @dataclass(frozen=True)
