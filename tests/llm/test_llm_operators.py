@@ -120,6 +120,20 @@ def test_near_duplicates(spark, awkward, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_held_sets_of_different_slices_meet(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MINORS", 3)
+    rng = np.random.default_rng(11)
+    keys = rng.permutation(np.arange(-40, 40) * 7919).tolist()
+    group = [(5, k, 50, 0, 1 if i < 12 else 100 + i // 2) for i, k in enumerate(keys)]  # class 1 is the largest
+    rest = spark.createDataFrame(group, "shingle long, key long, n int, place int, class long")
+    loads = spark.createDataFrame([(5, 1, 68)], "shingle long, major long, minors long")
+    bitmaps = spark.createDataFrame([(k, [0] * ngram_join.BITMAP) for k in keys], "key long, bitmap array<long>")
+    class_of = {k: c for _, k, _, _, c in group}
+    want = {(a, b) for a, b in itertools.combinations(sorted(keys), 2) if class_of[a] != class_of[b]}
+    got = [(r.a, r.b) for r in ngram_join._across_classes(rest, loads, bitmaps).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def duck(sql, **tables):
     c = duckdb.connect()
     for name, df in tables.items():

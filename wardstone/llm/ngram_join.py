@@ -169,8 +169,9 @@ def _across_classes(rest: DataFrame, loads: DataFrame, bitmaps: DataFrame) -> Da
 
     rest: shingle, key, n, place, class; loads: shingle, major, minors; bitmaps: key, bitmap.
     Minor sets, those outside the group's largest class, are held MINORS at a time in a task, past
-    which the whole group streams. A task sends each minor set's partners as one list, and a second
-    pass by set leaves each partner once.
+    which the whole group streams in slices. Held sets come first and by key, so of two in different
+    slices the earlier one has the lesser key. A task sends each minor set's partners as one list,
+    and a second pass by set leaves each partner once.
     """
     spark = rest.sparkSession
     chunked = (
@@ -241,7 +242,7 @@ def _across_classes(rest: DataFrame, loads: DataFrame, bitmaps: DataFrame) -> Da
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         chunked.repartition(n_parts, "shingle", "chunk")
-        .sortWithinPartitions("shingle", "chunk", F.desc("held"))
+        .sortWithinPartitions("shingle", "chunk", F.desc("held"), "key")
         .mapInArrow(pairs, "a long, partners binary")
         .repartition(n_parts, "a")
         .sortWithinPartitions("a")
