@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wardstone.llm.common import hash_span, slices
+from wardstone.llm.shared_keys import Layout
 from wardstone.llm.suffixes import FmIndex, suffix_ranks
 from wardstone.llm.windows import byte_units, run_hashes, runs_of, word_units
 
@@ -72,3 +73,14 @@ def test_equal_windows_share_their_key(texts, by_words):
     sizes = [len(t.split()) if by_words else len(t) for t in texts]
     assert windows == sum(max(0, n - length + 1) for n in sizes)
     assert all(len(v) == 1 for v in keys.values())
+
+
+def test_entries_fit_at_any_size():
+    keys = np.random.default_rng(2).integers(0, 2**64, 200, np.uint64)
+    for n_keys in (0, 1 << 20, 1 << 30, 1 << 36, 1 << 38, 1 << 44):
+        for n_parts in (1, 64, 10_000, 1_000_000):
+            layout = Layout(30 * n_keys, n_parts, n_keys)
+            assert layout.hash_bits + layout.bucket_bits + 1 <= 64
+            hashes = layout.short(keys)
+            entries = ((hashes << np.uint64(layout.bucket_bits)) | np.uint64(layout.buckets - 1)) << np.uint64(1)
+            assert (entries >> np.uint64(layout.bucket_bits + 1)).tolist() == hashes.tolist()

@@ -26,7 +26,8 @@ class Layout:
 
     def __init__(self, n_bytes: int, n_parts: int, n_keys: float):
         self.bucket_bits = min(16, max(6, int(8 * n_parts - 1).bit_length()))
-        self.range_bits = min(20, max(6, int(n_keys / (1 << 20)).bit_length()))
+        # at most 16, as an entry with its range's bits is a uint64; past that ranges get longer
+        self.range_bits = min(16, max(6, int(n_keys / (1 << 20)).bit_length()))
         self.hash_bits = 8 * WIDTH - 1 - self.bucket_bits + self.range_bits
         self.buckets, self.ranges = 1 << self.bucket_bits, 1 << self.range_bits
 
