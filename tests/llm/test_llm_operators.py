@@ -78,6 +78,29 @@ def test_repeated_bytes(spark, awkward, empty):
     assert repeats.remove_repeated_bytes(empty).count() == 0
 
 
+@pytest.mark.parametrize("by_words", [True, False])
+def test_minimisers_of_many_runs_are_split(spark, awkward, monkeypatch, by_words):
+    monkeypatch.setattr(repeats, "HOT", 8, raising=False)
+    monkeypatch.setattr(repeats, "HEAVY", 20, raising=False)
+    passage = " ".join(f"p{i}" for i in range(45))
+    held = [(100 + i, f"a{i} b{i} c{i} {passage} d{i % 90} e{i % 30} f{i}") for i in range(120)]
+    rows = [(r[0], r[1]) for r in AWKWARD] + held
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    search = repeats.search_words if by_words else repeats.search_bytes
+
+    def bounded(bodies, *rest):
+        assert len(bodies) <= 60, "one minimiser's runs in one task"
+        return search(bodies, *rest)
+
+    got = repeats._removed(docs, repeats.WORDS if by_words else repeats.BYTES, bounded).collect()
+    if by_words:
+        want = Counter((i, *x) for (i, _), x in zip(rows, repeated_words([t for _, t in rows]), strict=True))
+        assert Counter((r.doc_id, r.n_units, r.n_removed, r.kept_sha256) for r in got) == want
+    else:
+        want = Counter((i, *x) for (i, _), x in zip(rows, repeated_bytes(rows), strict=True))
+        assert Counter((r.doc_id, r.n_units, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

@@ -3,7 +3,8 @@
 Both work alike. Runs of windows with one minimiser (windows.py) are kept where the minimiser
 occurs in several places (shared_keys.py). Equal runs are counted as one. Only where one
 minimiser has different runs, a shard looks inside them with its index; its finding goes back
-to every occurrence by the run's hash, and the removed ranges to the documents.
+to every occurrence by the run's hash, and the removed ranges to the documents. Minimisers with
+too many runs for a shard are not searched in one: their windows meet by hash, on Spark.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Slice, free_shuffles, partitions_for, rows_of, stored, table
+from .common import Slice, free_shuffles, hash_span, mix, partitions_for, rows_of, slices, stored, table
 from .shared_keys import with_shared_keys
 from .suffixes import FmIndex, suffix_ranks
 from .windows import Units, byte_units, run_hashes, runs_of, word_units
@@ -32,8 +33,13 @@ RUN_SCHEMA = (
     "runs array<long>, keys array<long>, new_runs array<long>, new_keys array<long>, new_bodies array<binary>, new_bytes long"
 )
 FOUND_SCHEMA = "run long, ranges array<struct<lo:int,hi:int,least:long>>"
+RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("least", pa.int64())]))
 #: Bytes of distinct runs in a shard, about.
 SHARD = 1 << 19
+#: Minimisers fall into this many cells (a power of 2) by their hash; a cell of more runs than HOT, at least, is hot.
+CELL_BITS, HOT = 16, 4096
+#: Runs that hold one window past which its total is broadcast to them, at least.
+HEAVY = 4096
 
 
 @dataclass(frozen=True)
@@ -225,20 +231,96 @@ def search_bytes(bodies: list[bytes], _: np.ndarray, least_doc: np.ndarray, leng
     return [_ranges(window[lo:hi], least[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def _by_window(counts: DataFrame, fresh: DataFrame, plan: Plan, n_parts: int) -> DataFrame:
+    """(run, ranges) of every run in which some window is repeated, with no group by minimiser.
+
+    Rows are dealt by run, then windows by their 64-bit hash with partial sums. A window that
+    very many runs hold gets its total by a broadcast, of at most 20,000 windows or so.
+    """
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        body_of: dict[int, bytes] = {}
+        facts: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            for run, body, n, least_doc in zip(*[rows_of(batch, c).to_pylist() for c in ("run", "body", "n", "least_doc")], strict=True):
+                if body is None:
+                    facts[run] = (n, least_doc)
+                else:
+                    body_of.setdefault(run, body)
+        ids = list(facts)
+        for part in slices(pa.array([body_of[x] for x in ids], pa.binary())):
+            units = plan.units(part, plan.k)
+            sizes = np.diff(units.offsets) - plan.length + 1
+            bounds = np.append(0, np.cumsum(sizes))
+            at = np.arange(bounds[-1]) + np.repeat(units.offsets[:-1] - bounds[:-1], sizes)
+            hashes = mix(hash_span(units.sums, at, at + plan.length))
+            mine = ids[part.first : part.first + part.n]
+            n, least_doc = zip(*[facts[x] for x in mine], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mine, pa.int64()), pa.array(n, pa.int64()), pa.array(least_doc, pa.int64()), _lists(hashes.view(np.int64), bounds, pa.int64())],
+                ["run", "n", "least_doc", "windows"],
+            )
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                _ranges(np.array([x["place"] for x in row]), np.array([x["least"] for x in row]))
+                for row in rows_of(batch, "found").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([rows_of(batch, "run"), pa.array(found, RANGES)], ["run", "ranges"])
+
+    nothing = F.lit(None)
+    rows = stored(
+        fresh.select("run", "body", nothing.cast("long").alias("n"), nothing.cast("long").alias("least_doc"))
+        .unionByName(counts.select("run", nothing.cast("binary").alias("body"), "n", "least_doc"))
+        .repartition(n_parts, "run")
+        .mapInArrow(windows, "run long, n long, least_doc long, windows array<long>"),
+        "hot-runs",
+    )
+    each = rows.select("run", "n", "least_doc", F.posexplode("windows").alias("place", "window"))
+    totals = each.groupBy("window").agg(
+        F.sum("n").alias("n"), F.min("least_doc").alias("least"), F.count(F.lit(1)).alias("held")
+    ).where("n > 1")
+    totals = stored(totals, "repeated-windows")
+    limit = max(HEAVY, (totals.agg(F.sum("held")).first()[0] or 0) // 20_000)
+    heavy = F.broadcast(totals.where(F.col("held") > limit).select("window", "least"))
+    light = totals.where(F.col("held") <= limit).select("window", "least")
+    each = each.select("run", "place", "window")
+    found = each.join(heavy, "window").unionByName(each.join(heavy, "window", "left_anti").join(light, "window"))
+    return (
+        found.groupBy("run")
+        .agg(F.sort_array(F.collect_list(F.struct("place", "least"))).alias("found"))
+        .mapInArrow(joined, FOUND_SCHEMA)
+    )
+
+
 def _searched(runs: DataFrame, plan: Plan, search: Callable) -> DataFrame:
     """(run, ranges) of every run in which some window is repeated."""
     spark = runs.sparkSession
-    counts = (
-        runs.select("doc_id", F.explode(F.arrays_zip("runs", "keys")).alias("x"))
-        .groupBy(F.col("x.keys").alias("key"), F.col("x.runs").alias("run"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(NO_DOC))).alias("least_doc"))
+    cell = F.shiftrightunsigned("key", 64 - CELL_BITS)
+    met = runs.select(F.explode("new_keys").alias("key")).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    n_runs = runs.agg(F.sum(F.greatest(F.size("new_keys"), F.lit(0)).cast("long"))).first()[0] or 0
+    # above 8 times the average: an eighth of the cells at most
+    cells = [(r.cell,) for r in met.where(F.col("n") > max(HOT, 8 * n_runs >> CELL_BITS)).collect()]
+    hot = F.broadcast(spark.createDataFrame(cells, "cell long"))
+    of_key = runs.select("doc_id", F.explode(F.arrays_zip("runs", "keys")).alias("x")).select(
+        "doc_id", F.col("x.keys").alias("key"), F.col("x.runs").alias("run")
     )
-    fresh = runs.select(F.explode(F.arrays_zip("new_runs", "new_keys", "new_bodies")).alias("x")).select(
+    all_fresh = runs.select(F.explode(F.arrays_zip("new_runs", "new_keys", "new_bodies")).alias("x")).select(
         F.col("x.new_runs").alias("run"), F.col("x.new_keys").alias("key"), F.col("x.new_bodies").alias("body")
     )
+
+    def where(df: DataFrame, how: str) -> DataFrame:
+        return df.withColumn("cell", cell).join(hot, "cell", how).drop("cell") if cells else df
+
+    def counted(df: DataFrame) -> DataFrame:
+        return df.groupBy("key", "run").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(NO_DOC))).alias("least_doc")
+        )
+
+    counts, fresh = counted(where(of_key, "left_anti")), where(all_fresh, "left_anti")
     n_bytes = runs.agg(F.sum("new_bytes")).first()[0] or 0
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // SHARD) + 1)
-    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("least", pa.int64())]))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body_of: dict[int, bytes] = {}
@@ -262,15 +344,18 @@ def _searched(runs: DataFrame, plan: Plan, search: Callable) -> DataFrame:
         named = [(run, ranges) for run, ranges in zip([*alone, *ids], found, strict=True) if ranges]
         for at in range(0, len(named), 5000):
             run, ranges = zip(*named[at : at + 5000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(ranges, kind)], ["run", "ranges"])
+            yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(ranges, RANGES)], ["run", "ranges"])
 
     nothing = F.lit(None)
-    return (
+    found = (
         fresh.select("key", "run", "body", nothing.cast("long").alias("n"), nothing.cast("long").alias("least_doc"))
         .unionByName(counts.select("key", "run", nothing.cast("binary").alias("body"), "n", "least_doc"))
         .repartition(n_shards, "key")
         .mapInArrow(shard, FOUND_SCHEMA)
     )
+    if not cells:
+        return found
+    return found.unionByName(_by_window(counted(where(of_key, "left_semi")), where(all_fresh, "left_semi"), plan, n_shards))
 
 
 def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = False) -> DataFrame:
