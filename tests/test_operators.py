@@ -1,8 +1,11 @@
+import base64
+import codecs
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from wardstone.operators import answers, audit, index, retrieval
+from wardstone.plans import queries
 from wardstone.sources import corpus
 
 
@@ -173,3 +176,17 @@ def test_manifest(spark):
     found = corpus.manifest_audit(files, pinned)
     assert rows(found.select("name", "status")) == [("a", "match"), ("b", "mismatch"), ("c", "missing")]
     assert corpus.manifest_decision(found).first().decision == "deny"
+
+
+def written(spark, tmp_path, documents, benchmark):
+    docs = spark.createDataFrame([(i, "a", x) for i, x in documents], "doc_id long, source string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_protected_text_is_found_encoded(spark, tmp_path):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank"
+    forms = [item, codecs.encode(item, "rot13"), item[::-1], base64.b64encode(item.encode()).decode(), "nothing of the kind"]
+    sf = written(spark, tmp_path, list(enumerate(forms)), [(1, item)])
+    assert rows(queries.protected_text(spark, sf)) == [(0,), (1,), (2,), (3,)]

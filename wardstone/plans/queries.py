@@ -363,7 +363,7 @@ PERSON = "list_transform({0}, lambda w: CASE w " + " ".join(f"WHEN '{a}' THEN '{
   SELECT DISTINCT doc_id AS response_id FROM dg JOIN bg USING (g)""")
 def protected_text(spark, sf_dir):
     responses = documents(spark, sf_dir).withColumnRenamed("doc_id", "response_id")
-    return answers.protected_matches(responses, table(spark, sf_dir, "benchmark"), decoded=False)
+    return answers.protected_matches(responses, table(spark, sf_dir, "benchmark"))
 
 
 @query(f"""WITH s AS (SELECT DISTINCT core FROM (SELECT substr(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g'), 1, 40) AS core FROM benchmark) WHERE length(core) >= 8)
