@@ -190,3 +190,9 @@ def test_protected_text_is_found_encoded(spark, tmp_path):
     forms = [item, codecs.encode(item, "rot13"), item[::-1], base64.b64encode(item.encode()).decode(), "nothing of the kind"]
     sf = written(spark, tmp_path, list(enumerate(forms)), [(1, item)])
     assert rows(queries.protected_text(spark, sf)) == [(0,), (1,), (2,), (3,)]
+
+
+def test_secret_leaks_need_the_whole_item(spark, tmp_path):
+    item = " ".join(f"word{i}" for i in range(30))
+    sf = written(spark, tmp_path, [(0, item), (1, item[:120]), (2, f"x {item} y")], [(1, item)])
+    assert rows(queries.secret_leaks(spark, sf)) == [(0,), (2,)]

@@ -370,7 +370,7 @@ def protected_text(spark, sf_dir):
   SELECT DISTINCT doc_id AS response_id FROM {DOCUMENTS} JOIN s ON contains(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g'), core)""")
 def secret_leaks(spark, sf_dir):
     responses = documents(spark, sf_dir).withColumnRenamed("doc_id", "response_id")
-    values = table(spark, sf_dir, "benchmark").select(F.substring(t.secret_core(F.col("text")), 1, 40).alias("value"))
+    values = table(spark, sf_dir, "benchmark").select(F.col("text").alias("value"))
     return answers.secret_leaks(responses, answers.registered_secrets(values))
 
 
