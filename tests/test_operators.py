@@ -1,6 +1,7 @@
 import base64
 import codecs
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -196,3 +197,16 @@ def test_secret_leaks_need_the_whole_item(spark, tmp_path):
     item = " ".join(f"word{i}" for i in range(30))
     sf = written(spark, tmp_path, [(0, item), (1, item[:120]), (2, f"x {item} y")], [(1, item)])
     assert rows(queries.secret_leaks(spark, sf)) == [(0,), (2,)]
+
+
+def test_every_document_has_its_figures_checked(spark, tmp_path):
+    sf = written(spark, tmp_path, [(0, "it took 12 days"), (1, "it took 13 days"), (2, "it took 14 days")], [(1, "x")])
+    assert {1, 0} <= {r.question_id for r in queries.unsupported_figures(spark, sf).collect()}
+
+
+def test_answers_come_from_all_vectors_but_the_own(spark, tmp_path):
+    sf = written(spark, tmp_path, [(i, f"text {i}") for i in range(60)], [(1, "x")])
+    vectors = [(i, 2, [1.0, i / 100]) for i in range(60)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {r.question_id: set(re.findall(r"text (\d+)", r.context)) for r in queries.answer_context(spark, sf).collect()}
+    assert found[25] & {"24", "26"} and "25" not in found[25] and "0" not in found[0]

@@ -65,13 +65,15 @@ def is_trusted(origin: Column, reviewed: Column) -> Column:
 
 
 def nearest_chunks(
-    questions: DataFrame, chunks: DataFrame, grants: DataFrame, k: int = TOP_K, per_class: bool = True, where: Column | None = None
+    questions: DataFrame, chunks: DataFrame, grants: DataFrame, k: int = TOP_K, per_class: bool = True, where: Column | None = None,
+    but_own: bool = False,
 ) -> DataFrame:
     """question_id, chunk_id, tier, origin, distance, place: the k nearest chunks of each question, by cosine distance.
 
     questions: question_id, username, embedding; chunks: chunk_id, tier, origin, embedding;
     grants: username, tier, rank. `where` filters chunks before the search, never after. per_class
     gives curated and other chunks a budget of k each, so that volume can't evict curated ones.
+    but_own leaves out, for each question, the chunk whose chunk_id is the question_id.
     Ties go to the lower tier, then to the lesser chunk_id. Vectors of norm 0 have distance 1;
     null ones and those of another size than the questions' never match.
 
@@ -111,6 +113,8 @@ def nearest_chunks(
                 places, question = [], []
                 for q in range(len(ids)):
                     ok = np.isin(rank, list(ranks[q]))
+                    if but_own:
+                        ok &= names != str(ids[q])
                     for part in (ok & curated, ok & ~curated) if per_class else (ok,):
                         at = np.flatnonzero(part)
                         if len(at) > k:
@@ -176,13 +180,14 @@ def origin_counts(hits: DataFrame) -> DataFrame:
 
 
 def retrieve(
-    questions: DataFrame, chunks: DataFrame, grants: DataFrame, k: int = TOP_K, max_distance: float = MAX_DISTANCE, secure: bool = True
+    questions: DataFrame, chunks: DataFrame, grants: DataFrame, k: int = TOP_K, max_distance: float = MAX_DISTANCE, secure: bool = True,
+    but_own: bool = False,
 ) -> DataFrame:
     """Search, screen, ground, prefer trusted, cut, in this order: a screened hit is not replaced by the next neighbour.
 
     chunks also holds source, text and reviewed.
     """
-    found = nearest_chunks(questions, chunks, grants, k, per_class=secure).drop("place", "curated", "rank")
+    found = nearest_chunks(questions, chunks, grants, k, per_class=secure, but_own=but_own).drop("place", "curated", "rank")
     hits = found.join(chunks.select("chunk_id", "tier", "source", "text", "reviewed"), ["chunk_id", "tier"])
     if not secure:
         return final_cut(hits.withColumn("origin", F.coalesce("origin", F.lit(CURATED))), k)
