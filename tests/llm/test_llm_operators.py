@@ -80,8 +80,8 @@ def test_repeated_bytes(spark, awkward, empty):
 
 @pytest.mark.parametrize("by_words", [True, False])
 def test_minimisers_of_many_runs_are_split(spark, awkward, monkeypatch, by_words):
-    monkeypatch.setattr(repeats, "HOT", 8, raising=False)
-    monkeypatch.setattr(repeats, "HEAVY", 20, raising=False)
+    monkeypatch.setattr(repeats, "HOT", 8)
+    monkeypatch.setattr(repeats, "HEAVY", 20)
     passage = " ".join(f"p{i}" for i in range(45))
     held = [(100 + i, f"a{i} b{i} c{i} {passage} d{i % 90} e{i % 30} f{i}") for i in range(120)]
     rows = [(r[0], r[1]) for r in AWKWARD] + held
@@ -101,6 +101,33 @@ def test_minimisers_of_many_runs_are_split(spark, awkward, monkeypatch, by_words
         assert Counter((r.doc_id, r.n_units, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+def test_long_words_that_a_power_sum_confuses(spark):
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    around = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*around[:20], w, *around[20:]])) for i, w in enumerate((x, y))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, *f) for (i, _), f in zip(rows, repeated_words([t for _, t in rows]), strict=True))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove_repeated_words(docs).collect()) == want
+    got = ngram_join.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows)
+
+
+def test_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr("wardstone.llm.windows.LONG_ROW", 1 << 16)
+    rng = np.random.default_rng(1)
+    one = " ".join(f"v{i}" for i in rng.integers(0, 50_000, 40_000).tolist())
+    rows = [(1, one), (2, "head " + one[100_000:190_000] + " tail"), (3, "x" * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.remove_repeated_bytes(docs).collect()}
+    want = {i: f for (i, _), f in zip(rows, repeated_bytes(rows), strict=True)}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == want
+    got = repeats.remove_repeated_words(docs).collect()
+    want = Counter((i, *f) for (i, _), f in zip(rows, repeated_words([t for _, t in rows]), strict=True))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

@@ -7,6 +7,7 @@ tokenised and hashed without a Python object per word.
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
-_stored: list[str] = []
+_stored: list[tuple[str, str | None]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset."""
+    """The cluster's shared folder, spark.checkpoint.dir. Only on one machine (master local) may it be unset: a folder of our own serves then."""
     global _own_dir
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spark-wardstone-")
     return _own_dir
@@ -44,15 +47,42 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/wardstone/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _stored.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _stored.append((path, None))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def stored_by(df: DataFrame, key: str, n_parts: int, tag: str) -> DataFrame:
+    """Like stored(), bucketed by a column: later joins on it move the other side only."""
+    spark = df.sparkSession
+    name = f"wardstone_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/wardstone/{tag}-{name}"
+    df.repartition(n_parts, key).write.bucketBy(n_parts, key).option("compression", "zstd").option("path", path).saveAsTable(name, format="parquet")
+    _stored.append((path, name))
+    out = spark.table(name)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str, name: str | None) -> None:
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that nothing will read again, as what was made from it is stored itself."""
+    for entry in [x for x in _stored if x[0] == df.stored_at]:
+        _stored.remove(entry)
+        _delete(df.sparkSession, *entry)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables that stored() has written so far. For callers whose results so far are written elsewhere."""
     while _stored:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, *_stored.pop())
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -78,31 +108,17 @@ def row_key(*cols: str) -> Column:
 
 # ---------------------------------------------------------------- text kernels
 
-_rng = np.random.default_rng(20240229)
-#: One random 64-bit number for each byte value; the same in every process.
-BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-LOWER_CODES = BYTE_CODES.copy()
-LOWER_CODES[65:91] = BYTE_CODES[97:123]
-_MULTIPLIER = 0x9E3779B97F4A7C1B  # odd, 3 modulo 8
-_powers = np.ones(1, np.uint64)
-_inverse_powers = np.ones(1, np.uint64)
-
 _is_space = np.zeros(256, bool)
 _is_space[[32, 9, 10, 11, 12, 13]] = True
-
-
-def _grow(n: int) -> None:
-    global _powers, _inverse_powers
-    if len(_powers) >= n:
-        return
-    n = max(n, 1 << 19)
-
-    def powers(base: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    _powers, _inverse_powers = powers(_MULTIPLIER), powers(pow(_MULTIPLIER, -1, 1 << 64))
+#: Bytes with A-Z replaced by a-z.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The lowest n bytes of a 64-bit number.
+_LOWEST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_EIGHT = np.arange(8)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a string past which its hash is the standard library's BLAKE2; of a block that is read at a time; of a long row.
+LONG_WORD, BLOCK, LONG_ROW = 256, 1 << 20, 1 << 22
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -128,27 +144,62 @@ class Slice:
         if not n:
             none = np.zeros(0, np.int64)
             return none, none, np.zeros(self.n + 1, np.int64)
-        space = np.ones(n + 2, bool)
-        space[1:-1] = _is_space[self.data]
-        inside = ~space[1:-1]
         edge = np.zeros(n + 1, bool)
         edge[self.offsets] = True
-        starts = np.flatnonzero(inside & (space[:-2] | edge[:-1]))
-        ends = np.flatnonzero(inside & (space[2:] | edge[1:])) + 1
+        starts, ends = [], []
+        for lo in range(0, n, BLOCK):
+            hi = min(n, lo + BLOCK)
+            space = np.ones(hi - lo + 2, bool)
+            space[lo == 0 : hi - lo + 2 - (hi == n)] = _is_space[self.data[max(0, lo - 1) : hi + 1]]
+            inside = ~space[1:-1]
+            starts.append(lo + np.flatnonzero(inside & (space[:-2] | edge[lo:hi])))
+            ends.append(lo + np.flatnonzero(inside & (space[2:] | edge[lo + 1 : hi + 1])) + 1)
+        starts, ends = np.concatenate(starts), np.concatenate(ends)
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def sums(self, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
-        """Prefix sums of the bytes' codes times powers; hash_span takes them."""
-        n = len(self.data)
-        _grow(n + 1)
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes[self.data] * _powers[:n], out=out[1:])
-        return out
-
-
-def hash_span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte string [start, end), wherever it stands."""
-    return mix((sums[ends] - sums[starts]) * _inverse_powers[starts])
+    def lowered(self) -> Slice:
+        """The same with A-Z as a-z."""
+        return Slice(_LOWER[self.data], self.offsets, self.first)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros past the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data),), "<u8", padded, 0, (1,)).astype(np.uint64)
+
+
+def string_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte string [start, end) of data, wherever it stands: eight bytes at a time are mixed in."""
+    out = np.zeros(len(starts), np.uint64)
+    each = BLOCK // 16
+    for first in range(0, len(starts), each):
+        low, high = starts[first : first + each], ends[first : first + each]
+        length = high - low
+        short = np.flatnonzero(length <= LONG_WORD)
+        hashes = length.astype(np.uint64) * _STEP
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            hashes[i] = int.from_bytes(hashlib.blake2b(data[low[i] : high[i]], digest_size=8).digest(), "little")
+        for done in range(0, int(length[short].max()) if len(short) else 0, 8):
+            if done:
+                short = short[length[short] > done]
+            places = (low[short] + done)[:, None] + _EIGHT
+            value = data[np.minimum(places, len(data) - 1)].view("<u8").reshape(-1)
+            hashes[short] = mix(hashes[short] ^ (value & _LOWEST[np.minimum(length[short] - done, 8)]))
+        out[first : first + each] = hashes
+    return out
+
+
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each sequence [start, end) of hashes, wherever it stands; for sequences of bounded length."""
+    length = ends - starts
+    out = length.astype(np.uint64) * _STEP
+    active = np.arange(len(starts))
+    for done in range(int(length.max()) if len(length) else 0):
+        active = active[length[active] > done]
+        one = (out[active] ^ values[starts[active] + done]) * _STEP
+        out[active] = one ^ (one >> np.uint64(29))
+    return mix(out)
 
 
 def slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[Slice]:

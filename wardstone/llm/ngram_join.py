@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_CODES, Slice, free_shuffles, grams, hash_span, mix, partitions_for, rows_of, size_of, slices, stored, table
-from . import common
+from .common import Slice, free_shuffles, grams, mix, partitions_for, rows_of, sequence_hashes, size_of, slices, stored, string_hashes, table
 from .components import components
 from .shared_keys import with_shared_keys
 
@@ -32,17 +31,14 @@ def shingle_sets(part: Slice, n: int = SHINGLE) -> list[np.ndarray]:
     """The set of each document of a slice, as ascending hashes: distinct n-word shingles with A-Z
     lower-cased; of fewer words, the whole sequence as one; empty without words."""
     starts, ends, offsets = part.words()
-    words = hash_span(part.sums(LOWER_CODES), starts, ends)
+    words = string_hashes(part.lowered().data, starts, ends)
     all_grams = grams(words, n)
-    common._grow(len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * common._powers[: len(words)], out=sums[1:])
     out = []
     for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if hi - lo >= n:
             out.append(np.unique(all_grams[lo : hi - n + 1]))
         elif hi > lo:
-            out.append(mix(hash_span(sums, np.array([lo]), np.array([hi])) + np.uint64(hi - lo)))
+            out.append(sequence_hashes(words, np.array([lo]), np.array([hi])))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -81,7 +77,7 @@ def cell_counts(docs: DataFrame, n: int = SHINGLE, bits: int = CELL_BITS) -> np.
         for batch in batches:
             for part in slices(rows_of(batch, "text")):
                 starts, ends, _ = part.words()
-                cells = grams(hash_span(part.sums(LOWER_CODES), starts, ends), n) >> np.uint64(64 - bits)
+                cells = grams(string_hashes(part.lowered().data, starts, ends), n) >> np.uint64(64 - bits)
                 total += np.bincount(cells.astype(np.int64), minlength=1 << bits)
         blobs = [total[i * width : (i + 1) * width].astype(np.uint32).tobytes() for i in range(64)]
         yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(blobs, pa.binary())], ["block", "counts"])
@@ -125,7 +121,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     seen: set[int] = set()
 
-    def emit(part: Slice, rows: pa.RecordBatch, shared: Callable, _: dict) -> Iterator[pa.RecordBatch]:
+    def emit(part: Slice, rows: pa.RecordBatch, shared: Callable) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {"key": [], "n": [], "text": [], "shingles": [], "places": [], "bitmap": []}
         data, offsets = part.data.tobytes(), part.offsets
         for i, values in enumerate(shingle_sets(part)):
@@ -154,7 +150,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             ["doc_id", "key", "n", "text", "shingles", "places", "bitmap"],
         )
 
-    return with_shared_keys(docs, keys_of, emit, SET_SCHEMA, 1 / 25)
+    return with_shared_keys(docs, keys_of, emit, SET_SCHEMA, 1 / 25)[0]
 
 
 def _may_link(n_a: Column, place_a: Column, n_b: Column, place_b: Column) -> Column:

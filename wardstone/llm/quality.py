@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, hash_span, rows_of, slices, table
+from .common import Slice, rows_of, slices, string_hashes, table
 
 #: Words of a passage; a shorter rest is a passage of its own.
 PASSAGE = 40
@@ -50,7 +50,7 @@ def passage_features(part: Slice, passage: int = PASSAGE) -> tuple[np.ndarray, n
         own = np.cumsum(per_byte)
         classes = np.bincount(own * _CLASSES + _class_of[part.data], minlength=total * _CLASSES).reshape(total, _CLASSES)
         features[:, :_CLASSES] = classes / np.maximum(1, classes.sum(axis=1, keepdims=True))
-        hashes = hash_span(part.sums(), starts, ends)
+        hashes = string_hashes(part.data, starts, ends)
         again = np.zeros(len(starts), bool)
         again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
         second = np.zeros(len(starts), bool)

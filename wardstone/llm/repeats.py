@@ -1,10 +1,11 @@
 """Removal of repeated windows from whole documents: words through an FM-index, bytes through a suffix order.
 
 Both work alike. Runs of windows with one minimiser (windows.py) are kept where the minimiser
-occurs in several places (shared_keys.py). Equal runs are counted as one. Only where one
-minimiser has different runs, a shard looks inside them with its index; its finding goes back
-to every occurrence by the run's hash, and the removed ranges to the documents. Minimisers with
-too many runs for a shard are not searched in one: their windows meet by hash, on Spark.
+occurs in several places (shared_keys.py). Equal runs are counted as one, and one document sends
+the run's units to the shard of its minimiser, where an index of all runs of the shard tells which
+windows repeat. The finding goes back to every occurrence by the run's hash, and the removed
+ranges to the documents. Minimisers with too many different runs for a shard are not searched in
+one: their windows meet by hash, on Spark.
 """
 
 from __future__ import annotations
@@ -19,25 +20,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Slice, free_shuffles, hash_span, mix, partitions_for, rows_of, slices, stored, table
+from .common import Slice, discard, free_shuffles, rows_of, slices, stored, stored_by, table
 from .shared_keys import with_shared_keys
 from .suffixes import FmIndex, suffix_ranks
-from .windows import Units, byte_units, run_hashes, runs_of, word_units
+from .windows import Units, byte_units, pieces, run_hashes, runs_of, word_units
 
 NO_DOC = 2**63 - 1
-#: Marks of rows whose text other rows hold too: COPY needs no runs, HEAD shows its runs for all of them.
-COPY, HEAD = 1, 2
-NOTHING = hashlib.sha256(b"").hexdigest()
 RUN_SCHEMA = (
-    "rid long, doc_id long, text string, n_units long, n_removed long, kept_sha256 string, starts array<int>, counts array<int>, "
-    "runs array<long>, keys array<long>, new_runs array<long>, new_keys array<long>, new_bodies array<binary>, new_bytes long"
+    "rid long, doc_id long, text string, n_units long, sha256 string, "
+    "starts array<int>, counts array<int>, runs array<long>, keys array<long>"
 )
+BODY_SCHEMA = "key long, run long, n long, least_doc long, body binary"
 FOUND_SCHEMA = "run long, ranges array<struct<lo:int,hi:int,least:long>>"
 RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("least", pa.int64())]))
 #: Bytes of distinct runs in a shard, about.
-SHARD = 1 << 19
-#: Minimisers fall into this many cells (a power of 2) by their hash; a cell of more runs than HOT, at least, is hot.
-CELL_BITS, HOT = 16, 4096
+SHARD = 1 << 20
+#: Different runs of one minimiser past which they are not searched in one shard.
+HOT = 1024
 #: Runs that hold one window past which its total is broadcast to them, at least.
 HEAVY = 4096
 
@@ -52,6 +51,10 @@ class Plan:
     within: bool
     keys_per_byte: float
 
+    @property
+    def by_words(self) -> bool:
+        return self.units is word_units
+
 
 WORDS = Plan(35, 12, word_units, True, 1 / 50)
 BYTES = Plan(50, 20, byte_units, False, 1 / 15)
@@ -65,94 +68,56 @@ def _digest(data: bytes, by_words: bool) -> str:
     return hashlib.sha256(b" ".join(data.split()) if by_words else data).hexdigest()
 
 
-def _copies(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(rid, mark) of rows with equal texts. Where repeats anywhere count, all such rows lose whole windows, and one
-    shows the runs; else those do whose doc_id isn't the least, and the others are like any document."""
-    place = F.col("rid") if plan.within else F.coalesce("doc_id", F.lit(NO_DOC))
-    rows = docs.select("rid", place.alias("place"), F.sha2(F.encode("text", "UTF-8"), 256).alias("h"))
-    least = rows.groupBy("h").agg(F.min("place").alias("least"), F.max("place").alias("last")).where("least < last")
-    mark = F.when(F.col("place") > F.col("least"), COPY).otherwise(HEAD)
-    marks = rows.join(least, "h").select("rid", mark.alias("mark")).distinct()
-    return marks if plan.within else marks.where(F.col("mark") == COPY)
-
-
-def _runs(docs: DataFrame, plan: Plan, carried: tuple[str, ...]) -> DataFrame:
-    """A row for each document. Marked ones and those without a shared run have a digest; others have runs and their text.
-
-    With carried columns every row keeps its text.
-
-    new_*: runs that this task meets for the first time, with their minimiser and bytes.
-    """
-    by_words = plan.units is word_units
+def _runs(docs: DataFrame, plan: Plan, carried: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """A row for each document: its text and digest, and the runs whose minimiser occurs in several places."""
 
     def keys_of(part: Slice) -> tuple[np.ndarray, np.ndarray]:
-        runs = runs_of(plan.units(part, plan.k), plan.length, plan.k)
-        keys, doc = runs.key, runs.doc
-        if not plan.within and len(keys):
-            order = np.lexsort((keys, doc))
-            keys, doc = keys[order], doc[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-            keys, doc = keys[new], doc[new]
-        return keys, doc
-
-    seen: set[int] = set()
-
-    def emit(part: Slice, rows: pa.RecordBatch, shared: Callable, marks: dict[int, int]) -> Iterator[pa.RecordBatch]:
-        units = plan.units(part, plan.k)
-        runs = runs_of(units, plan.length, plan.k)
-        sizes = np.diff(units.offsets)
-        mark = np.array([marks.get(r, 0) for r in rows_of(rows, "rid").to_pylist()])
-        mark[sizes < plan.length] = 0
-        on = shared(runs.key) & (mark[runs.doc] != COPY) if len(runs.key) else np.zeros(0, bool)
-        hashes = run_hashes(units, runs, plan.length)[on]
-        doc, start, count, key = runs.doc[on], runs.start[on], runs.count[on], runs.key[on]
+        keys, docs_ = [], []
+        for piece, _ in pieces(part, plan.by_words, plan.length):
+            runs = runs_of(plan.units(piece, plan.k), plan.length, plan.k)
+            keys.append(runs.key)
+            docs_.append(runs.doc)
+        key, doc = np.concatenate(keys), np.concatenate(docs_)
+        if not plan.within and len(key):
+            order = np.lexsort((key, doc))
+            key, doc = key[order], doc[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            key, doc = key[new], doc[new]
+        return key, doc
+
+    def emit(part: Slice, rows: pa.RecordBatch, shared: Callable) -> Iterator[pa.RecordBatch]:
+        found, sizes = [], np.zeros(part.n, np.int64)
+        for piece, first in pieces(part, plan.by_words, plan.length):
+            units = plan.units(piece, plan.k)
+            runs = runs_of(units, plan.length, plan.k)
+            on = shared(runs.key)
+            runs.doc, runs.start, runs.count, runs.key = runs.doc[on], runs.start[on], runs.count[on], runs.key[on]
+            hashes = run_hashes(units, runs, plan.length)
+            found.append((runs.doc, runs.start - units.offsets[runs.doc] + first, runs.count, hashes, runs.key))
+            sizes = np.maximum(sizes, np.diff(units.offsets) + first)
+        doc, start, count, hashes, key = (np.concatenate(x) for x in zip(*found, strict=True))
         bounds = np.searchsorted(doc, np.arange(part.n + 1))
-        first = []
-        for i, value in enumerate(hashes.tolist()):
-            if value not in seen:
-                seen.add(value)
-                first.append(i)
-        first = np.array(first, np.int64)
-        data = part.data.tobytes()
-        bodies = []
-        for at, n in zip(start[first].tolist(), count[first].tolist(), strict=True):
-            lo, hi = units.bytes_of(at, at + n - 1 + plan.length)
-            bodies.append(data[lo:hi])
-        new_bounds = np.searchsorted(doc[first], np.arange(part.n + 1))
-        held = (np.diff(bounds) > 0) & (mark == 0)
-        offsets = part.offsets
-        digests = [
-            NOTHING if mark[i] else None if held[i] else _digest(data[offsets[i] : offsets[i + 1]], by_words) for i in range(part.n)
-        ]
-        new_bytes = np.zeros(part.n, np.int64)
-        np.add.at(new_bytes, doc[first], [len(x) for x in bodies])
-        texts = pa.array(
-            [data[offsets[i] : offsets[i + 1]].decode() if held[i] or carried else None for i in range(part.n)], pa.string()
-        )
+        data, offsets = part.data.tobytes(), part.offsets
+        texts = [data[offsets[i] : offsets[i + 1]] for i in range(part.n)]
         yield pa.RecordBatch.from_arrays(
             [
                 rows_of(rows, "rid"),
                 rows_of(rows, "doc_id"),
-                texts,
+                pa.array([x.decode() if bounds[i + 1] > bounds[i] or carried else None for i, x in enumerate(texts)], pa.string()),
                 pa.array(sizes, pa.int64()),
-                pa.array(np.where(mark > 0, sizes, 0), pa.int64()),
-                pa.array(digests, pa.string()),
-                _lists(start - units.offsets[doc] if len(doc) else start, bounds, pa.int32()),
+                pa.array([_digest(x, plan.by_words) for x in texts], pa.string()),
+                _lists(start, bounds, pa.int32()),
                 _lists(count, bounds, pa.int32()),
                 _lists(hashes.view(np.int64), bounds, pa.int64()),
                 _lists(key.view(np.int64), bounds, pa.int64()),
-                _lists(hashes[first].view(np.int64), new_bounds, pa.int64()),
-                _lists(key[first].view(np.int64), new_bounds, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(new_bounds, pa.int32()), pa.array(bodies, pa.binary())),
-                pa.array(new_bytes),
                 *[rows_of(rows, c) for c in carried],
             ],
             schema.names,
         )
 
     schema = StructType(StructType.fromDDL(RUN_SCHEMA).fields + [docs.schema[c] for c in carried])
-    return with_shared_keys(docs, keys_of, emit, schema, plan.keys_per_byte, carried, _copies(docs, plan))
+    return with_shared_keys(docs, keys_of, emit, schema, plan.keys_per_byte, carried)
 
 
 def _ranges(window: np.ndarray, least: np.ndarray) -> list[dict]:
@@ -182,32 +147,28 @@ def _laid_out(bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def search_words(bodies: list[bytes], counts: np.ndarray, _: np.ndarray, length: int) -> list[list[dict]]:
     """Windows of each run that occur twice or more in the shard.
 
-    All windows of a run that occurs again are repeated. The others are streamed through the
-    index: a window is repeated if its end's matching statistic for two occurrences reaches the
-    window's length, or if it lies in a run that occurs again.
+    The index holds each run, those that occur again twice. Every window of every run is streamed
+    through it, and repeats if its end's matching statistic for two occurrences reaches the
+    window's length.
     """
     vocabulary: dict[bytes, int] = {}
     tokens = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in body.split()]) for body in bodies]
-    text, places = _laid_out(tokens)
+    text, places = _laid_out(tokens + [x for x, n in zip(tokens, counts.tolist(), strict=True) if n > 1])
+    index = FmIndex(text, length)
     sizes = np.array([len(x) - length + 1 for x in tokens])
-    out: list[list[dict]] = [[] for _ in bodies]
-    for i in np.flatnonzero(counts > 1):
-        out[i] = [{"lo": 0, "hi": int(sizes[i]), "least": 0}]
-    single = np.flatnonzero(counts == 1)
-    if len(single):
-        index = FmIndex(text, length)
-        began = np.cumsum(sizes[single]) - sizes[single]
-        window = np.arange(int(sizes[single].sum())) - np.repeat(began, sizes[single])
-        ends = np.repeat(places[single], sizes[single]) + window + length
-        repeated = index.statistics(ends, text, length) >= length
-        for j, i in enumerate(single.tolist()):
-            found = np.flatnonzero(repeated[began[j] : began[j] + sizes[i]])
-            out[i] = _ranges(found, np.zeros(len(found), np.int64))
+    bounds = np.append(0, np.cumsum(sizes))
+    window = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
+    ends = np.repeat(places[: len(bodies)], sizes) + window + length
+    repeated = index.statistics(ends, text, length) >= length
+    out = []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        found = np.flatnonzero(repeated[lo:hi])
+        out.append(_ranges(found, np.zeros(len(found), np.int64)))
     return out
 
 
 def search_bytes(bodies: list[bytes], _: np.ndarray, least_doc: np.ndarray, length: int) -> list[list[dict]]:
-    """For each window of each run the least doc_id that any equal window of the shard has."""
+    """For each window of each run the least doc_id that any equal window of the shard has: neighbours in the suffix order are compared."""
     text, places = _laid_out([np.frombuffer(x, np.uint8).astype(np.int64) + 1 for x in bodies])
     sizes = np.array([len(x) - length + 1 for x in bodies])
     owner = np.repeat(np.arange(len(bodies)), sizes)
@@ -231,35 +192,26 @@ def search_bytes(bodies: list[bytes], _: np.ndarray, least_doc: np.ndarray, leng
     return [_ranges(window[lo:hi], least[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def _by_window(counts: DataFrame, fresh: DataFrame, plan: Plan, n_parts: int) -> DataFrame:
+def _by_window(bodies: DataFrame, plan: Plan) -> DataFrame:
     """(run, ranges) of every run in which some window is repeated, with no group by minimiser.
 
-    Rows are dealt by run, then windows by their 64-bit hash with partial sums. A window that
-    very many runs hold gets its total by a broadcast, of at most 20,000 windows or so.
+    Windows meet by their 64-bit hash with partial sums. A window that very many runs hold gets
+    its total by a broadcast, of at most 20,000 windows or so.
     """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        body_of: dict[int, bytes] = {}
-        facts: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            for run, body, n, least_doc in zip(*[rows_of(batch, c).to_pylist() for c in ("run", "body", "n", "least_doc")], strict=True):
-                if body is None:
-                    facts[run] = (n, least_doc)
-                else:
-                    body_of.setdefault(run, body)
-        ids = list(facts)
-        for part in slices(pa.array([body_of[x] for x in ids], pa.binary())):
-            units = plan.units(part, plan.k)
-            sizes = np.diff(units.offsets) - plan.length + 1
-            bounds = np.append(0, np.cumsum(sizes))
-            at = np.arange(bounds[-1]) + np.repeat(units.offsets[:-1] - bounds[:-1], sizes)
-            hashes = mix(hash_span(units.sums, at, at + plan.length))
-            mine = ids[part.first : part.first + part.n]
-            n, least_doc = zip(*[facts[x] for x in mine], strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(mine, pa.int64()), pa.array(n, pa.int64()), pa.array(least_doc, pa.int64()), _lists(hashes.view(np.int64), bounds, pa.int64())],
-                ["run", "n", "least_doc", "windows"],
-            )
+            for part in slices(rows_of(batch, "body")):
+                units = plan.units(part, plan.k)
+                sizes = np.diff(units.offsets) - plan.length + 1
+                bounds = np.append(0, np.cumsum(sizes))
+                at = np.arange(bounds[-1]) + np.repeat(units.offsets[:-1] - bounds[:-1], sizes)
+                hashes = units.span_hashes(at, at + plan.length)
+                own = batch.slice(part.first, part.n)
+                yield pa.RecordBatch.from_arrays(
+                    [*[rows_of(own, c) for c in ("run", "n", "least_doc")], _lists(hashes.view(np.int64), bounds, pa.int64())],
+                    ["run", "n", "least_doc", "windows"],
+                )
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,14 +221,7 @@ def _by_window(counts: DataFrame, fresh: DataFrame, plan: Plan, n_parts: int) ->
             ]
             yield pa.RecordBatch.from_arrays([rows_of(batch, "run"), pa.array(found, RANGES)], ["run", "ranges"])
 
-    nothing = F.lit(None)
-    rows = stored(
-        fresh.select("run", "body", nothing.cast("long").alias("n"), nothing.cast("long").alias("least_doc"))
-        .unionByName(counts.select("run", nothing.cast("binary").alias("body"), "n", "least_doc"))
-        .repartition(n_parts, "run")
-        .mapInArrow(windows, "run long, n long, least_doc long, windows array<long>"),
-        "hot-runs",
-    )
+    rows = stored(bodies.dropDuplicates(["run"]).mapInArrow(windows, "run long, n long, least_doc long, windows array<long>"), "hot-runs")
     each = rows.select("run", "n", "least_doc", F.posexplode("windows").alias("place", "window"))
     totals = each.groupBy("window").agg(
         F.sum("n").alias("n"), F.min("least_doc").alias("least"), F.count(F.lit(1)).alias("held")
@@ -294,68 +239,90 @@ def _by_window(counts: DataFrame, fresh: DataFrame, plan: Plan, n_parts: int) ->
     )
 
 
+def _bodies(runs: DataFrame, facts: DataFrame, plan: Plan) -> DataFrame:
+    """The units of each distinct run, cut from the document that holds it for all; equal rows may send it again."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "run", "n", "least_doc"]
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in [*names, "body"]}
+            held = 0
+            for text, wanted in zip(rows_of(batch, "text"), rows_of(batch, "wanted"), strict=True):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                fields = {c: wanted.values.field(c) for c in [*names, "start", "count"]}
+                lo = fields["start"].to_numpy()
+                hi = lo + fields["count"].to_numpy() + plan.length - 1
+                if plan.by_words:
+                    starts, ends, _ = Slice(data, np.array([0, len(data)]), 0).words()
+                    lo, hi = starts[lo], ends[hi - 1]
+                for c in names:
+                    out[c].append(fields[c].to_numpy())
+                out["body"] += [data[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                held += len(lo)
+                if held > 20_000:
+                    yield sent(out)
+                    out, held = {c: [] for c in out}, 0
+            if held:
+                yield sent(out)
+
+    def sent(out: dict[str, list]) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(v), pa.int64()) for v in list(out.values())[:-1]]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(out["body"], pa.binary())], list(out))
+
+    wanted = facts.groupBy(F.col("holder.rid").alias("rid")).agg(
+        F.collect_list(F.struct("key", "run", "n", "least_doc", F.col("holder.start").alias("start"), F.col("holder.count").alias("count"))).alias("wanted")
+    )
+    return runs.select("rid", "text").join(wanted, "rid").select("text", "wanted").mapInArrow(cut, BODY_SCHEMA)
+
+
 def _searched(runs: DataFrame, plan: Plan, search: Callable) -> DataFrame:
     """(run, ranges) of every run in which some window is repeated."""
     spark = runs.sparkSession
-    cell = F.shiftrightunsigned("key", 64 - CELL_BITS)
-    met = runs.select(F.explode("new_keys").alias("key")).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    n_runs = runs.agg(F.sum(F.greatest(F.size("new_keys"), F.lit(0)).cast("long"))).first()[0] or 0
-    # above 8 times the average: an eighth of the cells at most
-    cells = [(r.cell,) for r in met.where(F.col("n") > max(HOT, 8 * n_runs >> CELL_BITS)).collect()]
-    hot = F.broadcast(spark.createDataFrame(cells, "cell long"))
-    of_key = runs.select("doc_id", F.explode(F.arrays_zip("runs", "keys")).alias("x")).select(
-        "doc_id", F.col("x.keys").alias("key"), F.col("x.runs").alias("run")
+    met = runs.select(
+        "rid", F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc"), F.explode(F.arrays_zip("starts", "counts", "runs", "keys")).alias("x")
     )
-    all_fresh = runs.select(F.explode(F.arrays_zip("new_runs", "new_keys", "new_bodies")).alias("x")).select(
-        F.col("x.new_runs").alias("run"), F.col("x.new_keys").alias("key"), F.col("x.new_bodies").alias("body")
+    facts = stored(
+        met.groupBy(F.col("x.keys").alias("key"), F.col("x.runs").alias("run")).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("doc").alias("least_doc"),
+            F.min(F.struct("rid", F.col("x.starts").alias("start"), F.col("x.counts").alias("count"))).alias("holder"),
+        ),
+        "distinct-runs",
     )
-
-    def where(df: DataFrame, how: str) -> DataFrame:
-        return df.withColumn("cell", cell).join(hot, "cell", how).drop("cell") if cells else df
-
-    def counted(df: DataFrame) -> DataFrame:
-        return df.groupBy("key", "run").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(NO_DOC))).alias("least_doc")
-        )
-
-    counts, fresh = counted(where(of_key, "left_anti")), where(all_fresh, "left_anti")
-    n_bytes = runs.agg(F.sum("new_bytes")).first()[0] or 0
+    free_shuffles(spark)
+    hot = stored(facts.groupBy("key").agg(F.count(F.lit(1)).alias("variants")).where(F.col("variants") > HOT).select("key"), "hot-keys")
+    any_hot = not hot.isEmpty()
+    unit_bytes = 8 if plan.by_words else 1
+    n_bytes = unit_bytes * (facts.agg(F.sum(F.col("holder.count").cast("long") + plan.length - 1)).first()[0] or 0)
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // SHARD) + 1)
+    bodies = _bodies(runs, facts, plan)
+    if any_hot:
+        bodies = stored(bodies, "run-bodies")
+        free_shuffles(spark)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        body_of: dict[int, bytes] = {}
-        facts: dict[int, tuple[int, int]] = {}
-        variants: dict[int, list[int]] = {}
+        rows: dict[int, tuple[int, int, bytes]] = {}
         for batch in batches:
-            columns = [rows_of(batch, c).to_pylist() for c in ("key", "run", "body", "n", "least_doc")]
-            for key, run, body, n, least_doc in zip(*columns, strict=True):
-                if body is None:
-                    facts[run] = (n, least_doc)
-                    variants.setdefault(key, []).append(run)
-                else:
-                    body_of.setdefault(run, body)
-        # a minimiser's only run: its windows occur as often as itself
-        alone = [x[0] for x in variants.values() if len(x) == 1]
-        ids = [run for x in variants.values() if len(x) > 1 for run in x]
-        found = [[{"lo": 0, "hi": 2**31 - 1, "least": facts[x][1]}] if facts[x][0] > 1 else [] for x in alone]
-        if ids:
-            values = np.array([facts[x] for x in ids], np.int64)
-            found += search([body_of[x] for x in ids], values[:, 0], values[:, 1], plan.length)
-        named = [(run, ranges) for run, ranges in zip([*alone, *ids], found, strict=True) if ranges]
+            for run, *facts_ in zip(*[rows_of(batch, c).to_pylist() for c in ("run", "n", "least_doc", "body")], strict=True):
+                rows.setdefault(run, tuple(facts_))
+        if not rows:
+            return
+        n, least_doc, own = zip(*rows.values(), strict=True)
+        found = search(list(own), np.array(n, np.int64), np.array(least_doc, np.int64), plan.length)
+        named = [(run, ranges) for run, ranges in zip(rows, found, strict=True) if ranges]
         for at in range(0, len(named), 5000):
             run, ranges = zip(*named[at : at + 5000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(ranges, RANGES)], ["run", "ranges"])
 
-    nothing = F.lit(None)
-    found = (
-        fresh.select("key", "run", "body", nothing.cast("long").alias("n"), nothing.cast("long").alias("least_doc"))
-        .unionByName(counts.select("key", "run", nothing.cast("binary").alias("body"), "n", "least_doc"))
-        .repartition(n_shards, "key")
-        .mapInArrow(shard, FOUND_SCHEMA)
-    )
-    if not cells:
-        return found
-    return found.unionByName(_by_window(counted(where(of_key, "left_semi")), where(all_fresh, "left_semi"), plan, n_shards))
+    few = bodies.join(hot, "key", "left_anti") if any_hot else bodies
+    found = few.repartition(n_shards, "key").mapInArrow(shard, FOUND_SCHEMA)
+    if any_hot:
+        found = found.unionByName(_by_window(bodies.join(hot, "key", "left_semi"), plan))
+    found = stored(found, "repeated-runs")
+    discard(facts)
+    if any_hot:
+        discard(bodies)
+    return found
 
 
 def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = False) -> DataFrame:
@@ -365,27 +332,25 @@ def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = Fa
     identified = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
-        *[F.struct(*[docs[c] for c in docs.columns if c not in ("text",)]).alias(c) for c in carried],
+        *[F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias(c) for c in carried],
     )
-    runs = stored(_runs(identified.withColumn("rid", F.xxhash64("doc_id", "text")), plan, carried), "runs")
+    found, n_parts = _runs(identified.withColumn("rid", F.xxhash64("doc_id", "text")), plan, carried)
+    runs = stored_by(found, "rid", n_parts, "runs")
     free_shuffles(spark)
-    found = stored(_searched(runs, plan, search), "repeated-runs")
+    repeated = _searched(runs, plan, search)
     free_shuffles(spark)
-    is_open = F.col("kept_sha256").isNull()
-    occurrences = runs.where(is_open).select("rid", "doc_id", F.explode(F.arrays_zip("starts", "counts", "runs")).alias("x")).select(
+    occurrences = runs.select("rid", "doc_id", F.explode(F.arrays_zip("starts", "counts", "runs")).alias("x")).select(
         "rid", "doc_id", F.col("x.starts").alias("start"), F.col("x.counts").alias("count"), F.col("x.runs").alias("run")
     )
-    hits = (
-        occurrences.join(found, "run")
-        .select("rid", "doc_id", "start", "count", F.explode("ranges").alias("r"))
+    hits = stored(
+        occurrences.join(repeated, "run")
+        .select("rid", "doc_id", "start", F.explode("ranges").alias("r"))
         .where(F.lit(True) if plan.within else F.col("r.least") < F.coalesce("doc_id", F.lit(NO_DOC)))
-        .select(
-            "rid",
-            (F.col("start") + F.col("r.lo")).alias("lo"),
-            (F.col("start") + F.least(F.col("r.hi"), F.col("count")) - 1 + plan.length).alias("hi"),
-        )
+        .select("rid", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") - 1 + plan.length).alias("hi")),
+        "hits",
     )
-    by_words = plan.units is word_units
+    discard(repeated)
+    free_shuffles(spark)
     results = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string"
     schema = StructType(
         StructType.fromDDL(results).fields
@@ -393,70 +358,45 @@ def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = Fa
         + [runs.schema[c] for c in carried]
     )
 
+    def kept_of(text: pa.Scalar, spans: pa.Scalar) -> tuple[int, int, bytes]:
+        """Units removed, spans, and what stays."""
+        data = np.frombuffer(text.as_buffer(), np.uint8)
+        starts, ends, _ = Slice(data, np.array([0, len(data)]), 0).words() if plan.by_words else (np.arange(len(data)), None, None)
+        cover = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(cover, spans.values.field("lo").to_numpy(), 1)
+        np.add.at(cover, spans.values.field("hi").to_numpy(), -1)
+        gone = np.cumsum(cover)[:-1] > 0
+        n_spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        if plan.by_words:
+            kept = b" ".join([data[a:b].tobytes() for a, b in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)])
+        else:
+            kept = data[~gone].tobytes()
+        return int(gone.sum()), n_spans, kept
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, lows, highs = None, [], []
         for batch in batches:
-            rid, kind = rows_of(batch, "rid").to_numpy(), rows_of(batch, "kind").to_numpy()
-            lo, hi = rows_of(batch, "lo").to_numpy(zero_copy_only=False), rows_of(batch, "hi").to_numpy(zero_copy_only=False)
-            texts, doc_ids = rows_of(batch, "text"), rows_of(batch, "doc_id")
-            edges = np.flatnonzero((np.diff(rid) != 0) | (np.diff(kind) != 0)) + 1
-            out: list[tuple] = []
-            taken: list[int] = []
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rid)], strict=True):
-                if a == b:
-                    continue
-                if rid[a] != current:
-                    current, lows, highs = rid[a], [], []
-                if kind[a] == 0:
-                    lows.append(lo[a:b].astype(np.int64))
-                    highs.append(hi[a:b].astype(np.int64))
-                    continue
-                for i in range(a, b):
-                    data = texts[i].as_py().encode()
-                    units = data.split() if by_words else data
-                    cover = np.zeros(len(units) + 1, np.int64)
-                    if lows:
-                        np.add.at(cover, np.concatenate(lows), 1)
-                        np.add.at(cover, np.concatenate(highs), -1)
-                    gone = np.cumsum(cover)[:-1] > 0
-                    spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    if by_words:
-                        kept = b" ".join([w for w, g in zip(units, gone.tolist(), strict=True) if not g])
-                    else:
-                        kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                    facts = (doc_ids[i].as_py(), len(units), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
-                    out.append((*facts, kept.decode("utf-8", "ignore")) if with_text else facts)
-                    taken.append(i)
-            if out:
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                    + [rows_of(batch, c).take(pa.array(taken)) for c in carried],
-                    schema.names,
-                )
+            removed, n_spans, digests, kept_texts = [], [], rows_of(batch, "sha256").to_pylist(), []
+            texts = rows_of(batch, "text")
+            for i, spans in enumerate(rows_of(batch, "spans")):
+                if not spans.is_valid:
+                    facts = (0, 0)
+                    kept_texts.append(texts[i].as_py() if with_text else None)
+                else:
+                    *facts, kept = kept_of(texts[i], spans)
+                    digests[i] = hashlib.sha256(kept).hexdigest()
+                    kept_texts.append(kept.decode("utf-8", "ignore") if with_text else None)
+                removed.append(facts[0])
+                n_spans.append(facts[1])
+            yield pa.RecordBatch.from_arrays(
+                [rows_of(batch, "doc_id"), rows_of(batch, "n_units"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
+                + [pa.array(kept_texts, pa.string())] * with_text
+                + [rows_of(batch, c) for c in carried],
+                schema.names,
+            )
 
-    nothing = F.lit(None)
-    open_rows = runs.where(is_open).select(
-        "rid", F.lit(1).alias("kind"), "doc_id", "text", nothing.cast("int").alias("lo"), nothing.cast("int").alias("hi"), *carried
-    )
-    n_bytes = open_rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    applied = (
-        hits.select(
-            "rid", F.lit(0).alias("kind"), nothing.cast("long").alias("doc_id"), nothing.cast("string").alias("text"), "lo", "hi",
-            *[nothing.cast(runs.schema[c].dataType).alias(c) for c in carried],
-        )
-        .unionByName(open_rows)
-        .repartition(partitions_for(spark, n_bytes), "rid")
-        .sortWithinPartitions("rid", "kind")
-        .mapInArrow(apply, schema)
-    )
-    all_gone = F.col("n_removed") > 0
-    closed = runs.where(~is_open).select(
-        "doc_id", "n_units", "n_removed", all_gone.cast("long").alias("n_spans"), "kept_sha256",
-        *[F.when(all_gone, "").otherwise(F.col("text")).alias("kept_text")] * with_text, *carried,
-    )
-    return closed.unionByName(applied)
+    spans = hits.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    facts = runs.select("rid", "doc_id", "text", "n_units", "sha256", *carried)
+    return facts.join(spans, "rid", "left").mapInArrow(apply, schema)
 
 
 def remove_repeated_words(docs: DataFrame, plan: Plan = WORDS) -> DataFrame:
@@ -465,11 +405,13 @@ def remove_repeated_words(docs: DataFrame, plan: Plan = WORDS) -> DataFrame:
     Output, a row for each input row: doc_id, n_words, n_removed, n_spans, kept_sha256 (of the kept
     words joined by a space). Windows are judged on the input; all copies go, in one document or
     in many. An FM-index for each shard of runs gives matching statistics (suffixes.FmIndex).
+    Equal runs of windows are told by 64-bit hashes, and so are the windows of minimisers with
+    more than HOT different runs; others are compared word for word.
 
     Null and empty texts have no words and the digest of the empty string. Repeated rows count as
     occurrences of their own, so rows of 35 words and more that occur twice lose all words. Null
-    doc_ids are kept. Texts are read whole, at any length. Extra columns are ignored; an empty
-    table gives no rows.
+    doc_ids are kept. Texts are read whole, at any length; long ones in overlapping pieces. Extra
+    columns are ignored; an empty table gives no rows.
     """
     return _removed(docs, plan, search_words).withColumnRenamed("n_units", "n_words")
 
@@ -479,14 +421,15 @@ def remove_repeated_bytes(docs: DataFrame, plan: Plan = BYTES, with_text: bool =
 
     Output, a row for each input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256. Strings are judged on the input and stay in the document with the least doc_id;
-    repeats inside one document, or between rows with one doc_id, stay. Windows meet in shards,
-    where the runs' suffixes are ordered by a difference cover (suffixes.suffix_ranks) and
-    neighbours compared.
+    repeats inside one document, or between rows with one doc_id, stay. Windows meet in shards by
+    their minimiser, where the runs' suffixes are ordered by a difference cover, to the depth of a
+    window (suffixes.suffix_ranks), and neighbours compared. Equal runs of windows are told by
+    64-bit hashes, and so are the windows of minimisers with more than HOT different runs.
 
     Null texts count as empty. A null doc_id counts as greater than all others. A cut inside a
-    multi-byte character leaves its remaining bytes. Extra columns are ignored; an empty table
-    gives no rows. with_text adds kept_text, without the bytes of cut characters, and the input
-    row but its text as the struct `row`.
+    multi-byte character leaves its remaining bytes. Long texts are read in overlapping pieces.
+    Extra columns are ignored; an empty table gives no rows. with_text adds kept_text, without the
+    bytes of cut characters, and the input row but its text as the struct `row`.
     """
     return _removed(docs, plan, search_bytes, with_text).withColumnRenamed("n_units", "n_bytes")
 

@@ -17,19 +17,26 @@ from pyspark.sql.types import StructType
 
 from .common import Slice, partitions_for, rows_of, size_of, slices
 
-#: Bytes of an entry in a blob; entries that a task gathers before it sends them.
-WIDTH, FLUSH = 6, 1 << 20
+#: Entries that a task gathers before it sends them.
+FLUSH = 1 << 20
 
 
 class Layout:
-    """An entry is, from the top: hash bits, bucket bits, and a bit for `occurs again here`. The range's own bits aren't sent."""
+    """An entry is, from the top: hash bits, bucket bits, and a bit for `occurs again here`. The range's own bits aren't sent.
 
-    def __init__(self, n_bytes: int, n_parts: int, n_keys: float):
-        self.bucket_bits = min(16, max(6, int(8 * n_parts - 1).bit_length()))
+    Buckets are `n_parts` times a small number. Entries of more than 2^16 buckets are wider and
+    have fewer hash bits, so past some TB more keys pass that occur once; none is lost.
+    """
+
+    def __init__(self, n_parts: int, n_keys: float):
+        self.n_parts = n_parts
+        self.buckets = n_parts * max(1, min(8, (1 << 16) // n_parts))
+        self.bucket_bits = max(6, (self.buckets - 1).bit_length())
         # at most 16, as an entry with its range's bits is a uint64; past that ranges get longer
         self.range_bits = min(16, max(6, int(n_keys / (1 << 20)).bit_length()))
-        self.hash_bits = 8 * WIDTH - 1 - self.bucket_bits + self.range_bits
-        self.buckets, self.ranges = 1 << self.bucket_bits, 1 << self.range_bits
+        self.ranges = 1 << self.range_bits
+        self.width = 6 if self.bucket_bits <= 16 else 8
+        self.hash_bits = min(63 - self.bucket_bits, 8 * self.width - 1 - self.bucket_bits + self.range_bits)
 
     def short(self, keys: np.ndarray) -> np.ndarray:
         return keys >> np.uint64(64 - self.hash_bits)
@@ -46,15 +53,15 @@ def _folded(entries: np.ndarray) -> np.ndarray:
     return entries[heads] | again.astype(np.uint64)
 
 
-def _packed(entries: np.ndarray) -> bytes:
-    """The lower WIDTH bytes, all first bytes together, then all second ones: sorted entries compress well so."""
-    return entries.view(np.uint8).reshape(-1, 8)[:, WIDTH - 1 :: -1].T.tobytes()
+def _packed(entries: np.ndarray, width: int) -> bytes:
+    """The lower `width` bytes, all first bytes together, then all second ones: sorted entries compress well so."""
+    return entries.view(np.uint8).reshape(-1, 8)[:, width - 1 :: -1].T.tobytes()
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(WIDTH, -1)
+def _unpacked(blob: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, WIDTH - 1 :: -1] = planes.T
+    out[:, width - 1 :: -1] = planes.T
     return out.view(np.uint64).reshape(-1)
 
 
@@ -68,25 +75,25 @@ def member(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def with_shared_keys(
     docs: DataFrame,
     keys_of: Callable[[Slice], tuple[np.ndarray, np.ndarray]],
-    emit: Callable[[Slice, pa.RecordBatch, Callable[[np.ndarray], np.ndarray], dict[int, int]], Iterator[pa.RecordBatch]],
+    emit: Callable[[Slice, pa.RecordBatch, Callable[[np.ndarray], np.ndarray]], Iterator[pa.RecordBatch]],
     schema: str | StructType,
     keys_per_byte: float,
     carried: tuple[str, ...] = (),
-    marks: DataFrame | None = None,
-) -> DataFrame:
+) -> tuple[DataFrame, int]:
     """Stream documents (rid, doc_id, text, and carried columns) through emit, which is told which keys occur in more than one place.
 
     keys_of gives uint64 keys and their documents (of the slice); a key given twice for one
-    document counts as two places. emit gets a slice, its rows, a test of keys, and the marks
-    (rid, mark) of the bucket's documents. A test may pass a key that occurs once (hash bits are
-    cut), never fail one that occurs again. Texts travel in compressed blobs, one for each bucket
-    that a batch meets.
+    document counts as two places. emit gets a slice, its rows and a test of keys. A test may pass
+    a key that occurs once (hash bits are cut), never fail one that occurs again. Texts travel in
+    compressed blobs, one for each bucket that a batch meets. Rows lie where a table bucketed by
+    rid wants them; the number of its buckets comes with the frame.
     """
     spark = docs.sparkSession
     _, n_bytes = size_of(docs)
     n_parts = partitions_for(spark, n_bytes)
-    layout = Layout(n_bytes, n_parts, n_bytes * keys_per_byte)
-    bucketed = docs.withColumn("bucket", F.pmod("rid", F.lit(layout.buckets)).cast("int"))
+    layout = Layout(n_parts, n_bytes * keys_per_byte)
+    # hash() is what Spark deals rows out by, and the number of buckets a multiple of that of partitions
+    bucketed = docs.withColumn("bucket", F.pmod(F.hash("rid"), F.lit(layout.buckets)).cast("int"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[np.ndarray] = []
@@ -99,7 +106,7 @@ def with_shared_keys(
             entries &= (np.uint64(1) << rest) - np.uint64(1)
             bounds = np.searchsorted(ranges, np.arange(layout.ranges + 1))
             full = np.flatnonzero(np.diff(bounds))
-            blobs = [_packed(np.ascontiguousarray(entries[bounds[i] : bounds[i + 1]])) for i in full]
+            blobs = [_packed(np.ascontiguousarray(entries[bounds[i] : bounds[i + 1]]), layout.width) for i in full]
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["range", "blob"])
 
         for batch in batches:
@@ -122,7 +129,7 @@ def with_shared_keys(
         for batch in batches:
             for range_, blob in zip(rows_of(batch, "range").to_pylist(), rows_of(batch, "blob"), strict=True):
                 mine = by_range.setdefault(range_, [])
-                mine.append(_unpacked(blob.as_py()))
+                mine.append(_unpacked(blob.as_py(), layout.width))
                 held[range_] = held.get(range_, 0) + len(mine[-1])
                 if held[range_] > FLUSH:
                     mine[:] = [_folded(np.concatenate(mine))]
@@ -136,7 +143,7 @@ def with_shared_keys(
             sizes = np.diff(np.append(heads, len(entries)))
             again = (sizes > 1) | (np.bitwise_or.reduceat(entries, heads) & np.uint64(1)).astype(bool)
             keep = np.repeat(again, sizes)
-            hashes, buckets = hashes[keep], (entries[keep] >> np.uint64(1)) & np.uint64(layout.buckets - 1)
+            hashes, buckets = hashes[keep], (entries[keep] >> np.uint64(1)) & np.uint64((1 << layout.bucket_bits) - 1)
             order = np.argsort(buckets, kind="stable")
             hashes, buckets = hashes[order], buckets[order]
             hashes |= np.uint64(range_) << np.uint64(layout.hash_bits - layout.range_bits)
@@ -172,31 +179,23 @@ def with_shared_keys(
                 )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, gathered, known, marked = None, [], np.zeros(0, np.uint64), {}
+        current, gathered, known = None, [], np.zeros(0, np.uint64)
         for batch in batches:
-            columns = [rows_of(batch, c).to_pylist() for c in ("bucket", "kind", "rid", "mark")]
-            for bucket, kind, rid, mark, blob in zip(*columns, rows_of(batch, "blob"), strict=True):
+            for bucket, kind, blob in zip(rows_of(batch, "bucket").to_pylist(), rows_of(batch, "kind").to_pylist(), rows_of(batch, "blob"), strict=True):
                 if bucket != current:
-                    current, gathered, known, marked = bucket, [], np.zeros(0, np.uint64), {}
+                    current, gathered, known = bucket, [], np.zeros(0, np.uint64)
                 if kind == 0:
                     gathered.append(np.frombuffer(blob.as_py(), np.uint64))
-                elif kind == 1:
-                    marked[rid] = mark
-                else:
-                    if gathered:
-                        known, gathered = np.sort(np.concatenate([known, *gathered])), []
-                    test = lambda keys, known=known: member(known, layout.short(keys))
-                    for rows in pa.ipc.open_stream(blob.as_buffer()):
-                        for part in slices(rows_of(rows, "text")):
-                            yield from emit(part, rows.slice(part.first, part.n), test, marked)
-
-    def kind(df: DataFrame, number: int) -> DataFrame:
-        missing = {"blob": "binary", "rid": "long", "mark": "int"}
-        columns = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in missing.items()]
-        return df.select("bucket", F.lit(number).alias("kind"), *columns)
-
-    rows = kind(lists, 0).unionByName(kind(bucketed.mapInArrow(pack, "bucket int, blob binary"), 2))
-    if marks is not None:
-        bucket = F.pmod("rid", F.lit(layout.buckets)).cast("int").alias("bucket")
-        rows = rows.unionByName(kind(marks.select(bucket, "rid", F.col("mark").cast("int").alias("mark")), 1))
-    return rows.repartition(n_parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(stream, schema)
+                    continue
+                if gathered:
+                    known, gathered = np.sort(np.concatenate([known, *gathered])), []
+                test = lambda keys, known=known: member(known, layout.short(keys))
+                for rows in pa.ipc.open_stream(blob.as_buffer()):
+                    for part in slices(rows_of(rows, "text")):
+                        yield from emit(part, rows.slice(part.first, part.n), test)
+
+    rows = lists.select("bucket", F.lit(0).alias("kind"), "blob").unionByName(
+        bucketed.mapInArrow(pack, "bucket int, blob binary").select("bucket", F.lit(1).alias("kind"), "blob")
+    )
+    placed = rows.repartitionById(n_parts, F.pmod("bucket", F.lit(n_parts))).sortWithinPartitions("bucket", "kind")
+    return placed.mapInArrow(stream, schema), n_parts

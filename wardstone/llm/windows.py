@@ -8,12 +8,12 @@ windows around one k-gram costs one row instead of one for each window.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-from .common import BYTE_CODES, Slice, _grow, _powers, grams, hash_span, mix
-from . import common
+from .common import LONG_ROW, Slice, eights, grams, mix, sequence_hashes, string_hashes
 
 PLACE_BITS = 24
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
@@ -21,13 +21,14 @@ _PLACE = np.uint64((1 << PLACE_BITS) - 1)
 
 @dataclass
 class Units:
-    """The units of a slice: first unit of each document (n + 1), hashes of k-grams, prefix sums, byte bounds."""
+    """The units of a slice: first unit of each document (n + 1), hashes of k-grams; of words also their hashes and byte bounds."""
 
+    data: np.ndarray
     offsets: np.ndarray
     grams: np.ndarray
-    sums: np.ndarray
-    starts: np.ndarray | None
-    ends: np.ndarray | None
+    hashes: np.ndarray | None = None
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
 
     def bytes_of(self, lo: int, hi: int) -> tuple[int, int]:
         """Byte bounds of the units [lo, hi)."""
@@ -35,20 +36,28 @@ class Units:
             return lo, hi
         return int(self.starts[lo]), int(self.ends[hi - 1])
 
+    def span_hashes(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of the units [lo, hi) for each pair."""
+        if self.hashes is None:
+            return string_hashes(self.data, lo, hi)
+        return sequence_hashes(self.hashes, lo, hi)
+
 
 def word_units(part: Slice, k: int) -> Units:
     starts, ends, offsets = part.words()
-    hashes = hash_span(part.sums(), starts, ends)
-    _grow(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * common._powers[: len(hashes)], out=sums[1:])
-    return Units(offsets, grams(hashes, k), sums, starts, ends)
+    hashes = string_hashes(part.data, starts, ends)
+    return Units(part.data, offsets, grams(hashes, k), hashes, starts, ends)
 
 
 def byte_units(part: Slice, k: int) -> Units:
-    sums = part.sums()
-    at = np.arange(max(0, len(part.data) - k + 1))
-    return Units(part.offsets, hash_span(sums, at, at + k), sums, None, None)
+    """k is 8 at least; the last eight bytes of a gram may overlap those before."""
+    count = max(0, len(part.data) - k + 1)
+    at = eights(part.data)
+    out = np.full(count, k, np.uint64)
+    for place in [*range(0, k - 8, 8), k - 8]:
+        out = (out ^ at[place : place + count]) * np.uint64(0xC4CEB9FE1A85EC53)
+        out ^= out >> np.uint64(32)
+    return Units(part.data, part.offsets, mix(out))
 
 
 def _least_places(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -116,6 +125,22 @@ def runs_of(units: Units, length: int, k: int) -> Runs:
 
 
 def run_hashes(units: Units, runs: Runs, length: int) -> np.ndarray:
-    """Hash of all units of each run; equal for equal runs."""
+    """A 64-bit hash of all units of each run; equal for equal runs."""
     ends = runs.start + runs.count - 1 + length
-    return mix(hash_span(units.sums, runs.start, ends) ^ (runs.key + runs.count.astype(np.uint64)))
+    return mix(units.span_hashes(runs.start, ends) ^ (runs.key + runs.count.astype(np.uint64)))
+
+
+def pieces(part: Slice, by_words: bool, length: int) -> Iterator[tuple[Slice, int]]:
+    """A slice, or a long row cut so that each window lies in one piece; with the first unit of each."""
+    n = len(part.data)
+    if part.n != 1 or n <= LONG_ROW:
+        yield part, 0
+        return
+    if by_words:
+        starts, ends, _ = part.words()
+        step = LONG_ROW // 8
+        cuts = [(at, int(starts[at]), int(ends[min(at + step + length - 1, len(starts)) - 1])) for at in range(0, len(starts), step)]
+    else:
+        cuts = [(at, at, min(n, at + LONG_ROW + length - 1)) for at in range(0, n, LONG_ROW)]
+    for first, lo, hi in cuts:
+        yield Slice(part.data[lo:hi], np.array([0, hi - lo]), part.first), first
