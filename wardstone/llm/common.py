@@ -53,12 +53,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def stored_by(df: DataFrame, key: str, n_parts: int, tag: str) -> DataFrame:
-    """Like stored(), bucketed by a column: later joins on it move the other side only."""
+def stored_by(df: DataFrame, key: str, n_parts: int, tag: str, placed: bool = False) -> DataFrame:
+    """Like stored(), bucketed by a column: later joins on it move the other side only. placed: rows lie in their bucket's partition already."""
     spark = df.sparkSession
     name = f"wardstone_{uuid.uuid4().hex}"
     path = f"{scratch_dir(spark)}/wardstone/{tag}-{name}"
-    df.repartition(n_parts, key).write.bucketBy(n_parts, key).option("compression", "zstd").option("path", path).saveAsTable(name, format="parquet")
+    rows = df if placed else df.repartition(n_parts, key)
+    rows.write.bucketBy(n_parts, key).option("compression", "zstd").option("path", path).saveAsTable(name, format="parquet")
     _stored.append((path, name))
     out = spark.table(name)
     out.stored_at = path

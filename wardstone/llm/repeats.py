@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Slice, discard, free_shuffles, rows_of, slices, stored, stored_by, table
+from .common import Slice, discard, eights, free_shuffles, rows_of, slices, stored, stored_by, table
 from .shared_keys import with_shared_keys
 from .suffixes import FmIndex, suffix_ranks
 from .windows import Units, byte_units, pieces, run_hashes, runs_of, word_units
@@ -30,11 +31,10 @@ RUN_SCHEMA = (
     "rid long, doc_id long, text string, n_units long, sha256 string, "
     "starts array<int>, counts array<int>, runs array<long>, keys array<long>"
 )
-BODY_SCHEMA = "key long, run long, n long, least_doc long, body binary"
+BODIES = pa.schema([("run", pa.int64()), ("n", pa.int64()), ("least_doc", pa.int64()), ("body", pa.binary())])
 FOUND_SCHEMA = "run long, ranges array<struct<lo:int,hi:int,least:long>>"
-RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("least", pa.int64())]))
-#: Bytes of distinct runs in a shard, about.
-SHARD = 1 << 20
+#: Bytes of distinct runs in a shard, about; runs that a task gathers before it sends them.
+SHARD, GATHERED = 1 << 20, 100_000
 #: Different runs of one minimiser past which they are not searched in one shard.
 HOT = 1024
 #: Runs that hold one window past which its total is broadcast to them, at least.
@@ -120,31 +120,42 @@ def _runs(docs: DataFrame, plan: Plan, carried: tuple[str, ...]) -> tuple[DataFr
     return with_shared_keys(docs, keys_of, emit, schema, plan.keys_per_byte, carried)
 
 
-def _ranges(window: np.ndarray, least: np.ndarray) -> list[dict]:
-    """Joined ranges [lo, hi) of ascending window numbers with one value."""
-    if not len(window):
-        return []
+#: Ranges of windows: index of the run, first window, window after the last, least doc_id.
+Ranges = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _ranges(owner: np.ndarray, window: np.ndarray, least: np.ndarray) -> Ranges:
+    """Joined ranges of windows, which come by run and number, with one value."""
     new = np.ones(len(window), bool)
-    new[1:] = (window[1:] != window[:-1] + 1) | (least[1:] != least[:-1])
+    new[1:] = (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1) | (least[1:] != least[:-1])
     heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(window)) - 1
-    return [
-        {"lo": lo, "hi": hi + 1, "least": value}
-        for lo, hi, value in zip(window[heads].tolist(), window[tails].tolist(), least[heads].tolist(), strict=True)
-    ]
+    tails = np.append(heads[1:], len(window))[: len(heads)] - 1
+    return owner[heads], window[heads], window[tails] + 1, least[heads]
+
+
+def _found(runs: pa.Array, ranges: Ranges) -> pa.RecordBatch:
+    """A row for each run that has ranges."""
+    owner, lo, hi, least = ranges
+    own, heads = np.unique(owner, return_index=True)
+    structs = pa.StructArray.from_arrays([pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(least, pa.int64())], ["lo", "hi", "least"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(owner)), pa.int32()), structs)
+    return pa.RecordBatch.from_arrays([runs.take(pa.array(own)), lists], ["run", "ranges"])
+
 
+def _windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run and number of every window."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-def _laid_out(bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol arrays joined with a 0 before, between and after them; their first places."""
-    sizes = np.array([len(x) for x in bodies])
-    places = np.cumsum(sizes + 1) - sizes
-    out = np.zeros(int(sizes.sum()) + len(bodies) + 1, np.int64)
-    for at, body in zip(places.tolist(), bodies, strict=True):
-        out[at : at + len(body)] = body
-    return out, places
 
+def _laid_out(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joined sequences with a 0 before, between and after them; their first places."""
+    out = np.zeros(len(symbols) + len(sizes) + 1, np.int64)
+    out[np.arange(len(symbols)) + np.repeat(np.arange(len(sizes)), sizes) + 1] = symbols
+    return out, np.cumsum(sizes + 1) - sizes
 
-def search_words(bodies: list[bytes], counts: np.ndarray, _: np.ndarray, length: int) -> list[list[dict]]:
+
+def search_words(bodies: pa.Array, counts: np.ndarray, _: np.ndarray, length: int) -> Ranges:
     """Windows of each run that occur twice or more in the shard.
 
     The index holds each run, those that occur again twice. Every window of every run is streamed
@@ -152,44 +163,37 @@ def search_words(bodies: list[bytes], counts: np.ndarray, _: np.ndarray, length:
     window's length.
     """
     vocabulary: dict[bytes, int] = {}
-    tokens = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in body.split()]) for body in bodies]
-    text, places = _laid_out(tokens + [x for x, n in zip(tokens, counts.tolist(), strict=True) if n > 1])
-    index = FmIndex(text, length)
-    sizes = np.array([len(x) - length + 1 for x in tokens])
-    bounds = np.append(0, np.cumsum(sizes))
-    window = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
-    ends = np.repeat(places[: len(bodies)], sizes) + window + length
-    repeated = index.statistics(ends, text, length) >= length
-    out = []
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        found = np.flatnonzero(repeated[lo:hi])
-        out.append(_ranges(found, np.zeros(len(found), np.int64)))
-    return out
-
-
-def search_bytes(bodies: list[bytes], _: np.ndarray, least_doc: np.ndarray, length: int) -> list[list[dict]]:
-    """For each window of each run the least doc_id that any equal window of the shard has: neighbours in the suffix order are compared."""
-    text, places = _laid_out([np.frombuffer(x, np.uint8).astype(np.int64) + 1 for x in bodies])
-    sizes = np.array([len(x) - length + 1 for x in bodies])
-    owner = np.repeat(np.arange(len(bodies)), sizes)
-    window = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    tokens = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in body.split()]) for body in bodies.to_pylist()]
+    twice = tokens + [x for x, n in zip(tokens, counts.tolist(), strict=True) if n > 1]
+    text, places = _laid_out(np.concatenate(twice), np.array([len(x) for x in twice]))
+    owner, window = _windows(np.array([len(x) - length + 1 for x in tokens]))
+    on = FmIndex(text, length).statistics(places[owner] + window + length, text, length) >= length
+    return _ranges(owner[on], window[on], np.zeros(int(on.sum()), np.int64))
+
+
+def search_bytes(bodies: pa.Array, counts: np.ndarray, least_doc: np.ndarray, length: int) -> Ranges:
+    """For each window of each run that occurs again the least doc_id that any equal window of the shard has.
+
+    Neighbours in the suffix order are compared, so equal windows make a group.
+    """
+    data, sizes = np.frombuffer(b"".join(bodies.to_pylist()), np.uint8), pc.binary_length(bodies).to_numpy()
+    text, places = _laid_out(data.astype(np.int64) + 1, sizes)
+    owner, window = _windows(sizes - length + 1)
     at = places[owner] + window
-    order = np.argsort(suffix_ranks(text + 1, length)[at], kind="stable")
-    eight = np.zeros(len(text), np.uint64)
-    padded = np.concatenate([text - 1, np.zeros(8, np.int64)]).astype(np.uint8).astype(np.uint64)
-    for i in range(8):
-        eight |= padded[i : i + len(text)] << np.uint64(8 * i)
-    place = at[order]
+    order = np.argsort(suffix_ranks(text + 1, length)[at])
+    eight, place = eights((text - 1).astype(np.uint8)), at[order]
     same = np.ones(len(place) - 1, bool)
     for shift in [*range(0, length - 7, 8), length - 8]:
         part = eight[place + shift]
         same &= part[1:] == part[:-1]
     heads = np.flatnonzero(np.append(True, ~same))
-    groups = np.minimum.reduceat(least_doc[owner[order]], heads)
-    least = np.zeros(len(owner), np.int64)
-    least[order] = np.repeat(groups, np.diff(np.append(heads, len(order))))
-    bounds = np.append(0, np.cumsum(sizes))
-    return [_ranges(window[lo:hi], least[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    sizes_of_groups = np.diff(np.append(heads, len(order)))
+    own = owner[order]
+    groups = np.minimum.reduceat(least_doc[own], heads)
+    again = np.add.reduceat(counts[own], heads) > 1
+    least, repeated = np.zeros(len(owner), np.int64), np.zeros(len(owner), bool)
+    least[order], repeated[order] = np.repeat(groups, sizes_of_groups), np.repeat(again, sizes_of_groups)
+    return _ranges(owner[repeated], window[repeated], least[repeated])
 
 
 def _by_window(bodies: DataFrame, plan: Plan) -> DataFrame:
@@ -200,14 +204,14 @@ def _by_window(bodies: DataFrame, plan: Plan) -> DataFrame:
     """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(rows_of(batch, "body")):
+        for rows in _unpacked(batches):
+            for part in slices(rows_of(rows, "body")):
                 units = plan.units(part, plan.k)
                 sizes = np.diff(units.offsets) - plan.length + 1
                 bounds = np.append(0, np.cumsum(sizes))
                 at = np.arange(bounds[-1]) + np.repeat(units.offsets[:-1] - bounds[:-1], sizes)
                 hashes = units.span_hashes(at, at + plan.length)
-                own = batch.slice(part.first, part.n)
+                own = rows.slice(part.first, part.n)
                 yield pa.RecordBatch.from_arrays(
                     [*[rows_of(own, c) for c in ("run", "n", "least_doc")], _lists(hashes.view(np.int64), bounds, pa.int64())],
                     ["run", "n", "least_doc", "windows"],
@@ -215,13 +219,12 @@ def _by_window(bodies: DataFrame, plan: Plan) -> DataFrame:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                _ranges(np.array([x["place"] for x in row]), np.array([x["least"] for x in row]))
-                for row in rows_of(batch, "found").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([rows_of(batch, "run"), pa.array(found, RANGES)], ["run", "ranges"])
+            column = rows_of(batch, "found")
+            owner = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy())
+            structs = column.flatten()
+            yield _found(rows_of(batch, "run"), _ranges(owner, structs.field("place").to_numpy(), structs.field("least").to_numpy()))
 
-    rows = stored(bodies.dropDuplicates(["run"]).mapInArrow(windows, "run long, n long, least_doc long, windows array<long>"), "hot-runs")
+    rows = stored(bodies.mapInArrow(windows, "run long, n long, least_doc long, windows array<long>"), "hot-runs")
     each = rows.select("run", "n", "least_doc", F.posexplode("windows").alias("place", "window"))
     totals = each.groupBy("window").agg(
         F.sum("n").alias("n"), F.min("least_doc").alias("least"), F.count(F.lit(1)).alias("held")
@@ -239,89 +242,99 @@ def _by_window(bodies: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
-def _bodies(runs: DataFrame, facts: DataFrame, plan: Plan) -> DataFrame:
-    """The units of each distinct run, cut from the document that holds it for all; equal rows may send it again."""
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in rows_of(batch, "blob"):
+            yield from pa.ipc.open_stream(blob.as_buffer())
+
+
+def _bodies(runs: DataFrame, facts: DataFrame, plan: Plan, n_shards: int) -> DataFrame:
+    """(shard, blob): the units of each distinct run, cut from the document that holds it for all, by the shard of its minimiser."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "run", "n", "least_doc"]
+        out: dict[str, list] = {c: [] for c in ("shard", *BODIES.names)}
+        held, last = 0, None
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in [*names, "body"]}
-            held = 0
-            for text, wanted in zip(rows_of(batch, "text"), rows_of(batch, "wanted"), strict=True):
+            columns = [rows_of(batch, c) for c in ("rid", "text", "starts", "counts", "runs", "wanted")]
+            for rid, text, starts, counts, own, wanted in zip(*columns, strict=True):
+                if rid == last:  # equal rows
+                    continue
+                last = rid
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                fields = {c: wanted.values.field(c) for c in [*names, "start", "count"]}
-                lo = fields["start"].to_numpy()
-                hi = lo + fields["count"].to_numpy() + plan.length - 1
+                run = wanted.values.field("run").to_numpy()
+                mine = own.values.to_numpy()
+                order = np.argsort(mine, kind="stable")
+                at = order[np.searchsorted(mine[order], run)]
+                lo = starts.values.to_numpy()[at].astype(np.int64)
+                hi = lo + counts.values.to_numpy()[at] + plan.length - 1
                 if plan.by_words:
-                    starts, ends, _ = Slice(data, np.array([0, len(data)]), 0).words()
-                    lo, hi = starts[lo], ends[hi - 1]
-                for c in names:
-                    out[c].append(fields[c].to_numpy())
+                    first, end, _ = Slice(data, np.array([0, len(data)]), 0).words()
+                    lo, hi = first[lo], end[hi - 1]
+                for c in ("shard", "run", "n", "least_doc"):
+                    out[c].append(wanted.values.field(c).to_numpy())
                 out["body"] += [data[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                 held += len(lo)
-                if held > 20_000:
-                    yield sent(out)
+                if held > GATHERED:
+                    yield packed(out)
                     out, held = {c: [] for c in out}, 0
-            if held:
-                yield sent(out)
-
-    def sent(out: dict[str, list]) -> pa.RecordBatch:
-        columns = [pa.array(np.concatenate(v), pa.int64()) for v in list(out.values())[:-1]]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(out["body"], pa.binary())], list(out))
-
-    wanted = facts.groupBy(F.col("holder.rid").alias("rid")).agg(
-        F.collect_list(F.struct("key", "run", "n", "least_doc", F.col("holder.start").alias("start"), F.col("holder.count").alias("count"))).alias("wanted")
+        if held:
+            yield packed(out)
+
+    def packed(out: dict[str, list]) -> pa.RecordBatch:
+        shard = np.concatenate(out["shard"])
+        order = np.argsort(shard, kind="stable")
+        columns = [pa.array(np.concatenate(out[c])) for c in BODIES.names[:-1]]
+        rows = pa.RecordBatch.from_arrays([*columns, pa.array(out["body"], pa.binary())], schema=BODIES).take(pa.array(order))
+        full, heads = np.unique(shard[order], return_index=True)
+        blobs = []
+        for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, BODIES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(rows.slice(lo, hi - lo))
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+    shard = F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int").alias("shard")
+    wanted = facts.groupBy("rid").agg(F.collect_list(F.struct(shard, "run", "n", "least_doc")).alias("wanted"))
+    return (
+        runs.select("rid", "text", "starts", "counts", "runs")
+        .join(wanted, "rid")
+        .mapInArrow(cut, "shard int, blob binary")
     )
-    return runs.select("rid", "text").join(wanted, "rid").select("text", "wanted").mapInArrow(cut, BODY_SCHEMA)
 
 
 def _searched(runs: DataFrame, plan: Plan, search: Callable) -> DataFrame:
     """(run, ranges) of every run in which some window is repeated."""
     spark = runs.sparkSession
-    met = runs.select(
-        "rid", F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc"), F.explode(F.arrays_zip("starts", "counts", "runs", "keys")).alias("x")
-    )
+    met = runs.select("rid", F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc"), F.explode(F.arrays_zip("counts", "runs", "keys")).alias("x"))
     facts = stored(
         met.groupBy(F.col("x.keys").alias("key"), F.col("x.runs").alias("run")).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("doc").alias("least_doc"),
-            F.min(F.struct("rid", F.col("x.starts").alias("start"), F.col("x.counts").alias("count"))).alias("holder"),
+            F.count(F.lit(1)).alias("n"), F.min("doc").alias("least_doc"), F.min("rid").alias("rid"), F.min("x.counts").alias("windows")
         ),
         "distinct-runs",
     )
     free_shuffles(spark)
     hot = stored(facts.groupBy("key").agg(F.count(F.lit(1)).alias("variants")).where(F.col("variants") > HOT).select("key"), "hot-keys")
     any_hot = not hot.isEmpty()
-    unit_bytes = 8 if plan.by_words else 1
-    n_bytes = unit_bytes * (facts.agg(F.sum(F.col("holder.count").cast("long") + plan.length - 1)).first()[0] or 0)
+    n_bytes = (8 if plan.by_words else 1) * (facts.agg(F.sum(F.col("windows").cast("long") + plan.length - 1)).first()[0] or 0)
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // SHARD) + 1)
-    bodies = _bodies(runs, facts, plan)
-    if any_hot:
-        bodies = stored(bodies, "run-bodies")
-        free_shuffles(spark)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, tuple[int, int, bytes]] = {}
+        by_shard: dict[int, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for run, *facts_ in zip(*[rows_of(batch, c).to_pylist() for c in ("run", "n", "least_doc", "body")], strict=True):
-                rows.setdefault(run, tuple(facts_))
-        if not rows:
-            return
-        n, least_doc, own = zip(*rows.values(), strict=True)
-        found = search(list(own), np.array(n, np.int64), np.array(least_doc, np.int64), plan.length)
-        named = [(run, ranges) for run, ranges in zip(rows, found, strict=True) if ranges]
-        for at in range(0, len(named), 5000):
-            run, ranges = zip(*named[at : at + 5000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(ranges, RANGES)], ["run", "ranges"])
-
-    few = bodies.join(hot, "key", "left_anti") if any_hot else bodies
-    found = few.repartition(n_shards, "key").mapInArrow(shard, FOUND_SCHEMA)
+            for number, rows in zip(rows_of(batch, "shard").to_pylist(), _unpacked([batch]), strict=True):
+                by_shard.setdefault(number, []).append(rows)
+        for mine in by_shard.values():
+            rows = pa.Table.from_batches(mine).combine_chunks()
+            run, body = (rows[c].chunk(0) for c in ("run", "body"))
+            yield _found(run, search(body, rows["n"].to_numpy(), rows["least_doc"].to_numpy(), plan.length))
+
+    few = facts.join(hot, "key", "left_anti") if any_hot else facts
+    found = _bodies(runs, few, plan, n_shards).repartitionById(n_shards, "shard").mapInArrow(shard, FOUND_SCHEMA)
     if any_hot:
-        found = found.unionByName(_by_window(bodies.join(hot, "key", "left_semi"), plan))
+        found = found.unionByName(_by_window(_bodies(runs, facts.join(hot, "key", "left_semi"), plan, n_shards), plan))
     found = stored(found, "repeated-runs")
     discard(facts)
-    if any_hot:
-        discard(bodies)
     return found
 
 
@@ -335,7 +348,7 @@ def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = Fa
         *[F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias(c) for c in carried],
     )
     found, n_parts = _runs(identified.withColumn("rid", F.xxhash64("doc_id", "text")), plan, carried)
-    runs = stored_by(found, "rid", n_parts, "runs")
+    runs = stored_by(found, "rid", n_parts, "runs", placed=True)
     free_shuffles(spark)
     repeated = _searched(runs, plan, search)
     free_shuffles(spark)

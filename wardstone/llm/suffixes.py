@@ -16,6 +16,22 @@ def _named(*columns: np.ndarray) -> np.ndarray:
     return key
 
 
+def _fewer(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many of a, and of b, are less than each of a; and than each of b. One sort of both together."""
+    order = np.argsort(np.concatenate([a, b]))
+    of_b = order >= len(a)
+    new = np.ones(len(order), bool)
+    both = np.concatenate([a, b])[order]
+    new[1:] = both[1:] != both[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    before = (np.cumsum(of_b) - of_b)[first]
+    less_b = np.zeros(len(order), np.int64)
+    less_b[order] = before
+    less_a = np.zeros(len(order), np.int64)
+    less_a[order] = first - before
+    return less_a[: len(a)], less_b[: len(a)], less_a[len(a) :], less_b[len(a) :]
+
+
 def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     """Integers that order all suffixes of s (values of 1 and more) by their first `depth` symbols at least.
 
@@ -41,23 +57,19 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     rank[sample] = triples
 
     by_two = _named(np.concatenate([padded[zero], padded[one]]), np.concatenate([rank[zero + 1], rank[one + 1]]))
-    zero_by_two, one_by_two = by_two[: len(zero)], by_two[len(zero) :]
     by_three = _named(
         np.concatenate([padded[zero], padded[two]]),
         np.concatenate([padded[zero + 1], padded[two + 1]]),
         np.concatenate([rank[zero + 2], rank[two + 2]]),
     )
-    zero_by_three, two_by_three = by_three[: len(zero)], by_three[len(zero) :]
+    zeros, ones, before_one, _ = _fewer(by_two[: len(zero)], by_two[len(zero) :])
+    _, twos, before_two, _ = _fewer(by_three[: len(zero)], by_three[len(zero) :])
+    below = np.bincount(triples)
+    below = np.cumsum(below) - below
     out = np.zeros(n, np.int64)
-    zeros_by_two, zeros_by_three = np.sort(zero_by_two), np.sort(zero_by_three)
-    out[zero] = (
-        np.searchsorted(zeros_by_two, zero_by_two)
-        + np.searchsorted(np.sort(one_by_two), zero_by_two)
-        + np.searchsorted(np.sort(two_by_three), zero_by_three)
-    )
-    samples = np.sort(triples)
-    out[one] = np.searchsorted(samples, rank[one]) + np.searchsorted(zeros_by_two, one_by_two)
-    out[two] = np.searchsorted(samples, rank[two]) + np.searchsorted(zeros_by_three, two_by_three)
+    out[zero] = zeros + ones + twos
+    out[one] = below[rank[one]] + before_one
+    out[two] = below[rank[two]] + before_two
     return out + 1
 
 
