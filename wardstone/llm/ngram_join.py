@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, free_shuffles, grams, mix, partitions_for, rows_of, sequence_hashes, size_of, slices, stored, string_hashes, table
+from .common import Slice, discard, free_shuffles, grams, mix, rows_of, sequence_hashes, slices, stored, stored_by, string_hashes, table
 from .components import components
 from .shared_keys import with_shared_keys
 
@@ -17,14 +17,17 @@ SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Shingles are ordered by how often their cell of this many (a power of 2) occurs, rarest first.
-CELL_BITS = 18
+CELL_BITS = 22
+#: Column of row_id() while rows are chosen.
+ROW_ID = "wardstone row id"
 #: Partners that one task compares with a copy of a pivot, about.
 CHUNK = 128
 
-#: 64-bit words of a set's bitmap; minor sets of a group that one task holds.
-BITMAP, MINORS = 16, 1024
+#: 64-bit words of a set's bitmap, and parts of the hash range whose values are counted beside it; minor sets of a group that one task holds.
+BITMAP, PARTS, MINORS = 16, 16, 1024
+WIDTH = BITMAP + PARTS // 2
 
-SET_SCHEMA = "doc_id long, key long, n int, text string, shingles array<long>, places array<int>, bitmap array<long>"
+SET_SCHEMA = "rid long, doc_id long, key long, n int, text string, shingles array<long>, places array<int>, signature array<long>"
 
 
 def shingle_sets(part: Slice, n: int = SHINGLE) -> list[np.ndarray]:
@@ -57,40 +60,59 @@ def _set_key(values: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64) + np.uint64(len(values))).view(np.int64)[0])
 
 
-def _bitmap(values: np.ndarray) -> np.ndarray:
-    """One bit for each value, by its hash; a set bit that another set lacks is a value that it lacks."""
-    out = np.zeros(BITMAP, np.uint64)
+def _signature(values: np.ndarray) -> np.ndarray:
+    """A bitmap with a bit for each value, by its hash, and how many values lie in each part of the hash range."""
+    out = np.zeros(WIDTH, np.uint64)
     cells = (values >> np.uint64(20)) % np.uint64(64 * BITMAP)
     np.bitwise_or.at(out, (cells >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cells & np.uint64(63)))
+    out[BITMAP:].view(np.uint32)[:] = np.bincount((values >> np.uint64(60)).astype(np.int64), minlength=PARTS)
     return out.view(np.int64)
 
 
+def may_share(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bitmap and suffix filters, row by row: whether sets of n_a and n_b values with signatures a and b may link.
+
+    A bit that the other bitmap lacks is a value that the other set lacks. What follows a set's
+    values in the order of hashes is cut into PARTS, and two sets share in each part the lesser
+    number at most.
+    """
+    x, y = a[:, :BITMAP], b[:, :BITMAP]
+    most = np.minimum(n_a - np.bitwise_count(x & ~y).sum(axis=1), n_b - np.bitwise_count(y & ~x).sum(axis=1))
+    counts_a, counts_b = (np.ascontiguousarray(s[:, BITMAP:]).view(np.uint32) for s in (a, b))
+    most = np.minimum(most, np.minimum(counts_a, counts_b).sum(axis=1, dtype=np.int64))
+    return most * (100 + PERCENT) >= (n_a.astype(np.int64) + n_b) * PERCENT
+
+
 def cell_counts(docs: DataFrame, n: int = SHINGLE, bits: int = CELL_BITS) -> np.ndarray:
     """How many shingles of all documents fall into each cell of the hash; a table of fixed size.
 
-    Tasks send a block of counts for each of 64 runs of cells, which are summed as they come.
+    Tasks send a compressed block of counts for each of 64 runs of cells, which are summed as they come.
     """
     width = (1 << bits) // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total, gathered, held = np.zeros(1 << bits, np.int64), [], 0
         for batch in batches:
             for part in slices(rows_of(batch, "text")):
                 starts, ends, _ = part.words()
-                cells = grams(string_hashes(part.lowered().data, starts, ends), n) >> np.uint64(64 - bits)
-                total += np.bincount(cells.astype(np.int64), minlength=1 << bits)
-        blobs = [total[i * width : (i + 1) * width].astype(np.uint32).tobytes() for i in range(64)]
+                gathered.append((grams(string_hashes(part.lowered().data, starts, ends), n) >> np.uint64(64 - bits)).astype(np.int32))
+                held += len(gathered[-1])
+                if held > 1 << bits:
+                    total += np.bincount(np.concatenate(gathered), minlength=1 << bits)
+                    gathered, held = [], 0
+        if held:
+            total += np.bincount(np.concatenate(gathered), minlength=1 << bits)
+        blobs = [pa.compress(total[i * width : (i + 1) * width].astype(np.uint32).tobytes(), "zstd", asbytes=True) for i in range(64)]
         yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(blobs, pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, blob in zip(rows_of(batch, "block").to_pylist(), rows_of(batch, "counts").to_pylist(), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(blob, np.uint32).astype(np.int64)
+                sums[block] = sums.get(block, 0) + np.frombuffer(pa.decompress(blob, 4 * width, "zstd", asbytes=True), np.uint32).astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"]
-            )
+            blobs = [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary())], ["block", "counts"])
 
     rows = (
         docs.select("text")
@@ -98,14 +120,14 @@ def cell_counts(docs: DataFrame, n: int = SHINGLE, bits: int = CELL_BITS) -> np.
         .repartition(64, "block")
         .mapInArrow(add, "block int, counts binary")
         .collect()
-    )  # 64 rows, 8 bytes for each cell
-    out = np.zeros(1 << bits, np.int64)
+    )  # 64 rows, 4 bytes for each cell
+    out = np.zeros(1 << bits, np.uint32)
     for row in rows:
-        out[row.block * width : (row.block + 1) * width] = np.frombuffer(row.counts, np.int64)
-    return out.astype(np.uint32) if not len(out) or out.max() < 1 << 32 else out
+        out[row.block * width : (row.block + 1) * width] = np.frombuffer(row.counts, np.uint32)
+    return out
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame) -> tuple[DataFrame, int]:
     """A row for each document. The first of equal sets in a task keeps its text and the prefix
     shingles that other documents' prefixes may hold, with their places in the rare-first order."""
     counts = docs.sparkSession.sparkContext.broadcast(cell_counts(docs))
@@ -122,7 +144,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     seen: set[int] = set()
 
     def emit(part: Slice, rows: pa.RecordBatch, shared: Callable) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {"key": [], "n": [], "text": [], "shingles": [], "places": [], "bitmap": []}
+        out: dict[str, list] = {"key": [], "n": [], "text": [], "shingles": [], "places": [], "signature": []}
         data, offsets = part.data.tobytes(), part.offsets
         for i, values in enumerate(shingle_sets(part)):
             key = _set_key(values)
@@ -132,25 +154,26 @@ def _sets(docs: DataFrame) -> DataFrame:
                 first = prefix(values)
                 places = np.flatnonzero(shared(first))
                 if len(places):
-                    mine, text, bits = first[places].view(np.int64), data[offsets[i] : offsets[i + 1]].decode(), _bitmap(values)
+                    mine, text, bits = first[places].view(np.int64), data[offsets[i] : offsets[i + 1]].decode(), _signature(values)
                 else:
                     places = None
             for name, value in zip(out, (key, len(values), text, mine, places, bits), strict=True):
                 out[name].append(value)
         yield pa.RecordBatch.from_arrays(
             [
+                rows_of(rows, "rid"),
                 rows_of(rows, "doc_id"),
                 pa.array(out["key"], pa.int64()),
                 pa.array(out["n"], pa.int32()),
                 pa.array(out["text"], pa.string()),
                 pa.array(out["shingles"], pa.list_(pa.int64())),
                 pa.array(out["places"], pa.list_(pa.int32())),
-                pa.array(out["bitmap"], pa.list_(pa.int64())),
+                pa.array(out["signature"], pa.list_(pa.int64())),
             ],
-            ["doc_id", "key", "n", "text", "shingles", "places", "bitmap"],
+            ["rid", "doc_id", "key", "n", "text", "shingles", "places", "signature"],
         )
 
-    return with_shared_keys(docs, keys_of, emit, SET_SCHEMA, 1 / 25)[0]
+    return with_shared_keys(docs, keys_of, emit, SET_SCHEMA, 1 / 25)
 
 
 def _may_link(n_a: Column, place_a: Column, n_b: Column, place_b: Column) -> Column:
@@ -160,10 +183,10 @@ def _may_link(n_a: Column, place_a: Column, n_b: Column, place_b: Column) -> Col
     return long_enough & ((F.least(n_a - place_a, n_b - place_b)) * (100 + PERCENT) >= needed)
 
 
-def _across_classes(rest: DataFrame, loads: DataFrame, bitmaps: DataFrame) -> DataFrame:
+def _across_classes(rest: DataFrame, loads: DataFrame, signatures: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets in different classes that share a prefix shingle and pass all filters, each pair once.
 
-    rest: shingle, key, n, place, class; loads: shingle, major, minors; bitmaps: key, bitmap.
+    rest: shingle, key, n, place, class; loads: shingle, major, minors; signatures: key, signature.
     Minor sets, those outside the group's largest class, are held MINORS at a time in a task, past
     which the whole group streams in slices. Held sets come first and by key, so of two in different
     slices the earlier one has the lesser key. A task sends each minor set's partners as one list,
@@ -174,8 +197,8 @@ def _across_classes(rest: DataFrame, loads: DataFrame, bitmaps: DataFrame) -> Da
         rest.join(loads.withColumn("chunks", F.ceil(F.col("minors") / MINORS).cast("int")), "shingle")
         .withColumn("home", F.when(F.col("class") != F.col("major"), F.pmod(F.xxhash64("key"), "chunks").cast("int")).otherwise(-1))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .join(bitmaps, "key")
-        .select("shingle", "chunk", (F.col("home") == F.col("chunk")).alias("held"), "key", "n", "place", "class", "major", "bitmap")
+        .join(signatures, "key")
+        .select("shingle", "chunk", (F.col("home") == F.col("chunk")).alias("held"), "key", "n", "place", "class", "major", "signature")
     )
 
     def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -186,7 +209,7 @@ def _across_classes(rest: DataFrame, loads: DataFrame, bitmaps: DataFrame) -> Da
         for batch in batches:
             shingle, chunk = numbers(batch, "shingle"), numbers(batch, "chunk")
             columns = [numbers(batch, c) for c in ("held", "key", "n", "place", "class", "major")]
-            bits = rows_of(batch, "bitmap").flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP)
+            bits = rows_of(batch, "signature").flatten().to_numpy().view(np.uint64).reshape(-1, WIDTH)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             edges = np.flatnonzero((np.diff(shingle) != 0) | (np.diff(chunk) != 0)) + 1
             edges = sorted({0, len(shingle), *edges.tolist(), *range(0, len(shingle), MINORS)})
@@ -203,9 +226,10 @@ def _across_classes(rest: DataFrame, loads: DataFrame, bitmaps: DataFrame) -> Da
                     ok &= np.minimum((a_n - a_place)[:, None], (n - place)[None, :]) * (100 + PERCENT) >= total * PERCENT
                     ok &= (a_class[:, None] != class_[None, :]) & ((class_ == major)[None, :] | (a_key[:, None] < key[None, :]))
                     i, j = np.nonzero(ok)
-                    x, y = a_bits[i], bits[lo + j]
-                    most = np.minimum(a_n[i] - np.bitwise_count(x & ~y).sum(axis=1), n[j] - np.bitwise_count(y & ~x).sum(axis=1))
-                    on = most * (100 + PERCENT) >= total[i, j] * PERCENT
+                    on = np.concatenate([np.zeros(0, bool)] + [
+                        may_share(a_n[i[k : k + 65536]], a_bits[i[k : k + 65536]], n[j[k : k + 65536]], bits[lo + j[k : k + 65536]])
+                        for k in range(0, len(i), 65536)
+                    ])
                     found.append((a_key[i[on]], key[j[on]]))
             if found:
                 yield from lists_of(*(np.concatenate(x) for x in zip(*found, strict=True)))
@@ -248,26 +272,30 @@ def _across_classes(rest: DataFrame, loads: DataFrame, bitmaps: DataFrame) -> Da
     )
 
 
-def suffix_filter(a: np.ndarray, b: np.ndarray, needed: int, parts: int = 16) -> bool:
-    """Whether ascending sets a and b may share `needed` values, by their counts in parts of the hash range."""
-    cuts = (np.arange(1, parts, dtype=np.uint64) << np.uint64(60)) if parts == 16 else None
-    counts_a = np.diff(np.concatenate([[0], np.searchsorted(a, cuts), [len(a)]]))
-    counts_b = np.diff(np.concatenate([[0], np.searchsorted(b, cuts), [len(b)]]))
-    return int(np.minimum(counts_a, counts_b).sum()) >= needed
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets link, after the length and suffix filters."""
+    """Whether two sets link."""
     small, large = min(len(a), len(b)), max(len(a), len(b))
     if not small or small * 100 < large * PERCENT:
         return False
-    needed = -(-PERCENT * (len(a) + len(b)) // (100 + PERCENT))
-    if not suffix_filter(a, b, needed):
-        return False
     common_ = len(a) + len(b) - len(np.union1d(a, b))
     return 100 * common_ >= PERCENT * (len(a) + len(b) - common_)
 
 
+def _filtered(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that pass the bitmap and suffix filters."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (n_a, a), (n_b, b) = (
+                (rows_of(batch, n).to_numpy(), rows_of(batch, s).flatten().to_numpy().view(np.uint64).reshape(-1, WIDTH))
+                for n, s in (("n_a", "s_a"), ("n_b", "s_b"))
+            )
+            yield batch.select(["a", "b"]).filter(pa.array(may_share(n_a, a, n_b, b)))
+
+    of = [signatures.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab"]
+    return pairs.join(of[0], "a").join(of[1], "b").mapInArrow(keep, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that link, as (u, v). A pivot b with many partners is copied to several tasks."""
     spark = pairs.sparkSession
@@ -319,18 +347,54 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     1. the least key of a prefix shingle's group is its pivot; every set is compared with the one
        pivot that it shares most prefix shingles with, and links give classes;
     2. then only pairs of different classes are left. In a prefix shingle's group these are the
-       sets outside its largest class, against all of the group. Length, positional and bitmap
-       filters cut pairs before, the suffix filter at the comparison, and each pair is compared once.
+       sets outside its largest class, against all of the group.
+
+    In both steps length, positional, bitmap and suffix filters cut pairs before any text moves,
+    and each pair is compared once.
 
     Null, empty and blank texts have no shingles and stand alone with their own doc_id. Null
     doc_ids take part and are never the smallest unless alone. Repeated rows have equal sets, so
     they link. Very long texts are read whole. Extra columns are ignored; an empty table gives
     no rows. Shingles and sets are compared by 64-bit hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = stored(_sets(docs.withColumn("rid", F.xxhash64("doc_id", "text"))), "shingle-sets")
+    members, least = _members(docs)
+    whole = members.where("n_shingles > 0").join(least, "class").select("doc_id", "n_shingles", "component_id")
+    return whole.unionByName(
+        members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    )
+
+
+def row_id() -> Column:
+    """Identity of a row by its doc_id and text; repeated rows share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each group of linked rows the one with the smallest doc_id (null last), of repeated rows one; rows without shingles all stay."""
+    members, least = _members(docs)
+    alone = members.where("n_shingles = 0").select("rid")
+    kept = stored(least.select(F.col("first.rid").alias("rid")).unionByName(alone), "kept-rows")
+    repeated = stored(members.groupBy("rid").count().where("count > 1").select("rid"), "repeated-rows")
+    discard(members)
+    discard(least)
     free_shuffles(docs.sparkSession)
+    named = docs.withColumn(ROW_ID, row_id()).join(kept.withColumnRenamed("rid", ROW_ID), ROW_ID, "left_semi")
+    if repeated.isEmpty():
+        return named.drop(ROW_ID)
+    again = repeated.withColumnRenamed("rid", ROW_ID)
+    one = named.join(again, ROW_ID, "left_semi").dropDuplicates([ROW_ID])
+    return named.join(again, ROW_ID, "left_anti").unionByName(one).drop(ROW_ID)
+
+
+def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rid, doc_id, n_shingles, class) of each row; (class, component_id, first) of each class with shingles."""
+    spark = docs.sparkSession
+    docs = docs.select(row_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found, n_parts = _sets(docs)
+    sets = stored_by(found, "key", n_parts, "shingle-sets")
+    free_shuffles(spark)
     texts = sets.where(F.col("text").isNotNull()).select("key", "text").dropDuplicates(["key"])
+    signatures = sets.where(F.col("signature").isNotNull()).select("key", "n", "signature").dropDuplicates(["key"])
     postings = sets.where(F.col("text").isNotNull()).select(
         "key", "n", F.explode(F.arrays_zip("shingles", "places")).alias("x")
     ).select("key", "n", F.col("x.shingles").alias("shingle"), F.col("x.places").alias("place"))
@@ -340,13 +404,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).where("p.key <> last").select("shingle", "p")
     pivots = stored(pivots, "shared-shingles")
     grouped = stored(postings.join(pivots, "shingle").distinct(), "postings")
+    discard(pivots)
     candidates = grouped.where(
         (F.col("key") != F.col("p.key")) & _may_link(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"))
     ).groupBy(F.col("key").alias("a"), F.col("p.key").alias("b")).agg(F.count(F.lit(1)).alias("common"))
     best = candidates.groupBy("a").agg(F.max(F.struct("common", "b")).alias("x")).select("a", "x.b")
-    first_pairs = stored(best, "star-pairs")
+    first_pairs = stored(_filtered(best, signatures), "star-pairs")
     links = _verified(first_pairs, texts)
-    free_shuffles(docs.sparkSession)
+    free_shuffles(spark)
 
     classes = components(links)
     classed = stored(
@@ -355,29 +420,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ),
         "classed",
     )
+    discard(grouped)
     by_class = classed.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("size"))
     loads = by_class.groupBy("shingle").agg(
         F.max(F.struct("size", "class")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("classes")
     ).where("classes > 1").select("shingle", F.col("top.class").alias("major"), (F.col("all") - F.col("top.size")).alias("minors"))
     loads = stored(loads, "open-groups")
-    bitmaps = sets.where(F.col("bitmap").isNotNull()).select("key", "bitmap").dropDuplicates(["key"])
-    second = _across_classes(classed, loads, bitmaps)
+    second = _across_classes(classed, loads, signatures.drop("n"))
     tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _verified(second.join(tried, ["a", "b"], "left_anti"), texts)
-    free_shuffles(docs.sparkSession)
+    discard(classed)
+    free_shuffles(spark)
 
     classes = components(links.unionByName(more))
-    members = sets.select("doc_id", "key", "n").join(classes, F.col("key") == F.col("node"), "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "key").alias("class")
-    )
-    members = stored(members, "members")
-    least = stored(
-        members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("component_id")), "class-least"
-    )
-    whole = members.where("n_shingles > 0").join(least, "class").select("doc_id", "n_shingles", "component_id")
-    return whole.unionByName(
-        members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    members = stored(
+        sets.select("rid", "doc_id", "key", "n").join(classes, F.col("key") == F.col("node"), "left").select(
+            "rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "key").alias("class")
+        ),
+        "members",
     )
+    discard(sets)
+    first = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("place"), "rid")
+    least = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.min(first).alias("first"))
+    return members, stored(least, "class-least")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
