@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,25 +11,22 @@ from pyspark.sql import functions as F
 
 from .common import rows_of, stored, table
 
-#: Pivots; the nearest of them in whose files a vector is posted and a query looks; those that the footrule compares.
-PIVOTS, POSTED, COMPARED = 256, 24, 128
-#: Share of a block's vectors that the footrule passes on to the exact measure, and the least number.
-SHARE, LEAST = 0.1, 128
-#: Vectors and queries of a block.
-BLOCK, QUERY_BLOCK = 2048, 1024
+#: Pivots; the nearest of them in whose files a vector is posted and a query looks; those that describe a vector.
+PIVOTS, POSTED, COMPARED = 512, 24, 128
+#: Vectors of least footrule distance that are reranked for a query: so many, or this share of all vectors if that is more.
+RERANKED, SHARE = 512, 0.01
+#: Vectors of one part of a pivot's file, about.
+PART = 4096
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(-1, dim)
+    """Rows scaled by powers of two to components below 1, so that no square leaves the range of doubles; cosines stay as they are."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return np.ldexp(values, -np.frexp(np.abs(values).max(axis=1))[1][:, None])
 
 
-def _ranks(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """For each vector the rank of each pivot, nearest first; ties to the earlier pivot."""
-    order = np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")
-    out = np.empty(order.shape, np.int16)
-    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
-    return out
+def _unit(values: np.ndarray) -> np.ndarray:
+    return values / np.sqrt((values * values).sum(axis=1))[:, None]
 
 
 def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -51,6 +50,7 @@ def nearest(
     vectors: DataFrame,
     k: int = 5,
     every: int = 50,
+    reranked: int = RERANKED,
     share: float = SHARE,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -58,87 +58,150 @@ def nearest(
     """The k vectors of largest cosine for each query: query_id, rank, vec_id, score.
 
     Queries are the rows whose id is divisible by `every`; all other rows, and other queries, are
-    candidates. Every vector is described by the order of its nearest pivots and posted in the
-    files of the POSTED nearest. A query reads the files of its own nearest pivots, ranks what it
-    finds by footrule distance over its COMPARED nearest pivots (ties to the smaller id), and
-    reranks the best `share` by cosine in double precision. share = 1 with POSTED = PIVOTS is the
-    exact search. Pivots are PIVOTS distinct vectors, those of least id hash: a bounded sample.
-
-    Queries meet all rows block by block, so no task holds more than a block of either, however
-    many vectors are equal or close to one pivot. Ids or vectors that are null, vectors that are
-    zero, of another size than most, or hold null or non-finite components take no part. Of
-    repeated ids one vector counts. Fewer than k candidates are all returned unless a file or
-    the footrule passes them over; blocks of up to LEAST vectors are always reranked whole.
+    candidates. Every vector is described by its COMPARED nearest pivots in order and posted in
+    the inverted files of the POSTED nearest. A query reads the files of its own POSTED nearest
+    pivots, ranks what it finds there by footrule distance (pivots that a description lacks stand
+    behind all others; ties to the smaller id) and reranks the best by cosine in double precision:
+    `reranked` of them, or `share` of all vectors if that is more. Pivots are PIVOTS distinct
+    vectors, those of least id hash: a bounded sample; every vector is indexed.
+
+    Files and queries meet by an equi-join on the pivot. A large file is cut into parts of bounded
+    size, so vectors that are equal or close to one pivot are spread; a task holds one part and
+    streams the queries past it, and each part passes on no more than a query reranks. Ids or
+    vectors that are null, vectors that are zero, of another size than most, or hold null or
+    non-finite components take no part. Of repeated ids one vector counts. Fewer than k candidates
+    are all returned: with fewer pivots than a query reads every file is read, and else each file
+    holds its pivot.
     """
     spark = vectors.sparkSession
     rows = stored(usable_vectors(vectors, id_col, vector_col), "vectors")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * PIVOTS).collect()
-    schema = "query_id long, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = len(sample[0].v)
-    chosen: dict[tuple, None] = {}
-    for row in sample:
-        x = np.array(row.v)
-        chosen.setdefault(tuple(x / np.sqrt((x * x).sum())), None)
-    shipped = spark.sparkContext.broadcast(np.array(list(chosen)[:PIVOTS]))  # PIVOTS rows
-
-    is_query = F.col("vec_id") % every == 0
-    total = rows.agg(F.count(F.lit(1)), F.sum(is_query.cast("long"))).first()
-    blocks, query_blocks = -(-total[0] // BLOCK), max(1, -(-total[1] // QUERY_BLOCK))
-    dealt = rows.withColumn("h", F.xxhash64("vec_id"))
-    data = dealt.select(
-        F.pmod("h", F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
-        F.lit(False).alias("asks"), "vec_id", "v",
+    distinct: dict[bytes, np.ndarray] = {}
+    for x in _unit(_matrix(pa.array([row.v for row in sample], pa.list_(pa.float64())), dim)):
+        distinct.setdefault(x.round(12).tobytes(), x)
+    chosen = np.array(list(distinct.values())[:PIVOTS])
+    shipped = spark.sparkContext.broadcast(chosen)  # PIVOTS rows
+    n_pivots = len(chosen)
+    compared, probed = min(COMPARED, n_pivots), min(POSTED, n_pivots)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                near = np.argsort(-(_unit(_matrix(rows_of(part, "v"), dim)) @ shipped.value.T), axis=1, kind="stable")[:, :compared]
+                blobs = pa.array([x.tobytes() for x in near.astype(np.uint16)], pa.binary())
+                files = pa.array(near[:, :probed].tolist(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([rows_of(part, "vec_id"), files, blobs], ["vec_id", "files", "near"])
+
+    described = stored(rows.mapInArrow(describe, "vec_id long, files array<int>, near binary"), "descriptions")
+    posted = described.select(F.explode("files").alias("pivot"), "vec_id", "near")
+    parts = stored(posted.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "pivot-files")
+    parts = F.broadcast(parts)  # PIVOTS rows
+    postings = posted.join(parts, "pivot").select(
+        "pivot", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.lit(False).alias("asks"), "vec_id", "near"
     )
-    queries = dealt.where(is_query).select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.shiftright("h", 20), F.lit(query_blocks)).cast("int").alias("query_block"),
-        F.lit(True).alias("asks"), "vec_id", "v",
+    probes = posted.where(F.col("vec_id") % every == 0).join(parts, "pivot").select(
+        "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "vec_id", "near"
+    )
+    n_rows = rows.count()
+    budget = max(k, reranked, int(np.ceil(share * n_rows)))
+
+    def nearest_of(ids: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The `budget` first by distance, then id."""
+        if len(ids) > budget:
+            limit = np.partition(distance, budget - 1)[budget - 1]
+            on = distance <= limit
+            ids, distance = ids[on], distance[on]
+        order = np.lexsort((ids, distance))[:budget]
+        return ids[order], distance[order]
+
+    def footrule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, ids, lists, ranks = None, [], [], None
+        places = np.arange(compared, dtype=np.int16)[:, None]
+        for batch in batches:
+            pivot, part = rows_of(batch, "pivot").to_numpy(), rows_of(batch, "part").to_numpy()
+            asks = rows_of(batch, "asks").to_numpy(zero_copy_only=False).astype(bool)
+            vec_id = rows_of(batch, "vec_id").to_numpy()
+            near = np.array([np.frombuffer(x.as_buffer(), np.uint16) for x in rows_of(batch, "near")])
+            edges = np.flatnonzero((np.diff(pivot) != 0) | (np.diff(part) != 0) | (np.diff(asks) != 0)) + 1
+            asked, found_ids, found_distances = [], [], []
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(pivot)], strict=True):
+                if (pivot[lo], part[lo]) != current:
+                    current, ids, lists, ranks = (pivot[lo], part[lo]), [], [], None
+                if not asks[lo]:
+                    ids.append(vec_id[lo:hi])
+                    lists.append(near[lo:hi])
+                    continue
+                if ranks is None:
+                    own, all_lists = np.concatenate(ids), np.concatenate(lists)
+                    ranks = np.full((n_pivots, len(own)), compared, np.int16)
+                    ranks[all_lists.T, np.arange(len(own))[None, :]] = places
+                for q in range(lo, hi):
+                    theirs = ranks[near[q]]
+                    # pivots of theirs that the query lacks add what they are nearer than the last place
+                    distance = (np.abs(theirs - places) + theirs).sum(axis=0, dtype=np.int32)
+                    other = own != vec_id[q]
+                    best, distances = nearest_of(own[other], distance[other])
+                    asked.append(vec_id[q])
+                    found_ids.append(best.tobytes())
+                    found_distances.append(distances.tobytes())
+                    if len(asked) >= 1000:
+                        yield found_batch(asked, found_ids, found_distances)
+                        asked, found_ids, found_distances = [], [], []
+            if asked:
+                yield found_batch(asked, found_ids, found_distances)
+
+    def found_batch(asked: list, ids: list, distances: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(asked, pa.int64()), pa.array(ids, pa.binary()), pa.array(distances, pa.binary())], ["query_id", "ids", "distances"]
+        )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, ids, distances = None, np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+        def merged() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), current), pa.int64()), pa.array(ids)], ["query_id", "vec_id"])
+
+        for batch in batches:
+            for q, some, theirs in zip(rows_of(batch, "query_id").to_pylist(), rows_of(batch, "ids"), rows_of(batch, "distances"), strict=True):
+                if q != current:
+                    if current is not None:
+                        yield merged()
+                    current, ids, distances = q, np.zeros(0, np.int64), np.zeros(0, np.int32)
+                both = np.concatenate([ids, np.frombuffer(some.as_buffer(), np.int64)])
+                both, first = np.unique(both, return_index=True)
+                ids, distances = nearest_of(both, np.concatenate([distances, np.frombuffer(theirs.as_buffer(), np.int32)])[first])
+        if current is not None:
+            yield merged()
+
+    def rescore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = _matrix(rows_of(batch, "v"), dim), _matrix(rows_of(batch, "query_v"), dim)
+            score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([rows_of(batch, "query_id"), rows_of(batch, "vec_id"), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    candidates = (
+        postings.unionByName(probes)
+        .repartition(max(n, n_rows * probed // (8 * PART)), "pivot", "part")
+        .sortWithinPartitions("pivot", "part", "asks")
+        .mapInArrow(footrule, "query_id long, ids binary, distances binary")
+        .repartition(n, "query_id")
+        .sortWithinPartitions("query_id")
+        .mapInArrow(merge, "query_id long, vec_id long")
+    )
+    scored = (
+        candidates.join(rows, "vec_id")
+        .join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("query_v")), "query_id")
+        .select("query_id", "vec_id", "v", "query_v")
+        .mapInArrow(rescore, "query_id long, vec_id long, score double")
     )
-
-    def search(table_: pa.Table) -> pa.Table:
-        asks = table_.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        ids = table_.column("vec_id").to_numpy()
-        values = _matrix(table_.column("v").combine_chunks(), dim)
-        norms = np.sqrt((values * values).sum(axis=1))
-        ranks = _ranks(values / norms[:, None], shipped.value)
-        asked, held = np.flatnonzero(asks), np.flatnonzero(~asks)
-        held = held[np.argsort(ids[held])]
-        own, own_ids = values[held], ids[held]
-        by_pivot = np.ascontiguousarray(ranks[held].T)
-        n_pivots = len(by_pivot)
-        files = [np.flatnonzero(by_pivot[p] < POSTED) for p in range(n_pivots)]
-        budget = max(LEAST, int(np.ceil(share * len(held))))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for q in asked:
-            near = np.argsort(ranks[q])
-            found = np.zeros(len(held), bool)
-            for p in near[: min(POSTED, n_pivots)]:
-                found[files[p]] = True
-            if len(held) <= budget:
-                found[:] = True
-            found &= own_ids != ids[q]
-            places = np.flatnonzero(found)
-            if len(places) > budget:
-                compared = near[:COMPARED]
-                distance = np.zeros(len(held), np.int32)
-                for p in compared:
-                    distance += np.abs(by_pivot[p] - ranks[q, p])
-                # ids ascend, so a stable order by distance breaks ties by id
-                places = places[np.argsort(distance[places], kind="stable")[:budget]]
-            score = (own[places] * values[q]).sum(axis=1) / (norms[held[places]] * norms[q])
-            best = np.lexsort((own_ids[places], -score))[:k]
-            out.append((np.full(len(best), ids[q]), own_ids[places][best], score[best]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        kinds = [pa.int64(), pa.int64(), pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = data.unionByName(queries).groupBy("query_block", "block").applyInArrow(search, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        found.withColumn("rank", F.row_number().over(order))
+        scored.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
