@@ -7,15 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Slice, rows_of, slices, string_hashes, table
+from .common import WORD_PATTERN, Slice, rows_of, slices, string_hashes, table
 
 #: Words of a passage; a shorter rest is a passage of its own.
 PASSAGE = 40
-#: The classifier is fitted on at most so many labelled documents, and so many passages of each.
-TRAIN_DOCS, TRAIN_PASSAGES = 4000, 256
+#: The classifier is fitted on at most so many labelled documents, whole, that have so many passages together.
+TRAIN_DOCS, TRAIN_PASSAGES = 3000, 200_000
 THRESHOLD = 0.7
 
 _CLASSES = 24
@@ -26,7 +26,9 @@ for _i, _group in enumerate(
 ):
     _class_of[list(_group)] = _i
 _SHAPES = 6
-FEATURES = _CLASSES + _SHAPES + 2
+#: Cells that words and pairs of neighbours fall into by their hash.
+_GRAMS = 64
+FEATURES = _CLASSES + _SHAPES + _GRAMS + 2
 
 
 def passage_features(part: Slice, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +61,11 @@ def passage_features(part: Slice, passage: int = PASSAGE) -> tuple[np.ndarray, n
         shapes = [again, second, first == 2, last == 2, (last >= 7) & (last <= 21), (ends - starts) == 1]
         for i, shape in enumerate(shapes):
             features[:, _CLASSES + i] = np.bincount(at, shape, minlength=total) / np.maximum(1, n_words)
+        joined = hashes[1:] * np.uint64(0x9E3779B97F4A7C15) + hashes[:-1]
+        pairs = np.flatnonzero((doc[1:] == doc[:-1]) & (at[1:] == at[:-1]))
+        cells = np.concatenate([at * _GRAMS + (hashes >> np.uint64(58)).astype(np.int64), at[pairs] * _GRAMS + (joined[pairs] >> np.uint64(58)).astype(np.int64)])
+        grams = np.bincount(cells, minlength=total * _GRAMS).reshape(total, _GRAMS)
+        features[:, _CLASSES + _SHAPES : -2] = grams / np.maximum(1, grams.sum(axis=1, keepdims=True))
         features[:, -2] = np.bincount(at, ends - starts, minlength=total) / np.maximum(1, n_words) / 10
     features[:, -1] = n_words / passage
     return features, counts
@@ -91,11 +98,11 @@ class GatedAttention:
 
     @classmethod
     def fit(
-        cls, features: np.ndarray, counts: np.ndarray, labels: np.ndarray, width: int = 16, steps: int = 400, rate: float = 0.02
+        cls, features: np.ndarray, counts: np.ndarray, labels: np.ndarray, width: int = 16, steps: int = 200, rate: float = 0.03
     ) -> GatedAttention:
         """Full-batch Adam on the mean log loss, classes weighted evenly, with weight decay. Same input, same model."""
         mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-3
-        x, heads = (features - mean) / scale, np.cumsum(counts) - counts
+        x, heads = ((features - mean) / scale).astype(np.float32), np.cumsum(counts) - counts
         doc = np.repeat(np.arange(len(counts)), counts)
         rng = np.random.default_rng(7)
         w = {
@@ -134,8 +141,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
     """The classifier, fitted on labelled documents outside the held-out fold; None if these lack one of the labels.
 
     Of all such labels the train_docs with least id hash are taken, half of them at most of either
-    label as far as both have enough, and of a longer document TRAIN_PASSAGES passages at even
-    steps. Null labels and ids don't count, an id with both labels counts as 0, and of documents that share an id one is read.
+    label; of these, in the same order, as many whole documents as have TRAIN_PASSAGES passages
+    together. Null labels and ids don't count, an id with both labels counts as 0, and of
+    documents that share an id the one with the least text is read, null last.
     """
     rows = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -146,32 +154,34 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
         .withColumn("h", F.xxhash64("doc_id"))
     )
     picked = [rows.where(F.col("quality") == q).orderBy("h", "doc_id").limit(train_docs // 2) for q in (0, 1)]
-    sample = picked[0].unionByName(picked[1])
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        F.broadcast(sample.select("doc_id", "quality")), "doc_id"  # train_docs rows at most
+    sample = F.broadcast(picked[0].unionByName(picked[1]))  # train_docs rows at most
+    chosen = (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .join(sample, "doc_id")
+        .groupBy("doc_id", "quality", "h")
+        .agg(F.min("text").alias("text"))
+        .withColumn("passages", F.greatest(F.lit(1), F.ceil(F.regexp_count("text", F.lit(WORD_PATTERN)) / PASSAGE)))
     )
+    before = Window.partitionBy("quality").orderBy("h", "doc_id")
+    whole = chosen.withColumn("reached", F.sum("passages").over(before)).where(F.col("reached") <= TRAIN_PASSAGES // 2)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = []
             for part in slices(rows_of(batch, "text")):
                 features, counts = passage_features(part)
-                for one in np.split(features, np.cumsum(counts)[:-1]):
-                    step = np.linspace(0, len(one) - 1, min(len(one), TRAIN_PASSAGES)).astype(int)
-                    blobs.append(one[step].astype(np.float32).tobytes())
+                blobs += [one.astype(np.float32).tobytes() for one in np.split(features, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays(
                 [rows_of(batch, "doc_id"), rows_of(batch, "quality"), pa.array(blobs, pa.binary())], ["doc_id", "quality", "x"]
             )
 
-    seen: dict[int, tuple[int, bytes]] = {}
-    for row in chosen.mapInArrow(describe, "doc_id long, quality int, x binary").collect():
-        seen[row.doc_id] = min(seen.get(row.doc_id, (row.quality, bytes(row.x))), (row.quality, bytes(row.x)))
-    if len({q for q, _ in seen.values()}) < 2:
+    found = whole.select("doc_id", "quality", "text").mapInArrow(describe, "doc_id long, quality int, x binary").collect()
+    if len({r.quality for r in found}) < 2:
         return None
-    ordered = [seen[i] for i in sorted(seen)]
-    arrays = [np.frombuffer(x, np.float32).reshape(-1, FEATURES).astype(float) for _, x in ordered]
+    found.sort(key=lambda r: r.doc_id)
+    arrays = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in found]
     return GatedAttention.fit(
-        np.concatenate(arrays), np.array([len(x) for x in arrays]), np.array([q for q, _ in ordered], float)
+        np.concatenate(arrays), np.array([len(x) for x in arrays]), np.array([r.quality for r in found], float)
     )
 
 
@@ -194,7 +204,7 @@ def score_quality(docs: DataFrame, model: GatedAttention | None, threshold: floa
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     score = F.pandas_udf(score_all, "double")
-    first = F.struct(*docs.columns).alias("row") if keep else F.col("doc_id").cast("long").alias("doc_id")
+    first = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep else F.col("doc_id").cast("long").alias("doc_id")
     scored = docs.select(first, _is_held_out().alias("held_out"), score("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
