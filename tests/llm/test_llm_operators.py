@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wardstone.llm import chat, decontamination, licenses, mixing, neighbours, ngram_join, quality, repeats, token_counts
@@ -177,10 +178,13 @@ def test_held_sets_of_different_slices_meet(spark, monkeypatch):
     group = [(5, k, 50, 0, 1 if i < 12 else 100 + i // 2) for i, k in enumerate(keys)]  # class 1 is the largest
     rest = spark.createDataFrame(group, "shingle long, key long, n int, place int, class long")
     loads = spark.createDataFrame([(5, 1, 68)], "shingle long, major long, minors long")
-    bitmaps = spark.createDataFrame([(k, [0] * ngram_join.BITMAP) for k in keys], "key long, bitmap array<long>")
+    counts = np.zeros(ngram_join.PARTS, np.uint32)
+    counts[0] = 50
+    signature = [0] * ngram_join.BITMAP + counts.view(np.int64).tolist()
+    signatures = spark.createDataFrame([(k, signature) for k in keys], "key long, signature array<long>")
     class_of = {k: c for _, k, _, _, c in group}
     want = {(a, b) for a, b in itertools.combinations(sorted(keys), 2) if class_of[a] != class_of[b]}
-    got = [(r.a, r.b) for r in ngram_join._across_classes(rest, loads, bitmaps).collect()]
+    got = [(r.a, r.b) for r in ngram_join._across_classes(rest, loads, signatures).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -210,26 +214,64 @@ def test_contamination(spark, awkward, empty):
     assert decontamination.contamination(empty, items).count() == 0 and decontamination.contamination(awkward, items.limit(0)).count() == 0
 
 
-def test_neighbours(spark):
-    vectors = table(spark, SF, "embeddings")
+def test_short_items_and_substitutions(spark):
+    rng = np.random.default_rng(8)
+    texts = {n: [f"i{n}w{j}" for j in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 10, 11, 15, 20, 300)}
+    items = spark.createDataFrame([(n, " ".join(w), "x", 1) for n, w in texts.items()], "item_id long, text string, seed string, n long")
+    rows, want = [], set()
+    for n, words_ in texts.items():
+        differ = n // 5 if n > 4 else 0
+        for extra in (0, 1):
+            for _ in range(4):
+                changed = list(words_)
+                for j in rng.choice(n, differ + extra, replace=False).tolist() if n < 100 else range(0, n, 4 - extra):
+                    changed[j] = f"other{j}"
+                doc = len(rows)
+                rows.append((doc, " ".join(["before", *changed, "After\u00e9"]).upper(), 7, 7))
+                if n < 100 and not extra:
+                    want.add((doc, n))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at long, shift long")
+    got = decontamination.contamination(docs, items)
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert want <= found and not {x for x in found if x not in want and x[1] < 100}
+    assert Counter(map(tuple, got.collect())) == duck(decontamination.contamination_sql(), documents=docs, benchmark=items)
+
+
+def recall(vectors, **options):
     rows = vectors.orderBy("vec_id").collect()
     ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
     got = {}
-    for r in neighbours.nearest(vectors).collect():
+    for r in neighbours.nearest(vectors, **options).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
-    hits = 0
-    for q in ids[ids % 50 == 0].tolist():
+    hits, queries = 0, ids[ids % 50 == 0]
+    for q in queries.tolist():
         own = v[ids == q][0]
         score = (v * own).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((own * own).sum()))
-        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:5]
+        order = [i for i in np.lexsort((ids, -score))[:6] if ids[i] != q][:5]
         hits += len({x for x, _ in got[q].values()} & set(ids[order].tolist()))
-        assert all(abs(s - score[ids == x][0]) < 1e-12 for x, s in got[q].values())
-    assert hits / (5 * (ids % 50 == 0).sum()) >= 0.9
+        assert sorted(got[q]) == [1, 2, 3, 4, 5] and all(abs(s - score[ids == x][0]) < 1e-12 for x, s in got[q].values())
+    return len(rows), hits / (5 * len(queries))
+
+
+def test_recall_of_the_permutation_index(spark):
+    assert recall(table(spark, SF, "embeddings"))[1] >= 0.9
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    v = (centres[rng.integers(0, 40, 10_000)] * 0.5 + rng.normal(size=(10_000, 64))).astype(np.float32)
+    many = spark.createDataFrame(pa.table({"vec_id": np.arange(10_000), "embedding": pa.array(list(v), pa.list_(pa.float32()))}))
+    n, found = recall(many, reranked=200, share=0.02)  # 2 % of all
+    assert n == 10_000 and found >= 0.9
+
+
+def test_neighbours(spark):
     odd = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [0.0, 2.0])]
     df = spark.createDataFrame([(*x, "a") for x in odd], "vec_id long, embedding array<float>, score string")
     found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(df).collect()}
     assert found == {(0, 1): (3, 1.0), (0, 2): (50, 1.0), (0, 3): (9, 0.0), (50, 1): (0, 1.0), (50, 2): (3, 1.0), (50, 3): (9, 0.0)}
     assert neighbours.nearest(df.limit(0)).count() == 0
+    far = [(0, [1e300, 1e300]), (1, [1e-300, 0.0]), (2, [-1e300, 1e-300])]
+    wide = spark.createDataFrame([(*x, 1, 2) for x in far], "vec_id long, embedding array<double>, pivot int, part int")
+    assert [(r.rank, r.vec_id, round(r.score, 9)) for r in neighbours.nearest(wide).orderBy("rank").collect()] == [(1, 1, 0.707106781), (2, 2, -0.707106781)]
 
 
 def test_token_counts(spark, awkward, empty, tmp_path):
