@@ -12,52 +12,60 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstone.llm.common import free_shuffles, release, scratch_dir, stored, table
+from wardstone.llm.common import release, scratch_dir, table
 from wardstone.llm.decontamination import contamination
 from wardstone.llm.mixing import mix_sources
-from wardstone.llm.ngram_join import near_duplicates
+from wardstone.llm.ngram_join import ROW_ID, one_of_each, row_id
 from wardstone.llm.quality import fit_quality, score_quality
-from wardstone.llm.repeats import remove_repeated_bytes
+from wardstone.llm.repeats import HAD_TEXT, remove_repeated_bytes
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on labelled ones of these, doesn't reject."""
+    """Rows whose whole text the quality classifier, fitted on labelled ones of these, doesn't reject.
+
+    Rows are judged one by one: repeated rows stay or go together, null and empty texts are scored
+    as empty passages, and ids aren't looked at. With labels of one kind only, or none, all stay.
+    """
     release(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model, keep=True).where("predicted = 1").select("row.*")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; of repeated rows one."""
+    """Of each group of linked rows the one with the smallest doc_id, null last; of rows with equal doc_id and text one.
+
+    Rows without words stand alone and stay. An empty table gives no rows.
+    """
     release(spark)
-    groups = stored(near_duplicates(docs), "groups")
-    free_shuffles(spark)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-    return out.dropDuplicates() if repeated else out
+    return one_of_each(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 50-byte strings that an earlier document holds; texts and n_chars change, no document goes."""
+    """All rows, without the 50-byte strings that a row of a smaller doc_id holds; text and n_chars change, nothing else.
+
+    Null texts stay null and a null doc_id is greater than all others. Rows that share a doc_id keep
+    what they have in common. Where a cut splits a character its other bytes go too.
+    """
     release(spark)
     cut = remove_repeated_bytes(docs, with_text=True)
+    changed = F.col("n_removed") > 0
     new = {
-        "text": F.col("kept_text"),
-        "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars")),
+        "text": F.when(changed | F.col(f"row.`{HAD_TEXT}`"), F.col("kept_text")),
+        "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars")),
     }
     return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
+    """Rows that hold no passage of a benchmark item. Rows are judged by their own text, not by their doc_id; null texts stay."""
     release(spark)
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.found_id), "left_anti")
+    named = docs.withColumn(ROW_ID, row_id())
+    found = contamination(named.select(F.col(ROW_ID).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return named.join(found.select(F.col("doc_id").alias(ROW_ID)).distinct(), ROW_ID, "left_anti").drop(ROW_ID)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What a mix of the sources by weight takes of each document."""
+    """What a mix of the sources by weight takes of each row; null sources are one source, texts without words are never taken."""
     release(spark)
     return mix_sources(docs)
 
