@@ -1,9 +1,9 @@
 """Removal of repeated windows from whole documents: words through an FM-index, bytes through a suffix order.
 
 Both work alike. Runs of windows with one minimiser (windows.py) are kept where the minimiser
-occurs in several places (shared_keys.py). Equal runs are counted as one, and one document sends
-the run's units to the shard of its minimiser, where an index of all runs of the shard tells which
-windows repeat. The finding goes back to every occurrence by the run's hash, and the removed
+occurs in several places (shared_keys.py). Equal runs are counted as one. Where one minimiser has
+different runs, one document sends each run's units to the minimiser's shard, where an index of all
+runs of the shard tells which windows repeat. The finding goes back to every occurrence by the run's hash, and the removed
 ranges to the documents. Minimisers with too many different runs for a shard are not searched in
 one: their windows meet by hash, on Spark.
 """
@@ -37,8 +37,8 @@ BODIES = pa.schema([("run", pa.int64()), ("n", pa.int64()), ("least_doc", pa.int
 FOUND_SCHEMA = "run long, ranges array<struct<lo:int,hi:int,least:long>>"
 #: Bytes of distinct runs in a shard, about; runs that a task gathers before it sends them.
 SHARD, GATHERED = 1 << 20, 100_000
-#: Different runs of one minimiser past which they are not searched in one shard.
-HOT = 1024
+#: Different runs of one minimiser past which they are not searched in one shard, as they would fill it.
+HOT = SHARD // 64
 #: Runs that hold one window past which its total is broadcast to them, at least.
 HEAVY = 4096
 
@@ -305,20 +305,23 @@ def _bodies(runs: DataFrame, facts: DataFrame, plan: Plan, n_shards: int) -> Dat
     )
 
 
-def _searched(runs: DataFrame, plan: Plan, search: Callable) -> DataFrame:
+def _searched(runs: DataFrame, plan: Plan, search: Callable, n_parts: int) -> DataFrame:
     """(run, ranges) of every run in which some window is repeated."""
     spark = runs.sparkSession
     met = runs.select("rid", F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc"), F.explode(F.arrays_zip("counts", "runs", "keys")).alias("x"))
-    facts = stored(
+    facts = stored_by(
         met.groupBy(F.col("x.keys").alias("key"), F.col("x.runs").alias("run")).agg(
             F.count(F.lit(1)).alias("n"), F.min("doc").alias("least_doc"), F.min("rid").alias("rid"), F.min("x.counts").alias("windows")
         ),
-        "distinct-runs",
-    )
+        "key", n_parts, "distinct-runs",
+    )
     free_shuffles(spark)
-    hot = stored(facts.groupBy("key").agg(F.count(F.lit(1)).alias("variants")).where(F.col("variants") > HOT).select("key"), "hot-keys")
-    any_hot = not hot.isEmpty()
-    n_bytes = (8 if plan.by_words else 1) * (facts.agg(F.sum(F.col("windows").cast("long") + plan.length - 1)).first()[0] or 0)
+    variants = facts.groupBy("key").agg(F.count(F.lit(1)).alias("variants"))
+    any_hot = not variants.where(F.col("variants") > HOT).isEmpty()
+    facts_of = facts.join(variants, "key")
+    n_bytes = (8 if plan.by_words else 1) * (
+        facts_of.where("variants > 1").agg(F.sum(F.col("windows").cast("long") + plan.length - 1)).first()[0] or 0
+    )
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // SHARD) + 1)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,10 +334,14 @@ def _searched(runs: DataFrame, plan: Plan, search: Callable) -> DataFrame:
             run, body = (rows[c].chunk(0) for c in ("run", "body"))
             yield _found(run, search(body, rows["n"].to_numpy(), rows["least_doc"].to_numpy(), plan.length))
 
-    few = facts.join(hot, "key", "left_anti") if any_hot else facts
-    found = _bodies(runs, few, plan, n_shards).repartitionById(n_shards, "shard").mapInArrow(shard, FOUND_SCHEMA)
+    # a minimiser's only run: none of its windows is in another run, so they repeat as the run does
+    alone = facts_of.where("variants = 1 and n > 1").select(
+        "run", F.array(F.struct(F.lit(0).alias("lo"), F.col("windows").cast("int").alias("hi"), F.col("least_doc").alias("least"))).alias("ranges")
+    )
+    few = _bodies(runs, facts_of.where((F.col("variants") > 1) & (F.col("variants") <= HOT)), plan, n_shards)
+    found = alone.unionByName(few.repartitionById(n_shards, "shard").mapInArrow(shard, FOUND_SCHEMA))
     if any_hot:
-        found = found.unionByName(_by_window(_bodies(runs, facts.join(hot, "key", "left_semi"), plan, n_shards), plan))
+        found = found.unionByName(_by_window(_bodies(runs, facts_of.where(F.col("variants") > HOT), plan, n_shards), plan))
     found = stored(found, "repeated-runs")
     discard(facts)
     return found
@@ -352,7 +359,7 @@ def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = Fa
     found, n_parts = _runs(identified.withColumn("rid", F.xxhash64("doc_id", "text")), plan, carried)
     runs = stored_by(found, "rid", n_parts, "runs", placed=True)
     free_shuffles(spark)
-    repeated = _searched(runs, plan, search)
+    repeated = _searched(runs, plan, search, n_parts)
     free_shuffles(spark)
     occurrences = runs.select("rid", "doc_id", F.explode(F.arrays_zip("starts", "counts", "runs")).alias("x")).select(
         "rid", "doc_id", F.col("x.starts").alias("start"), F.col("x.counts").alias("count"), F.col("x.runs").alias("run")
