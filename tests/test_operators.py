@@ -26,7 +26,7 @@ def test_file_scan_and_gate(spark, tmp_path):
 
 def test_records_of_unknown_acl_go(spark):
     data = [("1", "T", "body", "public", 1), ("1", "T", "new", "public", 2), ("2", None, "b", "secret", 3), (None, "t", "b", "public", 4), ("3", "t", " ", "internal", 5)]
-    records = spark.createDataFrame([(a, b, c, None, d, None, e) for a, b, c, d, e in data], corpus.RECORD_SCHEMA)
+    records = spark.createDataFrame([(a, b, c, None, d, None, e, None, None) for a, b, c, d, e in data], corpus.RECORD_SCHEMA)
     assert rows(corpus.last_record(corpus.map_records(records)).select("source", "text")) == [("tickets/1", "T\n\nnew")]
 
 
@@ -80,6 +80,67 @@ def test_write_then_read_needs_grants(spark, tmp_path):
     assert [r.source for r in index.read_index(spark, path, spark.createDataFrame([("public",)], "tier string")).collect()] == ["a"]
 
 
+def test_withdrawn_partitions_are_deleted(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = [("internal", "a", "curated", "x"), ("internal", "b", "upload", "y"), ("public", "c d", "connector:tickets", "z"), ("public", "e", None, "w")]
+    whole = index.build_chunks(spark.createDataFrame(docs, "tier string, source string, origin string, text string"))
+    index.write_index(whole, path)
+    grants = spark.createDataFrame([("public",), ("internal",)], "tier string")
+    assert index.read_index(spark, path, grants).count() == 4
+    for gone, left in ((["b"], ["a", "c d", "e"]), (["b", "c d", "e"], ["a"])):
+        index.write_index(whole.where(~F.col("source").isin(gone)), path)
+        assert sorted(r.source for r in index.read_index(spark, path, grants).collect()) == left
+
+
+def test_odd_question_vectors_match_nothing(spark):
+    chunks = chunk_rows(spark, [("c0", "public", "a", None, None, "t", [0.9, 0.3]), ("c1", "public", "a", None, None, "t", None), ("c2", "public", "a", None, None, "t", [1.0, None])])
+    grants = retrieval.readable_tiers(spark.createDataFrame([("ann", "public")], "username string, clearance string"), corpus.tiers(spark))
+    questions = spark.createDataFrame([(1, "ann", [1.0, 0.0]), (2, "ann", None), (3, "ann", [1.0]), (4, "ann", [None, 1.0]), (5, "ann", [])], "question_id long, username string, embedding array<double>")
+    assert rows(retrieval.nearest_chunks(questions, chunks, grants).select("question_id", "chunk_id")) == [(1, "c0")]
+
+
+def test_ties_go_to_the_lower_tier_and_lesser_chunk(spark):
+    data = [(f"c{i}", "internal" if i < 3 else "public", "a", "curated", None, "t", [1.0, 0.0]) for i in range(8)]
+    grants = retrieval.readable_tiers(spark.createDataFrame([("ann", "internal")], "username string, clearance string"), corpus.tiers(spark))
+    questions = spark.createDataFrame([(1, "ann", [1.0, 0.0])], "question_id long, username string, embedding array<double>")
+    got = retrieval.nearest_chunks(questions, chunk_rows(spark, data), grants).orderBy("place").collect()
+    assert [r.chunk_id for r in got] == ["c3", "c4", "c5", "c6"]
+
+
+def test_every_hit_passes_the_chunk_gate_or_not(spark):
+    hits = spark.createDataFrame([(1, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0]), (1, "c", None), (2, "d", [1.0, 0.0]), (3, "e", [0.0, 0.0]), (1, "f", [0.0, 0.0])], "question_id int, chunk_id string, embedding array<double>")
+    intents = spark.createDataFrame([(1, [1.0, 0.0]), (3, [])], "question_id int, intent_embedding array<double>")
+    on, off = retrieval.chunk_relevance(hits, intents)
+    assert rows(on.select("chunk_id")) == [("a",), ("d",), ("e",)] and rows(off.select("chunk_id")) == [("b",), ("c",), ("f",)]
+
+
+def test_large_files_are_quarantined_unread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "MAX_BYTES", 10)
+    (tmp_path / "public").mkdir()
+    (tmp_path / "public" / "a.txt").write_text("x" * 11)
+    (tmp_path / "public" / "b.txt").write_text("fine")
+    files = corpus.scan_files(spark, str(tmp_path))
+    assert rows(files.select("source", "content")) == [("public/a.txt", None), ("public/b.txt", b"fine")]
+    good, bad = corpus.intake_gate(files)
+    assert rows(good.select("source")) == [("public/b.txt",)] and rows(bad.select("source", "reason")) == [("public/a.txt", "too_large")]
+
+
+def test_the_last_reply_counts(spark):
+    told = spark.createDataFrame([(1, "One claim here.")], "question_id int, answer string")
+    evidence = spark.createDataFrame([(1, "text")], "question_id int, text string")
+    replies = spark.createDataFrame([(1, 1, "1: UNSUPPORTED"), (1, 2, "1: SUPPORTED")], "question_id int, at int, reply string")
+    assert answers.unsupported_claims(told, replies, evidence).count() == 0
+    assert answers.unsupported_claims(told, replies.drop("at"), evidence).count() == 1
+
+
+def test_reference_vectors_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(answers, "REFERENCE_BLOCK", 2)
+    refs = spark.createDataFrame([([1.0, 0.0],), ([0.0, 1.0],), ([0.6, 0.8],), ([0.6, 0.8],), (None,), ([1.0],)], "embedding array<double>")
+    asked = spark.createDataFrame([(1, 0, [1.0, 1.0]), (1, 1, [0.0, 0.0]), (2, 0, None), (3, 0, [2.0])], "response_id int, pos int, embedding array<double>")
+    got = answers.best_matches(asked, refs, "score").collect()
+    assert sorted((r.response_id, r.pos, round(r.score, 4)) for r in got) == [(1, 0, 0.9899), (1, 1, 0.0), (3, 0, 1.0)]
+
+
 def test_seal_round_trip_and_tampering(spark):
     df = spark.createDataFrame([("1", "secret é", {"k": "v"}, None), ("2", "plain", {"k": "w"}, None)], "chunk_id string, text string, extra map<string,string>, enc string")
     key = F.lit("0123456789abcdef")

@@ -33,6 +33,38 @@ def test_sync_loop_survives_a_failure(spark, tmp_path):
     assert {(r.source, r.text) for r in state["index"].collect()} == {("a.txt", "kept"), ("tickets/7", "two")}
 
 
+def test_snapshots_count_when_they_are_whole(spark, tmp_path):
+    """Read back from the store, as a cached index would hide when counts are taken."""
+    path, landing = str(tmp_path / "index"), tmp_path / "in"
+    base = spark.createDataFrame([("public", "curated", "a.txt", "kept", "h")], "tier string, origin string, source string, text string, content_hash string")
+    columns = ["tier", "origin", "source", "text", "content_hash", "chunk_id", "chunk_index"]
+    index.build_chunks(base).select(*columns).write.parquet(f"{path}/start")
+    state = {"path": f"{path}/start"}
+
+    def store(new, number):
+        new.select(*columns).write.parquet(f"{path}/{len(list((tmp_path / 'index').iterdir()))}")
+        state["path"] = f"{path}/{len(list((tmp_path / 'index').iterdir())) - 1}"
+
+    def record(id_, snapshot, records):
+        return {"id": id_, "title": "", "body": f"body {id_}", "acl": "public", "seq": 1, "snapshot": snapshot, "records": records}
+
+    def take():
+        jobs.start_sync(
+            jobs.read_records(spark, str(landing)), lambda: spark.read.parquet(state["path"]), store, str(tmp_path / "cp"), every=None,
+            landed=lambda: spark.read.schema(jobs.RECORD_SCHEMA).json(str(landing)),
+        ).awaitTermination(120)
+        return {r.source for r in spark.read.parquet(state["path"]).collect()}
+
+    landed(landing, [record("1", 1, 2), record("2", 1, 2)])
+    assert take() == {"a.txt", "tickets/1", "tickets/2"}
+    landed(landing, [record("1", 2, 2)])  # half of the second one
+    assert take() == {"a.txt", "tickets/1", "tickets/2"}
+    landed(landing, [record("3", 2, 2)])
+    assert take() == {"a.txt", "tickets/1", "tickets/3"}
+    landed(landing, [record("3", 3, 1), record("1", 4, 1)])  # two at once: the newer one counts
+    assert take() == {"a.txt", "tickets/1"}
+
+
 def audit_rows(n):
     start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
     return [
@@ -68,3 +100,19 @@ def test_limits_keep_state_over_batches(spark, tmp_path):
         finish(jobs.limit_stream(stream, 4, 60).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), tmp_path / "cp")
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("at").collect()
     assert [r.n for r in got] == [1, 2, 3, 4, 5, 6] and [r.allowed for r in got] == [True] * 4 + [False] * 2
+
+
+def test_limits_order_a_key_over_arrow_batches(spark, tmp_path):
+    schema = "key string, at timestamp"
+    start = dt.datetime(2024, 1, 1)
+    rows = [("a", start + dt.timedelta(seconds=s)) for s in [*range(119, -1, -1)]]  # newest first
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        finish(jobs.limit_stream(stream, 50, 60).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), tmp_path / "cp")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("at").collect()
+    assert [r.n for r in got] == [*range(1, 61)] * 2 and [r.allowed for r in got] == ([True] * 50 + [False] * 10) * 2

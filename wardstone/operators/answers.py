@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +18,19 @@ from ..functions.text import (
 # Fixed values.
 RESEMBLANCE, ELEVATED, ELEVATED_COUNT, GROUNDING_FLOOR = 0.42, 0.32, 2, 0.30
 LEAST_SECRET = 8
-#: Rows of a registry that are broadcast; a larger one is joined by shuffle.
-REGISTRY_ROWS = 1_000_000
+#: Rows and bytes of a registry that are broadcast; a larger one is joined by shuffle.
+REGISTRY_ROWS, REGISTRY_BYTES = 1_000_000, 64 << 20
+#: Reference vectors that one pass over the vectors holds.
+REFERENCE_BLOCK = 4096
+#: Characters of a text's piece that is cut into grams at once.
+PIECE = 1000
 
 
 def small(registry: DataFrame) -> DataFrame:
-    """Broadcast a registry whose counted size is bounded; leave the join to Spark else."""
-    return F.broadcast(registry) if registry.limit(REGISTRY_ROWS + 1).count() <= REGISTRY_ROWS else registry
+    """Broadcast a registry whose counted rows and bytes are bounded; leave the join to Spark else."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in registry.columns])))
+    n, n_bytes = registry.limit(REGISTRY_ROWS + 1).agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return F.broadcast(registry) if n <= REGISTRY_ROWS and (n_bytes or 0) <= REGISTRY_BYTES else registry
 
 
 def unsupported_figures(answers: DataFrame, evidence: DataFrame, key: str = "question_id") -> DataFrame:
@@ -30,9 +41,13 @@ def unsupported_figures(answers: DataFrame, evidence: DataFrame, key: str = "que
 
 
 def unsupported_claims(answers: DataFrame, replies: DataFrame, evidence: DataFrame, key: str = "question_id") -> DataFrame:
-    """key, n, claim for each claim without a SUPPORTED verdict. A missing verdict, reply or document counts against the claim."""
+    """key, n, claim for each claim without a SUPPORTED verdict. A missing verdict, reply or document counts against the claim.
+
+    Of several replies the last by the column `at` counts; without one, and on ties, the greatest text.
+    """
     numbered = answers.select(key, F.posexplode(claims(F.col("answer"))).alias("_p", "claim")).select(key, (F.col("_p") + 1).alias("n"), "claim")
-    judged = replies.groupBy(key).agg(F.max("reply").alias("reply")).select(key, verdicts(F.col("reply")).alias("v"))
+    order = F.col("at") if "at" in replies.columns else F.lit(0)
+    judged = replies.groupBy(key).agg(F.max(F.struct(order.alias("at"), "reply")).alias("last")).select(key, verdicts(F.col("last.reply")).alias("v"))
     has = evidence.select(key).distinct().withColumn("_has", F.lit(True))
     return (
         numbered.join(judged, key, "left").join(has, key, "left")
@@ -46,7 +61,7 @@ def protected_matches(responses: DataFrame, protected: DataFrame, decoded: bool
     def grams_of(df: DataFrame, *keys: str) -> DataFrame:
         return df.select(*keys, normalise(F.col("text")).alias("folded")).select(*keys, F.explode(word_grams(F.col("folded"))).alias("gram"))
 
-    grams = small(grams_of(protected).distinct())
+    grams = small(grams_of(protected).distinct())  # hashed where they meet; equal strings are compared by the join
     texts = F.concat(F.array("text"), decoded_variants(F.col("text"))) if decoded else F.array("text")
     variants = responses.where(F.col("text").isNotNull()).select("response_id", F.explode(texts).alias("text"))
     found = grams_of(variants, "response_id").join(grams, "gram", "left_semi")
@@ -59,18 +74,59 @@ def registered_secrets(values: DataFrame) -> DataFrame:
 
 
 def secret_leaks(responses: DataFrame, secrets: DataFrame) -> DataFrame:
-    """response_id of responses with a projection that contains a secret core. secrets: core."""
+    """response_id of responses with a projection that contains a secret core. secrets: core, of LEAST_SECRET characters and more.
+
+    Cores and projections meet by an equi-join on a core's first characters; only such pairs are compared whole.
+    """
     text = F.col("text")
     views = F.concat(F.array(text, phonetic_fold(F.col("folded"))), decoded_variants(text))
     folded = responses.where(text.isNotNull()).select("response_id", "text", normalise(text).alias("folded"))
-    hay = folded.select("response_id", F.explode(views).alias("v")).select("response_id", secret_core(F.col("v")).alias("hay"))
-    return hay.where(F.length("hay") >= LEAST_SECRET).join(small(secrets), F.contains(F.col("hay"), F.col("core")), "left_semi").select("response_id").distinct()
+    hay = folded.select("response_id", F.explode(views).alias("v")).select("response_id", secret_core(F.col("v")).alias("hay")).where(F.length("hay") >= LEAST_SECRET)
+    pieces = hay.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("hay"), F.lit(PIECE)))).select(
+        "response_id", "hay", F.substring("hay", F.col("start"), F.lit(PIECE + LEAST_SECRET - 1)).alias("piece")
+    ).where(F.length("piece") >= LEAST_SECRET)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("piece") - LEAST_SECRET + 1), lambda i: F.substring(F.col("piece"), i, F.lit(LEAST_SECRET))))
+    cores = small(secrets.select("core", F.substring("core", 1, LEAST_SECRET).alias("gram")))
+    met = pieces.select("response_id", "hay", F.explode(grams).alias("gram")).join(cores, "gram")
+    return met.where(F.contains(F.col("hay"), F.col("core"))).select("response_id").distinct()
 
 
 def best_matches(vectors: DataFrame, references: DataFrame, name: str) -> DataFrame:
-    """vectors (response_id, pos, embedding) with the largest cosine to a bounded reference set (embedding)."""
-    pairs = vectors.join(small(references.select(F.col("embedding").alias("_ref"))), F.lit(True))
-    return pairs.groupBy("response_id", "pos").agg(F.max(cosine(F.col("embedding"), F.col("_ref"))).alias(name))
+    """vectors (response_id, pos, embedding) with the largest cosine to a stated reference set (embedding).
+
+    References are shipped in blocks of bounded size, and each pass over the vectors is a matrix
+    product. Null vectors, and those of another size than a reference, never match it; of norm 0 they score 0.
+    """
+    spark = vectors.sparkSession
+    whole = F.col("v").isNotNull() & ~F.coalesce(F.exists("v", lambda x: x.isNull()), F.lit(True)) & (F.size("v") > 0)
+    rows = vectors.select("response_id", "pos", F.col("embedding").cast("array<double>").alias("v")).where(whole)
+    known = references.select(F.col("embedding").cast("array<double>").alias("v")).where(whole).distinct()
+    schema = rows.drop("v").schema.add(name, "double")
+
+    def unit(values: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((values * values).sum(axis=1, keepdims=True))
+        return values / np.where(norm == 0, 1, norm)
+
+    parts = []
+    for size, n in known.groupBy(F.size("v")).count().collect():  # one row a vector size
+        n_blocks = -(-n // REFERENCE_BLOCK)
+        for block in range(n_blocks):
+            own = known.where((F.size("v") == size) & (F.pmod(F.xxhash64("v"), F.lit(n_blocks)) == block)).collect()  # REFERENCE_BLOCK rows, about
+            if not own:
+                continue
+            shipped = spark.sparkContext.broadcast(unit(np.array([r.v for r in own])))
+
+            def score(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if batch.num_rows:
+                        v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                        best = (unit(v) @ shipped.value.T).max(axis=1)
+                        yield pa.RecordBatch.from_arrays([batch.column("response_id"), batch.column("pos"), pa.array(best)], ["response_id", "pos", name])
+
+            parts.append(rows.where(F.size("v") == size).mapInArrow(score, schema))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionAll, parts).groupBy("response_id", "pos").agg(F.max(name).alias(name))
 
 
 def resembles(scores: DataFrame) -> DataFrame:

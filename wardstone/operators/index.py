@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,8 +96,17 @@ def stale_chunks(index: DataFrame, documents: DataFrame, size: int = 1000, overl
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """Partitioned by tier and origin; only partitions that the frame holds are replaced."""
+    """The whole index, partitioned by tier and origin; partitions that it no longer holds are deleted, so what is retracted can't be read."""
+    held = {(r.tier, r.origin) for r in index.select("tier", "origin").distinct().collect()}  # one row a partition
     index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tier", "origin").parquet(path)
+    spark = index.sparkSession
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tier=*/origin=*")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.globStatus(pattern) or []:
+        tier, origin = (unquote(part.split("=", 1)[1]) for part in found.getPath().toString().rstrip("/").split("/")[-2:])
+        names = tuple(None if x == "__HIVE_DEFAULT_PARTITION__" else x for x in (tier, origin))
+        if names not in held:
+            files.delete(found.getPath(), True)
 
 
 def read_index(spark: SparkSession, path: str, grants: DataFrame) -> DataFrame:

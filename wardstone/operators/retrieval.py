@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,72 +75,89 @@ def nearest_chunks(
     grants: username, tier, rank. `where` filters chunks before the search, never after. per_class
     gives curated and other chunks a budget of k each, so that volume can't evict curated ones.
     but_own leaves out, for each question, the chunk whose chunk_id is the question_id.
-    Ties go to the lower tier, then to the lesser chunk_id. Vectors of norm 0 have distance 1;
-    null ones and those of another size than the questions' never match.
+    Ties go to the lower tier, then to the lesser chunk_id; distances count to 12 decimals. Vectors
+    of norm 0 have distance 1; null ones, those with null components, and those of another size
+    than the question's never match.
 
-    Questions are a stated set, shipped in blocks of bounded size. Each pass reads the chunks
-    once, keeps k a question of every batch, and only these are shuffled.
+    Questions are a stated set, shipped in blocks of bounded size, those of one size together. Each
+    pass reads the chunks once, keeps k a question of every batch, and only these are shuffled.
     """
     spark = chunks.sparkSession
+    whole = F.col("v").isNotNull() & ~F.coalesce(F.exists("v", lambda x: x.isNull()), F.lit(True)) & (F.size("v") > 0)
     rows = chunks if where is None else chunks.where(where)
     rows = rows.join(F.broadcast(grants.select("tier", "rank").distinct()), "tier")
-    rows = rows.select("chunk_id", "tier", "rank", "origin", is_curated(F.col("origin")).alias("curated"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = rows.select(
+        "chunk_id", "tier", "rank", "origin", is_curated(F.col("origin")).alias("curated"), F.col("embedding").cast("array<double>").alias("v")
+    ).where(whole)
     allowed = grants.groupBy("username").agg(F.collect_set("rank").alias("ranks"))
-    asked = questions.join(allowed, "username").select("question_id", "ranks", F.col("embedding").cast("array<double>").alias("v"))
-    n_blocks = max(1, -(-asked.count() // QUESTION_BLOCK))
+    asked = questions.join(allowed, "username").select("question_id", "ranks", F.col("embedding").cast("array<double>").alias("v")).where(whole)
     schema = "question_id long, chunk_id string, tier string, rank int, origin string, curated boolean, distance double"
-    found = None
-    for block in range(n_blocks):
-        own = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)) == block).orderBy("question_id").collect()
-        if not own:
-            continue
-        matrix = np.array([r.v for r in own])
-        norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        shipped = spark.sparkContext.broadcast(
-            (np.array([r.question_id for r in own]), matrix / np.where(norms == 0, 1, norms), [set(r.ranks) for r in own])
-        )
-
-        def search(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ids, unit, ranks = shipped.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-                distance = 1 - (v / np.where(norm == 0, 1, norm)) @ unit.T
-                rank = batch.column("rank").to_numpy()
-                curated = batch.column("curated").to_numpy(zero_copy_only=False).astype(bool)
-                names = np.array(batch.column("chunk_id").to_pylist(), object)
-                places, question = [], []
-                for q in range(len(ids)):
-                    ok = np.isin(rank, list(ranks[q]))
-                    if but_own:
-                        ok &= names != str(ids[q])
-                    for part in (ok & curated, ok & ~curated) if per_class else (ok,):
-                        at = np.flatnonzero(part)
-                        if len(at) > k:
-                            limit = np.partition(distance[at, q], k - 1)[k - 1]
-                            at = at[distance[at, q] <= limit]
-                            order = sorted(at.tolist(), key=lambda i: (distance[i, q], rank[i], names[i]))
-                            at = np.array(order[:k])
-                        places.append(at)
-                        question.append(np.full(len(at), q))
-                at, q = np.concatenate(places).astype(int), np.concatenate(question).astype(int)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[q], pa.int64()), *[batch.column(c).take(take) for c in ("chunk_id", "tier", "rank", "origin", "curated")],
-                     pa.array(distance[at, q])],
-                    ["question_id", "chunk_id", "tier", "rank", "origin", "curated", "distance"],
-                )
-
-        part = rows.where(F.size("v") == matrix.shape[1]).mapInArrow(search, schema)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    parts = []
+    for size, n in asked.groupBy(F.size("v")).count().collect():  # one row a vector size
+        n_blocks = -(-n // QUESTION_BLOCK)
+        for block in range(n_blocks):
+            in_block = F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)) == block
+            own = asked.where((F.size("v") == size) & in_block).orderBy("question_id").collect()  # QUESTION_BLOCK rows, about
+            if not own:
+                continue
+            matrix = np.array([r.v for r in own])
+            norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+            shipped = spark.sparkContext.broadcast(
+                (np.array([r.question_id for r in own]), matrix / np.where(norms == 0, 1, norms), [tuple(sorted(r.ranks)) for r in own])
+            )
+            parts.append(rows.where(F.size("v") == size).mapInArrow(_block_search(shipped, k, per_class, but_own), schema))
+    found = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
     by = Window.partitionBy(*(["question_id", "curated"] if per_class else ["question_id"])).orderBy("distance", "rank", "chunk_id")
     return found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
 
 
+def _block_search(shipped, k: int, per_class: bool, but_own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k nearest of each batch for each shipped question; one matrix product for all questions with the same grants."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit, grants = shipped.value
+        asked = {ranks: np.array([i for i, r in enumerate(grants) if r == ranks]) for ranks in set(grants)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.array(batch.column("chunk_id").to_pylist(), object)
+            ranks = batch.column("rank").to_numpy()
+            order = np.array(sorted(range(len(names)), key=lambda i: (ranks[i], names[i])))  # ties by place
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            v = v / np.where(norm == 0, 1, norm)
+            curated = batch.column("curated").to_numpy(zero_copy_only=False).astype(bool)
+            at, question, distances = [], [], []
+            for allowed, of in asked.items():
+                ok = np.isin(ranks, allowed)
+                for part in (ok & curated, ok & ~curated) if per_class else (ok,):
+                    places = order[part[order]]
+                    if not len(places):
+                        continue
+                    distance = np.round(1 - v[places] @ unit[of].T, 12)
+                    if but_own:
+                        distance[names[places][:, None] == ids[of].astype(str).astype(object)[None, :]] = np.inf
+                    limit = np.partition(distance, min(k, len(places)) - 1, axis=0)[min(k, len(places)) - 1]
+                    q, place = np.nonzero(((distance <= limit) & np.isfinite(distance)).T)
+                    near = distance[place, q]
+                    first = np.lexsort((place, near, q))
+                    q, place, near = q[first], place[first], near[first]
+                    on = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    at.append(places[place[on]])
+                    question.append(of[q[on]])
+                    distances.append(near[on])
+            if not at:
+                continue
+            take = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[np.concatenate(question)], pa.int64()), *[batch.column(c).take(take) for c in ("chunk_id", "tier", "rank", "origin", "curated")],
+                 pa.array(np.concatenate(distances))],
+                ["question_id", "chunk_id", "tier", "rank", "origin", "curated", "distance"],
+            )
+
+    return search
+
+
 # ------------------------------------------------------------------ after the search
 
 
@@ -249,10 +267,16 @@ def query_relevance(calls: DataFrame, least: float = MIN_QUERY_RELEVANCE) -> Dat
 
 
 def chunk_relevance(hits: DataFrame, intents: DataFrame, least: float = MIN_CHUNK_RELEVANCE) -> tuple[DataFrame, DataFrame]:
-    """(on topic, off topic) hits (question_id, embedding) against their question's intent_embedding, whatever query found them."""
-    scored = hits.join(intents.select("question_id", "intent_embedding"), "question_id").withColumn(
-        "relevance", cosine(F.col("embedding"), F.col("intent_embedding"))
+    """(on topic, off topic) hits (question_id, embedding) against their question's intent_embedding, whatever query found them.
+
+    Every hit is in one of the two. Without an intent vector, or with an empty one, a hit is fully
+    relevant; a hit without a vector, or with one of another size or of norm 0, has relevance 0.
+    """
+    told = intents.select("question_id", "intent_embedding").dropDuplicates(["question_id"])
+    score = F.when(F.coalesce(F.size("intent_embedding"), F.lit(0)) <= 0, 1.0).when(
+        F.size("embedding") == F.size("intent_embedding"), cosine(F.col("embedding"), F.col("intent_embedding"))
     )
+    scored = hits.join(told, "question_id", "left").withColumn("relevance", F.nanvl(F.coalesce(score, F.lit(0.0)), F.lit(0.0)))
     return scored.where(F.col("relevance") >= least), scored.where(F.col("relevance") < least).withColumn("flag", F.lit("agent_off_topic_chunk"))
 
 

@@ -133,11 +133,14 @@ def index_state(spark, sf_dir):
     return index.indexed_state(rows.withColumn("enc", F.when(F.col("chunk_index") % 4 != 3, index.ENC)), sealed=True)
 
 
-@query(f"""SELECT tier, source, chunk_index::INT AS chunk_index FROM {CHUNKS} WHERE source NOT IN (SELECT source FROM {DOCUMENTS} WHERE doc_id % 3 = 1)
-  UNION ALL SELECT tier, source, 0 FROM {DOCUMENTS} WHERE doc_id % 3 = 1 AND length({STRIPPED}) > 0""")
+NEW_CHUNKS = CHUNKS.replace(f"FROM {DOCUMENTS}", f"FROM (SELECT * REPLACE (text || ' Second edition.' AS text) FROM {DOCUMENTS} WHERE doc_id % 3 = 1)")
+
+
+@query(f"""SELECT chunk_id, md5(text) AS digest FROM {CHUNKS} WHERE source NOT IN (SELECT source FROM {DOCUMENTS} WHERE doc_id % 3 = 1)
+  UNION ALL SELECT chunk_id, md5(text) FROM {NEW_CHUNKS}""")
 def replace_source(spark, sf_dir):
-    new = documents(spark, sf_dir).where(F.col("doc_id") % 3 == 1).withColumn("text", F.substring(t.strip(F.col("text")), 1, 100)).drop("doc_id")
-    return index.replace_sources(chunks(spark, sf_dir), index.build_chunks(new)).select("tier", "source", "chunk_index")
+    new = documents(spark, sf_dir).where(F.col("doc_id") % 3 == 1).withColumn("text", F.concat("text", F.lit(" Second edition."))).drop("doc_id")
+    return index.replace_sources(chunks(spark, sf_dir), index.build_chunks(new)).select("chunk_id", F.md5("text").alias("digest"))
 
 
 @query(f"SELECT DISTINCT tier, source FROM {CHUNKS} WHERE tier = 'public' AND origin = 'upload' AND source NOT IN (SELECT source FROM {DOCUMENTS} WHERE doc_id % 2 = 0)")
@@ -342,7 +345,7 @@ def unsupported_figures(spark, sf_dir):
 
 @query()
 def claim_verdicts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("text").alias("answer"))
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("text").alias("answer"))
     replies = c.select("question_id", F.lit("1: SUPPORTED\n2: UNSUPPORTED\n2: SUPPORTED\n4. SUPPORTED").alias("reply"))
     return answers.unsupported_claims(c, replies, c.where(F.col("question_id") % 3 != 0).withColumn("text", F.col("answer")))
 
@@ -366,7 +369,7 @@ def protected_text(spark, sf_dir):
     return answers.protected_matches(responses, table(spark, sf_dir, "benchmark"))
 
 
-@query(f"""WITH s AS (SELECT DISTINCT core FROM (SELECT substr(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g'), 1, 40) AS core FROM benchmark) WHERE length(core) >= 8)
+@query(f"""WITH s AS (SELECT DISTINCT core FROM (SELECT substr(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g'), 1) AS core FROM benchmark) WHERE length(core) >= 8)
   SELECT DISTINCT doc_id AS response_id FROM {DOCUMENTS} JOIN s ON contains(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g'), core)""")
 def secret_leaks(spark, sf_dir):
     responses = documents(spark, sf_dir).withColumnRenamed("doc_id", "response_id")
@@ -374,6 +377,27 @@ def secret_leaks(spark, sf_dir):
     return answers.secret_leaks(responses, answers.registered_secrets(values))
 
 
+PLAIN_GRAMS = f"""d AS (SELECT doc_id, {PERSON.format(FOLDED)} AS w FROM {DOCUMENTS}), b AS (SELECT {PERSON.format(FOLDED)} AS w FROM benchmark),
+  dg AS (SELECT doc_id, unnest([array_to_string(w[i:i+7], ' ') FOR i IN range(1, len(w) - 6)]) AS g FROM d),
+  bg AS (SELECT DISTINCT unnest([array_to_string(w[i:i+7], ' ') FOR i IN range(1, len(w) - 6)]) AS g FROM b)"""
+
+
+@query(f"""WITH {PLAIN_GRAMS} SELECT DISTINCT doc_id AS response_id FROM dg JOIN bg USING (g)
+  UNION SELECT doc_id FROM documents JOIN benchmark ON item_id = doc_id % (SELECT max(item_id) + 1 FROM benchmark)
+  WHERE doc_id % 4 < 3 AND len(regexp_extract_all(lower(strip_accents(benchmark.text)), '[a-z0-9]+')) >= 8""")
+def encoded_leaks(spark, sf_dir):
+    """Three of four documents also hold a benchmark item, turned by 13 letters, reversed, or in base64; all of these are found."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    ids = items.agg((F.max("item_id") + 1).alias("ids")).first().ids
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("response_id"), "text", (F.col("doc_id") % ids).alias("item_id"))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    turned = F.translate("item", lower + upper, lower[13:] + lower[:13] + upper[13:] + upper[:13])
+    kind = F.col("response_id") % 4
+    hidden = F.when(kind == 0, turned).when(kind == 1, F.reverse("item")).when(kind == 2, F.replace(F.base64(F.encode("item", "UTF-8")), F.lit("\r\n"), F.lit(""))).otherwise("")
+    planted = docs.join(items, "item_id", "left").select("response_id", F.concat("text", F.lit("\n"), F.coalesce(hidden, F.lit(""))).alias("text"))
+    return answers.protected_matches(planted, table(spark, sf_dir, "benchmark"))
+
+
 @query(r"""WITH w AS (SELECT conv_id, turn, text, regexp_split_to_array(trim(text), '\s+') AS w FROM conversations)
   SELECT conv_id, turn, unnest(CASE WHEN len(w) <= 12 THEN [text] ELSE list_concat([array_to_string(w[i:i+11], ' ') FOR i IN range(1, len(w) - 10, 6)], [array_to_string(w[len(w)-11:len(w)], ' '), text]) END) AS win FROM w""")
 def word_windows(spark, sf_dir):
@@ -386,7 +410,10 @@ QUESTIONS = f"(SELECT vec_id AS question_id, label, embedding::DOUBLE[] AS q, ['
 VECTORS = f"""(SELECT vec_id, vec_id::VARCHAR AS chunk_id, {TIER.format('vec_id')} AS tier, vec_id % 3 AS rank, {ORIGIN.format('vec_id')} AS origin, {REVIEWED.format('vec_id')} AS reviewed, embedding::DOUBLE[] AS v FROM embeddings)"""
 COSINE = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
 NEAREST = f"""(SELECT * FROM (SELECT question_id, chunk_id, vec_id, tier, origin, reviewed, distance, row_number() OVER (PARTITION BY question_id, coalesce(origin, 'curated') = 'curated' ORDER BY distance, rank, chunk_id) AS place
-  FROM (SELECT question_id, chunk_id, vec_id, tier, rank, origin, reviewed, 1 - {COSINE.format('q', 'v')} AS distance FROM {QUESTIONS} JOIN {VECTORS} ON rank <= label % 3 AND vec_id % 2 = 1)) WHERE place <= 4)"""
+  FROM (SELECT question_id, chunk_id, vec_id, tier, rank, origin, reviewed, 1 - {COSINE.format('q', 'v')} AS distance FROM {QUESTIONS} JOIN {VECTORS} ON rank <= label % 3 AND vec_id <> question_id)) WHERE place <= 4)"""
+
+#: The same among vectors whose text is there.
+TOLD = NEAREST.replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))")
 
 
 def _search_tables(spark, sf_dir):
@@ -401,16 +428,17 @@ def _search_tables(spark, sf_dir):
     return questions, vectors, retrieval.readable_tiers(people, corpus.tiers(spark))
 
 
-@query(f"SELECT question_id, chunk_id, place::INT AS place, round(distance, 6) + 0.0 AS distance FROM {NEAREST}")
+@query(f"SELECT question_id, chunk_id, place::INT AS place, round(distance, 6) + 0.0 AS distance FROM {NEAREST.replace('vec_id <> question_id', 'vec_id <> question_id AND reviewed IS DISTINCT FROM false')}")
 def nearest_chunks(spark, sf_dir):
+    """Under a filter before the search: chunks that a review refused are left out."""
     questions, vectors, grants = _search_tables(spark, sf_dir)
-    found = retrieval.nearest_chunks(questions, vectors, grants, where=F.col("vec_id") % 2 == 1)
+    found = retrieval.nearest_chunks(questions, vectors, grants, where=~F.col("reviewed").eqNullSafe(F.lit(False)), but_own=True)
     return found.select("question_id", "chunk_id", "place", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 @query(f"""SELECT question_id, chunk_id, place::INT AS place, round(distance, 6) + 0.0 AS distance FROM (SELECT question_id, chunk_id, distance,
   row_number() OVER (PARTITION BY question_id ORDER BY coalesce(origin, 'curated') <> 'curated', distance, chunk_id) AS place
-  FROM {NEAREST} JOIN documents ON vec_id = doc_id WHERE distance <= 0.75 AND (coalesce(origin, 'curated') = 'curated' OR reviewed IS NOT DISTINCT FROM true)) WHERE place <= 4""")
+  FROM {TOLD} JOIN documents ON vec_id = doc_id WHERE distance <= 0.75 AND (coalesce(origin, 'curated') = 'curated' OR reviewed IS NOT DISTINCT FROM true)) WHERE place <= 4""")
 def retrieve_answers(spark, sf_dir):
     return _retrieved(spark, sf_dir).select("question_id", "chunk_id", "place", (F.round("distance", 6) + 0.0).alias("distance"))
 
@@ -418,7 +446,7 @@ def retrieve_answers(spark, sf_dir):
 def _retrieved(spark, sf_dir):
     questions, vectors, grants = _search_tables(spark, sf_dir)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
-    return retrieval.retrieve(questions, vectors.where(F.col("vec_id") % 2 == 1).join(texts, "vec_id"), grants)
+    return retrieval.retrieve(questions, vectors.join(texts, "vec_id"), grants, but_own=True)
 
 
 @query()
@@ -432,10 +460,59 @@ def answer_context(spark, sf_dir):
   FROM (SELECT *, coalesce(origin, 'curated') = 'curated' OR reviewed IS NOT DISTINCT FROM true AS trusted FROM {NEAREST}) GROUP BY question_id""")
 def origin_counts(spark, sf_dir):
     questions, vectors, grants = _search_tables(spark, sf_dir)
-    found = retrieval.nearest_chunks(questions, vectors, grants, where=F.col("vec_id") % 2 == 1)
+    found = retrieval.nearest_chunks(questions, vectors, grants, but_own=True)
     return retrieval.origin_counts(found.join(vectors.select("chunk_id", "reviewed"), "chunk_id"))
 
 
+UNCLASSED = NEAREST.replace("PARTITION BY question_id, coalesce(origin, 'curated') = 'curated'", "PARTITION BY question_id")
+
+
+@query(f"SELECT question_id, chunk_id, place::INT AS place FROM {UNCLASSED}")
+def nearest_without_classes(spark, sf_dir):
+    questions, vectors, grants = _search_tables(spark, sf_dir)
+    return retrieval.nearest_chunks(questions, vectors, grants, per_class=False, but_own=True).select("question_id", "chunk_id", "place")
+
+
+def _payload_hits(spark, sf_dir):
+    questions, vectors, grants = _search_tables(spark, sf_dir)
+    found = retrieval.nearest_chunks(questions, vectors, grants, but_own=True)
+    texts = with_payloads(documents(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("chunk_id"), "source", "text")
+    return found.join(texts, "chunk_id")
+
+
+FLAGGED = f"""(SELECT question_id, string_split(flags, ',') AS f, flags <> '' AS hit FROM (SELECT question_id, {_rules_sql(rules.INJECTION_RULES, 'p')} AS flags
+  FROM {NEAREST} JOIN (SELECT doc_id, {PAYLOAD} AS p FROM {DOCUMENTS}) ON vec_id = doc_id))"""
+
+
+@query(f"""SELECT question_id, count(*) AS retrieved, count(*) FILTER (hit) AS dropped,
+  coalesce(array_to_string(list_sort(list_distinct(flatten(list(f) FILTER (hit)))), ','), '') AS flags FROM {FLAGGED} GROUP BY question_id""")
+def screening_counts(spark, sf_dir):
+    _, counts = retrieval.screen_hits(_payload_hits(spark, sf_dir))
+    return counts.select("question_id", "retrieved", "dropped", F.array_join("flags", ",").alias("flags"))
+
+
+@query(f"""SELECT question_id, chunk_id, CASE WHEN i.q IS NULL THEN 1.0 ELSE round({COSINE.format('v.embedding::DOUBLE[]', 'i.q')}, 6) END AS relevance,
+  i.q IS NULL OR {COSINE.format('v.embedding::DOUBLE[]', 'i.q')} >= 0.30 AS on_topic
+  FROM {NEAREST} n JOIN embeddings v ON v.vec_id = n.vec_id LEFT JOIN (SELECT vec_id AS question_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0) i USING (question_id)""")
+def chunk_gate(spark, sf_dir):
+    """Questions with an odd number have no intent vector, so nothing of theirs is off topic."""
+    questions, vectors, grants = _search_tables(spark, sf_dir)
+    hits = retrieval.nearest_chunks(questions, vectors, grants, but_own=True).join(vectors.select("chunk_id", "embedding"), "chunk_id")
+    intents = questions.where(F.col("question_id") % 50 == 0).select("question_id", F.col("embedding").alias("intent_embedding"))
+    on, off = retrieval.chunk_relevance(hits, intents)
+    both = on.withColumn("on_topic", F.lit(True)).unionByName(off.withColumn("on_topic", F.lit(False)), allowMissingColumns=True)
+    return both.select("question_id", "chunk_id", F.round("relevance", 6).alias("relevance"), "on_topic")
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN refused THEN '{rules.REFUSAL.replace(chr(39), chr(39) * 2)}' ELSE text END AS answer, 0 AS n_flags
+  FROM (SELECT conv_id, turn, text, turn % 3 = 1 AS refused FROM conversations)""")
+def public_view(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("text").alias("answer"), (F.col("turn") % 3 == 1).alias("refused"), F.array("role").alias("flags")
+    )
+    return retrieval.uniform_refusal(c).select("conv_id", "turn", "answer", F.size("flags").alias("n_flags"))
+
+
 @query(f"""SELECT a.vec_id, round({COSINE.format('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')}, 6) AS relevance, CASE WHEN {COSINE.format('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')} < 0.35 THEN 'agent_off_topic_query' END AS flag
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 10""")
 def query_relevance(spark, sf_dir):
@@ -446,13 +523,13 @@ def query_relevance(spark, sf_dir):
 
 
 SCORES = f"""(SELECT a.vec_id // 5 AS response_id, a.vec_id % 5 AS pos, max({COSINE.format('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')}) AS score
-  FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id % 100 = 1) b GROUP BY ALL)"""
+  FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id % 50 = 0) b GROUP BY ALL)"""
 
 
 def _scores(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     v = e.select(F.floor(F.col("vec_id") / 5).alias("response_id"), (F.col("vec_id") % 5).alias("pos"), "embedding")
-    return answers.best_matches(v, e.where(F.col("vec_id") % 100 == 1), "score")
+    return answers.best_matches(v, e.where(F.col("vec_id") % 50 == 0), "score")  # the stated set that others search with
 
 
 @query(f"SELECT response_id, pos, round(score, 6) AS score FROM {SCORES}")
@@ -493,7 +570,7 @@ def refused_questions(spark, sf_dir):
   FROM {NEAREST} n JOIN documents ON vec_id = doc_id GROUP BY question_id""")
 def answer_sources(spark, sf_dir):
     questions, vectors, grants = _search_tables(spark, sf_dir)
-    found = retrieval.nearest_chunks(questions, vectors, grants, where=F.col("vec_id") % 2 == 1)
+    found = retrieval.nearest_chunks(questions, vectors, grants, but_own=True)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "source")
     hits = found.join(texts, "chunk_id")
     told = hits.select("question_id").distinct().withColumn("blocked", F.col("question_id") % 50 == 0)
@@ -621,7 +698,11 @@ def late_events(spark, sf_dir):
 def streamed_counts(spark, sf_dir):
     """The tumbling counts as a stream over the events, run until all that is there has been taken."""
     # the pattern stands for a file or a folder; a stream takes a plain path for a folder
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-wardstone-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:  # on one machine only
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-wardstone-")
     path = f"{base.rstrip('/')}/wardstone-streams/{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*").withColumn("at", F.col("ts").cast("timestamp"))
@@ -679,8 +760,8 @@ def canary_results(spark, sf_dir):
     return answers.canary_hits(runs, "upload/public/note.md").select("event_id", "valid", "hit")
 
 
-@query(f"SELECT doc_id, replace(replace(tpl, '{{payload}}', p), chr(10), ' ') AS text FROM (SELECT doc_id, substr({PAYLOAD}, -40) AS p FROM {DOCUMENTS}), (SELECT unnest(['Memo: {{payload}}', 'Note. {{payload}} End.']) AS tpl)")
+@query(f"SELECT doc_id, replace(replace(tpl, '{{payload}}', p), chr(10), ' ') AS text FROM (SELECT doc_id, {PAYLOAD} AS p FROM {DOCUMENTS}), (SELECT unnest(['Memo: {{payload}}', 'Note. {{payload}} End.']) AS tpl)")
 def payload_grid(spark, sf_dir):
-    payloads = with_payloads(documents(spark, sf_dir)).select("doc_id", F.substring("text", -40, 40).alias("payload"))
+    payloads = with_payloads(documents(spark, sf_dir)).select("doc_id", F.col("text").alias("payload"))
     templates = spark.createDataFrame([("Memo: {payload}",), ("Note. {payload} End.",)], "template string")
     return answers.payload_grid(payloads, templates).select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, nfkc, strip
 
-# Tiers in order, roles, origins, accepted suffixes and limits.
+# Tiers in order, roles, origins, accepted suffixes and limits; below, the texts of violations.
 TIERS = ("public", "internal", "restricted")
 ROLES = ("reader", "uploader", "approver")
 CURATED, UPLOAD, TICKETS = "curated", "upload", "connector:tickets"
 SUFFIXES = (".txt", ".md")
 MAX_BYTES = 2 * 1024 * 1024
 QUERY_CHARS, USERNAME_CHARS, FILENAME_CHARS = (3, 2000), 64, 128
-RECORD_SCHEMA = "id string, title string, body string, author string, acl string, updated_at string, seq int"
+RECORD_SCHEMA = "id string, title string, body string, author string, acl string, updated_at string, seq int, snapshot long, records long"
 DOCUMENT_COLUMNS = ("tier", "source", "origin", "text", "title", "author", "updated_at", "content_hash", "reviewed", "uploaded_by")
 
 
@@ -26,9 +26,15 @@ def tiers(spark: SparkSession) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, base: str, origin: str = CURATED) -> DataFrame:
-    """Files below <base>/<tier>/: tier, source, length, content. Contents over the size limit aren't read."""
+    """Files below <base>/<tier>/: tier, source, length, content. Contents over the size limit aren't read, and null.
+
+    Names and lengths come first; the contents of a second listing are joined to them, under a
+    filter of the length that the file source takes before it opens a file.
+    """
     root = base.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    contents = listed.where(F.col("length") <= MAX_BYTES).select("path", "content")
+    files = listed.select("path", "length").join(contents, "path", "left")
     relative = F.regexp_extract("path", r"^.*?\Q" + root.split(":", 1)[-1].lstrip("/") + r"\E/(.*)$", 1)
     return (
         files.select("path", "length", "content")

@@ -38,24 +38,47 @@ def sync_batch(records: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFra
     ), sync_counts(actions)
 
 
+def whole_snapshot(batch: DataFrame, landed: DataFrame | None) -> tuple[int | None, DataFrame | None]:
+    """(id, records) of the newest snapshot that a batch has records of; no records while some of it hasn't landed.
+
+    Records name their snapshot and the number of records in it. All of that snapshot that has
+    landed counts, in whatever files and batches it came. Records without an id are the batch's own snapshot.
+    """
+    newest = batch.agg(F.max("snapshot")).first()[0] if "snapshot" in batch.columns else None
+    if newest is None:
+        return None, batch
+    own = (batch if landed is None else landed).where(F.col("snapshot") == newest)
+    there, said = own.agg(F.count(F.lit(1)), F.max("records")).first()
+    return newest, own if said is None or there >= said else None
+
+
 def start_sync(
     records: DataFrame,
     load: Callable[[], DataFrame],
     store: Callable[[DataFrame, int], None],
     checkpoint: str,
     every: str | None = "60 seconds",
+    landed: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Reconcile every snapshot that arrives. A batch that fails is logged and the loop goes on; the next snapshot repairs it.
+    """Reconcile every whole snapshot that arrives. A batch that fails is logged and the loop goes on; the next snapshot repairs it.
 
-    load reads the current index, store saves the new one for a batch number; without `every`
-    all that has landed is taken at once and the query ends.
+    load reads the current index, store saves the new one for a batch number, landed reads all
+    records so far; a snapshot older than the last one taken is passed over. Without `every` all
+    that has landed is taken at once and the query ends.
     """
+    taken: list[int] = []
 
     def one(batch: DataFrame, number: int) -> None:
         try:
-            new, counts = sync_batch(batch, load())
+            snapshot, rows = whole_snapshot(batch, landed() if landed else None)
+            if rows is None or (snapshot is not None and taken and snapshot < taken[-1]):
+                log.info("sync %s: snapshot %s is not whole or not the newest", number, snapshot)
+                return
+            new, counts = sync_batch(rows, load())
+            told = counts.first()  # against the index as it was
             store(new, number)
-            log.info("sync %s: %s", number, counts.first())
+            taken.extend([] if snapshot is None else [snapshot])
+            log.info("sync %s: %s", number, told)
         except Exception:
             log.exception("sync %s failed", number)
 
@@ -107,9 +130,10 @@ class FixedWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         start, n = self.state.get() if self.state.exists() else (None, 0)
-        for batch in rows:
+        times = pd.concat([batch["at"] for batch in rows]).sort_values()  # a key's times of one micro-batch, whatever its Arrow batches
+        for first in range(0, len(times), 10_000):
             out = []
-            for at in batch.sort_values("at")["at"]:
+            for at in times.iloc[first : first + 10_000]:
                 seconds = at.timestamp()
                 if start is None or seconds - start >= self.window:
                     start, n = seconds, 0
