@@ -37,8 +37,8 @@ BODIES = pa.schema([("run", pa.int64()), ("n", pa.int64()), ("least_doc", pa.int
 FOUND_SCHEMA = "run long, ranges array<struct<lo:int,hi:int,least:long>>"
 #: Bytes of distinct runs in a shard, about; runs that a task gathers before it sends them.
 SHARD, GATHERED = 1 << 20, 100_000
-#: Different runs of one minimiser past which they are not searched in one shard, as they would fill it.
-HOT = SHARD // 64
+#: Different runs of one minimiser past which they are not searched in one shard, as they would fill two.
+HOT = SHARD // 32
 #: Runs that hold one window past which its total is broadcast to them, at least.
 HEAVY = 4096
 
