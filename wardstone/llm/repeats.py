@@ -465,5 +465,61 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+#: What is left of each row after its hits (row, place), as windows [place, place + {length}): islands, what stands between them, its digest.
+SQL_KEPT = """
+islands AS (
+  SELECT row_no, min(place) AS lo, max(place) + {length} AS hi FROM (
+    SELECT row_no, place, sum(fresh) OVER (PARTITION BY row_no ORDER BY place) AS island FROM (
+      SELECT row_no, place, (place - lag(place, 1, -1000000) OVER (PARTITION BY row_no ORDER BY place) > {length})::INT AS fresh FROM hits))
+  GROUP BY row_no, island
+), cuts AS (
+  SELECT row_no, hi AS after_, coalesce(lead(lo) OVER (PARTITION BY row_no ORDER BY lo), 1000000000) AS before_ FROM islands
+  UNION ALL SELECT row_no, 0, min(lo) FROM islands GROUP BY row_no
+)
+"""
+SQL = {
+    "op1_substring_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT row_no, place, array_to_string(w[place + 1:place + 35], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - 34)) AS place FROM d)
+), hits AS (
+  SELECT row_no, place FROM windows WHERE g IN (SELECT g FROM windows GROUP BY g HAVING count(*) > 1)
+), """
+    + SQL_KEPT.format(length=35)
+    + """, kept AS (
+  SELECT row_no, flatten(list(w[after_ + 1:before_] ORDER BY after_)) AS k FROM cuts JOIN d USING (row_no) GROUP BY row_no
+), gone AS (
+  SELECT row_no, sum(hi - lo) AS n, count(*) AS spans FROM islands GROUP BY row_no
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(array_to_string(coalesce(k, w), ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (row_no) LEFT JOIN kept USING (row_no)
+""",
+    "op6_suffix_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(doc_id, 9223372036854775807) AS rank, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+  SELECT row_no, rank, base, substr(h, 2 * base + 1, 2098) AS piece FROM (SELECT *, unnest(range(0, length(h) // 2, 1000)) AS base FROM d)
+), windows AS (
+  SELECT row_no, rank, base + step AS place, substr(piece, 2 * step + 1, 100) AS g
+  FROM (SELECT *, unnest(range(0, least(1000, length(piece) // 2 - 49))) AS step FROM pieces)
+), least AS (
+  SELECT g, min(rank) AS least FROM windows GROUP BY g HAVING count(*) > 1
+), hits AS (
+  SELECT row_no, place FROM windows JOIN least USING (g) WHERE least < rank
+), """
+    + SQL_KEPT.format(length=50)
+    + """, kept AS (
+  SELECT row_no, string_agg(substr(h, 2 * after_ + 1, 2 * (least(before_, length(h)) - after_)), '' ORDER BY after_) AS k
+  FROM cuts JOIN d USING (row_no) GROUP BY row_no
+), gone AS (
+  SELECT row_no, sum(hi - lo) AS n, count(*) AS spans FROM islands GROUP BY row_no
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN gone USING (row_no) LEFT JOIN kept USING (row_no)
+""",
+}
+
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op6_suffix_dedup": op6_suffix_dedup}
-SQL: dict[str, str] = {}
