@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import rows_of, stored, table
@@ -17,7 +18,7 @@ MERGE, RELABEL, INSERT = 1, 2, 3
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 FAR = 1 << 40
-#: Turns of a block; the repair of a longer conversation is put together from its blocks'.
+#: Rows of a block; the repair of a longer conversation is put together from its blocks'.
 BLOCK = 256
 
 
@@ -119,25 +120,56 @@ def format_chats(turns: DataFrame) -> DataFrame:
     the parts in order of turn are the whole conversation. `cost` is the row's own, endings
     included.
 
-    Turns are ordered by turn (null first), then role and text, so ties and repeated rows have a
-    place. Null or unknown roles cost a relabelling whatever they become; null texts count as
-    empty. Rows with a null conv_id form one conversation. Extra columns are ignored; an empty
-    table gives no rows.
+    Turns are ordered by turn (null first), then role and text (its first characters, then its
+    hash), so ties and repeated rows have a place. Null or unknown roles cost a relabelling whatever
+    they become; null texts count as empty. Rows with a null conv_id form one conversation. Extra
+    columns are ignored; an empty table gives no rows.
 
-    Only roles decide, and costs of blocks of turns compose: a block's 4 x 4 least costs, one pass
-    over a conversation's blocks for the states between them, then the blocks on their own.
-    So a conversation of any length is spread over tasks.
+    Rows are range-sorted and numbered, the number of a range's first row in its conversation being
+    a sum over the ranges before it; so blocks have BLOCK rows, whatever turns are null, equal or
+    repeated. Only roles decide, and costs of blocks compose: a block's 4 x 4 least costs, one pass
+    over a conversation's blocks for the states between them, then the blocks on their own. So a
+    conversation of any length is spread over tasks.
     """
     spark = turns.sparkSession
-    rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("said"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        _role_number(F.col("role")).alias("role"),
-    ).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))).cast("long"))
-    order = ["conv_id", "block", "turn", "said", "text"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["conv_id", "turn", "said", "head", "h", "salt"]
+    sorted_rows = (
+        turns.select(
+            F.col("conv_id").cast("long").alias("conv_id"),
+            F.col("turn").cast("long").alias("turn"),
+            F.coalesce(F.col("role").cast("string"), F.lit("")).alias("said"),
+            F.coalesce("text", F.lit("")).alias("text"),
+            _role_number(F.col("role")).alias("role"),
+        )
+        .withColumns({"head": F.substring("text", 1, 64), "h": F.xxhash64("text"), "salt": F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))})
+        .repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
+        .select("conv_id", "turn", "text", "role", F.spark_partition_id().alias("range"), F.lit(0).cast("long").alias("place"))
+    )
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The number of each row among those of its range and conversation."""
+        current, count = object(), 0
+        for batch in batches:
+            places = np.zeros(len(batch), np.int64)
+            for i, conv in enumerate(rows_of(batch, "conv_id").to_pylist()):
+                if conv != current:
+                    current, count = conv, 0
+                places[i] = count
+                count += 1
+            yield batch.set_column(batch.schema.get_field_index("place"), "place", pa.array(places))
+
+    numbered = stored(sorted_rows.mapInArrow(place, sorted_rows.schema), "chat-turns")
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    begun = numbered.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("rows")).select(
+        F.col("conv_id").alias("c"), F.col("range").alias("r"), F.sum("rows").over(earlier).alias("before")
+    ).where("before > 0")
+    begun = F.broadcast(begun)  # a row for each conversation that goes on in a range: one a range at most
+    rows = numbered.join(begun, numbered.conv_id.eqNullSafe(F.col("c")) & (numbered.range == F.col("r")), "left").select(
+        "conv_id", "turn", "text", "role", (F.col("place") + F.coalesce("before", F.lit(0))).alias("number")
+    ).withColumn("block", F.floor(F.col("number") / BLOCK).cast("long"))
+    order = ["conv_id", "block", "number"]
 
     def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, block), group in _groups(batches, ["conv_id", "block"], ["role"]):
@@ -146,7 +178,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
                 [pa.array([conv], pa.int64()), pa.array([block], pa.int64()), pa.array([flat], pa.list_(pa.int64()))], ["conv_id", "block", "costs"]
             )
 
-    long_ones = rows.groupBy("conv_id").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("conv_id")
+    long_ones = rows.groupBy("conv_id").agg(F.max("block").alias("last")).where("last > 0").select("conv_id")
     long_ones = stored(long_ones, "long-chats")
     of_long = rows.join(long_ones, rows.conv_id.eqNullSafe(long_ones.conv_id), "left_semi")
     matrices = (
