@@ -365,6 +365,22 @@ def test_chat_rendering(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_equal_turns_and_null_conversations_are_cut_into_blocks(spark, monkeypatch):
+    whole = chat._groups
+
+    def watched(batches, keys, columns):
+        for key, rows in whole(batches, keys, columns):
+            assert len(rows) <= chat.BLOCK or keys == ["conv_id"]
+            yield key, rows
+
+    monkeypatch.setattr(chat, "_groups", watched)
+    rows = [(None, None, "user", "same", 1)] * 700 + [(None, 3, "assistant", "a", 1)] * 300 + [(5, 1, "user", f"t{i % 3}", 1) for i in range(600)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, block int")).collect()
+    assert len(got) == len(rows)
+    assert sum(r.cost for r in got if r.conv_id is None) == cheapest([2] * 700 + [3] * 300)
+    assert sum(r.cost for r in got if r.conv_id == 5) == cheapest([2] * 600)
+
+
 def test_every_operator_is_registered():
     from wardstone import llm
 
