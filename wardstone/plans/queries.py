@@ -436,9 +436,12 @@ def nearest_chunks(spark, sf_dir):
     return found.select("question_id", "chunk_id", "place", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
-@query(f"""SELECT question_id, chunk_id, place::INT AS place, round(distance, 6) + 0.0 AS distance FROM (SELECT question_id, chunk_id, distance,
+ANSWERING = f"""(SELECT question_id, chunk_id, place::INT AS place, distance, source, text FROM (SELECT question_id, chunk_id, distance, source, text,
   row_number() OVER (PARTITION BY question_id ORDER BY coalesce(origin, 'curated') <> 'curated', distance, chunk_id) AS place
-  FROM {TOLD} JOIN documents ON vec_id = doc_id WHERE distance <= 0.75 AND (coalesce(origin, 'curated') = 'curated' OR reviewed IS NOT DISTINCT FROM true)) WHERE place <= 4""")
+  FROM {TOLD} JOIN documents ON vec_id = doc_id WHERE distance <= 0.75 AND (coalesce(origin, 'curated') = 'curated' OR reviewed IS NOT DISTINCT FROM true)) WHERE place <= 4)"""
+
+
+@query(f"SELECT question_id, chunk_id, place, round(distance, 6) + 0.0 AS distance FROM {ANSWERING}")
 def retrieve_answers(spark, sf_dir):
     return _retrieved(spark, sf_dir).select("question_id", "chunk_id", "place", (F.round("distance", 6) + 0.0).alias("distance"))
 
@@ -449,7 +452,8 @@ def _retrieved(spark, sf_dir):
     return retrieval.retrieve(questions, vectors.join(texts, "vec_id"), grants, but_own=True)
 
 
-@query()
+@query(f"""SELECT question_id, string_agg('<document source="' || source || '">' || chr(10) || text || chr(10) || '</document>', chr(10) || chr(10) ORDER BY place) AS context
+  FROM {ANSWERING} GROUP BY question_id""")
 def answer_context(spark, sf_dir):
     questions, vectors, grants = _search_tables(spark, sf_dir)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
