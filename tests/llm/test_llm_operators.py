@@ -290,6 +290,10 @@ def test_token_counts(spark, awkward, empty, tmp_path):
         stored = token_counts.cached_counts(spark, cache)
         assert stored.count() == stored.select("content_digest").distinct().count() == len({r[1] or "" for r in AWKWARD})
     assert token_counts.count_tokens(empty, model, "sentencepiece", cache).count() == 0
+    odd = ["<s> </s> <unk> <pad>", "\u2581 \u2581", "x \u00a0\u3000 y", "word " * 5000, "\U0001f600" * 50, "<s>", "a\nb\tc"]
+    docs = spark.createDataFrame([(i, t, "d", 1) for i, t in enumerate(odd)], "doc_id long, text string, content_digest string, n_tokens int")
+    got = {r.doc_id: (r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, model, "sentencepiece", cache).collect()}
+    assert got == {i: (len(encoder.encode(t)), len(encoder.encode(t)) > 4096) for i, t in enumerate(odd)} and got[3][1]
 
 
 def test_quality(spark, awkward, empty):
@@ -321,6 +325,38 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def brute_licenses(files, templates, threshold):
+    """Own licence and score of each text, by plain TF-IDF vectors of all statements and templates."""
+    def terms(x):
+        return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", x.lower())
+
+    def pieces(text):
+        return [x for x in re.split(r"<[^>]*>|[\n\r]+|(?<=[.!?;]) ", text or "") if x.strip()]
+
+    found = [[Counter(terms(x)) for x in pieces(text)] for text in files]
+    held = Counter(t for bags in found for bag in bags for t in bag)
+    n, known = sum(map(len, found)), {t for ws in templates.values() for w in ws for t in terms(w)}
+    idf = {t: np.log((1 + n) / (1 + held[t])) + 1 for t in known}
+    weigh = lambda bag: {t: c * idf.get(t, np.log(1 + n) + 1) for t, c in bag.items()}
+    wordings = [(name, weigh(Counter(terms(w)))) for name, ws in templates.items() for w in ws]
+    size = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    for bags in found:
+        scored = [(-round(sum(x * v.get(t, 0) for t, x in w.items()) / size(w) / size(v), 9), name) for v in map(weigh, bags) if v for name, w in wordings]
+        score, name = min(scored, default=(0, None))
+        yield (name, -score) if -score >= threshold else (None, None)
+
+
+def test_license_scores_against_plain_tf_idf(spark):
+    pages = [r[0] for d, c in (("pages", "html"), ("documents", "text")) for r in table(spark, SF, d).select(c).collect()]
+    texts = pages + [w for ws in licenses.TEMPLATES.values() for w in ws] + [None, "", "Licensed under the Licensed under License.", "the the the"]
+    rows = [(i, None, t, "x") for i, t in enumerate(texts)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "id long, path string, text string, directory string")).orderBy("id").collect()
+    want = list(brute_licenses(texts, licenses.TEMPLATES, licenses.THRESHOLD))
+    assert [(r.license, r.score and round(r.score, 9)) for r in got] == want
+    named = [name for name, ws in licenses.TEMPLATES.items() for _ in ws]
+    assert [r.license for r in got[len(pages) : len(pages) + len(named)]] == named and sum(w[0] is not None for w in want[: len(pages)])
+
+
 def cheapest(roles):
     """Least cost by trying every role and every insertion, turn by turn."""
     states = {0: 0}
