@@ -18,8 +18,6 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles are ordered by how often their cell of this many (a power of 2) occurs, rarest first.
 CELL_BITS = 22
-#: Column of row_id() while rows are chosen.
-ROW_ID = "wardstone row id"
 #: Partners that one task compares with a copy of a pivot, about.
 CHUNK = 128
 
@@ -369,6 +367,14 @@ def row_id() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
+def id_column(docs: DataFrame) -> str:
+    """A name for row_id() that no column of docs has."""
+    name = "row_id"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    return name
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of each group of linked rows the one with the smallest doc_id (null last), of repeated rows one; rows without shingles all stay."""
     members, least = _members(docs)
@@ -378,12 +384,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     discard(members)
     discard(least)
     free_shuffles(docs.sparkSession)
-    named = docs.withColumn(ROW_ID, row_id()).join(kept.withColumnRenamed("rid", ROW_ID), ROW_ID, "left_semi")
+    name = id_column(docs)
+    named = docs.withColumn(name, row_id()).join(kept.withColumnRenamed("rid", name), name, "left_semi")
     if repeated.isEmpty():
-        return named.drop(ROW_ID)
-    again = repeated.withColumnRenamed("rid", ROW_ID)
-    one = named.join(again, ROW_ID, "left_semi").dropDuplicates([ROW_ID])
-    return named.join(again, ROW_ID, "left_anti").unionByName(one).drop(ROW_ID)
+        return named.drop(name)
+    again = repeated.withColumnRenamed("rid", name)
+    one = named.join(again, name, "left_semi").dropDuplicates([name])
+    return named.join(again, name, "left_anti").unionByName(one).drop(name)
 
 
 def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,8 +27,6 @@ from .suffixes import FmIndex, suffix_ranks
 from .windows import Units, byte_units, pieces, run_hashes, runs_of, word_units
 
 NO_DOC = 2**63 - 1
-#: Field of carried rows.
-HAD_TEXT = "wardstone had text"
 RUN_SCHEMA = (
     "rid long, doc_id long, text string, n_units long, sha256 string, "
     "starts array<int>, counts array<int>, runs array<long>, keys array<long>"
@@ -348,13 +346,13 @@ def _searched(runs: DataFrame, plan: Plan, search: Callable, n_parts: int) -> Da
 
 
 def _removed(docs: DataFrame, plan: Plan, search: Callable, with_text: bool = False) -> DataFrame:
-    """doc_id, n_units, n_removed, n_spans, kept_sha256 for each input row; with_text: also kept_text, and the row itself as `row`."""
+    """doc_id, n_units, n_removed, n_spans, kept_sha256 for each input row; with_text: also kept_text, row and had_text."""
     spark = docs.sparkSession
-    carried = ("row",) if with_text else ()
+    carried = ("row", "had_text") if with_text else ()
     identified = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
-        *[F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"], F.col("text").isNotNull().alias(HAD_TEXT)).alias(c) for c in carried],
+        *[F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row"), F.col("text").isNotNull().alias("had_text")][: len(carried)],
     )
     found, n_parts = _runs(identified.withColumn("rid", F.xxhash64("doc_id", "text")), plan, carried)
     runs = stored_by(found, "rid", n_parts, "runs", placed=True)
@@ -451,8 +449,8 @@ def remove_repeated_bytes(docs: DataFrame, plan: Plan = BYTES, with_text: bool =
     Null texts count as empty. A null doc_id counts as greater than all others. A cut inside a
     multi-byte character leaves its remaining bytes. Long texts are read in overlapping pieces.
     Extra columns are ignored; an empty table gives no rows. with_text adds kept_text, without the
-    bytes of cut characters, and the input row as the struct `row`, with HAD_TEXT (whether the text
-    wasn't null) instead of the text.
+    bytes of cut characters, the input row but its text as the struct `row`, and had_text: whether
+    the text wasn't null.
     """
     return _removed(docs, plan, search_bytes, with_text).withColumnRenamed("n_units", "n_bytes")
 
