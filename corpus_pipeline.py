@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from wardstone.llm.common import release, scratch_dir, table
 from wardstone.llm.decontamination import contamination
 from wardstone.llm.mixing import mix_sources
-from wardstone.llm.ngram_join import ROW_ID, one_of_each, row_id
+from wardstone.llm.ngram_join import id_column, one_of_each, row_id
 from wardstone.llm.quality import fit_quality, score_quality
-from wardstone.llm.repeats import HAD_TEXT, remove_repeated_bytes
+from wardstone.llm.repeats import remove_repeated_bytes
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     cut = remove_repeated_bytes(docs, with_text=True)
     changed = F.col("n_removed") > 0
     new = {
-        "text": F.when(changed | F.col(f"row.`{HAD_TEXT}`"), F.col("kept_text")),
+        "text": F.when(changed | F.col("had_text"), F.col("kept_text")),
         "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars")),
     }
     return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
@@ -59,9 +59,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no passage of a benchmark item. Rows are judged by their own text, not by their doc_id; null texts stay."""
     release(spark)
-    named = docs.withColumn(ROW_ID, row_id())
-    found = contamination(named.select(F.col(ROW_ID).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return named.join(found.select(F.col("doc_id").alias(ROW_ID)).distinct(), ROW_ID, "left_anti").drop(ROW_ID)
+    name = id_column(docs)
+    named = docs.withColumn(name, row_id())
+    found = contamination(named.select(F.col(name).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return named.join(found.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").drop(name)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
