@@ -39,3 +39,42 @@ def test_stages(spark, tmp_path):
             assert Counter(map(tuple, after.select("doc_id", "size", "source_size", "target", "taken").collect())) == duck(mixing.mix_sql(), documents=docs)
         docs = after
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+LONG = " ".join(f"w{i}" for i in range(60))
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, facts map<string,int>, `a.b` int, rid long, `row` string, row_id int"
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """Null, empty, repeated and tied rows, maps, dotted and clashing names."""
+    texts = [(3, LONG), (6, LONG), (6, LONG), (6, "other words entirely"), (None, LONG + " tail"), (7, None), (7, None), (8, ""), (None, "  "), (9, "short one"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, {"k": n}, n, 5, "x", 1) for n, (i, t) in enumerate(texts)], SCHEMA)
+    stages = {name: f for name, f in corpus_pipeline.STAGES}
+    sf = SF
+
+    kept = stages["n-gram Jaccard join"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+        [(3, LONG), (6, "other words entirely"), (7, None), (8, ""), (None, "  "), (9, "short one"), (None, None)]
+    )
+
+    cut = stages["suffix-array dedup"](spark, docs, sf)
+    assert cut.columns == docs.columns
+    got = cut.collect()
+    want = [(i, n - gone, t if not gone else None) for (i, t), (n, gone, _, _) in zip(texts, repeated_bytes(texts), strict=True)]
+    assert Counter((r.doc_id, len((r.text or "").encode())) for r in got) == Counter((i, n) for i, n, _ in want)
+    assert Counter((r.doc_id, r.text) for r in got if r.text is None) == Counter((i, t) for i, t in texts if t is None)
+    assert {t for i, _, t in want if t} <= {r.text for r in got} and all(set(r.facts) == {"k"} for r in got)
+
+    item = table(spark, SF, "benchmark").orderBy("item_id").first().text
+    mixed = [(1, item), (1, "clean words"), (None, item), (None, "more clean words"), (2, None), (2, None)]
+    docs3 = spark.createDataFrame([(i, t, "en", "s", 1, {"k": n}, n, 5, "x", 1) for n, (i, t) in enumerate(mixed)], SCHEMA)
+    clean = stages["benchmark decontamination"](spark, docs3, sf)
+    assert clean.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter([(1, "clean words"), (None, "more clean words"), (2, None), (2, None)])
+
+    good = stages["quality classifier"](spark, docs, sf)  # no label fits these rows
+    assert good.columns == docs.columns and good.count() == docs.count()
+    assert stages["mixing sources to target weights"](spark, docs, sf).count() == docs.count()
+    for name, stage in stages.items():
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
