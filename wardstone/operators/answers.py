@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import REDACTED, REFUSAL, block_flags, redact, redact_flags
 from ..functions.text import (
-    claims, cosine, decoded_variants, figures, has_markup, neutralise_markup, normalise, phonetic_fold, secret_core, strip, verdicts, word_grams,
+    claims, cosine, decoded_variants, figures, gram_hashes, has_markup, neutralise_markup, normalise, phonetic_fold, secret_core, strip, verdicts, word_grams,
 )
 
 # Fixed values.
@@ -57,15 +57,21 @@ def unsupported_claims(answers: DataFrame, replies: DataFrame, evidence: DataFra
 
 
 def protected_matches(responses: DataFrame, protected: DataFrame, decoded: bool = True) -> DataFrame:
-    """response_id of responses that share an 8-gram with protected text, as written or in a decoded variant."""
-    def grams_of(df: DataFrame, *keys: str) -> DataFrame:
-        return df.select(*keys, normalise(F.col("text")).alias("folded")).select(*keys, F.explode(word_grams(F.col("folded"))).alias("gram"))
+    """response_id of responses that share an 8-gram with protected text, as written or in a decoded variant.
 
-    grams = small(grams_of(protected).distinct())  # hashed where they meet; equal strings are compared by the join
+    Grams meet by 64-bit hashes, one long a word; the strings themselves are compared for texts with a hit.
+    """
+
+    def folded(df: DataFrame, *keys: str) -> DataFrame:
+        return df.select(*keys, normalise(F.col("text")).alias("folded"))
+
+    grams = folded(protected).select(F.explode(word_grams(F.col("folded"))).alias("gram")).distinct()
+    hashes = small(folded(protected).select(F.explode(gram_hashes(F.col("folded"))).alias("h")).distinct())
     texts = F.concat(F.array("text"), decoded_variants(F.col("text"))) if decoded else F.array("text")
-    variants = responses.where(F.col("text").isNotNull()).select("response_id", F.explode(texts).alias("text"))
-    found = grams_of(variants, "response_id").join(grams, "gram", "left_semi")
-    return found.select("response_id").distinct()
+    variants = folded(responses.where(F.col("text").isNotNull()).select("response_id", F.explode(texts).alias("text")), "response_id")
+    met = variants.select("response_id", "folded", F.explode(gram_hashes(F.col("folded"))).alias("h")).join(hashes, "h", "left_semi")
+    near = met.select("response_id", "folded").distinct().select("response_id", F.explode(word_grams(F.col("folded"))).alias("gram"))
+    return near.join(small(grams), "gram", "left_semi").select("response_id").distinct()
 
 
 def registered_secrets(values: DataFrame) -> DataFrame:

@@ -290,15 +290,20 @@ def _rules_sql(rules_: tuple[tuple[str, str], ...], column: str) -> str:
     return f"array_to_string(list_filter([{found}], lambda x: x IS NOT NULL), ',')"
 
 
+def flagged(docs: DataFrame, flags: Column) -> DataFrame:
+    """Rows with flags. Through explode, as a filter would else be pushed below and try every rule twice."""
+    return docs.select("doc_id", F.explode(F.array(F.array_join(flags, ","))).alias("flags")).where("flags <> ''")
+
+
 @query(f"SELECT doc_id, flags FROM (SELECT doc_id, {_rules_sql(rules.INJECTION_RULES, 'p')} AS flags FROM (SELECT doc_id, {PAYLOAD} AS p FROM {DOCUMENTS})) WHERE flags <> ''")
 def injection_screen(spark, sf_dir):
     flags = rules.document_flags(F.col("source"), F.col("text"))
-    return with_payloads(documents(spark, sf_dir)).select("doc_id", F.array_join(flags, ",").alias("flags")).where("flags <> ''")
+    return flagged(with_payloads(documents(spark, sf_dir)), flags)
 
 
 @query(f"SELECT doc_id, flags FROM (SELECT doc_id, {_rules_sql(rules.BLOCK_RULES, 'p')} AS flags FROM (SELECT doc_id, {PAYLOAD} AS p FROM {DOCUMENTS})) WHERE flags <> ''")
 def block_screen(spark, sf_dir):
-    return with_payloads(documents(spark, sf_dir)).select("doc_id", F.array_join(rules.block_flags(F.col("text")), ",").alias("flags")).where("flags <> ''")
+    return flagged(with_payloads(documents(spark, sf_dir)), rules.block_flags(F.col("text")))
 
 
 @query(f"SELECT doc_id, {_rules_sql(rules.REDACT_RULES, 'p')} AS flags FROM (SELECT doc_id, {PAYLOAD} AS p FROM {DOCUMENTS})")
