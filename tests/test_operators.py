@@ -125,6 +125,18 @@ def test_large_files_are_quarantined_unread(spark, tmp_path, monkeypatch):
     assert rows(good.select("source")) == [("public/b.txt",)] and rows(bad.select("source", "reason")) == [("public/a.txt", "too_large")]
 
 
+def test_a_failing_source_takes_no_other_along(spark, tmp_path):
+    good = spark.createDataFrame([("public", "a", "x")], "tier string, source string, text string")
+
+    def broken():
+        raise OSError("no route")
+
+    late = lambda: good.withColumn("text", F.raise_error(F.lit("fails when it is read")))
+    documents, failed = corpus.sweep_sources(spark, {"files": lambda: good, "tickets": broken, "late": late}, str(tmp_path / "sweep"))
+    assert rows(documents.select("source", "text")) == [("a", "x")] and sorted(r.name for r in failed.collect()) == ["late", "tickets"]
+    assert corpus.sweep_sources(spark, {"tickets": broken}, str(tmp_path / "none"))[0] is None
+
+
 def test_the_last_reply_counts(spark):
     told = spark.createDataFrame([(1, "One claim here.")], "question_id int, answer string")
     evidence = spark.createDataFrame([(1, "text")], "question_id int, text string")

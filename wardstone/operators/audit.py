@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,17 +99,24 @@ def rate_decisions(requests: DataFrame, limit: int, window_seconds: int, partiti
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, start, count = object(), 0, 0
+        width = window_seconds * 1_000_000
         for batch in batches:
-            numbers, keep = [], batch.schema.names.index("_micros")
-            for key, at in zip(batch.column("key").to_pylist(), batch.column("_micros").to_pylist(), strict=True):
-                at = at or 0
-                if key != current or at - start >= window_seconds * 1_000_000:
-                    current, start, count = key, at, 0
-                count += 1
-                numbers.append(count)
-            kept = batch.remove_column(keep) if hasattr(batch, "remove_column") else batch.drop_columns(["_micros"])
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(numbers, pa.int64()), pa.array([x <= limit for x in numbers])], [*kept.schema.names, "n", "allowed"]
-            )
+            keys = batch.column("key")
+            at = pc.fill_null(batch.column("_micros"), 0).to_numpy()
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(at)] if len(at) else []
+            numbers = np.zeros(len(at), np.int64)
+            for lo, hi in itertools.pairwise(edges):
+                if (key := keys[lo].as_py()) != current:
+                    current, start, count = key, int(at[lo]), 0
+                while lo < hi:  # a window at a time
+                    end = lo + int(np.searchsorted(at[lo:hi], start + width))
+                    numbers[lo:end] = np.arange(count + 1, count + 1 + end - lo)
+                    count += end - lo
+                    if end < hi:
+                        start, count = int(at[end]), 0
+                    lo = end
+            kept = batch.drop_columns(["_micros"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(numbers), pa.array(numbers <= limit)], [*kept.schema.names, "n", "allowed"])
 
     return plain.repartition(n_parts, "key").sortWithinPartitions("key", "_micros").mapInArrow(decide, schema)

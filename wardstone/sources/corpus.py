@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, nfkc, strip
 
+log = logging.getLogger(__name__)
+
 # Tiers in order, roles, origins, accepted suffixes and limits; below, the texts of violations.
 TIERS = ("public", "internal", "restricted")
 ROLES = ("reader", "uploader", "approver")
@@ -152,6 +156,23 @@ def union_sources(*documents: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), documents)
 
 
+def sweep_sources(spark: SparkSession, loaders: Mapping[str, Callable[[], DataFrame]], path: str) -> tuple[DataFrame | None, DataFrame]:
+    """(documents of all sources that could be read, failures: name, error). A source that fails takes no other along.
+
+    Each source is written on its own below path, so a failure shows where it happens and not when the union is used.
+    """
+    read, failed = [], []
+    for name, load in loaders.items():
+        try:
+            documents = load()
+            documents.write.mode("overwrite").parquet(f"{path}/{name}")
+            read.append(spark.read.schema(documents.schema).parquet(f"{path}/{name}"))
+        except Exception as error:
+            log.warning("source %s failed: %s", name, type(error).__name__)
+            failed.append((name, type(error).__name__))
+    return union_sources(*read) if read else None, spark.createDataFrame(failed, "name string, error string")
+
+
 def manifest_audit(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """name, sha256, status for each pinned artifact: match, mismatch or missing. files: name, content."""
     actual = files.select("name", F.sha2("content", 256).alias("actual"))
