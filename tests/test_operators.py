@@ -107,6 +107,23 @@ def test_ties_go_to_the_lower_tier_and_lesser_chunk(spark):
     assert [r.chunk_id for r in got] == ["c3", "c4", "c5", "c6"]
 
 
+def test_unreviewed_volume_cannot_evict_reviewed(spark):
+    data = [(f"u{i}", "public", "a", "upload", None, "t", [1.0, 0.001 * i]) for i in range(9)] + [("v", "public", "a", "upload", True, "t", [1.0, 0.5])]
+    grants = retrieval.readable_tiers(spark.createDataFrame([("ann", "public")], "username string, clearance string"), corpus.tiers(spark))
+    questions = spark.createDataFrame([(1, "ann", [1.0, 0.0])], "question_id long, username string, embedding array<double>")
+    for own, found in ((False, False), (True, True)):
+        got = retrieval.nearest_chunks(questions, chunk_rows(spark, data), grants, reviewed_budget=own)
+        assert ("v" in {r.chunk_id for r in got.collect()}) is found
+
+
+def test_an_approval_stays_while_the_content_does(spark):
+    schema = "tier string, source string, content_hash string, reviewed boolean, reviewed_by string, chunk_id string"
+    had = spark.createDataFrame([("public", "a", "1", True, "ann", "x"), ("public", "b", "1", True, "ann", "y"), ("public", "c", "1", None, None, "z")], schema)
+    new = spark.createDataFrame([("public", "a", "1", "x"), ("public", "b", "2", "y"), ("public", "c", "1", "z")], "tier string, source string, content_hash string, chunk_id string")
+    got = index.replace_sources(had, new, keep_reviews=True)
+    assert rows(got.select("source", "reviewed", "reviewed_by")) == [("a", True, "ann"), ("b", False, None), ("c", False, None)]
+
+
 def test_every_hit_passes_the_chunk_gate_or_not(spark):
     hits = spark.createDataFrame([(1, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0]), (1, "c", None), (2, "d", [1.0, 0.0]), (3, "e", [0.0, 0.0]), (1, "f", [0.0, 0.0])], "question_id int, chunk_id string, embedding array<double>")
     intents = spark.createDataFrame([(1, [1.0, 0.0]), (3, [])], "question_id int, intent_embedding array<double>")

@@ -23,9 +23,17 @@ def build_chunks(documents: DataFrame, size: int = 1000, overlap: int = 150) ->
     )
 
 
-def replace_sources(index: DataFrame, new: DataFrame) -> DataFrame:
-    """The index with every source of `new` replaced whole, so that a shorter version loses its tail."""
+def replace_sources(index: DataFrame, new: DataFrame, keep_reviews: bool = False) -> DataFrame:
+    """The index with every source of `new` replaced whole, so that a shorter version loses its tail.
+
+    keep_reviews: an approval stays while the source's content_hash is what was approved.
+    """
     touched = new.select("tier", "source").distinct()
+    if keep_reviews:
+        by = F.col("reviewed_by") if "reviewed_by" in index.columns else F.lit(None).cast("string")
+        approved = index.where(F.col("reviewed").eqNullSafe(F.lit(True))).groupBy("tier", "source", "content_hash").agg(F.max(by).alias("_by"), F.lit(True).alias("_approved"))
+        plain = new.drop("reviewed", "reviewed_by")
+        new = plain.join(approved, ["tier", "source", "content_hash"], "left").withColumns({"reviewed": F.coalesce("_approved", F.lit(False)), "reviewed_by": F.col("_by")}).drop("_by", "_approved")
     return index.join(touched, ["tier", "source"], "left_anti").unionByName(new, allowMissingColumns=True)
 
 

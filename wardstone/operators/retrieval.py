@@ -67,13 +67,15 @@ def is_trusted(origin: Column, reviewed: Column) -> Column:
 
 def nearest_chunks(
     questions: DataFrame, chunks: DataFrame, grants: DataFrame, k: int = TOP_K, per_class: bool = True, where: Column | None = None,
-    but_own: bool = False,
+    but_own: bool = False, reviewed_budget: bool = False,
 ) -> DataFrame:
     """question_id, chunk_id, tier, origin, distance, place: the k nearest chunks of each question, by cosine distance.
 
     questions: question_id, username, embedding; chunks: chunk_id, tier, origin, embedding;
     grants: username, tier, rank. `where` filters chunks before the search, never after. per_class
-    gives curated and other chunks a budget of k each, so that volume can't evict curated ones.
+    gives curated and other chunks a budget of k each, so that volume can't evict curated ones;
+    with reviewed_budget reviewed foreign chunks (column reviewed) have one of their own too, so
+    that unreviewed ones, which never answer, can't evict them.
     but_own leaves out, for each question, the chunk whose chunk_id is the question_id.
     Ties go to the lower tier, then to the lesser chunk_id; distances count to 12 decimals. Vectors
     of norm 0 have distance 1; null ones, those with null components, and those of another size
@@ -86,12 +88,15 @@ def nearest_chunks(
     whole = F.col("v").isNotNull() & ~F.coalesce(F.exists("v", lambda x: x.isNull()), F.lit(True)) & (F.size("v") > 0)
     rows = chunks if where is None else chunks.where(where)
     rows = rows.join(F.broadcast(grants.select("tier", "rank").distinct()), "tier")
+    budget = F.when(is_curated(F.col("origin")), 0).otherwise(1)
+    if reviewed_budget:
+        budget = F.when(~is_curated(F.col("origin")) & ~F.col("reviewed").eqNullSafe(F.lit(True)), 2).otherwise(budget)
     rows = rows.select(
-        "chunk_id", "tier", "rank", "origin", is_curated(F.col("origin")).alias("curated"), F.col("embedding").cast("array<double>").alias("v")
+        "chunk_id", "tier", "rank", "origin", (budget if per_class else F.lit(0)).alias("budget"), F.col("embedding").cast("array<double>").alias("v")
     ).where(whole)
     allowed = grants.groupBy("username").agg(F.collect_set("rank").alias("ranks"))
     asked = questions.join(allowed, "username").select("question_id", "ranks", F.col("embedding").cast("array<double>").alias("v")).where(whole)
-    schema = "question_id long, chunk_id string, tier string, rank int, origin string, curated boolean, distance double"
+    schema = "question_id long, chunk_id string, tier string, rank int, origin string, budget int, distance double"
     parts = []
     for size, n in asked.groupBy(F.size("v")).count().collect():  # one row a vector size
         n_blocks = -(-n // QUESTION_BLOCK)
@@ -105,13 +110,13 @@ def nearest_chunks(
             shipped = spark.sparkContext.broadcast(
                 (np.array([r.question_id for r in own]), matrix / np.where(norms == 0, 1, norms), [tuple(sorted(r.ranks)) for r in own])
             )
-            parts.append(rows.where(F.size("v") == size).mapInArrow(_block_search(shipped, k, per_class, but_own), schema))
+            parts.append(rows.where(F.size("v") == size).mapInArrow(_block_search(shipped, k, but_own), schema))
     found = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
-    by = Window.partitionBy(*(["question_id", "curated"] if per_class else ["question_id"])).orderBy("distance", "rank", "chunk_id")
+    by = Window.partitionBy("question_id", "budget").orderBy("distance", "rank", "chunk_id")
     return found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
 
 
-def _block_search(shipped, k: int, per_class: bool, but_own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _block_search(shipped, k: int, but_own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The k nearest of each batch for each shipped question; one matrix product for all questions with the same grants."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +131,11 @@ def _block_search(shipped, k: int, per_class: bool, but_own: bool) -> Callable[[
             v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
             v = v / np.where(norm == 0, 1, norm)
-            curated = batch.column("curated").to_numpy(zero_copy_only=False).astype(bool)
+            budget = batch.column("budget").to_numpy()
             at, question, distances = [], [], []
             for allowed, of in asked.items():
                 ok = np.isin(ranks, allowed)
-                for part in (ok & curated, ok & ~curated) if per_class else (ok,):
+                for part in [ok & (budget == b) for b in np.unique(budget)]:
                     places = order[part[order]]
                     if not len(places):
                         continue
@@ -150,9 +155,9 @@ def _block_search(shipped, k: int, per_class: bool, but_own: bool) -> Callable[[
                 continue
             take = pa.array(np.concatenate(at))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[np.concatenate(question)], pa.int64()), *[batch.column(c).take(take) for c in ("chunk_id", "tier", "rank", "origin", "curated")],
+                [pa.array(ids[np.concatenate(question)], pa.int64()), *[batch.column(c).take(take) for c in ("chunk_id", "tier", "rank", "origin", "budget")],
                  pa.array(np.concatenate(distances))],
-                ["question_id", "chunk_id", "tier", "rank", "origin", "curated", "distance"],
+                ["question_id", "chunk_id", "tier", "rank", "origin", "budget", "distance"],
             )
 
     return search
@@ -205,7 +210,7 @@ def retrieve(
 
     chunks also holds source, text and reviewed.
     """
-    found = nearest_chunks(questions, chunks, grants, k, per_class=secure, but_own=but_own).drop("place", "curated", "rank")
+    found = nearest_chunks(questions, chunks, grants, k, per_class=secure, but_own=but_own).drop("place", "budget", "rank")
     hits = found.join(chunks.select("chunk_id", "tier", "source", "text", "reviewed"), ["chunk_id", "tier"])
     if not secure:
         return final_cut(hits.withColumn("origin", F.coalesce("origin", F.lit(CURATED))), k)
