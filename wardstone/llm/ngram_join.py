@@ -335,6 +335,33 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def _classed(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """The postings with the class that links put each set into."""
+    return stored(
+        grouped.drop("p").join(components(links), F.col("key") == F.col("node"), "left").select(
+            "shingle", "key", "n", "place", F.coalesce("root", "key").alias("class")
+        ),
+        "classed",
+    )
+
+
+def _between_classes(
+    classed: DataFrame, tried: DataFrame, signatures: DataFrame, texts: DataFrame, end: Callable[[Column], Column]
+) -> tuple[DataFrame, DataFrame]:
+    """(pairs compared, links): each set outside a group's largest class against one set of that class, its least or greatest."""
+    by_class = classed.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("size"), end(F.struct("key", "n", "place")).alias("p"))
+    tops = by_class.groupBy("shingle").agg(F.max(F.struct("size", "class", "p")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    candidates = classed.join(tops, "shingle").where(
+        (F.col("class") != F.col("top.class")) & _may_link(F.col("n"), F.col("place"), F.col("top.p.n"), F.col("top.p.place"))
+    ).groupBy(F.col("key").alias("a"), F.col("top.p.key").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    fresh = candidates.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(
+        tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti"
+    )
+    best = fresh.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", "best.b")
+    pairs = stored(_filtered(best, signatures), "class-pairs")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), _verified(pairs, texts)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for each input row.
 
@@ -343,7 +370,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     occur in two prefixes at least. To lose no link and not emit all pairs of a group:
 
     1. the least key of a prefix shingle's group is its pivot; every set is compared with the one
-       pivot that it shares most prefix shingles with, and links give classes;
+       pivot that it shares most prefix shingles with, and links give classes; up to three times
+       more each set outside a group's largest class is compared with one set of that class;
     2. then only pairs of different classes are left. In a prefix shingle's group these are the
        sets outside its largest class, against all of the group.
 
@@ -420,13 +448,16 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = _verified(first_pairs, texts)
     free_shuffles(spark)
 
-    classes = components(links)
-    classed = stored(
-        grouped.drop("p").join(classes, F.col("key") == F.col("node"), "left").select(
-            "shingle", "key", "n", "place", F.coalesce("root", "key").alias("class")
-        ),
-        "classed",
-    )
+    tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for end in (F.min, F.max, F.min):
+        classed = _classed(grouped, links)
+        pairs, more = _between_classes(classed, tried, signatures, texts, end)
+        discard(classed)
+        links, tried = links.unionByName(more), tried.unionByName(pairs)
+        free_shuffles(spark)
+        if more.isEmpty():
+            break
+    classed = _classed(grouped, links)
     discard(grouped)
     by_class = classed.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("size"))
     loads = by_class.groupBy("shingle").agg(
@@ -434,7 +465,6 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ).where("classes > 1").select("shingle", F.col("top.class").alias("major"), (F.col("all") - F.col("top.size")).alias("minors"))
     loads = stored(loads, "open-groups")
     second = _across_classes(classed, loads, signatures.drop("n"))
-    tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _verified(second.join(tried, ["a", "b"], "left_anti"), texts)
     discard(classed)
     free_shuffles(spark)
