@@ -298,6 +298,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that link, as (u, v). A pivot b with many partners is copied to several tasks."""
     spark = pairs.sparkSession
     pairs = stored(pairs, "pairs")
+    n_pairs = pairs.count()
+    if not n_pairs:
+        return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     free_shuffles(spark)
     loads = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     loads = stored(loads, "pivots")
@@ -326,7 +329,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 u, v = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 2000)
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_pairs // 2000)
     return stored(
         rows.repartition(n_parts, "b", "chunk").sortWithinPartitions("b", "chunk", F.col("a").asc_nulls_first()).mapInArrow(
             compare, "u long, v long"
@@ -335,10 +338,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def _classed(grouped: DataFrame, links: DataFrame) -> DataFrame:
-    """The postings with the class that links put each set into."""
+def _with_links(forest: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) of the components of a forest and further links; few steps, as the forest's trees are stars."""
+    return components(forest.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+
+def _classed(grouped: DataFrame, forest: DataFrame) -> DataFrame:
+    """The postings with the class of each set: the root of its tree, or itself."""
     return stored(
-        grouped.drop("p").join(components(links), F.col("key") == F.col("node"), "left").select(
+        grouped.drop("p").join(forest, F.col("key") == F.col("node"), "left").select(
             "shingle", "key", "n", "place", F.coalesce("root", "key").alias("class")
         ),
         "classed",
@@ -449,15 +457,17 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     free_shuffles(spark)
 
     tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    forest = components(links)
+    classed = _classed(grouped, forest)
     for end in (F.min, F.max, F.min):
-        classed = _classed(grouped, links)
         pairs, more = _between_classes(classed, tried, signatures, texts, end)
-        discard(classed)
-        links, tried = links.unionByName(more), tried.unionByName(pairs)
-        free_shuffles(spark)
+        tried = tried.unionByName(pairs)
         if more.isEmpty():
             break
-    classed = _classed(grouped, links)
+        forest = _with_links(forest, more)
+        discard(classed)
+        classed = _classed(grouped, forest)
+        free_shuffles(spark)
     discard(grouped)
     by_class = classed.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("size"))
     loads = by_class.groupBy("shingle").agg(
@@ -469,9 +479,10 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     discard(classed)
     free_shuffles(spark)
 
-    classes = components(links.unionByName(more))
+    if not more.isEmpty():
+        forest = _with_links(forest, more)
     members = stored(
-        sets.select("rid", "doc_id", "key", "n").join(classes, F.col("key") == F.col("node"), "left").select(
+        sets.select("rid", "doc_id", "key", "n").join(forest, F.col("key") == F.col("node"), "left").select(
             "rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "key").alias("class")
         ),
         "members",
