@@ -104,11 +104,25 @@ class Matcher:
             return None
         vector = {t: c * self.idf.get(t, self.unseen) for t, c in Counter(found).items()}
         norm = math.sqrt(sum(x * x for x in vector.values()))
-        scored = [(sum(x * vector.get(t, 0.0) for t, x in template.items()) / norm, name) for name, template in self.templates]
+        scored = [(sum(x * template[t] for t, x in vector.items() if t in template) / norm, name) for name, template in self.templates]
         top = max(s for s, _ in scored)
         return top, min(name for s, name in scored if s == top)
 
 
+def remembered(f, most: int = 50_000):
+    """f that keeps its results for strings that come again, as pages of one site repeat theirs; emptied when it is full."""
+    known: dict = {}
+
+    def call(x: str):
+        if x not in known:
+            if len(known) >= most:
+                known.clear()
+            known[x] = f(x)
+        return known[x]
+
+    return call
+
+
 def vocabulary(templates: dict[str, tuple[str, ...]]) -> list[str]:
     return sorted({t for wordings in templates.values() for w in wordings for t in terms(w)})
 
@@ -119,12 +133,13 @@ def statement_counts(files: DataFrame, templates: dict[str, tuple[str, ...]]) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, found = 0, Counter()
+        words_of = remembered(lambda part: words.intersection(terms(part)))
         for batch in batches:
             for text in rows_of(batch, "text"):
                 parts = statements(text.as_py() or "")
                 n += len(parts)
                 for part in parts:
-                    found.update(words.intersection(terms(part)))
+                    found.update(words_of(part))
         found[""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["term", "n"])
 
@@ -156,11 +171,11 @@ def scan_licenses(
     shipped = files.sparkSession.sparkContext.broadcast(Matcher(n, frequencies, templates))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = shipped.value
+        best = remembered(lambda x: shipped.value.best(x, threshold))
         for batch in batches:
             names, scores = [], []
             for text in rows_of(batch, "text"):
-                found = [b for x in statements(text.as_py() or "") if (b := matcher.best(x, threshold))]
+                found = [b for x in statements(text.as_py() or "") if (b := best(x))]
                 top = min(found, key=lambda b: (-b[0], b[1]), default=(0.0, ""))
                 names.append(top[1] if top[0] >= threshold else None)
                 scores.append(top[0] if top[0] >= threshold else None)
