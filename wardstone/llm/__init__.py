@@ -18,6 +18,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _modules() -> list:
-    from . import alignment, chat, decontamination, licenses, mixing, neighbours, ngram_join, packing, quality, repeats, token_counts
+    from . import alignment, chat, collocations, decontamination, licenses, mixing, neighbours, ngram_join, packing, quality, repeats, token_counts
 
-    return [repeats, neighbours, decontamination, licenses, ngram_join, token_counts, chat, quality, mixing, packing, alignment]
+    return [repeats, neighbours, decontamination, licenses, ngram_join, token_counts, chat, quality, mixing, collocations, packing, alignment]
