@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from wardstone.operators import answers, audit, index, retrieval
+from wardstone.operators import answers, audit, index, retrieval, tiles
 from wardstone.plans import queries
 from wardstone.sources import corpus
 
@@ -163,7 +163,8 @@ def test_the_last_reply_counts(spark):
 
 
 def test_reference_vectors_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(answers, "REFERENCE_BLOCK", 2)
+    monkeypatch.setattr(tiles, "STATED_ROWS", 2)
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 0)
     refs = spark.createDataFrame([([1.0, 0.0],), ([0.0, 1.0],), ([0.6, 0.8],), ([0.6, 0.8],), (None,), ([1.0],)], "embedding array<double>")
     asked = spark.createDataFrame([(1, 0, [1.0, 1.0]), (1, 1, [0.0, 0.0]), (2, 0, None), (3, 0, [2.0])], "response_id int, pos int, embedding array<double>")
     got = answers.best_matches(asked, refs, "score").collect()

@@ -1,8 +1,10 @@
 import datetime as dt
 import json
+import os
+import random
 
-
-from wardstone.operators import index
+from wardstone.operators import audit, index
+from wardstone.sources import corpus, versions
 from wardstone.streaming import jobs
 
 
@@ -91,21 +93,68 @@ def test_late_records_are_set_apart(spark):
     assert (fresh.count(), late.count()) == (1, 2)
 
 
-def test_limits_keep_state_over_batches(spark, tmp_path):
+def test_snapshots_are_staged_over_restarts(spark, tmp_path):
+    """Parts in several batches, a restart between them, an older snapshot after a newer one, a batch that comes again."""
+    landing, stage, path = tmp_path / "in", str(tmp_path / "stage"), str(tmp_path / "index")
+    base = spark.createDataFrame([("public", "curated", "a.txt", "kept", "h")], "tier string, origin string, source string, text string, content_hash string")
+    index.write_index(index.build_chunks(base), path)
+
+    def record(id_, snapshot, records, acl="public"):
+        return {"id": id_, "title": "", "body": f"body {id_}", "acl": acl, "seq": 1, "snapshot": snapshot, "records": records}
+
+    def take():
+        jobs.start_snapshot_sync(jobs.read_records(spark, str(landing)), stage, path, str(tmp_path / "cp"), every=None, patience=4).awaitTermination(120)
+        return {r.source for r in index.read_index(spark, path, corpus.tiers(spark)).collect()}, versions.current(spark, path)
+
+    landed(landing, [record("1", 2, 2)])
+    assert take()[0] == {"a.txt"}
+    landed(landing, [record("2", 2, 2, "internal")])
+    sources, version = take()
+    assert sources == {"a.txt", "tickets/1", "tickets/2"} and version.notes["snapshot"] == "2"
+    kept = version.batches["public", "curated"]
+    landed(landing, [record("9", 1, 1)])  # older
+    assert take()[0] == sources
+    landed(landing, [record("1", 3, 3)])  # never whole
+    assert take()[0] == sources and os.path.isdir(f"{stage}/records/snapshot=3") and not os.path.isdir(f"{stage}/records/snapshot=2")
+    landed(landing, [record("3", 4, 1)])
+    sources, version = take()
+    assert sources == {"a.txt", "tickets/3"} and version.batches["public", "curated"] == kept and ("internal", "connector:tickets") not in version.batches
+    again = spark.read.schema(jobs.RECORD_SCHEMA).json(str(landing)).where("snapshot = 4")
+    jobs.stage_records(again, stage, 4)  # the last batch comes again after its version was published
+    assert jobs.take_snapshot(spark, stage, path, 4) is None and versions.current(spark, path).number == version.number
+
+
+def hits(n, seed=1):
+    rng = random.Random(seed)
+    start = dt.datetime(2024, 1, 1)
+    return sorted((start + dt.timedelta(seconds=rng.randrange(3600)), rng.choice("aabc")) for _ in range(n))
+
+
+def test_limits_are_decided_in_event_order_and_state_ends(spark, tmp_path):
     schema = "key string, at timestamp"
-    for batch in range(2):
-        rows = [("a", dt.datetime(2024, 1, 1, 0, 0, batch * 10 + s)) for s in range(3)]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = hits(400)
+    rng = random.Random(2)
+    arrived = sorted(rows, key=lambda r: r[0] + dt.timedelta(seconds=rng.randrange(500)))  # up to 500 s late
+    parts = [arrived[i : i + 80] for i in range(0, 400, 80)]
+    end = dt.datetime(2024, 1, 2)
+    for part in [*parts, [(end, "z")], [(end + dt.timedelta(hours=1), "z")]]:
+        spark.createDataFrame([(k, t) for t, k in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        finish(jobs.limit_stream(stream, 4, 60).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), tmp_path / "cp")
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy("at").collect()
-    assert [r.n for r in got] == [1, 2, 3, 4, 5, 6] and [r.allowed for r in got] == [True] * 4 + [False] * 2
+        writer = jobs.limit_stream(stream, 5, 120).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+        query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = sorted((r.key, r.at, r.n, r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).where("key <> 'z'").collect())
+    batch = audit.rate_decisions(spark.createDataFrame([(k, t) for t, k in rows], schema), 5, 120)
+    assert got == sorted((r.key, r.at, r.n, r.allowed) for r in batch.collect()) and len(got) == 400
+    assert not all(r[3] for r in got)
+    held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert held <= 4  # of z alone: a window, a waiting hit and their timers
 
 
 def test_limits_order_a_key_over_arrow_batches(spark, tmp_path):
     schema = "key string, at timestamp"
     start = dt.datetime(2024, 1, 1)
-    rows = [("a", start + dt.timedelta(seconds=s)) for s in [*range(119, -1, -1)]]  # newest first
+    rows = [("a", start + dt.timedelta(seconds=s)) for s in [*range(119, -1, -1)]] + [("z", start + dt.timedelta(hours=1))]  # newest first
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +11,13 @@ from ..functions.rules import REDACTED, REFUSAL, block_flags, redact, redact_fla
 from ..functions.text import (
     claims, cosine, decoded_variants, figures, gram_hashes, has_markup, neutralise_markup, normalise, phonetic_fold, secret_core, strip, verdicts, word_grams,
 )
+from .tiles import column, matrix, tile_pairs, whole
 
 # Fixed values.
 RESEMBLANCE, ELEVATED, ELEVATED_COUNT, GROUNDING_FLOOR = 0.42, 0.32, 2, 0.30
 LEAST_SECRET = 8
 #: Rows and bytes of a registry that are broadcast; a larger one is joined by shuffle.
 REGISTRY_ROWS, REGISTRY_BYTES = 1_000_000, 64 << 20
-#: Reference vectors that one pass over the vectors holds.
-REFERENCE_BLOCK = 4096
 #: Characters of a text's piece that is cut into grams at once.
 PIECE = 1000
 
@@ -100,39 +96,21 @@ def secret_leaks(responses: DataFrame, secrets: DataFrame) -> DataFrame:
 def best_matches(vectors: DataFrame, references: DataFrame, name: str) -> DataFrame:
     """vectors (response_id, pos, embedding) with the largest cosine to a stated reference set (embedding).
 
-    References are shipped in blocks of bounded size, and each pass over the vectors is a matrix
-    product. Null vectors, and those of another size than a reference, never match it; of norm 0 they score 0.
+    Vectors and references meet in tiles (tiles.tile_pairs), a matrix product a pair. Null vectors, and
+    those of another size than a reference, never match it; of norm 0 they score 0.
     """
-    spark = vectors.sparkSession
-    whole = F.col("v").isNotNull() & ~F.coalesce(F.exists("v", lambda x: x.isNull()), F.lit(True)) & (F.size("v") > 0)
-    rows = vectors.select("response_id", "pos", F.col("embedding").cast("array<double>").alias("v")).where(whole)
-    known = references.select(F.col("embedding").cast("array<double>").alias("v")).where(whole).distinct()
-    schema = rows.drop("v").schema.add(name, "double")
-
-    def unit(values: np.ndarray) -> np.ndarray:
-        norm = np.sqrt((values * values).sum(axis=1, keepdims=True))
-        return values / np.where(norm == 0, 1, norm)
-
-    parts = []
-    for size, n in known.groupBy(F.size("v")).count().collect():  # one row a vector size
-        n_blocks = -(-n // REFERENCE_BLOCK)
-        for block in range(n_blocks):
-            own = known.where((F.size("v") == size) & (F.pmod(F.xxhash64("v"), F.lit(n_blocks)) == block)).collect()  # REFERENCE_BLOCK rows, about
-            if not own:
-                continue
-            shipped = spark.sparkContext.broadcast(unit(np.array([r.v for r in own])))
-
-            def score(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    if batch.num_rows:
-                        v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                        best = (unit(v) @ shipped.value.T).max(axis=1)
-                        yield pa.RecordBatch.from_arrays([batch.column("response_id"), batch.column("pos"), pa.array(best)], ["response_id", "pos", name])
-
-            parts.append(rows.where(F.size("v") == size).mapInArrow(score, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionAll, parts).groupBy("response_id", "pos").agg(F.max(name).alias(name))
+    v = F.col("embedding").cast("array<double>").alias("v")
+    rows = vectors.select("response_id", "pos", v).where(whole(F.col("v")))
+    known = references.select(v).where(whole(F.col("v"))).distinct()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                best = (matrix(batch, "c_m", i) @ matrix(batch, "q_m", i).T).max(axis=1)
+                yield pa.RecordBatch.from_arrays([column(batch, "c_response_id", i), column(batch, "c_pos", i), pa.array(best)], ["response_id", "pos", name])
+
+    scored = tile_pairs(known, rows).mapInArrow(score, rows.drop("v").schema.add(name, "double"))
+    return scored.groupBy("response_id", "pos").agg(F.max(name).alias(name))
 
 
 def resembles(scores: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_key, chunks, content_hash
 from ..sources.corpus import CURATED, TIERS, tiers
+from ..sources.versions import Version, current, publish, read_version
 
 ENC = "aes-gcm-1"
 #: Stands for the hash of rows that aren't sealed under the current scheme, so that they are written anew.
@@ -103,23 +102,28 @@ def stale_chunks(index: DataFrame, documents: DataFrame, size: int = 1000, overl
     return index.withColumn("_hash", content_hash(F.col("text"))).join(current, ["tier", "chunk_id", "_hash"], "left_anti").drop("_hash")
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    """The whole index, partitioned by tier and origin; partitions that it no longer holds are deleted, so what is retracted can't be read."""
-    held = {(r.tier, r.origin) for r in index.select("tier", "origin").distinct().collect()}  # one row a partition
-    index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tier", "origin").parquet(path)
-    spark = index.sparkSession
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tier=*/origin=*")
-    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    for found in files.globStatus(pattern) or []:
-        tier, origin = (unquote(part.split("=", 1)[1]) for part in found.getPath().toString().rstrip("/").split("/")[-2:])
-        names = tuple(None if x == "__HIVE_DEFAULT_PARTITION__" else x for x in (tier, origin))
-        if names not in held:
-            files.delete(found.getPath(), True)
+def write_index(index: DataFrame, path: str, touched: DataFrame | None = None, notes: dict[str, str] | None = None, base: Version | None = None) -> Version:
+    """Publish an index, partitioned by tier and origin, as one new version; with `touched` (tier, origin) only these partitions are written.
+
+    Readers see the old version or the new one. What is retracted is in no later version; expire() deletes its files.
+    """
+    return publish(index, path, touched, notes, base)
+
+
+def read_index(spark: SparkSession, path: str, grants: DataFrame, number: int | None = None) -> DataFrame:
+    """Chunks in the granted tiers of the newest version. grants: tier; there is no reader without grants."""
+    return read_version(spark, path, grants, number)
 
 
-def read_index(spark: SparkSession, path: str, grants: DataFrame) -> DataFrame:
-    """Chunks in the granted tiers. grants: tier; there is no reader without grants."""
-    return spark.read.parquet(path).join(F.broadcast(grants.select("tier").distinct()), "tier", "left_semi")  # one row a tier
+def replace_in_index(spark: SparkSession, path: str, new: DataFrame, keep_reviews: bool = False) -> Version:
+    """Publish an index with every source of `new` (chunks) replaced whole. Only partitions that hold or get rows of these sources are read and written."""
+    base = current(spark, path)
+    whole = read_index(spark, path, tiers(spark), base.number)
+    sources = new.select("tier", "source").distinct()
+    touched = whole.join(sources, ["tier", "source"], "left_semi").select("tier", "origin").unionByName(new.select("tier", "origin")).distinct()
+    marks = F.broadcast(touched)  # a row a partition
+    own = whole.join(marks, [F.equal_null(whole[c], touched[c]) for c in ("tier", "origin")], "left_semi")
+    return write_index(replace_sources(own, new, keep_reviews), path, touched, base=base)
 
 
 def seal(index: DataFrame, key: Column) -> DataFrame:

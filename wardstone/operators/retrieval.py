@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import REFUSAL, document_flags, injection_flags
 from ..functions.text import cosine
 from ..sources.corpus import CURATED, validate_query
+from .tiles import column, matrix, tile_pairs, whole
 
 # Fixed values.
 TOP_K, MAX_DISTANCE = 4, 0.75
 MIN_QUERY_RELEVANCE, MIN_CHUNK_RELEVANCE = 0.35, 0.30
 HISTORY_TURNS, INTENT_MESSAGES, MAX_SESSIONS, MAX_TOOL_CALLS = 10, 6, 1000, 6
-#: Questions that one pass over the chunks holds.
-QUESTION_BLOCK = 4096
 
 
 # ------------------------------------------------------------------ grants
@@ -81,84 +80,75 @@ def nearest_chunks(
     of norm 0 have distance 1; null ones, those with null components, and those of another size
     than the question's never match.
 
-    Questions are a stated set, shipped in blocks of bounded size, those of one size together. Each
-    pass reads the chunks once, keeps k a question of every batch, and only these are shuffled.
+    Questions and chunks meet in tiles (tiles.tile_pairs), a matrix product a pair. A task keeps the k
+    best distances that it has found for each question and budget, and sends on only what comes near
+    the worst of them; what tasks send is merged by question.
     """
-    spark = chunks.sparkSession
-    whole = F.col("v").isNotNull() & ~F.coalesce(F.exists("v", lambda x: x.isNull()), F.lit(True)) & (F.size("v") > 0)
+    v = F.col("embedding").cast("array<double>").alias("v")
     rows = chunks if where is None else chunks.where(where)
-    rows = rows.join(F.broadcast(grants.select("tier", "rank").distinct()), "tier")
+    rows = rows.join(F.broadcast(grants.select("tier", "rank").distinct()), "tier")  # one row a tier
     budget = F.when(is_curated(F.col("origin")), 0).otherwise(1)
     if reviewed_budget:
         budget = F.when(~is_curated(F.col("origin")) & ~F.col("reviewed").eqNullSafe(F.lit(True)), 2).otherwise(budget)
-    rows = rows.select(
-        "chunk_id", "tier", "rank", "origin", (budget if per_class else F.lit(0)).alias("budget"), F.col("embedding").cast("array<double>").alias("v")
-    ).where(whole)
-    allowed = grants.groupBy("username").agg(F.collect_set("rank").alias("ranks"))
-    asked = questions.join(allowed, "username").select("question_id", "ranks", F.col("embedding").cast("array<double>").alias("v")).where(whole)
+    rows = rows.select("chunk_id", "tier", "rank", "origin", (budget if per_class else F.lit(0)).alias("budget"), v).where(whole(F.col("v")))
+    ranks = F.aggregate(F.collect_set("rank"), F.lit(0), lambda s, r: s + F.pow(F.lit(2), r).cast("int"))  # a bit a tier
+    allowed = grants.groupBy("username").agg(ranks.alias("ranks"))
+    asked = questions.join(allowed, "username").select("question_id", "ranks", v).where(whole(F.col("v")))
     schema = "question_id long, chunk_id string, tier string, rank int, origin string, budget int, distance double"
-    parts = []
-    for size, n in asked.groupBy(F.size("v")).count().collect():  # one row a vector size
-        n_blocks = -(-n // QUESTION_BLOCK)
-        for block in range(n_blocks):
-            in_block = F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)) == block
-            own = asked.where((F.size("v") == size) & in_block).orderBy("question_id").collect()  # QUESTION_BLOCK rows, about
-            if not own:
-                continue
-            matrix = np.array([r.v for r in own])
-            norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-            shipped = spark.sparkContext.broadcast(
-                (np.array([r.question_id for r in own]), matrix / np.where(norms == 0, 1, norms), [tuple(sorted(r.ranks)) for r in own])
-            )
-            parts.append(rows.where(F.size("v") == size).mapInArrow(_block_search(shipped, k, but_own), schema))
-    found = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
+    found = tile_pairs(asked, rows, ("rank", "chunk_id")).mapInArrow(_tile_search(k, but_own), schema)
     by = Window.partitionBy("question_id", "budget").orderBy("distance", "rank", "chunk_id")
     return found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
 
 
-def _block_search(shipped, k: int, but_own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The k nearest of each batch for each shipped question; one matrix product for all questions with the same grants."""
+#: Question tiles whose best distances a task keeps.
+KEPT_TILES = 256
+
+
+def _tile_search(k: int, but_own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each pair of tiles the rows that may be among the k nearest of a question and budget."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit, grants = shipped.value
-        asked = {ranks: np.array([i for i, r in enumerate(grants) if r == ranks]) for ranks in set(grants)}
+        best: dict[bytes, np.ndarray] = {}  # by question tile: question, budget, the k least distances so far
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = np.array(batch.column("chunk_id").to_pylist(), object)
-            ranks = batch.column("rank").to_numpy()
-            order = np.array(sorted(range(len(names)), key=lambda i: (ranks[i], names[i])))  # ties by place
-            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            v = v / np.where(norm == 0, 1, norm)
-            budget = batch.column("budget").to_numpy()
-            at, question, distances = [], [], []
-            for allowed, of in asked.items():
-                ok = np.isin(ranks, allowed)
-                for part in [ok & (budget == b) for b in np.unique(budget)]:
-                    places = order[part[order]]
-                    if not len(places):
-                        continue
-                    distance = np.round(1 - v[places] @ unit[of].T, 12)
-                    if but_own:
-                        distance[names[places][:, None] == ids[of].astype(str).astype(object)[None, :]] = np.inf
-                    limit = np.partition(distance, min(k, len(places)) - 1, axis=0)[min(k, len(places)) - 1]
-                    q, place = np.nonzero(((distance <= limit) & np.isfinite(distance)).T)
-                    near = distance[place, q]
-                    first = np.lexsort((place, near, q))
-                    q, place, near = q[first], place[first], near[first]
-                    on = np.arange(len(q)) - np.searchsorted(q, q) < k
-                    at.append(places[place[on]])
-                    question.append(of[q[on]])
-                    distances.append(near[on])
-            if not at:
-                continue
-            take = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[np.concatenate(question)], pa.int64()), *[batch.column(c).take(take) for c in ("chunk_id", "tier", "rank", "origin", "budget")],
-                 pa.array(np.concatenate(distances))],
-                ["question_id", "chunk_id", "tier", "rank", "origin", "budget", "distance"],
-            )
+            for i in range(batch.num_rows):
+                ids, held = column(batch, "q_question_id", i).to_numpy(), column(batch, "q_ranks", i).to_numpy()
+                unit, v = matrix(batch, "q_m", i), matrix(batch, "c_m", i)
+                ranks, budget = column(batch, "c_rank", i).to_numpy(), column(batch, "c_budget", i).to_numpy()
+                names = column(batch, "c_chunk_id", i)
+                least = best.setdefault(ids.tobytes(), np.full((len(ids), 3, k), np.inf))
+                at, question, distances = [], [], []
+                for allowed in np.unique(held):
+                    of = np.flatnonzero(held == allowed)
+                    ok = allowed >> ranks & 1 > 0
+                    for b in np.unique(budget[ok]):
+                        places = np.flatnonzero(ok & (budget == b))
+                        distance = np.round(1 - v[places] @ unit[of].T, 12)
+                        if but_own:
+                            own = pc.index_in(names.take(pa.array(places)), pa.array(ids[of].astype(str).tolist(), pa.string())).to_numpy(zero_copy_only=False)
+                            row = np.flatnonzero(~np.isnan(own.astype(float)))
+                            distance[row, own[row].astype(int)] = np.inf
+                        n = min(k, len(places))
+                        near = np.partition(distance, n - 1, axis=0)[:n].T
+                        merged = np.sort(np.concatenate([least[of, b], near], 1), 1)[:, :k]
+                        least[of, b] = merged
+                        q, place = np.nonzero(((distance <= merged[:, -1]) & np.isfinite(distance)).T)
+                        near = distance[place, q]
+                        first = np.lexsort((place, near, q))  # a tile's rows stand in the order of ties
+                        q, place, near = q[first], place[first], near[first]
+                        on = np.arange(len(q)) - np.searchsorted(q, q) < k
+                        at.append(places[place[on]])
+                        question.append(of[q[on]])
+                        distances.append(near[on])
+                if len(best) > KEPT_TILES:
+                    best.clear()
+                if not at:
+                    continue
+                take = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[np.concatenate(question)], pa.int64()), *[column(batch, f"c_{c}", i).take(take) for c in ("chunk_id", "tier", "rank", "origin", "budget")],
+                     pa.array(np.concatenate(distances))],
+                    ["question_id", "chunk_id", "tier", "rank", "origin", "budget", "distance"],
+                )
 
     return search
 

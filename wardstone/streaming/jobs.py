@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import logging
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.audit import AUDIT_SCHEMA
 from ..operators.index import apply_sync, indexed_state, reconcile, sync_counts
-from ..sources.corpus import RECORD_SCHEMA, TICKETS, last_record, map_records
+from ..sources.corpus import RECORD_SCHEMA, TICKETS, last_record, map_records, tiers
+from ..sources.versions import current, publish, read_version
 
 log = logging.getLogger(__name__)
 
@@ -86,6 +88,84 @@ def start_sync(
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+# ------------------------------------------------------------------ snapshots by staging
+
+
+def stage_records(batch: DataFrame, stage: str, number: int) -> None:
+    """Write a batch's records by snapshot, and its counts; a batch that comes again replaces what it wrote.
+
+    stage/records/snapshot=<id>/batch=<number> holds records, stage/counts/batch=<number> a row a snapshot.
+    """
+    rows = batch.where(F.col("snapshot").isNotNull()).persist()
+    try:
+        numbered = rows.withColumn("batch", F.lit(number))
+        numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot", "batch").parquet(f"{stage}/records")
+        counts = rows.groupBy("snapshot").agg(F.count(F.lit(1)).alias("n"), F.max("records").alias("announced"))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{stage}/counts/batch={number}")
+    finally:
+        rows.unpersist()
+
+
+def staged_counts(spark: SparkSession, stage: str) -> DataFrame:
+    """snapshot, n, announced, last: how much of each snapshot is there, and the last batch that brought some."""
+    rows = spark.read.schema("snapshot long, n long, announced long, batch long").option("basePath", f"{stage}/counts").parquet(f"{stage}/counts/batch=*")
+    return rows.groupBy("snapshot").agg(F.sum("n").alias("n"), F.max("announced").alias("announced"), F.max("batch").alias("last"))
+
+
+def take_snapshot(spark: SparkSession, stage: str, index_path: str, number: int, patience: int = 1000) -> dict[str, int] | None:
+    """Reconcile the index with the newest whole snapshot that is newer than the one it has; counts of actions, or None if there is none.
+
+    What has been taken is noted in the index's own version, so that neither a restart nor a batch that
+    comes again takes an older snapshot, or one twice. Only partitions with changes are written.
+    Staged records of taken snapshots, and of those that have brought nothing for `patience` batches, are deleted.
+    """
+    base = current(spark, index_path)
+    taken = int(base.notes.get("snapshot", -1))
+    counts = staged_counts(spark, stage).persist()
+    try:
+        ready = counts.where((F.col("snapshot") > taken) & (F.col("n") >= F.coalesce("announced", "n"))).agg(F.max("snapshot")).first()[0]
+        done = None
+        if ready is not None:
+            records = spark.read.schema(RECORD_SCHEMA).option("basePath", f"{stage}/records").parquet(f"{stage}/records/snapshot={ready}")
+            wanted = last_record(map_records(records)).drop("seq")
+            own = spark.createDataFrame([], INDEXED)
+            if base.schema is not None:
+                own = read_version(spark, index_path, tiers(spark), base.number).where(F.col("origin") == TICKETS)
+            actions = reconcile(indexed_state(own), wanted).persist()
+            try:
+                done = sync_counts(actions).first().asDict()
+                touched = actions.where("action <> 'unchanged'").select("tier", F.lit(TICKETS).alias("origin")).distinct()
+                publish(apply_sync(own, wanted, actions), index_path, touched, {"snapshot": str(ready), "batch": str(number)}, base)
+            finally:
+                actions.unpersist()
+            taken = ready
+        stale = counts.where((F.col("snapshot") <= taken) | (F.col("last") < number - patience)).select("snapshot").collect()  # a row a snapshot
+        for r in stale:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{stage}/records/snapshot={r.snapshot}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return done
+    finally:
+        counts.unpersist()
+
+
+#: Columns of an index before its first version.
+INDEXED = "chunk_id string, tier string, origin string, source string, chunk_index int, text string, content_hash string"
+
+
+def start_snapshot_sync(records: DataFrame, stage: str, index_path: str, checkpoint: str, every: str | None = "60 seconds", patience: int = 1000) -> StreamingQuery:
+    """Stage what arrives and take every whole snapshot, newest first. Without `every` all that has landed is taken and the query ends.
+
+    A batch that fails is tried again by the stream when it is restarted; it replaces what it had staged.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        stage_records(batch, stage, number)
+        log.info("batch %s: %s", number, take_snapshot(batch.sparkSession, stage, index_path, number, patience))
+
+    writer = records.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def tumbling_counts(events: DataFrame, key: str, at: str = "at", width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Counts by window and key under a watermark; records later than that go to late_records()."""
     return (
@@ -120,37 +200,67 @@ def search(stream: DataFrame, needle: str, columns: tuple[str, ...] = ("event",
 
 
 class FixedWindow(StatefulProcessor):
-    """Counts a key's hits in windows that open at its first hit; refused hits count too."""
+    """Counts a key's hits in windows that open at its first hit; refused hits count too.
+
+    Hits wait until the watermark has passed them and are then decided in the order of their times. A
+    key's state goes when its window has ended and no hit waits.
+    """
 
     def __init__(self, limit: int, window_seconds: int):
-        self.limit, self.window = limit, window_seconds
+        self.limit, self.width = limit, window_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start double, n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        start, n = self.state.get() if self.state.exists() else (None, 0)
-        times = pd.concat([batch["at"] for batch in rows]).sort_values()  # a key's times of one micro-batch, whatever its Arrow batches
-        for first in range(0, len(times), 10_000):
-            out = []
-            for at in times.iloc[first : first + 10_000]:
-                seconds = at.timestamp()
-                if start is None or seconds - start >= self.window:
-                    start, n = seconds, 0
-                n += 1
-                out.append((key[0], at, n, n <= self.limit))
-            yield pd.DataFrame(out, columns=["key", "at", "n", "allowed"])
-        self.state.update((float(start), int(n)))
+        self.handle = handle
+        self.window = handle.getValueState("window", "start long, n long")
+        self.waiting = handle.getListState("waiting", "micros long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        least = None
+        for batch in rows:
+            micros = batch["micros"].tolist()
+            self.waiting.appendList([(m,) for m in micros])
+            least = min(micros) if least is None else min(least, *micros)
+        if least is not None:
+            self.handle.registerTimer(-(-least // 1000))  # milliseconds, rounded up
+        yield pd.DataFrame({"key": pd.Series(dtype=str), "micros": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "allowed": pd.Series(dtype=bool)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        times = sorted(m for (m,) in self.waiting.get()) if self.waiting.exists() else []
+        due = times[: bisect.bisect_right(times, passed)]
+        rest = times[len(due) :]
+        start, n = self.window.get() if self.window.exists() else (None, 0)
+        out = []
+        for micros in due:
+            if start is None or micros - start >= self.width:
+                start, n = micros, 0
+            n += 1
+            out.append((key[0], micros, n, n <= self.limit))
+        if due:
+            self.window.update((start, n))
+            self.waiting.put([(m,) for m in rest]) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(-(-rest[0] // 1000))
+        elif start is not None:
+            end = -(-(start + self.width) // 1000)
+            if end * 1000 <= passed:
+                self.window.clear()
+            else:
+                self.handle.registerTimer(end)
+        yield pd.DataFrame(out, columns=["key", "micros", "n", "allowed"])
 
     def close(self) -> None:
         pass
 
 
-def limit_stream(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """requests (key, at) with n and allowed. Needs the RocksDB state store; one row of state for each key."""
-    return requests.select("key", "at").groupBy("key").transformWithStateInPandas(
-        statefulProcessor=FixedWindow(limit, window_seconds),
-        outputStructType="key string, at timestamp, n long, allowed boolean",
-        outputMode="append",
-        timeMode="none",
+def limit_stream(requests: DataFrame, limit: int, window_seconds: int, late: str = "10 minutes") -> DataFrame:
+    """requests (key, at) with n and allowed, decided in the order of their times once the watermark (`late` behind the newest) has passed them.
+
+    Hits that come later than that are dropped; late_records() tells them apart before. Needs the
+    RocksDB state store. State is held for keys with waiting hits or an open window only.
+    """
+    hits = requests.select("key", "at").withWatermark("at", late).select("key", "at", F.unix_micros("at").alias("micros"))
+    decided = hits.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=FixedWindow(limit, window_seconds), outputStructType="key string, micros long, n long, allowed boolean", outputMode="append", timeMode="EventTime"
     )
+    return decided.select("key", F.timestamp_micros("micros").alias("at"), "n", "allowed")
