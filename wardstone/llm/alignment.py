@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 from functools import reduce
 
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import rows_of, slices, stored, table
-from .encoded import Memory, coded, gathered, strings
+from .encoded import Memory, apart, arrays, coded, gathered, strings
 
-#: Bytes of texts that are aligned at once; windows that a process remembers, and tokens of a longer one, which isn't.
-SLICE, REMEMBERED, LONG_WINDOW = 1 << 22, 1 << 18, 64
+#: Bytes of texts that are aligned at once; chunks and windows that a process remembers, some 200 bytes each.
+SLICE, REMEMBERED = 1 << 20, 1 << 18
+#: What stands between the ids of A and of B in a window's key: no id.
+APART = b"\xff\xff\xff\xff"
 #: Pairs of ids whose counts one pass over the links holds.
 PAIR_BLOCK = 1 << 21
 
@@ -37,6 +40,12 @@ def _printable() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Ids up to 2 ** 17 as decimals, each with a byte behind it.
+_decimals = [b"%d," % i for i in range(1 << 17)]
+_DECIMALS, _DECIMAL_AT = arrays(_decimals, "u1")
+del _decimals
+
+
 class TokenBytes:
     """The bytes of each token id of a vocabulary: flat, with offsets; length and whether the first is a space."""
 
@@ -59,8 +68,15 @@ class Tokenizers:
         a.no_truncation()
         a.no_padding()
         b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        self.a = Memory(lambda chunks: [x.ids for x in a.encode_batch(chunks, add_special_tokens=False)])
-        self.b = Memory(lambda chunks: b.encode([x[1:] for x in chunks], num_threads=1))  # the space that each chunk begins with is added by B
+        marked = Tokenizer.from_str(byte_level)  # the same, but for the special token, which parts chunks
+        marked.no_truncation()
+        marked.no_padding()
+        mark = next(t.content for t in marked.get_added_tokens_decoder().values() if t.special)
+        ids = [lambda text, t=t: t.encode(text, add_special_tokens=False).ids for t in (marked, a)]
+        encode = apart(*ids, mark, marked.token_to_id(mark))
+        self.a = Memory(lambda chunks: encode([x.decode() for x in chunks]), REMEMBERED)
+        # the space that each chunk begins with is added by B
+        self.b = Memory(lambda chunks: [struct.pack(f"<{len(x)}i", *x) for x in b.encode([x[1:].decode() for x in chunks], num_threads=1)], REMEMBERED)
         of = _printable()
         special = {x["id"] for x in json.loads(byte_level)["added_tokens"]}
         entries = [a.id_to_token(i) or "" for i in range(a.get_vocab_size())]
@@ -69,7 +85,7 @@ class Tokenizers:
         if any("▁" in p.lstrip("▁") for p in spelled):
             raise ValueError("a piece holds a space after another character, so chunks can't be encoded apart")
         self.b_bytes = TokenBytes([bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(spelled)])
-        self.windows: dict[tuple[bytes, bytes], tuple[int, bytes, np.ndarray]] = {}
+        self.windows = Memory(lambda keys: align_windows(keys, (self.a_bytes, self.b_bytes)), REMEMBERED)
 
 
 _loaded: dict[str, Tokenizers] = {}
@@ -92,30 +108,56 @@ def chunk_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def align_window(a: np.ndarray, b: np.ndarray, known: Tokenizers) -> tuple[int, bytes, np.ndarray]:
-    """Of a window whose bytes agree: the number of groups, their text, and linked ids (a << 32 | b)."""
-    ends_a, ends_b = np.cumsum(known.a_bytes.length[a]), np.cumsum(known.b_bytes.length[b])
-    both = np.intersect1d(ends_a, ends_b)
-    cut_a, cut_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
-    names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    groups, i, j = [], 0, 0
-    for x, y in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-        groups.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
-        i, j = x, y
-    # Tokens without bytes end where their neighbours do, and are linked as these are.
-    low_a, low_b = np.searchsorted(ends_a, both, "left"), np.searchsorted(ends_b, both, "left")
-    pairs = [int(a[p]) << 32 | int(b[q]) for la, ha, lb, hb in zip(low_a, cut_a, low_b, cut_b, strict=True) for p in range(la, ha) for q in range(lb, hb)]
-    return len(groups), ";".join(groups).encode(), np.array(pairs, np.int64)
-
-
-def _windows(a: np.ndarray, b: np.ndarray, edges: np.ndarray, known: Tokenizers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window bounds in a slice of texts: byte places, and the first token of A and of B in each. edges: where texts begin."""
+def align_windows(keys: list[bytes], spelled: tuple[TokenBytes, TokenBytes]) -> list[bytes]:
+    """Of windows whose bytes agree (ids of A, APART, ids of B): the number of groups, linked ids (little-endian a << 32 | b), one a group, and the groups' text.
+
+    Tokens have bytes, so that at most one of each ends at a place. All windows are aligned at once:
+    their bytes follow one another, and places are counted over all of them.
+    """
+    ids, bounds = arrays(keys, "<i4")
+    apart_at = np.flatnonzero(ids < 0)
+    window = np.repeat(np.arange(len(keys)), np.diff(bounds))
+    is_b = np.arange(len(ids)) > apart_at[window]
+    sides = []
+    for side, vocabulary in ((~is_b & (ids >= 0), spelled[0]), (is_b, spelled[1])):
+        at = np.flatnonzero(side)
+        sides.append((at, np.cumsum(vocabulary.length[ids[at]])))
+    (at_a, ends_a), (at_b, ends_b) = sides
+    place = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+    met_a = np.flatnonzero(ends_b[place] == ends_a)
+    met_b = place[met_a]
+    group_a, group_b = (np.searchsorted(met, np.arange(len(at))) for met, at in ((met_a, at_a), (met_b, at_b)))
+    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+    token = np.concatenate([at_a, at_b])[order]
+    text, lengths = gathered(_DECIMALS, _DECIMAL_AT, ids[token].astype(np.int64))
+    ends = np.cumsum(lengths)
+    mark = np.full(len(token), ord(","), np.uint8)
+    closing = np.zeros(len(token), bool)
+    closing[: len(at_a)][met_a] = True
+    closing[len(at_a) :][met_b] = True
+    closing = closing[order]
+    mark[closing] = np.where(is_b[token[closing]], ord(";"), ord("|"))
+    text[ends - 1] = mark
+    body = text.tobytes()
+    upto = [0, *ends[np.searchsorted(window[token], np.arange(len(keys)), "right") - 1].tolist()]
+    links = ids[at_a[met_a]].astype("<i8") << 32 | ids[at_b[met_b]]
+    n = np.bincount(window[at_a[met_a]], minlength=len(keys))
+    linked, link_at = links.tobytes(), [0, *(8 * np.cumsum(n)).tolist()]
+    numbers = n.astype("<i8").tobytes()
+    return [numbers[8 * i : 8 * i + 8] + linked[link_at[i] : link_at[i + 1]] + body[upto[i] : upto[i + 1] - 1] for i in range(len(keys))]
+
+
+def _windows(a: np.ndarray, b: np.ndarray, known: Tokenizers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a slice of texts: the places of their first bytes, and of their first tokens of A and of B.
+
+    They begin where space-marked tokens of both begin, so that both ended before; each text begins so.
+    """
     starts_a = np.cumsum(known.a_bytes.length[a]) - known.a_bytes.length[a]
     starts_b = np.cumsum(known.b_bytes.length[b]) - known.b_bytes.length[b]
-    marked_a, marked_b = np.unique(starts_a[known.a_bytes.spaced[a]]), np.unique(starts_b[known.b_bytes.spaced[b]])
-    shared = marked_a[np.isin(marked_a, marked_b, assume_unique=True)]  # a space-marked token of both begins there, so that both ended before
-    bounds = np.union1d(shared, edges)
-    return bounds, np.searchsorted(starts_a, bounds), np.searchsorted(starts_b, bounds)
+    first_a, first_b = np.flatnonzero(known.a_bytes.spaced[a]), np.flatnonzero(known.b_bytes.spaced[b])
+    place = np.minimum(np.searchsorted(starts_b[first_b], starts_a[first_a]), len(first_b) - 1)
+    both = starts_b[first_b[place]] == starts_a[first_a]
+    return starts_a[first_a[both]], first_a[both], first_b[place[both]]
 
 
 def align_slice(part, known: Tokenizers) -> list[tuple]:
@@ -130,10 +172,11 @@ def align_slice(part, known: Tokenizers) -> list[tuple]:
     edges = np.concatenate([[0], np.cumsum(sizes[full] + 1)])
     starts = chunk_starts(data, edges)
     codes, chunks = coded(strings(data, np.append(starts, len(data))))
+    keys = chunks.to_pylist()
     upto = np.searchsorted(starts, edges)  # chunks before each text
     ids, texts, whole = [], [], np.ones(len(full), bool)
     for memory, vocabulary in ((known.a, known.a_bytes), (known.b, known.b_bytes)):
-        flat, offsets = memory.ids(chunks)
+        flat, offsets = arrays(memory.of(keys), "<i4")
         spelled, lengths = gathered(vocabulary.flat, vocabulary.offsets, flat.astype(np.int64))
         ends = np.concatenate([[0], np.cumsum(lengths)])[offsets]
         same = pc.equal(strings(spelled, ends), chunks).to_numpy(zero_copy_only=False)
@@ -154,32 +197,26 @@ def align_slice(part, known: Tokenizers) -> list[tuple]:
         if not len(full):
             return out
     a, b = ids
-    bounds, first_a, first_b = _windows(a, b, edges[:-1], known)
+    bounds, first_a, first_b = _windows(a, b, known)
     codes_a, held_a = coded(strings(np.ascontiguousarray(a, "<i4").view(np.uint8), np.append(first_a, len(a)) * 4))
     codes_b, held_b = coded(strings(np.ascontiguousarray(b, "<i4").view(np.uint8), np.append(first_b, len(b)) * 4))
-    both, codes = np.unique(codes_a * len(held_b) + codes_b, return_inverse=True)
-    keys = list(zip(held_a.take(pa.array(both // len(held_b))).to_pylist(), held_b.take(pa.array(both % len(held_b))).to_pylist(), strict=True))
-    if len(known.windows) > REMEMBERED:
-        known.windows.clear()
-    found = []
-    for key in keys:
-        entry = known.windows.get(key)
-        if entry is None:
-            entry = align_window(np.frombuffer(key[0], "<i4"), np.frombuffer(key[1], "<i4"), known)
-            if len(key[0]) + len(key[1]) <= 4 * LONG_WINDOW:
-                known.windows[key] = entry
-        found.append(entry)
-    n_groups = np.array([x[0] for x in found], np.int64)
-    pairs, n_links = gathered(np.concatenate([x[2] for x in found]), np.concatenate([[0], np.cumsum([len(x[2]) for x in found])]), codes)
+    codes, both = coded(pa.array(codes_a * len(held_b) + codes_b))
+    both = both.to_numpy()
+    of_a, of_b = held_a.to_pylist(), held_b.to_pylist()
+    found = known.windows.of([of_a[i] + APART + of_b[j] for i, j in zip((both // len(held_b)).tolist(), (both % len(held_b)).tolist(), strict=True)])
+    n_links = np.array([int.from_bytes(x[:8], "little") for x in found], np.int64)
+    ends = (8 * (n_links + 1)).tolist()
+    held, places = arrays([x[8:e] for x, e in zip(found, ends, strict=True)], "<i8")
+    pairs, n_links = gathered(held, places, codes)
+    spelled = [x[e:] for x, e in zip(found, ends, strict=True)]
     window = np.searchsorted(bounds, edges)
-    groups_to, links_to = (np.concatenate([[0], np.cumsum(x)])[window] for x in (n_groups[codes], n_links))
-    spelled = [x[1] for x in found]
+    links_to = np.concatenate([[0], np.cumsum(n_links)])[window]
     listed = codes.tolist()
-    for k, i in enumerate(full.tolist()):
+    for k, i in enumerate(full.tolist()):  # a group has one link
         text = b";".join([spelled[c] for c in listed[window[k] : window[k + 1]]])
         own = pairs[links_to[k] : links_to[k + 1]]
         out[i] = (
-            int(texts[0][k + 1] - texts[0][k]), int(texts[1][k + 1] - texts[1][k]), int(groups_to[k + 1] - groups_to[k]), len(own),
+            int(texts[0][k + 1] - texts[0][k]), int(texts[1][k + 1] - texts[1][k]), len(own), len(own),
             hashlib.sha256(text).hexdigest(), own.astype("<i8").tobytes(),
         )
     return out

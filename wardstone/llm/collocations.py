@@ -325,7 +325,10 @@ def tries_of(phrases: DataFrame) -> Iterator[tuple[Trie, int]]:
 
 
 def counts_of(rows: DataFrame, phrases: DataFrame) -> DataFrame:
-    """place, a: how often each phrase occurs. A job for each trie, which is all that its tasks hold besides a count for each phrase."""
+    """place, a: how often each phrase occurs. A job for each trie, which is all that its tasks hold besides a count for each phrase.
+
+    Tasks send their counts in rows of 2 ** CELL_ROW, which are summed.
+    """
     spark = rows.sparkSession
     parts = []
     for trie, first in tries_of(phrases):
@@ -333,17 +336,32 @@ def counts_of(rows: DataFrame, phrases: DataFrame) -> DataFrame:
 
         def count(batches: Iterator[pa.RecordBatch], shipped=shipped, first=first) -> Iterator[pa.RecordBatch]:
             trie = shipped.value
-            total = np.zeros(trie.n + 1, np.int64)
+            total = np.zeros((trie.n >> CELL_ROW) + 1 << CELL_ROW, np.int64)
             for ids, own in _rows(batches):
                 for _, state in trie.advance(ids, own):
-                    total += np.bincount(trie.accept[state] + 1, minlength=trie.n + 1)
-            found = np.flatnonzero(total[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(found + first), pa.array(total[1:][found])], ["place", "a"])
-
-        parts.append(rows.mapInArrow(count, "place long, a long"))
+                    ended = trie.accept[state]
+                    total += np.bincount(ended[ended >= 0], minlength=len(total))
+            for i, part in enumerate(total.reshape(-1, 1 << CELL_ROW)):
+                places = np.flatnonzero(part)
+                if len(places):
+                    body = places.astype("<u2").tobytes() + part[places].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([first + (i << CELL_ROW)]), pa.array([body], pa.binary())], ["base", "counts"])
+
+        parts.append(rows.mapInArrow(count, "base long, counts binary"))
     if not parts:
         return spark.createDataFrame([], "place long, a long")
-    return reduce(DataFrame.unionAll, parts).groupBy("place").agg(F.sum("a").alias("a"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for base, body in zip(rows_of(batch, "base").to_pylist(), rows_of(batch, "counts").to_pylist(), strict=True):
+                n = len(body) // 10
+                sums.setdefault(base, np.zeros(1 << CELL_ROW, np.int64))[np.frombuffer(body, "<u2", n)] += np.frombuffer(body, "<i8", n, 2 * n)
+        for base, total in sums.items():
+            found = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(found + base), pa.array(total[found])], ["place", "a"])
+
+    return reduce(DataFrame.unionAll, parts).repartition(partitions_for(spark, 0), "base").mapInArrow(add, "place long, a long")
 
 
 def frequent_phrases(rows: DataFrame, least: int, longest: int) -> DataFrame:

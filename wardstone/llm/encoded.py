@@ -7,10 +7,8 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-#: Chunks that a process remembers; past it the memory is emptied. Bytes of a longer chunk, which isn't remembered.
-REMEMBERED, LONG_CHUNK = 1 << 18, 256
-#: Chunks that one library call encodes.
-CALL = 1024
+#: Bytes of a key that is too long to be remembered; keys whose values are made in one call.
+LONG, CALL = 256, 1024
 
 
 def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -33,25 +31,59 @@ def gathered(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[
     return flat[places], lengths
 
 
+def apart(encode: Callable[[str], list[int]], alone: Callable[[str], list[int]], mark: str, mark_id: int) -> Callable[[list[str]], list[bytes]]:
+    """Encodes chunks in one text, between marks that the library takes for a special token and never joins with what stands beside.
+
+    Chunks that hold the beginning of a mark themselves go alone.
+    """
+
+    def chunks_of(chunks: list[str]) -> list[bytes]:
+        plain = [c for c in chunks if "<|" not in c]
+        ids = np.array(encode(mark.join(plain)), np.int32)
+        marks = (4 * np.flatnonzero(ids == mark_id)).tolist()
+        body = ids.tobytes()
+        joined = (body[lo:hi] for lo, hi in zip([0, *[m + 4 for m in marks]], [*marks, len(body)], strict=True))
+        if len(plain) == len(chunks):
+            return list(joined)
+        return [np.array(alone(c), np.int32).tobytes() if "<|" in c else next(joined) for c in chunks]
+
+    return chunks_of
+
+
 class Memory:
-    """Ids of chunks by their bytes; only chunks not met before go to the library."""
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode = encode
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks in a row, and offsets (one more than chunks). chunks are distinct."""
-        keys = chunks.to_pylist()
-        fresh = [k for k in keys if k not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known, fresh = {}, keys
-        own: dict[bytes, np.ndarray] = {}
+    """Values of byte strings, made once for those met lately: past `limit` of them, those not met since half that many are forgotten."""
+
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], limit: int):
+        self.make, self.limit = make, limit
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of(self, keys: list[bytes]) -> list[bytes]:
+        """The values of distinct keys."""
+        young, old = self.young, self.old
+        found = list(map(young.get, keys))
+        fresh = []
+        for i, value in enumerate(found):
+            if value is None:
+                key = keys[i]
+                value = old.get(key)
+                if value is None:
+                    fresh.append(i)
+                else:
+                    found[i] = young[key] = value
         for at in range(0, len(fresh), CALL):
             part = fresh[at : at + CALL]
-            for key, ids in zip(part, self.encode([k.decode() for k in part]), strict=True):
-                (self.known if len(key) <= LONG_CHUNK else own)[key] = np.array(ids, np.int32)
-        found = [own[k] if k in own else self.known[k] for k in keys]
-        offsets = np.zeros(len(keys) + 1, np.int64)
-        np.cumsum([len(x) for x in found], out=offsets[1:])
-        return (np.concatenate(found) if found else np.zeros(0, np.int32)), offsets
+            for i, value in zip(part, self.make([keys[i] for i in part]), strict=True):
+                found[i] = value
+                if len(keys[i]) <= LONG:
+                    young[keys[i]] = value
+        if len(young) > self.limit // 2:
+            self.young, self.old = {}, young
+        return found
+
+
+def arrays(values: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings as one array of numbers, and offsets (one more than strings)."""
+    offsets = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(kind).itemsize, out=offsets[1:])
+    return np.frombuffer(b"".join(values), kind), offsets

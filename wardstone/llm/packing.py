@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import rows_of, slices, stored, table
-from .encoded import Memory, coded, gathered, strings
+from .encoded import Memory, apart, arrays, coded, gathered, strings
 
-#: Tokens of a sequence; the id that ends each document; bytes of texts that are cut into words at once.
-CAPACITY, END, SLICE = 4096, 1, 1 << 22
+#: Tokens of a sequence; the id that ends each document; bytes of texts that are cut into words at once; words that a process remembers, some 200 bytes each.
+CAPACITY, END, SLICE, REMEMBERED = 4096, 1, 1 << 22, 1 << 20
 
 #: row tells pieces apart, as doc_ids may repeat.
 PIECES = "row long, doc_id long, piece int, start long, length int, ids binary"
@@ -35,7 +35,10 @@ def _memory(model: str) -> Memory:
         tokenizer = Tokenizer.from_str(model)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _memories[key] = Memory(lambda chunks: [x.ids for x in tokenizer.encode_batch(chunks, add_special_tokens=False)])
+        mark = next(t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special)
+        alone = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        encode = apart(alone, alone, mark, tokenizer.token_to_id(mark))
+        _memories[key] = Memory(lambda words: encode([w.decode() for w in words]), REMEMBERED)
     return _memories[key]
 
 
@@ -61,7 +64,7 @@ def token_pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end: int
                 keep[starts] += 1
                 keep[ends] -= 1  # a word may begin where another document's last one ends
                 codes, words = coded(strings(part.data[np.cumsum(keep[:-1]) > 0], offsets))
-                flat, places = memory.ids(words)
+                flat, places = arrays(memory.of(words.to_pylist()), "<i4")
                 ids, lengths = gathered(flat, places, codes)
                 upto = np.concatenate([[0], np.cumsum(lengths)])[firsts]
                 out: list[tuple] = []
