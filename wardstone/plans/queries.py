@@ -37,6 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder below the shared one, spark.checkpoint.dir; only on one machine may that be unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-wardstone-")
+    return f"{base.rstrip('/')}/wardstone-{kind}/{uuid.uuid4().hex}"
+
+
 def pick(n: Column, *names: str | None) -> Column:
     """names[n modulo their number]."""
     return F.get(F.array(*[F.lit(x).cast("string") for x in names]), F.pmod(n, F.lit(len(names))).cast("int"))
@@ -143,6 +153,20 @@ def replace_source(spark, sf_dir):
     return index.replace_sources(chunks(spark, sf_dir), index.build_chunks(new)).select("chunk_id", F.md5("text").alias("digest"))
 
 
+@query(f"""SELECT chunk_id, md5(text) AS digest, false AS old FROM {CHUNKS} WHERE tier <> 'restricted' AND source NOT IN (SELECT source FROM {DOCUMENTS} WHERE doc_id % 3 = 1)
+  UNION ALL SELECT chunk_id, md5(text), false FROM {NEW_CHUNKS} WHERE tier <> 'restricted' UNION ALL SELECT chunk_id, md5(text), true FROM {CHUNKS} WHERE tier <> 'restricted'""")
+def published_index(spark, sf_dir):
+    """An index written, sources replaced in it, and both versions read inside two tiers, the older one by a reader that holds it."""
+    path = scratch(spark, "index")
+    grants = corpus.tiers(spark).where("tier <> 'restricted'")
+    index.write_index(chunks(spark, sf_dir), path)
+    old = index.read_index(spark, path, grants)
+    new = documents(spark, sf_dir).where(F.col("doc_id") % 3 == 1).withColumn("text", F.concat("text", F.lit(" Second edition."))).drop("doc_id")
+    index.replace_in_index(spark, path, index.build_chunks(new))
+    read = index.read_index(spark, path, grants)
+    return read.withColumn("old", F.lit(False)).unionByName(old.withColumn("old", F.lit(True))).select("chunk_id", F.md5("text").alias("digest"), "old")
+
+
 @query(f"SELECT DISTINCT tier, source FROM {CHUNKS} WHERE tier = 'public' AND origin = 'upload' AND source NOT IN (SELECT source FROM {DOCUMENTS} WHERE doc_id % 2 = 0)")
 def retract_unseen(spark, sf_dir):
     seen = documents(spark, sf_dir).where(F.col("doc_id") % 2 == 0)
@@ -707,12 +731,7 @@ def late_events(spark, sf_dir):
 def streamed_counts(spark, sf_dir):
     """The tumbling counts as a stream over the events, run until all that is there has been taken."""
     # the pattern stands for a file or a folder; a stream takes a plain path for a folder
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # on one machine only
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-wardstone-")
-    path = f"{base.rstrip('/')}/wardstone-streams/{uuid.uuid4().hex}"
+    path = scratch(spark, "streams")
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*").withColumn("at", F.col("ts").cast("timestamp"))
     counts = jobs.tumbling_counts(events, "event_type")
@@ -722,6 +741,50 @@ def streamed_counts(spark, sf_dir):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("""WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS us, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events
+    WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)),
+  r AS (SELECT user_id, ts, rn, us AS start, 1 AS n FROM o WHERE rn = 1
+    UNION ALL SELECT o.user_id, o.ts, o.rn, CASE WHEN o.us - r.start >= 86400000000 THEN o.us ELSE r.start END, CASE WHEN o.us - r.start >= 86400000000 THEN 1 ELSE r.n + 1 END
+    FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+  SELECT user_id::VARCHAR AS key, ts AS "at", n::BIGINT AS n, n <= 3 AS allowed FROM r""")
+def streamed_limits(spark, sf_dir):
+    """Rate limits as a stream over the events, in event order; hits that the watermark hasn't passed at its end are still open."""
+    path, provider = scratch(spark, "streams"), "spark.sql.streaming.stateStore.providerClass"
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*")
+    hits = events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    was = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        decided = jobs.limit_stream(hits, 3, 86400)
+        writer = decided.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, was)
+    return spark.read.schema(decided.schema).parquet(f"{path}/out").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+SNAPSHOT_CHUNKS = f"""(SELECT tier, source, i AS chunk_index, substr(s, 1 + 850 * i, 1000) AS text FROM (SELECT *, unnest(range(0, (length(s) + 849) // 850)) AS i FROM
+  (SELECT tier, source, {STRIPPED} AS s FROM (SELECT {TIER.format('doc_id')} AS tier, 'tickets/' || doc_id AS source, text FROM documents WHERE doc_id % 4 = 2)) WHERE length(s) > 0)
+  WHERE length(regexp_replace(substr(s, 1 + 850 * i, 1000), '\\s+', '', 'g')) > 0)"""
+
+
+@query(f"SELECT tier, source, chunk_index::INT AS chunk_index, md5(text) AS digest FROM {SNAPSHOT_CHUNKS}")
+def staged_snapshots(spark, sf_dir):
+    """Documents as the records of four snapshots in one stream: 3 lacks records, so that the index has 2 at the end, the newest whole one."""
+    path = scratch(spark, "streams")
+    n = F.col("doc_id")
+    counts = table(spark, sf_dir, "documents").groupBy((n % 4).alias("snapshot")).agg(F.count(F.lit(1)).alias("there"))  # four rows
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque*")
+    records = docs.withColumn("snapshot", n % 4).join(F.broadcast(counts), "snapshot").select(
+        n.cast("string").alias("id"), F.lit("").alias("title"), F.col("text").alias("body"), F.lit("ann").alias("author"), pick(n, *corpus.TIERS).alias("acl"),
+        F.lit(None).cast("string").alias("updated_at"), F.lit(1).cast("long").alias("seq"), "snapshot", (F.col("there") + (F.col("snapshot") == 3).cast("long")).alias("records"),
+    )
+    jobs.start_snapshot_sync(records, f"{path}/stage", f"{path}/index", f"{path}/state", every=None).awaitTermination()
+    read = index.read_index(spark, f"{path}/index", corpus.tiers(spark))
+    return read.select("tier", "source", "chunk_index", F.md5("text").alias("digest"))
+
+
 # ------------------------------------------------------------------ attack reports
 
 RUNS = """(SELECT event_id, event_type AS script, event_id % 2 AS phase, 'the window is ' || [30, 90, 45][(event_id % 3 + 1)::INT] || ' days' || CASE WHEN event_id % 4 = 0 THEN ', not 30 days' ELSE '' END AS answer, event_id % 5 < 2 AS ctx FROM events)"""

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -96,7 +97,8 @@ def stage_records(batch: DataFrame, stage: str, number: int) -> None:
 
     stage/records/snapshot=<id>/batch=<number> holds records, stage/counts/batch=<number> a row a snapshot.
     """
-    rows = batch.where(F.col("snapshot").isNotNull()).persist()
+    held = {f.name: f.dataType for f in StructType.fromDDL(RECORD_SCHEMA)}
+    rows = batch.where(F.col("snapshot").isNotNull()).select(*[F.col(c).cast(t).alias(c) for c, t in held.items() if c in batch.columns]).persist()
     try:
         numbered = rows.withColumn("batch", F.lit(number))
         numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot", "batch").parquet(f"{stage}/records")
