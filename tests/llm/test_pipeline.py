@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from test_llm_operators import components, duck, repeated_bytes
 from wardstone.llm import decontamination, mixing
@@ -78,3 +80,23 @@ def test_rows_are_judged_one_by_one(spark):
     assert stages["mixing sources to target weights"](spark, docs, sf).count() == docs.count()
     for name, stage in stages.items():
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_stages_delete_only_their_own_tables(spark):
+    from wardstone.llm.mixing import op10_mix_sources
+
+    held = op10_mix_sources(spark, SF)
+    n = held.count()
+    docs = table(spark, SF, "documents")
+    for _, stage in corpus_pipeline.STAGES[-2:]:
+        stage(spark, docs, SF).count()
+    assert held.count() == n
+
+
+def test_one_long_labelled_text_shuts_out_no_others(spark, monkeypatch):
+    from wardstone.llm import quality
+
+    monkeypatch.setattr(quality, "TRAIN_PASSAGES", 200)
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.repeat("text", F.lit(40))).otherwise(F.col("text")))
+    assert quality.fit_quality(long, table(spark, SF, "labels")) is not None

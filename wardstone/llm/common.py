@@ -6,6 +6,7 @@ tokenised and hashed without a Python object per word.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import hashlib
 import tempfile
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
-_stored: list[tuple[str, str | None]] = []
+#: Path, table name and owner of what stored() and stored_by() have written, and who owns what is written now.
+_stored: list[tuple[str, str | None, str | None]] = []
+_owner: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +50,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/wardstone/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _stored.append((path, None))
+    _stored.append((path, None, _owner))
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -60,7 +63,7 @@ def stored_by(df: DataFrame, key: str, n_parts: int, tag: str, placed: bool = Fa
     path = f"{scratch_dir(spark)}/wardstone/{tag}-{name}"
     rows = df if placed else df.repartition(n_parts, key)
     rows.write.bucketBy(n_parts, key).option("compression", "zstd").option("path", path).saveAsTable(name, format="parquet")
-    _stored.append((path, name))
+    _stored.append((path, name, _owner))
     out = spark.table(name)
     out.stored_at = path
     return out
@@ -77,13 +80,25 @@ def discard(df: DataFrame) -> None:
     """Delete a stored table that nothing will read again, as what was made from it is stored itself."""
     for entry in [x for x in _stored if x[0] == df.stored_at]:
         _stored.remove(entry)
-        _delete(df.sparkSession, *entry)
+        _delete(df.sparkSession, *entry[:2])
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that stored() has written so far. For callers whose results so far are written elsewhere."""
-    while _stored:
-        _delete(spark, *_stored.pop())
+@contextlib.contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """What is stored meanwhile belongs to this owner."""
+    global _owner
+    before, _owner = _owner, owner
+    try:
+        yield
+    finally:
+        _owner = before
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete the tables of an owner whose results so far are written elsewhere. Others' frames go on reading theirs."""
+    for entry in [x for x in _stored if x[2] == owner]:
+        _stored.remove(entry)
+        _delete(spark, *entry[:2])
 
 
 def free_shuffles(spark: SparkSession) -> None:

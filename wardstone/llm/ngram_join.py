@@ -425,7 +425,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if repeated.isEmpty():
         return named.drop(name)
     again = repeated.withColumnRenamed("rid", name)
-    one = named.join(again, name, "left_semi").dropDuplicates([name])
+    row = F.struct(*[F.col(f"`{c}`") for c in named.columns])
+    least = named.join(again, name, "left_semi").groupBy(name).agg(F.min_by(row, F.to_json(row)).alias("row"))  # the same one in every run
+    one = least.select("row.*")
     return named.join(again, name, "left_anti").unionByName(one).drop(name)
 
 

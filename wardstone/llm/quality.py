@@ -141,8 +141,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
     """The classifier, fitted on labelled documents outside the held-out fold; None if these lack one of the labels.
 
     Of all such labels the train_docs with least id hash are taken, half of them at most of either
-    label; of these, in the same order, as many whole documents as have TRAIN_PASSAGES passages
-    together. Null labels and ids don't count, an id with both labels counts as 0, and of
+    label; of these, the shortest first, as many whole documents as have TRAIN_PASSAGES passages
+    together, one of each label at least. Null labels and ids don't count, an id with both labels counts as 0, and of
     documents that share an id the one with the least text is read, null last.
     """
     rows = (
@@ -162,8 +162,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
         .agg(F.min("text").alias("text"))
         .withColumn("passages", F.greatest(F.lit(1), F.ceil(F.regexp_count("text", F.lit(WORD_PATTERN)) / PASSAGE)))
     )
-    before = Window.partitionBy("quality").orderBy("h", "doc_id")
-    whole = chosen.withColumn("reached", F.sum("passages").over(before)).where(F.col("reached") <= TRAIN_PASSAGES // 2)
+    before = Window.partitionBy("quality").orderBy("passages", "h", "doc_id")  # train_docs rows at most
+    whole = chosen.withColumns({"reached": F.sum("passages").over(before), "first": F.row_number().over(before)}).where((F.col("reached") <= TRAIN_PASSAGES // 2) | (F.col("first") == 1))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
