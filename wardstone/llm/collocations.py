@@ -283,19 +283,31 @@ def hot_cells(rows: DataFrame, shipped: list, frequent, least: int) -> np.ndarra
     return bits.reshape(-1)
 
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+
 def candidates(rows: DataFrame, shipped: list, frequent, hot, least: int) -> DataFrame:
-    """phrase, next for the extensions that occur `least` times and more. Only those in hot cells are sent, with counts cut at 255 a task."""
+    """phrase, next for the extensions that occur `least` times and more.
+
+    Only those in hot cells are sent, with counts cut at 255 a task, many keys of a bucket (by hash) in a row.
+    """
+    n_parts = partitions_for(rows.sparkSession, 0)
+    n_buckets = 4 * n_parts
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = hot.value
         held, room = [], 0
 
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
-
-        def sent(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.minimum(n, 255).astype(np.int16))], ["key", "n"])
+        def sent(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bucket = _hashes(keys, 40) % n_buckets
+            order = np.argsort(bucket, kind="stable")
+            keys, n = keys[order].astype("<i8"), np.minimum(n[order], 255).astype(np.uint8)
+            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            own = np.flatnonzero(np.diff(cuts)).tolist()
+            bodies = [[x[cuts[i] : cuts[i + 1]].tobytes() for i in own] for x in (keys, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *[pa.array(x, pa.binary()) for x in bodies]], ["bucket", "keys", "n"])
 
         for ids, own in _rows(batches):
             for s in shipped:
@@ -304,14 +316,27 @@ def candidates(rows: DataFrame, shipped: list, frequent, hot, least: int) -> Dat
                 held.append(np.unique(keys[bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 > 0], return_counts=True))
                 room += len(held[-1][0])
                 if room > HELD:
-                    held, room = [summed()], 0
+                    held, room = [_summed(held)], 0
                     if len(held[0][0]) > HELD // 2:
-                        yield sent(*held.pop())
+                        yield from sent(*held.pop())
+        if held:
+            yield from sent(*_summed(held))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = [], 0
+        for batch in batches:
+            for keys, n in zip(rows_of(batch, "keys").to_pylist(), rows_of(batch, "n").to_pylist(), strict=True):
+                held.append((np.frombuffer(keys, "<i8"), np.frombuffer(n, np.uint8).astype(np.int64)))
+                room += len(held[-1][0])
+                if room > HELD:
+                    held, room = [_summed(held)], 0
         if held:
-            yield sent(*summed())
+            keys, n = _summed(held)
+            keys = keys[n >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array((keys & 0xFFFFFFFF).astype(np.int32))], ["phrase", "next"])
 
-    found = rows.mapInArrow(find, "key long, n short").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return found.select(F.shiftright("key", 32).alias("phrase"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("next"))
+    sent_rows = rows.mapInArrow(find, "bucket int, keys binary, n binary").repartition(n_parts, "bucket")
+    return sent_rows.mapInArrow(add, "phrase long, next int")
 
 
 def tries_of(phrases: DataFrame) -> Iterator[tuple[Trie, int]]:
