@@ -11,6 +11,7 @@ from ..functions.rules import REDACTED, REFUSAL, block_flags, redact, redact_fla
 from ..functions.text import (
     claims, cosine, decoded_variants, figures, gram_hashes, has_markup, neutralise_markup, normalise, phonetic_fold, secret_core, strip, verdicts, word_grams,
 )
+from .patterns import bounded, holding_any
 from .tiles import column, matrix, tile_pairs, whole
 
 # Fixed values.
@@ -78,12 +79,16 @@ def registered_secrets(values: DataFrame) -> DataFrame:
 def secret_leaks(responses: DataFrame, secrets: DataFrame) -> DataFrame:
     """response_id of responses with a projection that contains a secret core. secrets: core, of LEAST_SECRET characters and more.
 
-    Cores and projections meet by an equi-join on a core's first characters; only such pairs are compared whole.
+    A registry within patterns' bounds becomes an automaton, and each projection is read once. A larger
+    one meets the projections by an equi-join on a core's first characters; only such pairs are compared whole.
     """
     text = F.col("text")
     views = F.concat(F.array(text, phonetic_fold(F.col("folded"))), decoded_variants(text))
     folded = responses.where(text.isNotNull()).select("response_id", "text", normalise(text).alias("folded"))
     hay = folded.select("response_id", F.explode(views).alias("v")).select("response_id", secret_core(F.col("v")).alias("hay")).where(F.length("hay") >= LEAST_SECRET)
+    held = bounded(secrets.where(F.length("core") >= LEAST_SECRET), "core")
+    if held is not None:
+        return holding_any(hay, held, "response_id", "hay").distinct()
     pieces = hay.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("hay"), F.lit(PIECE)))).select(
         "response_id", "hay", F.substring("hay", F.col("start"), F.lit(PIECE + LEAST_SECRET - 1)).alias("piece")
     ).where(F.length("piece") >= LEAST_SECRET)

@@ -59,16 +59,59 @@ def answered_by_mode(audit: DataFrame) -> DataFrame:
     return audit.where("event = 'query.answered'").groupBy("mode").agg(F.count(F.lit(1)).alias("answered"))
 
 
-def actor_rates(audit: DataFrame) -> DataFrame:
-    """Per actor over answered queries: n, refusal_rate, redaction_rate, and counts with suppressed or unverified chunks."""
-    number = lambda k: F.coalesce(F.try_element_at("fields", F.lit(k)).cast("long"), F.lit(0))
-    return audit.where("event = 'query.answered'").groupBy("actor").agg(
+#: Counts that add up over any split of an actor's records.
+SIGNS = ("n", "refused", "redacted", "suppressed_answers", "unverified_answers")
+
+
+def _signs() -> list[Column]:
+    """SIGNS of answered queries, as aggregates."""
+    number = lambda k: F.coalesce(F.try_element_at("fields", F.lit(k)).try_cast("long"), F.lit(0))
+    return [
         F.count(F.lit(1)).alias("n"),
-        F.avg((F.col("decision") == "deny").cast("double")).alias("refusal_rate"),
-        F.avg((F.coalesce(F.try_element_at("fields", F.lit("output_rules")), F.lit("[]")) != "[]").cast("double")).alias("redaction_rate"),
+        F.count_if(F.col("decision") == "deny").alias("refused"),
+        F.count_if(F.coalesce(F.try_element_at("fields", F.lit("output_rules")), F.lit("[]")) != "[]").alias("redacted"),
         F.count_if(number("suppressed") > 0).alias("suppressed_answers"),
         F.count_if(number("unverified") > 0).alias("unverified_answers"),
-    )
+    ]
+
+
+def _answered(audit: DataFrame) -> DataFrame:
+    return audit.where("event = 'query.answered'")
+
+
+def _rated(counts: DataFrame, *keys: str) -> DataFrame:
+    return counts.select(
+        *keys, "n", (F.col("refused") / F.col("n")).alias("refusal_rate"), (F.col("redacted") / F.col("n")).alias("redaction_rate"),
+        "suppressed_answers", "unverified_answers",
+    )
+
+
+def actor_rates(audit: DataFrame) -> DataFrame:
+    """Per actor over answered queries: n, refusal_rate, redaction_rate, and counts with suppressed or unverified chunks."""
+    return _rated(_answered(audit).groupBy("actor").agg(*_signs()), "actor")
+
+
+def sliding_rates(audit: DataFrame, panes: int, pane_seconds: int, at: str = "at") -> DataFrame:
+    """start, actor and actor_rates() of windows of `panes` panes that start with every pane; windows without records have no row.
+
+    Records are counted by pane once, before anything is multiplied; a window sums the panes that it
+    shares with its neighbours. Records without a time are in no window.
+    """
+    pane = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (pane_seconds * 1_000_000))
+    counted = _answered(audit).where(F.col(at).isNotNull()).groupBy("actor", pane.alias("pane")).agg(*_signs())
+    spread = counted.withColumn("first", F.explode(F.sequence(F.col("pane") - (panes - 1), F.col("pane"))))
+    windows = spread.groupBy("actor", "first").agg(*[F.sum(c).alias(c) for c in SIGNS])
+    return _rated(windows.withColumn("start", F.timestamp_seconds(F.col("first") * pane_seconds)), "start", "actor")
+
+
+def actor_sessions(audit: DataFrame, gap: str = "30 minutes", at: str = "at") -> DataFrame:
+    """start, end, actor and actor_rates() of each run of an actor's answered queries with less than a gap between them.
+
+    end is the last record's time and the gap. On a stream with a watermark sessions come out once they are closed.
+    """
+    timed = _answered(audit).where(F.col(at).isNotNull()).withColumn(at, F.col(at).cast("timestamp"))
+    sessions = timed.groupBy(F.session_window(at, gap).alias("w"), "actor").agg(*_signs())
+    return _rated(sessions.withColumns({"start": F.col("w.start"), "end": F.col("w.end")}), "start", "end", "actor")
 
 
 def uploads_listing(audit: DataFrame) -> DataFrame:

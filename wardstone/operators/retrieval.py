@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -44,17 +43,6 @@ def with_capability(requests: DataFrame, principals: DataFrame, role: str, grant
 # ------------------------------------------------------------------ search
 
 
-def with_embeddings(df: DataFrame, load: Callable[[], Callable[[list[str]], list]], text: str = "text", out: str = "embedding") -> DataFrame:
-    """df with a vector for each text. load gives the embedder, and is called once a task."""
-
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embedder = load()
-        for texts in batches:
-            yield pd.Series(list(embedder(texts.fillna("").tolist())))
-
-    return df.withColumn(out, F.pandas_udf(embed, "array<float>")(F.col(text)))
-
-
 def is_curated(origin: Column) -> Column:
     return F.coalesce(origin, F.lit(CURATED)) == CURATED
 
@@ -178,9 +166,9 @@ def split_trusted(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hits.where(ok), hits.where(~ok)
 
 
-def final_cut(hits: DataFrame, k: int = TOP_K) -> DataFrame:
+def final_cut(hits: DataFrame, k: int = TOP_K, of: tuple[str, ...] = ("question_id",)) -> DataFrame:
     """The first k that are left of each question, curated ones first."""
-    by = Window.partitionBy("question_id").orderBy((~is_curated(F.col("origin"))).cast("int"), "distance", "chunk_id")
+    by = Window.partitionBy(*of).orderBy((~is_curated(F.col("origin"))).cast("int"), "distance", "chunk_id")
     return hits.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
 
 
@@ -209,6 +197,26 @@ def retrieve(
     return final_cut(kept, k)
 
 
+def retrieve_phases(
+    questions: DataFrame, chunks: DataFrame, grants: DataFrame, k: int = TOP_K, max_distance: float = MAX_DISTANCE, but_own: bool = False
+) -> DataFrame:
+    """retrieve() with and without its guards, as phases `secure` and `open` of one search.
+
+    The k nearest of all lie among the k nearest of each class, so that one search and one screening
+    serve both; a hit that both sides keep becomes two rows.
+    """
+    found = nearest_chunks(questions, chunks, grants, k, but_own=but_own).drop("place", "budget")
+    overall = Window.partitionBy("question_id").orderBy("distance", "rank", "chunk_id")
+    hits = found.withColumn("near", F.row_number().over(overall)).drop("rank").join(
+        chunks.select("chunk_id", "tier", "source", "text", "reviewed"), ["chunk_id", "tier"]
+    )
+    clean = F.size(document_flags(F.coalesce("source", F.lit("")), F.col("text"))) == 0
+    safe = clean & (F.coalesce("distance", F.lit(0.0)) <= max_distance) & is_trusted(F.col("origin"), F.col("reviewed"))
+    phases = F.array_compact(F.array(F.when(F.col("near") <= k, "open"), F.when(safe, "secure")))
+    split = hits.withColumn("phase", F.explode(phases)).drop("near")
+    return final_cut(split.withColumn("origin", F.coalesce("origin", F.lit(CURATED))), k, ("question_id", "phase"))
+
+
 def assemble_context(hits: DataFrame) -> DataFrame:
     """question_id, context: hits in order, each wrapped with its source as an escaped attribute."""
     escaped = F.coalesce("source", F.lit("unknown"))

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text as t
-from ..operators import answers, audit, index, retrieval
-from ..sources import corpus
-from ..streaming import jobs
+from ..operators import answers, audit, embedding, index, retrieval
+from ..sources import corpus, counted
+from ..streaming import corrections, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,6 +118,21 @@ ACTIONS = f"""(SELECT coalesce(a.tier, b.tier) AS tier, coalesce(a.source, b.sou
   FROM {HAD} a FULL JOIN {WANT} b ON a.tier = b.tier AND a.source = b.source)"""
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letter_counts():
+    """An embedder for tests of the plumbing: how often each letter stands in a text."""
+    return lambda texts: [[float(x.count(c)) for c in LETTERS] for x in texts]
+
+
+@query(f"SELECT chunk_id, array_to_string([length(text) - length(replace(text, c, '')) FOR c IN string_split('{','.join(LETTERS)}', ',')], ' ') AS vector FROM {CHUNKS}")
+def embedded_chunks(spark, sf_dir):
+    """Chunks with vectors, as the plumbing of any model gives them."""
+    found = embedding.with_embeddings(chunks(spark, sf_dir), _letter_counts, "letters-1")
+    return found.select("chunk_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), " ").alias("vector"))
+
+
 def _snapshots(spark, sf_dir):
     docs = documents(spark, sf_dir)
     had = docs.where(F.col("doc_id") % 4 != 0).withColumn("content_hash", t.content_hash(F.col("text")))
@@ -136,6 +151,16 @@ def sync_counters(spark, sf_dir):
     return index.sync_counts(index.reconcile(*_snapshots(spark, sf_dir)))
 
 
+@query(f"SELECT {', '.join(f'count(*) FILTER (action = {a!r}) AS {a}' for a in ('added', 'updated', 'deleted', 'unchanged'))}, count(*) AS written FROM {ACTIONS}")
+def counted_write(spark, sf_dir):
+    """The counters of a reconciliation as they come with its one write, and the rows that were written."""
+    path = f"{scratch(spark, 'counted')}/actions"
+    actions = index.reconcile(*_snapshots(spark, sf_dir))
+    told = counted.write_counted(actions, path, {a: F.count_if(F.col("action") == a) for a in ("added", "updated", "deleted", "unchanged")})
+    columns = [F.lit(n).cast("long").alias(a) for a, n in told.items()]
+    return spark.read.schema(actions.schema).parquet(path).agg(F.count(F.lit(1)).alias("written")).select(*columns, "written")
+
+
 @query(f"""SELECT tier, coalesce(origin, 'curated') AS origin, source, CASE WHEN bool_or(chunk_index % 4 = 3) THEN 'unsealed' ELSE max(substr(sha256(text), 1, 32)) END AS content_hash
   FROM {CHUNKS} GROUP BY ALL""")
 def index_state(spark, sf_dir):
@@ -335,9 +360,24 @@ def redact_flags(spark, sf_dir):
     return with_payloads(documents(spark, sf_dir)).select("doc_id", F.array_join(rules.redact_flags(F.col("text")), ",").alias("flags"))
 
 
-@query()  # word edges beside letters outside ASCII differ between the engines' patterns
+def _redacted_sql(column: str) -> str:
+    for _, pattern in rules.REDACT_RULES:
+        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{rules.REDACTED}', 'g')"
+    return column
+
+
+#: Word edges beside letters outside ASCII differ between the engines' patterns: texts with such have no digest.
+SHOWN = "CASE WHEN regexp_matches({0}, '[^\\x00-\\x7F]') THEN NULL ELSE md5({1}) END"
+
+
+def shown(text: Column, out: Column) -> Column:
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), F.md5(out))
+
+
+@query(f"SELECT doc_id, {SHOWN.format('p', _redacted_sql('p'))} AS digest FROM (SELECT doc_id, {PAYLOAD} AS p FROM {DOCUMENTS})")
 def redact_documents(spark, sf_dir):
-    return with_payloads(documents(spark, sf_dir)).select("doc_id", rules.redact(F.col("text")).alias("text"))
+    docs = with_payloads(documents(spark, sf_dir))
+    return docs.select("doc_id", shown(F.col("text"), rules.redact(F.col("text"))).alias("digest"))
 
 
 ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -481,6 +521,19 @@ def _retrieved(spark, sf_dir):
     return retrieval.retrieve(questions, vectors.join(texts, "vec_id"), grants, but_own=True)
 
 
+OPEN = TOLD.replace("PARTITION BY question_id, coalesce(origin, 'curated') = 'curated'", "PARTITION BY question_id")
+
+
+@query(f"""SELECT 'secure' AS phase, question_id, chunk_id, place FROM {ANSWERING} UNION ALL SELECT 'open', question_id, chunk_id,
+  (row_number() OVER (PARTITION BY question_id ORDER BY coalesce(origin, 'curated') <> 'curated', distance, chunk_id))::INT FROM {OPEN}""")
+def retrieve_phases(spark, sf_dir):
+    """What answers with and without the guards, from one search."""
+    questions, vectors, grants = _search_tables(spark, sf_dir)
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
+    found = retrieval.retrieve_phases(questions, vectors.join(texts, "vec_id"), grants, but_own=True)
+    return found.select("phase", "question_id", "chunk_id", "place")
+
+
 @query(f"""SELECT question_id, string_agg('<document source="' || source || '">' || chr(10) || text || chr(10) || '</document>', chr(10) || chr(10) ORDER BY place) AS context
   FROM {ANSWERING} GROUP BY question_id""")
 def answer_context(spark, sf_dir):
@@ -656,7 +709,8 @@ def call_budget(spark, sf_dir):
 # ------------------------------------------------------------------ audit
 
 AUDIT = """(SELECT event_id, ts AS "at", 'u' || user_id AS actor, ['query.answered', 'auth.login', 'ingest.upload', 'auth.role'][(event_id % 4 + 1)::INT] AS event,
-  ['allow', 'deny', 'error'][(user_id % 3 + 1)::INT] AS decision, ['secure', 'insecure'][(event_id % 8 // 4 + 1)::INT] AS mode, ['public', 'internal', 'restricted'][(event_id % 3 + 1)::INT] AS tier, event_id % 3 AS suppressed FROM events)"""
+  ['allow', 'deny', 'error'][(user_id % 3 + 1)::INT] AS decision, ['secure', 'insecure'][(event_id % 8 // 4 + 1)::INT] AS mode, ['public', 'internal', 'restricted'][(event_id % 3 + 1)::INT] AS tier, event_id % 3 AS suppressed,
+  event_id % 7 = 0 AS redacted, event_id % 5 AS unverified, event_type AS source FROM events)"""
 
 
 def audit_events(spark, sf_dir):
@@ -665,7 +719,10 @@ def audit_events(spark, sf_dir):
         n, F.col("ts").alias("at"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"),
         pick(n, "query.answered", "auth.login", "ingest.upload", "auth.role").alias("event"), pick(F.col("user_id"), "allow", "deny", "error").alias("decision"),
         pick(F.floor((n % 8) / 4), "secure", "insecure").alias("mode"), pick(n, *corpus.TIERS).alias("tier"),
-        F.create_map(F.lit("suppressed"), (n % 3).cast("string"), F.lit("source"), F.col("event_type")).alias("fields"),
+        F.create_map(
+            F.lit("suppressed"), (n % 3).cast("string"), F.lit("source"), F.col("event_type"), F.lit("output_rules"), F.when(n % 7 == 0, '["email"]').otherwise("[]"),
+            F.lit("unverified"), (n % 5).cast("string"), F.lit("chunks"), (n % 9).cast("string"), F.lit("bytes"), (n * 10).cast("string"), F.lit("replaced"), (n % 8 == 2).cast("string"),
+        ).alias("fields"),
     )
 
 
@@ -680,17 +737,42 @@ def answered_by_mode(spark, sf_dir):
     return audit.answered_by_mode(audit_events(spark, sf_dir))
 
 
-@query(f"SELECT actor, count(*) AS n, avg((decision = 'deny')::INT) AS refusal_rate, 0.0::DOUBLE AS redaction_rate, count(*) FILTER (suppressed > 0) AS suppressed_answers, 0::BIGINT AS unverified_answers FROM {AUDIT} WHERE event = 'query.answered' GROUP BY actor")
+SIGNS = """count(*) AS n, count(*) FILTER (decision = 'deny') / count(*) AS refusal_rate, count(*) FILTER (redacted) / count(*) AS redaction_rate,
+  count(*) FILTER (suppressed > 0) AS suppressed_answers, count(*) FILTER (unverified > 0) AS unverified_answers"""
+
+
+@query(f"SELECT actor, {SIGNS} FROM {AUDIT} WHERE event = 'query.answered' GROUP BY actor")
 def actor_rates(spark, sf_dir):
     return audit.actor_rates(audit_events(spark, sf_dir))
 
 
-@query(f"SELECT event_id, \"at\", actor, tier FROM {AUDIT} WHERE event = 'ingest.upload'")
+@query(f"""SELECT start::TIMESTAMP AS start, actor, {SIGNS} FROM (SELECT *, unnest(generate_series(time_bucket(INTERVAL 6 HOUR, "at", TIMESTAMP '1970-01-01') - INTERVAL 18 HOUR,
+  time_bucket(INTERVAL 6 HOUR, "at", TIMESTAMP '1970-01-01'), INTERVAL 6 HOUR)) AS start FROM {AUDIT} WHERE event = 'query.answered') GROUP BY start, actor""")
+def sliding_rates(spark, sf_dir):
+    """A day's rates of each actor, from every sixth hour on."""
+    return audit.sliding_rates(_utc(audit_events(spark, sf_dir)), 4, 6 * 3600).withColumn("start", _as_ntz("start"))
+
+
+@query(f"""SELECT min("at") AS start, max("at") + INTERVAL 12 HOUR AS end, actor, {SIGNS} FROM (SELECT *, sum(opens) OVER (PARTITION BY actor ORDER BY "at", event_id) AS session
+  FROM (SELECT *, CASE WHEN "at" - lag("at") OVER (PARTITION BY actor ORDER BY "at", event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM {AUDIT} WHERE event = 'query.answered'))
+  GROUP BY actor, session""")
+def actor_sessions(spark, sf_dir):
+    found = audit.actor_sessions(_utc(audit_events(spark, sf_dir)), "12 hours")
+    return found.withColumns({"start": _as_ntz("start"), "end": _as_ntz("end")})
+
+
+def _utc(rows: DataFrame) -> DataFrame:
+    """`at` as the instant that it is in UTC, whatever the session's zone."""
+    return rows.withColumn("at", F.to_utc_timestamp(F.col("at").cast("timestamp"), F.current_timezone()).cast("timestamp"))
+
+
+def _as_ntz(name: str) -> Column:
+    return F.from_utc_timestamp(F.col(name), F.current_timezone()).cast("timestamp_ntz")
+
+
+@query(f"""SELECT "at", actor, tier, source, (event_id % 9)::VARCHAR AS chunks, (event_id * 10)::VARCHAR AS bytes, (event_id % 8 = 2)::VARCHAR AS replaced FROM {AUDIT} WHERE event = 'ingest.upload'""")
 def uploads_listing(spark, sf_dir):
-    rows = audit_events(spark, sf_dir)
-    return audit.uploads_listing(rows.withColumn("tier", F.concat_ws(":", "event_id", "tier"))).select(
-        F.split("tier", ":")[0].cast("long").alias("event_id"), "at", "actor", F.split("tier", ":")[1].alias("tier")
-    )
+    return audit.uploads_listing(audit_events(spark, sf_dir))
 
 
 @query(f"SELECT date_trunc('minute', \"at\") AS start, decision, count(*) AS n FROM {AUDIT} GROUP BY ALL")
@@ -764,6 +846,24 @@ def streamed_limits(spark, sf_dir):
     return spark.read.schema(decided.schema).parquet(f"{path}/out").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
+@query("SELECT date_trunc('minute', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def corrected_counts(spark, sf_dir):
+    """Counts by minute over a stream whose late records come in batches of their own, each of them twice; the first sums are compacted before."""
+    path = scratch(spark, "streams")
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*").withColumn("at", F.col("ts").cast("timestamp"))
+
+    def fold(batch: DataFrame, number: int) -> None:
+        late = F.col("event_id") % 20 > 10
+        corrections.fold_batch(batch.where(~late), f"{path}/counts", 2 * number, "event_type")
+        corrections.compact(spark, f"{path}/counts", "event_type", 2 * number)
+        for _ in range(2):
+            corrections.fold_batch(batch.where(late), f"{path}/counts", 2 * number + 1, "event_type")
+
+    events.writeStream.foreachBatch(fold).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return corrections.merged_counts(spark, f"{path}/counts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 SNAPSHOT_CHUNKS = f"""(SELECT tier, source, i AS chunk_index, substr(s, 1 + 850 * i, 1000) AS text FROM (SELECT *, unnest(range(0, (length(s) + 849) // 850)) AS i FROM
   (SELECT tier, source, {STRIPPED} AS s FROM (SELECT {TIER.format('doc_id')} AS tier, 'tickets/' || doc_id AS source, text FROM documents WHERE doc_id % 4 = 2)) WHERE length(s) > 0)
   WHERE length(regexp_replace(substr(s, 1 + 850 * i, 1000), '\\s+', '', 'g')) > 0)"""

@@ -31,14 +31,22 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(AUDIT_SCHEMA).json(path).withColumn("at", F.try_to_timestamp("ts"))
 
 
-def sync_batch(records: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new index, counts) of one snapshot against the index; other origins' chunks stay as they are."""
+def sync_actions(records: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(wanted documents, actions) of one snapshot against the index."""
     wanted = last_record(map_records(records)).drop("seq")
+    return wanted, reconcile(indexed_state(index.where(F.col("origin") == TICKETS)), wanted)
+
+
+def synced(index: DataFrame, wanted: DataFrame, actions: DataFrame) -> DataFrame:
+    """The index after a snapshot's actions; other origins' chunks stay as they are."""
     own = index.where(F.col("origin") == TICKETS)
-    actions = reconcile(indexed_state(own), wanted)
-    return index.where(~F.col("origin").eqNullSafe(F.lit(TICKETS))).unionByName(
-        apply_sync(own, wanted, actions), allowMissingColumns=True
-    ), sync_counts(actions)
+    return index.where(~F.col("origin").eqNullSafe(F.lit(TICKETS))).unionByName(apply_sync(own, wanted, actions), allowMissingColumns=True)
+
+
+def sync_batch(records: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new index, counts) of one snapshot against the index."""
+    wanted, actions = sync_actions(records, index)
+    return synced(index, wanted, actions), sync_counts(actions)
 
 
 def whole_snapshot(batch: DataFrame, landed: DataFrame | None) -> tuple[int | None, DataFrame | None]:
@@ -77,9 +85,14 @@ def start_sync(
             if rows is None or (snapshot is not None and taken and snapshot < taken[-1]):
                 log.info("sync %s: snapshot %s is not whole or not the newest", number, snapshot)
                 return
-            new, counts = sync_batch(rows, load())
-            told = counts.first()  # against the index as it was
-            store(new, number)
+            old = load()
+            wanted, actions = sync_actions(rows, old)
+            actions.persist()  # reconciled once, for the counts and for the new index
+            try:
+                told = sync_counts(actions).first()
+                store(synced(old, wanted, actions), number)
+            finally:
+                actions.unpersist()
             taken.extend([] if snapshot is None else [snapshot])
             log.info("sync %s: %s", number, told)
         except Exception:
