@@ -389,12 +389,15 @@ def neutralise_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(t.neutralise_markup(F.col("html"))).alias("digest"))
 
 
-@query(f"""SELECT doc_id AS response_id, CASE WHEN b <> '' THEN '{rules.REFUSAL.replace(chr(39), chr(39) * 2)}' END AS refusal, CASE WHEN b <> '' THEN b ELSE m END AS rules, b <> '' AS blocked
-  FROM (SELECT doc_id, {_rules_sql(rules.BLOCK_RULES, 'p')} AS b, {_rules_sql(rules.REDACT_RULES, 'p')} AS m FROM (SELECT doc_id, {PAYLOAD} AS p FROM {DOCUMENTS}))""")
+@query(f"""SELECT doc_id AS response_id, CASE WHEN b <> '' THEN '{rules.REFUSAL.replace(chr(39), chr(39) * 2)}' END AS refusal, CASE WHEN b <> '' THEN b ELSE m END AS rules, b <> '' AS blocked,
+  CASE WHEN b = '' AND NOT regexp_matches(p, '[<&=]') THEN {SHOWN.format('p', _redacted_sql('p'))} END AS digest
+  FROM (SELECT doc_id, p, {_rules_sql(rules.BLOCK_RULES, 'p')} AS b, {_rules_sql(rules.REDACT_RULES, 'p')} AS m FROM (SELECT doc_id, {PAYLOAD} AS p FROM {DOCUMENTS}))""")
 def egress_filter(spark, sf_dir):
+    """The digest is of the text that goes out, where it holds no sign of markup (neutralise_pages compares that) and nothing outside ASCII."""
     responses = with_payloads(documents(spark, sf_dir)).withColumnRenamed("doc_id", "response_id")
-    out = answers.egress(responses)
-    return out.select("response_id", F.when(F.col("blocked"), F.col("text")).alias("refusal"), F.array_join("rules", ",").alias("rules"), "blocked")
+    out = answers.egress(responses).join(responses.select("response_id", F.col("text").alias("was")), "response_id")
+    digest = F.when(~F.col("blocked") & ~F.col("was").rlike("[<&=]"), shown(F.col("was"), F.col("text")))
+    return out.select("response_id", F.when(F.col("blocked"), F.col("text")).alias("refusal"), F.array_join("rules", ",").alias("rules"), "blocked", digest.alias("digest"))
 
 
 # ------------------------------------------------------------------ text
