@@ -11,6 +11,7 @@ from ..functions.rules import REDACTED, REFUSAL, block_flags, redact, redact_fla
 from ..functions.text import (
     claims, cosine, decoded_variants, figures, gram_hashes, has_markup, neutralise_markup, normalise, phonetic_fold, secret_core, strip, verdicts, word_grams,
 )
+from . import bloom
 from .patterns import bounded, holding_any
 from .tiles import column, matrix, tile_pairs, whole
 
@@ -56,19 +57,25 @@ def unsupported_claims(answers: DataFrame, replies: DataFrame, evidence: DataFra
 def protected_matches(responses: DataFrame, protected: DataFrame, decoded: bool = True) -> DataFrame:
     """response_id of responses that share an 8-gram with protected text, as written or in a decoded variant.
 
-    Grams meet by 64-bit hashes, one long a word; the strings themselves are compared for texts with a hit.
+    A Bloom filter of the registry's grams is tested before anything is exploded, so that only grams
+    which may be protected become rows; they meet the registry as strings. A registry too large for
+    the filter meets all grams by 64-bit hashes first.
     """
 
     def folded(df: DataFrame, *keys: str) -> DataFrame:
         return df.select(*keys, normalise(F.col("text")).alias("folded"))
 
-    grams = folded(protected).select(F.explode(word_grams(F.col("folded"))).alias("gram")).distinct()
-    hashes = small(folded(protected).select(F.explode(gram_hashes(F.col("folded"))).alias("h")).distinct())
+    known = bloom.grams(folded(protected), None, "folded")
     texts = F.concat(F.array("text"), decoded_variants(F.col("text"))) if decoded else F.array("text")
     variants = folded(responses.where(F.col("text").isNotNull()).select("response_id", F.explode(texts).alias("text")), "response_id")
-    met = variants.select("response_id", "folded", F.explode(gram_hashes(F.col("folded"))).alias("h")).join(hashes, "h", "left_semi")
-    near = met.select("response_id", "folded").distinct().select("response_id", F.explode(word_grams(F.col("folded"))).alias("gram"))
-    return near.join(small(grams), "gram", "left_semi").select("response_id").distinct()
+    held = bloom.filter_of(known)
+    if held is not None:
+        near = bloom.grams(variants, "response_id", "folded", held=responses.sparkSession.sparkContext.broadcast(held))
+    else:
+        met = variants.select("response_id", "folded", F.explode(gram_hashes(F.col("folded"))).alias("h"))
+        hashes = folded(protected).select(F.explode(gram_hashes(F.col("folded"))).alias("h")).distinct()
+        near = met.join(hashes, "h", "left_semi").select("response_id", "folded").distinct().select("response_id", F.explode(word_grams(F.col("folded"))).alias("gram"))
+    return near.join(small(known.select("gram").distinct()), "gram", "left_semi").select("response_id").distinct()
 
 
 def registered_secrets(values: DataFrame) -> DataFrame:
