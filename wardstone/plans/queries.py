@@ -408,24 +408,117 @@ def digit_figures(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(t.digit_figures(F.col("text"))), " ").alias("figures"))
 
 
-@query()
+def _cases(values: dict, word: str) -> str:
+    return f"CASE {word} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in values.items())
+
+
+#: Quantities spelled in a text {0}: a fold over its words, number words as values.
+SPELLED = (
+    "(list_reduce(list_transform(list_append(regexp_extract_all(lower({0}), '[a-z]+'), ''), lambda w: {{'v': " + _cases(t.NUMBER_WORDS, "w") + " END::BIGINT, 'g': w IN ('and', 'a')}}), "
+    "lambda s, x: CASE WHEN x.v IS NOT NULL THEN {{'t': CASE WHEN x.v >= 1000 THEN s.t + greatest(s.c, (s.c = 0)::BIGINT) * x.v ELSE s.t END, "
+    "'c': CASE WHEN x.v = 100 THEN greatest(s.c, (s.c = 0)::BIGINT) * 100 WHEN x.v >= 1000 THEN 0 ELSE s.c + x.v END, 'n': s.n + 1, 'o': s.n = 0 AND x.v = 1, 'f': s.f}} "
+    "WHEN x.g AND s.n > 0 THEN s "
+    "ELSE {{'t': 0::BIGINT, 'c': 0::BIGINT, 'n': 0, 'o': false, 'f': CASE WHEN s.n > 0 AND NOT s.o THEN list_append(s.f, (s.t + s.c)::VARCHAR) ELSE s.f END}} END, "
+    "{{'t': 0::BIGINT, 'c': 0::BIGINT, 'n': 0, 'o': false, 'f': []::VARCHAR[]}})).f"
+)
+DIGITS = f"list_transform(regexp_extract_all({{0}}, '{t.FIGURE_PATTERN}'), lambda x: replace(x, ',', ''))"
+NUMBER_NAMES = [*t.NUMBER_WORDS]
+UNITS = "['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine']"
+
+
+def _unit(n: Column) -> Column:
+    """The word of a number from 1 to 9, by n modulo 9."""
+    return pick(n, *NUMBER_NAMES[1:10])
+
+
+@query(f"""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' (' || (doc_id % 9 + 1) * 100 || ')' ELSE '' END AS stated,
+    text || ' In all ' || {UNITS}[doc_id % 9 + 1] || ' hundred days, or ' || {UNITS}[doc_id % 7 + 1] || ' thousand and a dozen.' AS told FROM {DOCUMENTS}),
+  claimed AS (SELECT doc_id AS question_id, unnest(list_distinct(list_concat({DIGITS.format('told')}, {SPELLED.format('told')}))) AS figure FROM d),
+  known AS (SELECT DISTINCT doc_id - doc_id % 2 AS question_id, unnest(list_distinct(list_concat({DIGITS.format('stated')}, {SPELLED.format('stated')}))) AS figure FROM d)
+  SELECT question_id, array_to_string(list_sort(list(DISTINCT figure)), ' ') AS figures FROM claimed ANTI JOIN known USING (question_id, figure) GROUP BY question_id""")
 def unsupported_figures(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    told = docs.select((F.col("doc_id") - 1).alias("question_id"), F.col("text").alias("answer"))
-    return answers.unsupported_figures(told, docs.select(F.col("doc_id").alias("question_id"), "text"))
+    """Each document with two spelled quantities is an answer; it and its neighbour are evidence of the one with the even id, which states a quantity in digits."""
+    docs, n = documents(spark, sf_dir), F.col("doc_id")
+    told = F.concat("text", F.lit(" In all "), _unit(n), F.lit(" hundred days, or "), pick(n % 7, *NUMBER_NAMES[1:8]), F.lit(" thousand and a dozen."))
+    stated = F.concat("text", F.when(n % 2 == 0, F.concat(F.lit(" ("), ((n % 9 + 1) * 100).cast("string"), F.lit(")"))).otherwise(""))
+    found = answers.unsupported_figures(docs.select(n.alias("question_id"), told.alias("answer")), docs.select((n - n % 2).alias("question_id"), stated.alias("text")))
+    return found.select("question_id", F.array_join("figures", " ").alias("figures"))
+
+
+CLAIMED = "'Well. ' || coalesce(text, '') || CASE WHEN turn % 2 = 0 THEN ' Yes. It does so now! No.' ELSE '' END"
+TRIMMED = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
+#: Claims of a text {0}: pieces of one word join the claim before, or the first after.
+CLAIMS = (
+    "list_transform([list_reduce(list_filter(list_transform(regexp_extract_all({0}, '" + t.SENTENCE_PATTERN + "'), lambda y: " + TRIMMED.format("y") + "), lambda y: y <> ''), "
+    r"lambda s, x: CASE WHEN len(regexp_split_to_array(x, '\s+')) >= 2 THEN {{'d': list_append(s.d, CASE WHEN s.p = '' THEN x ELSE s.p || ' ' || x END), 'p': ''}} "
+    "WHEN len(s.d) > 0 THEN {{'d': list_append(s.d[1:len(s.d) - 1], s.d[len(s.d)] || ' ' || x), 'p': s.p}} "
+    "ELSE {{'d': s.d, 'p': CASE WHEN s.p = '' THEN x ELSE s.p || ' ' || x END}} END, {{'d': []::VARCHAR[], 'p': ''}})], "
+    "lambda s: CASE WHEN s.p = '' THEN s.d ELSE list_append(s.d, s.p) END)[1]"
+)
+REPLY = """'1: ' || CASE WHEN q % 2 = 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END || chr(10) || '2: UNSUPPORTED' || chr(10) || ' 2 - SUPPORTED' || chr(10)
+  || CASE WHEN q % 5 = 0 THEN 'three: SUPPORTED' ELSE '3) SUPPORTED, as told' END || chr(10) || q % 7 || '. SUPPORTED'"""
+
+
+@query(rf"""WITH c AS (SELECT conv_id * 100 + turn AS q, {CLAIMED} AS a FROM conversations), n AS (SELECT q, {CLAIMS.format('a')} AS cs FROM c),
+  claims AS (SELECT q, unnest(range(1, len(cs) + 1)) AS n, unnest(cs) AS claim FROM n),
+  lines AS (SELECT q, unnest(range(1, len(ls) + 1)) AS place, unnest(ls) AS line FROM (SELECT q, string_split({REPLY}, chr(10)) AS ls FROM c)),
+  v AS (SELECT q, regexp_extract(line, '^\s*(\d+)', 1)::INT AS n, arg_max(regexp_extract(line, '^\s*\d+\s*[:.)-]\s*(SUPPORTED|UNSUPPORTED)', 1), place) AS verdict
+    FROM lines WHERE regexp_matches(line, '^\s*\d+\s*[:.)-]\s*(SUPPORTED|UNSUPPORTED)') GROUP BY 1, 2)
+  SELECT q AS question_id, claims.n::INT AS n, claim FROM claims LEFT JOIN v ON v.q = claims.q AND v.n = claims.n
+  WHERE q % 3 = 0 OR verdict IS DISTINCT FROM 'SUPPORTED'""".replace("SELECT q AS question_id", "SELECT claims.q AS question_id").replace("WHERE q % 3", "WHERE claims.q % 3"))
+def claim_verdicts(spark, sf_dir):
+    """Turns are answers, every third without documents; replies contradict themselves, leave claims out and judge some that aren't there."""
+    c, q = table(spark, sf_dir, "conversations"), F.col("question_id")
+    tail = F.when(F.col("turn") % 2 == 0, " Yes. It does so now! No.").otherwise("")
+    told = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.concat(F.lit("Well. "), F.coalesce("text", F.lit("")), tail).alias("answer"))
+    reply = F.concat(
+        F.lit("1: "), F.when(q % 2 == 0, "SUPPORTED").otherwise("UNSUPPORTED"), F.lit("\n2: UNSUPPORTED\n 2 - SUPPORTED\n"),
+        F.when(q % 5 == 0, "three: SUPPORTED").otherwise("3) SUPPORTED, as told"), F.lit("\n"), (q % 7).cast("string"), F.lit(". SUPPORTED"),
+    )
+    return answers.unsupported_claims(told, told.select("question_id", reply.alias("reply")), told.where(q % 3 != 0).withColumn("text", F.col("answer")))
 
 
-@query()
-def claim_verdicts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("text").alias("answer"))
-    replies = c.select("question_id", F.lit("1: SUPPORTED\n2: UNSUPPORTED\n2: SUPPORTED\n4. SUPPORTED").alias("reply"))
-    return answers.unsupported_claims(c, replies, c.where(F.col("question_id") % 3 != 0).withColumn("text", F.col("answer")))
+NUMERAL_WORD = "|".join(sorted(t.NUMBER_WORDS, key=len, reverse=True))
+NUMERAL = rf"(?i)\b(?:{NUMERAL_WORD})(?:[ \t]+(?:(?:and|a)[ \t]+)*(?:{NUMERAL_WORD}))*\b"
+COUNTED = f"{UNITS}[conv_id % 9 + 1] || ' thousand ' || {UNITS}[turn % 9 + 1] || ' hundred and ' || {UNITS}[conv_id % 7 + 1] || ' days, one a week; Ninety. ' || coalesce(text, '')"
 
 
-@query()
+@query(rf"""WITH c AS (SELECT conv_id, turn, {COUNTED} AS a FROM conversations)
+  SELECT conv_id, turn, array_to_string(list_transform(list_zip(regexp_split_to_array(a, '{NUMERAL}'), list_append(regexp_extract_all(a, '{NUMERAL}'), '')),
+    lambda p: p[1] || CASE WHEN p[2] = '' THEN '' ELSE coalesce({SPELLED.format('p[2]')}[1], p[2]) END), '') AS text FROM c""")
 def numerals_in_place(spark, sf_dir):
-    text = F.concat(F.lit("ninety days or one hundred and twenty. "), "text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.numerals_as_digits(text).alias("text"))
+    counted_text = F.concat(
+        _unit(F.col("conv_id")), F.lit(" thousand "), _unit(F.col("turn")), F.lit(" hundred and "), pick(F.col("conv_id") % 7, *NUMBER_NAMES[1:8]),
+        F.lit(" days, one a week; Ninety. "), F.coalesce("text", F.lit("")),
+    )
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.numerals_as_digits(counted_text).alias("text"))
+
+
+#: A word for each hexadecimal digit.
+SAID = {v: k for k, v in reversed(t.PHONETIC.items()) if v in "0123456789abcdef"}
+HELD_CODE = "substr(sha256(text), 1, 12)"
+SPELLED_CODE = f"list_transform(string_split(code, ''), lambda x: upper({_cases(SAID, 'x')} END))"
+SPELLED_TEXT = f"""text || CASE WHEN code IS NULL OR doc_id % 4 = 3 THEN '' WHEN doc_id % 4 = 2 THEN ' ' || regexp_replace(code, '(.)', '\\1-', 'g')
+  WHEN doc_id % 4 = 0 THEN ' ' || array_to_string({SPELLED_CODE}, ', ') ELSE ' ' || array_to_string({SPELLED_CODE}, ' ') END"""
+
+
+@query(rf"""WITH s AS (SELECT item_id, {HELD_CODE} AS code FROM benchmark),
+  d AS (SELECT doc_id, {SPELLED_TEXT} AS said FROM {DOCUMENTS} LEFT JOIN s ON item_id = doc_id % (SELECT max(item_id) + 1 FROM benchmark)),
+  hay AS (SELECT doc_id, regexp_replace(lower(strip_accents(said)), '[^a-z0-9]+', '', 'g') AS h FROM d UNION ALL
+    SELECT doc_id, replace(array_to_string(list_transform(regexp_extract_all(lower(strip_accents(said)), '[a-z]+|[0-9]'), lambda w: coalesce({_cases(t.PHONETIC, 'w')} END, CASE WHEN regexp_full_match(w, '[0-9]') THEN w ELSE ' ' END)), ''), ' ', '') FROM d)
+  SELECT DISTINCT doc_id AS response_id FROM hay JOIN s ON contains(h, code)""")
+def spelled_secrets(spark, sf_dir):
+    """Codes that two of four documents spell in words, one with marks between, and one not at all."""
+    secrets = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.sha2("text", 256), 1, 12).alias("value"))
+    ids = secrets.agg((F.max("item_id") + 1).alias("ids")).first().ids
+    n = F.col("doc_id")
+    words = F.transform(F.split("value", ""), lambda x: F.upper(F.try_element_at(t.literal_map(SAID), x)))
+    said = (
+        F.when(F.col("value").isNull() | (n % 4 == 3), "").when(n % 4 == 2, F.concat(F.lit(" "), F.regexp_replace("value", "(.)", "$1-")))
+        .otherwise(F.concat(F.lit(" "), F.when(n % 4 == 0, F.array_join(words, ", ")).otherwise(F.array_join(words, " "))))
+    )
+    docs = documents(spark, sf_dir).withColumn("item_id", n % ids).join(secrets, "item_id", "left")
+    return answers.secret_leaks(docs.select(n.alias("response_id"), F.concat("text", said).alias("text")), answers.registered_secrets(secrets))
 
 
 FOLDED = "regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')"
