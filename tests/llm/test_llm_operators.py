@@ -331,7 +331,18 @@ def brute_licenses(files, templates, threshold):
         return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", x.lower())
 
     def pieces(text):
-        return [x for x in re.split(r"<[^>]*>|[\n\r]+|(?<=[.!?;]) ", text or "") if x.strip()]
+        short = [x for x in re.split(r"<[^>]*>|[\n\r]+|(?<=[.!?;]) ", text or "") if x.strip()]
+        paragraphs = [[]]
+        for part in re.split(r"<[^>]*>", text or ""):
+            paragraphs.append([])
+            for k, line in enumerate(re.split(r"\r\n?|\n", part)):
+                if k and not re.search("[0-9A-Za-z]", line):
+                    paragraphs.append([])
+                else:
+                    paragraphs[-1].append(re.sub(r"^[ \t]*([*#;%!]+|//+|--+)?[ \t]*", "", line) if k else line)
+        long = [x for p in paragraphs for x in re.split(r"(?<=[.!?]) ", " ".join(p)) if x.strip()]
+        known = {x.strip() for x in short}
+        return short + ([x for x in long if x.strip() not in known] if re.search(r"[\n\r]|; ", text or "") else [])
 
     found = [[Counter(terms(x)) for x in pieces(text)] for text in files]
     held = Counter(t for bags in found for bag in bags for t in bag)
@@ -357,6 +368,50 @@ def test_license_scores_against_plain_tf_idf(spark):
     assert [r.license for r in got[len(pages) : len(pages) + len(named)]] == named and sum(w[0] is not None for w in want[: len(pages)])
 
 
+GNU = """This {0} is free software{1} you can redistribute it and/or modify
+it under the terms of the GNU {2}General Public License as published by
+the Free Software Foundation{3} either version {4} of the License, or
+(at your option) any later version."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+WARRANTY = """
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_licences_as_they_are_distributed(spark):
+    """Headers wrapped, behind comment signs and on one line, heads of files, tags; and what is no licence."""
+    gnu = {
+        "GPL-2.0": GNU.format("program", ";", "", ";", "2"), "GPL-3.0": GNU.format("program", ":", "", ",", "3"),
+        "LGPL-2.1": GNU.format("library", ";", "Lesser ", ";", "2.1"), "AGPL-3.0": GNU.format("program", ":", "Affero ", ",", "3"),
+        "LGPL-3.0": GNU.format("library", ":", "Lesser ", ",", "3"), "ISC": ISC,
+    }
+    cases = []
+    for name, header in gnu.items():
+        whole = "Copyright (C) 2020 A. Writer\n\n" + header + WARRANTY
+        cases += [(name, whole), (name, header.replace("\n", " ")), (name, whole.replace("\n", "\r\n"))]
+        cases += [(name, "\n".join(f"{sign} {line}".rstrip() for line in whole.split("\n")) + "\ncode();\n") for sign in (" *", "#", "//", ";;", "--")]
+    heads = {"GPL-2.0": ("", "2, June 1991"), "GPL-3.0": ("", "3, 29 June 2007"), "LGPL-2.1": ("LESSER ", "2.1, February 1999"), "AGPL-3.0": ("AFFERO ", "3, 19 November 2007")}
+    for name, (kind, version) in heads.items():
+        title = f"GNU {kind}GENERAL PUBLIC LICENSE"
+        cases.append((name, f"{title:>50}\n{'Version ' + version:>50}\n\n Copyright (C) Free Software Foundation, Inc.\n Everyone is permitted to copy"))
+    for name in licenses.TEMPLATES:
+        cases += [(name, f"// SPDX-License-Identifier: {name}\nint main() {{ return 0; }}"), (name, f"/* SPDX-License-Identifier: {name} */")]
+    cases += [("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later"), ("LGPL-2.1", "# SPDX-License-Identifier: LGPL-2.1-only")]
+    cases.append(("GPL-3.0", "Version 3, 29 June 2007"))  # Too near to the head of the file.
+    cases += [(None, x) for x in (
+        "SPDX-License-Identifier: Proprietary", "The driver must show a license.\nIt is free of charge", WARRANTY.strip().split("\n")[0],
+        "You can redistribute the leaflets\nand modify the plan;\neither version is fine", "Version 3, 2 July 2008", "General terms of the public library\nare posted inside",
+    )]
+    df = spark.createDataFrame([(i, None, x) for i, (_, x) in enumerate(cases)], "id long, path string, text string")
+    got = {r.id: r.license for r in licenses.scan_licenses(df).collect()}
+    assert [(cases[i][0], got[i], cases[i][1]) for i in got if got[i] != cases[i][0]] == []
+
+
 def cheapest(roles):
     """Least cost by trying every role and every insertion, turn by turn."""
     states = {0: 0}

@@ -28,13 +28,30 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
         "You can redistribute it and/or modify it under the terms of the GNU General Public License, version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "You can redistribute it and/or modify it under the terms of the GNU General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "LGPL-2.1": (
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    ),
+    "LGPL-3.0": (
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "AGPL-3.0": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
     ),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
@@ -64,11 +81,21 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 }
+#: Each identifier as a source file's tag names it; the GNU ones also with their two endings.
+TEMPLATES = {
+    name: (*wordings, *(f"SPDX-License-Identifier: {name}{end}" for end in (("", "-only", "-or-later") if "GPL" in name else ("",))))
+    for name, wordings in TEMPLATES.items()
+}
 THRESHOLD = 0.7
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
 
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _BREAK = re.compile(r"<[^>]*>|[\n\r]+|(?<=[.!?;]) ")
+#: What parts paragraphs: a tag, or a line without a letter or digit.
+_PARAGRAPH = re.compile(r"<[^>]*>|(?:\r\n|\r(?!\n)|\n)[^\n\r0-9A-Za-z<]*(?=[\n\r])")
+#: A line's end with the comment signs that begin the next line.
+_WRAP = re.compile(r"[\n\r]+[ \t]*(?:[*#;%!]+|//+|--+|\(\*|dnl\b|REM\b)?[ \t]*")
+_SENTENCE = re.compile(r"(?<=[.!?]) ")
 
 
 def terms(statement: str) -> list[str]:
@@ -76,8 +103,13 @@ def terms(statement: str) -> list[str]:
 
 
 def statements(text: str) -> list[str]:
-    """Sentences and lines of a text, its tags taken as breaks."""
-    return [x for x in _BREAK.split(text) if x and not x.isspace()]
+    """Sentences and lines of a text, its tags taken as breaks, then the sentences that its lines or semicolons cut."""
+    found = [x for x in _BREAK.split(text) if x and not x.isspace()]
+    known = {x.strip() for x in found}
+    if "\n" in text or "\r" in text or "; " in text:
+        joined = (x.strip() for p in _PARAGRAPH.split(text) if p for x in _SENTENCE.split(_WRAP.sub(" ", p)))
+        found += [x for x in joined if x and x not in known]
+    return found
 
 
 class Matcher:
@@ -86,12 +118,15 @@ class Matcher:
     def __init__(self, n: int, frequencies: dict[str, int], templates: dict[str, tuple[str, ...]]):
         self.unseen = math.log(1 + n) + 1
         self.idf = {t: math.log((1 + n) / (1 + f)) + 1 for t, f in frequencies.items()}
-        self.templates = []
+        self.names: list[str] = []
+        self.postings: dict[str, list[tuple[int, float]]] = {}
         for name, wordings in sorted(templates.items()):
             for wording in wordings:
                 vector = {t: c * self.idf.get(t, self.unseen) for t, c in Counter(terms(wording)).items()}
                 norm = math.sqrt(sum(x * x for x in vector.values()))
-                self.templates.append((name, {t: x / norm for t, x in vector.items()}))
+                for t, x in vector.items():
+                    self.postings.setdefault(t, []).append((len(self.names), x / norm))
+                self.names.append(name)
 
     def best(self, statement: str, least: float = 0.0) -> tuple[float, str] | None:
         """Largest cosine and its licence; None where no cosine can reach `least`, by the share of the norm that template terms make."""
@@ -104,7 +139,11 @@ class Matcher:
             return None
         vector = {t: c * self.idf.get(t, self.unseen) for t, c in Counter(found).items()}
         norm = math.sqrt(sum(x * x for x in vector.values()))
-        scored = [(sum(x * template[t] for t, x in vector.items() if t in template) / norm, name) for name, template in self.templates]
+        sums: dict[int, float] = {}
+        for t, x in vector.items():
+            for k, y in self.postings.get(t, ()):
+                sums[k] = sums.get(k, 0.0) + x * y
+        scored = [(x / norm, self.names[k]) for k, x in sums.items()]
         top = max(s for s, _ in scored)
         return top, min(name for s, name in scored if s == top)
 
@@ -157,12 +196,15 @@ def scan_licenses(
     """Licence of each file: id, path, license, score, via (`own`, `directory` or null), directory.
 
     Input: id, path, text. Every statement of the whole text (a line or sentence, HTML tags taken
-    as breaks) is a sparse TF-IDF vector; inverse frequencies come from all statements of all
+    as breaks, and each sentence that goes over several lines, without comment signs) is a sparse TF-IDF vector; inverse frequencies come from all statements of all
     files. The statement nearest to a template gives the file's own licence if their cosine
     reaches the threshold; ties go to the first name. Other files inherit from the nearest
     ancestor directory that a licence file in it, or its index (a path ending in a slash), licenses;
     of several the best score counts, then the first name.
 
+    A version line with the date of a GNU licence is taken for that licence, by itself too. Texts that
+    share their first sentences, as BSD-2-Clause and BSD-3-Clause do, go by the sentence nearest to a template.
+
     Null texts count as empty. Null paths inherit nothing. Repeated rows give a row each. A file
     with neither has null license, score, via and directory. An empty table gives no rows.
     """
