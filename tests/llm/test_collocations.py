@@ -98,6 +98,17 @@ def test_stretches_own_each_phrase_once(texts, limit):
         assert found == expected
 
 
+@pytest.mark.parametrize("seed", [0, 1, 3, 4])
+def test_wide_nodes_keep_apart(seed):
+    """Nodes of many children each, put in past the last slot one after another."""
+    rng = np.random.default_rng(seed)
+    rows = np.unique(rng.integers(1, 16000, (3000, 2)), axis=0)
+    trie = Trie(rows)
+    for i, row in enumerate(rows.astype(np.int32)):
+        (_, _), (_, state) = trie.advance(row, 1)
+        assert trie.accept[state].tolist() == [i]
+
+
 @pytest.mark.parametrize(("top", "n"), [(5, 40), (3000, 4000), (5_000_000, 3000)])
 def test_tries_know_their_sequences(top, n):
     rng = np.random.default_rng(top)

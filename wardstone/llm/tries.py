@@ -65,6 +65,7 @@ class Trie:
             if found is None:
                 found, low = self.top, max(low, self.top - FAN)
                 self._room(self.top + FAN)
+            self._room(found + FAN)  # children may lie past the top, where the next node would be put unasked
             slots[heads[g] : heads[g] + sizes[g]] = found + own
             self.check[found + own] = parent[heads[g]]
         todo = np.flatnonzero(sizes <= 6)
