@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import REDACTED, REFUSAL, block_flags, redact, redact_flags
-from ..functions.text import (
-    claims, cosine, decoded_variants, figures, gram_hashes, has_markup, neutralise_markup, normalise, phonetic_fold, secret_core, strip, verdicts, word_grams,
-)
+from ..functions import views
+from ..functions.text import claims, cosine, figures, has_markup, neutralise_markup, secret_core, strip, verdicts
 from . import bloom
 from .patterns import bounded, holding_any
 from .tiles import column, matrix, tile_pairs, whole
@@ -54,27 +53,28 @@ def unsupported_claims(answers: DataFrame, replies: DataFrame, evidence: DataFra
     )
 
 
+def _plain(text: str) -> tuple[bytes]:
+    return (views.folded(text),)
+
+
 def protected_matches(responses: DataFrame, protected: DataFrame, decoded: bool = True) -> DataFrame:
     """response_id of responses that share an 8-gram with protected text, as written or in a decoded variant.
 
     A Bloom filter of the registry's grams is tested before anything is exploded, so that only grams
     which may be protected become rows; they meet the registry as strings. A registry too large for
-    the filter meets all grams by 64-bit hashes first.
+    the filter meets all grams by 64-bit hashes first, and as strings those of the responses that have such.
     """
 
-    def folded(df: DataFrame, *keys: str) -> DataFrame:
-        return df.select(*keys, normalise(F.col("text")).alias("folded"))
-
-    known = bloom.grams(folded(protected), None, "folded")
-    texts = F.concat(F.array("text"), decoded_variants(F.col("text"))) if decoded else F.array("text")
-    variants = folded(responses.where(F.col("text").isNotNull()).select("response_id", F.explode(texts).alias("text")), "response_id")
+    shown = views.with_decoded if decoded else _plain
+    texts = dealt(responses.select("response_id", "text").where(F.col("text").isNotNull()), "response_id", "text")
+    known = bloom.grams(protected, None, "text", views=_plain)
     held = bloom.filter_of(known)
     if held is not None:
-        near = bloom.grams(variants, "response_id", "folded", held=responses.sparkSession.sparkContext.broadcast(held))
+        near = bloom.grams(texts, "response_id", "text", held=responses.sparkSession.sparkContext.broadcast(held), views=shown)
     else:
-        met = variants.select("response_id", "folded", F.explode(gram_hashes(F.col("folded"))).alias("h"))
-        hashes = folded(protected).select(F.explode(gram_hashes(F.col("folded"))).alias("h")).distinct()
-        near = met.join(hashes, "h", "left_semi").select("response_id", "folded").distinct().select("response_id", F.explode(word_grams(F.col("folded"))).alias("gram"))
+        every = bloom.grams(texts, "response_id", "text", views=shown, spell=False)
+        met = every.join(known.select("h").distinct(), "h", "left_semi").select("response_id").distinct()
+        near = bloom.grams(texts.join(met, "response_id", "left_semi"), "response_id", "text", views=shown)
     return near.join(small(known.select("gram").distinct()), "gram", "left_semi").select("response_id").distinct()
 
 
@@ -83,19 +83,38 @@ def registered_secrets(values: DataFrame) -> DataFrame:
     return values.select(secret_core(F.col("value")).alias("core")).where(F.length("core") >= LEAST_SECRET).distinct()
 
 
+def dealt(rows: DataFrame, *cols: str) -> DataFrame:
+    """Rows by the hash of their columns, so that costly work is spread however the input is split: a file of one row group is one task's."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def _cores(text: str) -> Iterator[str]:
+    return (core.decode("ascii") for core in views.cores(text))
+
+
+def _hay(texts: DataFrame) -> DataFrame:
+    """response_id, hay: the cores of each text that are long enough to hold a secret."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                found = [core for core in _cores(text) if len(core) >= LEAST_SECRET]
+                yield pa.RecordBatch.from_arrays([batch.column("response_id").take(pa.array([i] * len(found), pa.int64())), pa.array(found, pa.string())], ["response_id", "hay"])
+
+    return texts.mapInArrow(cut, texts.select("response_id").schema.add("hay", "string"))
+
+
 def secret_leaks(responses: DataFrame, secrets: DataFrame) -> DataFrame:
     """response_id of responses with a projection that contains a secret core. secrets: core, of LEAST_SECRET characters and more.
 
     A registry within patterns' bounds becomes an automaton, and each projection is read once. A larger
     one meets the projections by an equi-join on a core's first characters; only such pairs are compared whole.
     """
-    text = F.col("text")
-    views = F.concat(F.array(text, phonetic_fold(F.col("folded"))), decoded_variants(text))
-    folded = responses.where(text.isNotNull()).select("response_id", "text", normalise(text).alias("folded"))
-    hay = folded.select("response_id", F.explode(views).alias("v")).select("response_id", secret_core(F.col("v")).alias("hay")).where(F.length("hay") >= LEAST_SECRET)
+    folded = dealt(responses.select("response_id", "text").where(F.col("text").isNotNull()), "response_id", "text")
     held = bounded(secrets.where(F.length("core") >= LEAST_SECRET), "core")
     if held is not None:
-        return holding_any(hay, held, "response_id", "hay").distinct()
+        return holding_any(folded, held, "response_id", "text", _cores).distinct()
+    hay = _hay(folded)
     pieces = hay.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("hay"), F.lit(PIECE)))).select(
         "response_id", "hay", F.substring("hay", F.col("start"), F.lit(PIECE + LEAST_SECRET - 1)).alias("piece")
     ).where(F.length("piece") >= LEAST_SECRET)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,42 +108,73 @@ class Filter:
         return found
 
 
-def grams(texts: DataFrame, key: str | None, folded: str, size: int = LEAK_GRAM, held: Broadcast | None = None) -> DataFrame:
+def _joined(parts: list[bytes], owners: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    offsets = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(p) + 1 for p in parts], out=offsets[1:])
+    return np.frombuffer(b"\n".join([*parts, b""]), np.uint8), offsets, np.array(owners)
+
+
+def grams(texts: DataFrame, key: str | None, folded: str, size: int = LEAK_GRAM, held: Broadcast | None = None,
+          views: Callable[[str], Iterable[bytes]] | None = None, spell: bool = True) -> DataFrame:
     """key, gram, h: the grams of each normalised text, once for each slice of it; with a filter only those that it may hold.
 
+    With `views` the column holds texts as they are written, and the grams are those of each text's views, in lower case.
+    Without `spell` the column gram is left out.
+
     Without a key the column is left out. Null texts and those of fewer words have none. Grams never
     reach over two rows. A gram is `word_grams`' string, h its hash.
     """
-    ended = F.encode(F.concat(F.lower(F.col(folded)), F.lit("\n")), "UTF-8").alias("_bytes")
-    rows = texts.where(F.col(folded).isNotNull()).select(*([key] if key else []), ended)
+    text = F.col(folded) if views else F.encode(F.concat(F.lower(F.col(folded)), F.lit("\n")), "UTF-8")
+    rows = texts.where(F.col(folded).isNotNull()).select(*([key] if key else []), text.alias("_text"))
+
+    def arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Bytes, offsets of what stands in them, and the row of each, if several may have one."""
+        if not views:
+            column = column.cast(pa.large_binary())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            if len(column) and offsets[0] < offsets[-1]:
+                yield np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0], None
+            return
+        parts, owners, room = [], [], 0
+        for i in range(len(column)):
+            for view in views(column[i].as_py()):
+                parts.append(view)
+                owners.append(i)
+                room += len(view) + 1
+                if room > SLICE:
+                    yield _joined(parts, owners)
+                    parts, owners, room = [], [], 0
+        if parts:
+            yield _joined(parts, owners)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("_bytes").cast(pa.large_binary())
-            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            if not len(column) or offsets[0] == offsets[-1]:
-                continue
-            data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            for hashes, first, last in slices(data, size):
-                row = np.searchsorted(offsets, first + offsets[0], "right") - 1
-                wanted = row == np.searchsorted(offsets, last + offsets[0], "right") - 1
-                if held is not None:
-                    wanted &= held.value.may_hold(hashes)
-                at = np.flatnonzero(wanted)
-                _, once = np.unique(np.stack([row[at].astype(np.uint64), hashes[at]]), axis=1, return_index=True)
-                at = at[once]
-                strings = []
-                for a, b in zip(first[at], last[at], strict=True):
-                    part = data[a:b]
-                    words = (part[s:e].tobytes() for s, e in zip(*spans(part), strict=True))
-                    strings.append(b" ".join(_PEOPLE.get(w, w) for w in words).decode())
-                columns = {"gram": pa.array(strings, pa.string()), "h": pa.array(hashes[at].view(np.int64))}
-                if key:
-                    columns = {key: batch.column(key).take(pa.array(row[at]))} | columns
-                yield pa.RecordBatch.from_pydict(columns)
-
-    schema = rows.drop("_bytes").schema.add("gram", "string").add("h", "long")
-    return rows.mapInArrow(cut, schema)
+            for data, offsets, owner in arrays(batch.column("_text")):
+                yield from found(batch, data, offsets, owner)
+
+    def found(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, owner: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for hashes, first, last in slices(data, size):
+            row = np.searchsorted(offsets, first, "right") - 1
+            wanted = row == np.searchsorted(offsets, last, "right") - 1
+            if held is not None:
+                wanted &= held.value.may_hold(hashes)
+            if owner is not None:
+                row = owner[row]
+            at = np.flatnonzero(wanted)
+            _, once = np.unique(np.stack([row[at].astype(np.uint64), hashes[at]]), axis=1, return_index=True)
+            at = at[once]
+            strings = []
+            for a, b in zip(first[at], last[at], strict=True) if spell else ():
+                part = data[a:b]
+                words = (part[s:e].tobytes() for s, e in zip(*spans(part), strict=True))
+                strings.append(b" ".join(_PEOPLE.get(w, w) for w in words).decode())
+            columns = ({"gram": pa.array(strings, pa.string())} if spell else {}) | {"h": pa.array(hashes[at].view(np.int64))}
+            if key:
+                columns = {key: batch.column(key).take(pa.array(row[at]))} | columns
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = rows.drop("_text").schema
+    return rows.mapInArrow(cut, (schema.add("gram", "string") if spell else schema).add("h", "long"))
 
 
 def filter_of(registry: DataFrame) -> Filter | None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -38,8 +38,12 @@ def bounded(registry: DataFrame, name: str) -> list[str] | None:
     return sorted(r[0] for r in wanted.collect())
 
 
-def holding_any(texts: DataFrame, strings: list[str], key: str, text: str) -> DataFrame:
-    """The keys of rows whose text contains one of the strings, a row for each such text. Null texts contain none.
+def _as_it_is(text: str) -> tuple[str]:
+    return (text,)
+
+
+def holding_any(texts: DataFrame, strings: list[str], key: str, text: str, views: Callable[[str], Iterable[str]] = _as_it_is) -> DataFrame:
+    """The keys of rows whose text, or one of its views, contains one of the strings, a row for each such text. Null texts contain none.
 
     The texts are read once and nothing is exploded; a text is left at its first hit.
     """
@@ -52,7 +56,7 @@ def holding_any(texts: DataFrame, strings: list[str], key: str, text: str) -> Da
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(digest, shared)
         for batch in batches:
-            hit = [next(machine.iter(t), None) is not None for t in batch.column(text).to_pylist()]
+            hit = [any(next(machine.iter(v), None) is not None for v in views(t)) for t in batch.column(text).to_pylist()]
             yield batch.select([key]).filter(pa.array(hit, pa.bool_()))
 
     return rows.mapInArrow(search, rows.select(key).schema)
