@@ -51,3 +51,29 @@ def test_ties_and_thresholds_over_tiles(spark, monkeypatch):
     grants = spark.createDataFrame([("ann", "public", 0), ("ann", "internal", 1)], "username string, tier string, rank int")
     got = retrieval.nearest_chunks(questions, chunks, grants, 3).orderBy("question_id", "place").collect()
     assert [(r.question_id, r.chunk_id, r.distance) for r in got] == [(q, f"{i:03}", d) for q, d in ((1, 0.0), (2, 1.0)) for i in (0, 2, 4)]
+
+
+def test_products_of_large_tiles_are_bounded():
+    """A pair of full tiles needs a few blocks of distances, not all 16 million at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, nq, nc, size = np.random.default_rng(1), 2048, 8192, 8
+    q, c = rng.normal(size=(nq, size)), rng.normal(size=(nc, size))
+    q, c = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (q, c))
+    one = lambda values, kind: pa.array([values], pa.list_(kind))
+    names = [f"n{i:05}" for i in range(nc)]
+    batch = pa.RecordBatch.from_pydict({
+        "size": pa.array([size], pa.int32()), "q_question_id": one(range(nq), pa.int64()), "q_ranks": one([1] * nq, pa.int32()), "q_m": pa.array([q.tobytes()], pa.binary()),
+        "c_chunk_id": one(names, pa.string()), "c_tier": one(["public"] * nc, pa.string()), "c_rank": one([0] * nc, pa.int32()), "c_origin": one([None] * nc, pa.string()),
+        "c_budget": one([0] * nc, pa.int32()), "c_m": pa.array([c.tobytes()], pa.binary()),
+    })
+    tracemalloc.start()
+    found = list(retrieval._tile_search(4, True)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = pa.Table.from_batches(found).to_pandas()
+    best = np.argsort(np.round(1 - q @ c.T, 12), axis=1, kind="stable")[:, :4]
+    assert peak < 64 << 20
+    assert got.groupby("question_id").chunk_id.apply(set).tolist() == [{names[i] for i in b} for b in best]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from ..functions import views
 from ..functions.text import claims, cosine, figures, has_markup, neutralise_markup, secret_core, strip, verdicts
 from . import bloom
 from .patterns import bounded, holding_any
-from .tiles import column, matrix, tile_pairs, whole
+from .tiles import BLOCK, column, matrix, tile_pairs, whole
 
 # Fixed values.
 RESEMBLANCE, ELEVATED, ELEVATED_COUNT, GROUNDING_FLOOR = 0.42, 0.32, 2, 0.30
@@ -137,7 +139,9 @@ def best_matches(vectors: DataFrame, references: DataFrame, name: str) -> DataFr
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                best = (matrix(batch, "c_m", i) @ matrix(batch, "q_m", i).T).max(axis=1)
+                m, known_m = matrix(batch, "c_m", i), matrix(batch, "q_m", i)
+                each = max(1, BLOCK // len(known_m))
+                best = np.concatenate([(m[j : j + each] @ known_m.T).max(axis=1) for j in range(0, len(m), each)])
                 yield pa.RecordBatch.from_arrays([column(batch, "c_response_id", i), column(batch, "c_pos", i), pa.array(best)], ["response_id", "pos", name])
 
     scored = tile_pairs(known, rows).mapInArrow(score, rows.drop("v").schema.add(name, "double"))

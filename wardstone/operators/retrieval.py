@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import REFUSAL, document_flags, injection_flags
 from ..functions.text import cosine
 from ..sources.corpus import CURATED, validate_query
-from .tiles import column, matrix, tile_pairs, whole
+from .tiles import BLOCK, column, matrix, tile_pairs, whole
 
 # Fixed values.
 TOP_K, MAX_DISTANCE = 4, 0.75
@@ -106,27 +106,30 @@ def _tile_search(k: int, but_own: bool) -> Callable[[Iterator[pa.RecordBatch]],
                 least = best.setdefault(ids.tobytes(), np.full((len(ids), 3, k), np.inf))
                 at, question, distances = [], [], []
                 for allowed in np.unique(held):
-                    of = np.flatnonzero(held == allowed)
                     ok = allowed >> ranks & 1 > 0
+                    asking = np.flatnonzero(held == allowed)
                     for b in np.unique(budget[ok]):
                         places = np.flatnonzero(ok & (budget == b))
-                        distance = np.round(1 - v[places] @ unit[of].T, 12)
-                        if but_own:
-                            own = pc.index_in(names.take(pa.array(places)), pa.array(ids[of].astype(str).tolist(), pa.string())).to_numpy(zero_copy_only=False)
-                            row = np.flatnonzero(~np.isnan(own.astype(float)))
-                            distance[row, own[row].astype(int)] = np.inf
-                        n = min(k, len(places))
-                        near = np.partition(distance, n - 1, axis=0)[:n].T
-                        merged = np.sort(np.concatenate([least[of, b], near], 1), 1)[:, :k]
-                        least[of, b] = merged
-                        q, place = np.nonzero(((distance <= merged[:, -1]) & np.isfinite(distance)).T)
-                        near = distance[place, q]
-                        first = np.lexsort((place, near, q))  # a tile's rows stand in the order of ties
-                        q, place, near = q[first], place[first], near[first]
-                        on = np.arange(len(q)) - np.searchsorted(q, q) < k
-                        at.append(places[place[on]])
-                        question.append(of[q[on]])
-                        distances.append(near[on])
+                        near_v, near_names = v[places], names.take(pa.array(places))
+                        n, each = min(k, len(places)), max(1, BLOCK // len(places))
+                        for of in (asking[j : j + each] for j in range(0, len(asking), each)):
+                            distance = near_v @ unit[of].T
+                            np.round(np.subtract(1, distance, out=distance), 12, out=distance)
+                            if but_own:
+                                own = pc.index_in(near_names, pa.array(ids[of].astype(str).tolist(), pa.string())).to_numpy(zero_copy_only=False)
+                                row = np.flatnonzero(~np.isnan(own.astype(float)))
+                                distance[row, own[row].astype(int)] = np.inf
+                            near = np.partition(distance, n - 1, axis=0)[:n].T
+                            merged = np.sort(np.concatenate([least[of, b], near], 1), 1)[:, :k]
+                            least[of, b] = merged
+                            q, place = np.nonzero(((distance <= merged[:, -1]) & np.isfinite(distance)).T)
+                            near = distance[place, q]
+                            first = np.lexsort((place, near, q))  # a tile's rows stand in the order of ties
+                            q, place, near = q[first], place[first], near[first]
+                            on = np.arange(len(q)) - np.searchsorted(q, q) < k
+                            at.append(places[place[on]])
+                            question.append(of[q[on]])
+                            distances.append(near[on])
                 if len(best) > KEPT_TILES:
                     best.clear()
                 if not at:

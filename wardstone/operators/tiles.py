@@ -12,6 +12,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 #: Bytes of a tile's matrix, rows of a tile of the stated side, and bytes of all stated tiles that are broadcast.
 TILE_BYTES, STATED_ROWS, BROADCAST_BYTES = 4 << 20, 2048, 64 << 20
+#: Products of a pair of tiles that are in memory at once, whatever the tiles' sizes: 8 bytes each, a few arrays of them.
+BLOCK = 1 << 20
 
 
 def whole(v: Column) -> Column:
