@@ -165,3 +165,22 @@ def test_limits_order_a_key_over_arrow_batches(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("at").collect()
     assert [r.n for r in got] == [*range(1, 61)] * 2 and [r.allowed for r in got] == ([True] * 50 + [False] * 10) * 2
+
+
+def test_limits_hold_state_by_bucket_of_keys(spark, tmp_path):
+    """300 keys, one of them null, wait in two buckets; decisions are those of a key alone, and hits without a time are dropped."""
+    schema = "key string, at timestamp"
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f"k{i}" if i else None, start + dt.timedelta(seconds=(7 * i + 40 * j) % 600)) for i in range(300) for j in range(6)]
+    for part in ([*rows, ("k1", None)], [("z", start + dt.timedelta(minutes=15))], [("z", start + dt.timedelta(hours=1))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        decided = jobs.limit_stream(stream, 2, 100, buckets=2)
+        query = decided.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
+        query = query.trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * 6  # a bucket's blobs and timers
+    got = [(r.key, r.at, r.n, r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).where("key <> 'z' or key is null").collect()]
+    batch = audit.rate_decisions(spark.createDataFrame([(k or "none", t) for k, t in rows], schema), 2, 100).collect()
+    expected = [(r.key, r.at, r.n, r.allowed) for r in batch]
+    assert sorted((k or "none", *x) for k, *x in got) == sorted(expected) and len(got) == 1800

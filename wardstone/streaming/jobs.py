@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import bisect
 import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -214,68 +214,102 @@ def search(stream: DataFrame, needle: str, columns: tuple[str, ...] = ("event",
     return stream.where(F.contains(hay, F.lit(needle)))
 
 
+def packed(columns: dict[str, list], schema: pa.Schema) -> bytes:
+    """Rows as one Arrow stream, the form in which a bucket's state holds them."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as writer:
+        writer.write_table(pa.table(columns, schema))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(blob: bytes) -> list[list]:
+    """The columns of packed() rows."""
+    return [c.to_pylist() for c in pa.ipc.open_stream(blob).read_all().columns]
+
+
 class FixedWindow(StatefulProcessor):
-    """Counts a key's hits in windows that open at its first hit; refused hits count too.
+    """Counts keys' hits in windows that open at a key's first hit; refused hits count too.
 
-    Hits wait until the watermark has passed them and are then decided in the order of their times. A
-    key's state goes when its window has ended and no hit waits.
+    What Spark groups by is a bucket of keys, so that calls and state are paid by the bucket, not by
+    the key. Hits wait until the watermark has passed them and are then decided key by key in the
+    order of their times. A key's window goes when it has ended, a bucket's state when no hit waits
+    and no window is open.
     """
 
+    WAITING = pa.schema([("key", pa.string()), ("micros", pa.int64())])
+    OPEN = pa.schema([("key", pa.string()), ("start", pa.int64()), ("n", pa.int64())])
+
     def __init__(self, limit: int, window_seconds: int):
         self.limit, self.width = limit, window_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "start long, n long")
-        self.waiting = handle.getListState("waiting", "micros long")
+        self.open = handle.getValueState("open", "rows binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         least = None
         for batch in rows:
             micros = batch["micros"].tolist()
-            self.waiting.appendList([(m,) for m in micros])
+            self.waiting.appendValue((packed({"key": batch["key"].tolist(), "micros": micros}, self.WAITING),))
             least = min(micros) if least is None else min(least, *micros)
         if least is not None:
             self.handle.registerTimer(-(-least // 1000))  # milliseconds, rounded up
-        yield pd.DataFrame({"key": pd.Series(dtype=str), "micros": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "allowed": pd.Series(dtype=bool)})
+        yield self._rows([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        times = sorted(m for (m,) in self.waiting.get()) if self.waiting.exists() else []
-        due = times[: bisect.bisect_right(times, passed)]
-        rest = times[len(due) :]
-        start, n = self.window.get() if self.window.exists() else (None, 0)
+        due: dict[str | None, list[int]] = {}
+        rest: dict[str, list] = {"key": [], "micros": []}
+        for (blob,) in self.waiting.get() if self.waiting.exists() else ():
+            for name, micros in zip(*unpacked(blob), strict=True):
+                if micros <= passed:
+                    due.setdefault(name, []).append(micros)
+                else:
+                    rest["key"].append(name)
+                    rest["micros"].append(micros)
+        windows = {name: (start, n) for name, start, n in zip(*unpacked(self.open.get()[0]), strict=True)} if self.open.exists() else {}
         out = []
-        for micros in due:
-            if start is None or micros - start >= self.width:
-                start, n = micros, 0
-            n += 1
-            out.append((key[0], micros, n, n <= self.limit))
+        for name, times in due.items():
+            start, n = windows.get(name, (None, 0))
+            for micros in sorted(times):
+                if start is None or micros - start >= self.width:
+                    start, n = micros, 0
+                n += 1
+                out.append((name, micros, n, n <= self.limit))
+            windows[name] = (start, n)
+        live = [(name, start, n) for name, (start, n) in windows.items() if -(-(start + self.width) // 1000) * 1000 > passed]
         if due:
-            self.window.update((start, n))
-            self.waiting.put([(m,) for m in rest]) if rest else self.waiting.clear()
-        if rest:
-            self.handle.registerTimer(-(-rest[0] // 1000))
-        elif start is not None:
-            end = -(-(start + self.width) // 1000)
-            if end * 1000 <= passed:
-                self.window.clear()
-            else:
-                self.handle.registerTimer(end)
-        yield pd.DataFrame(out, columns=["key", "micros", "n", "allowed"])
+            self.waiting.put([(packed(rest, self.WAITING),)]) if rest["key"] else self.waiting.clear()
+        if live:
+            self.open.update((packed(dict(zip(self.OPEN.names, map(list, zip(*live, strict=True)), strict=True)), self.OPEN),))
+        else:
+            self.open.clear()
+        ahead = rest["micros"] + [start + self.width for _, start, _ in live]
+        if ahead:
+            self.handle.registerTimer(-(-min(ahead) // 1000))
+        yield self._rows(out)
+
+    @staticmethod
+    def _rows(out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["key", "micros", "n", "allowed"])
+        return frame if out else frame.astype({"micros": "int64", "n": "int64", "allowed": bool})
 
     def close(self) -> None:
         pass
 
 
-def limit_stream(requests: DataFrame, limit: int, window_seconds: int, late: str = "10 minutes") -> DataFrame:
+def limit_stream(requests: DataFrame, limit: int, window_seconds: int, late: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """requests (key, at) with n and allowed, decided in the order of their times once the watermark (`late` behind the newest) has passed them.
 
-    Hits that come later than that are dropped; late_records() tells them apart before. Needs the
-    RocksDB state store. State is held for keys with waiting hits or an open window only.
+    Hits that come later than that are dropped; late_records() tells them apart before. Hits without a
+    time are dropped too. Needs the RocksDB state store. State is held for keys with waiting hits or
+    an open window only, in so many buckets of keys; a stream keeps its number of buckets. A bucket's
+    waiting hits and open windows are decided together in memory, so very large streams want more buckets.
     """
-    hits = requests.select("key", "at").withWatermark("at", late).select("key", "at", F.unix_micros("at").alias("micros"))
-    decided = hits.groupBy("key").transformWithStateInPandas(
+    hits = requests.select("key", "at").where(F.col("at").isNotNull()).withWatermark("at", late)
+    hits = hits.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "at", F.unix_micros("at").alias("micros"))
+    decided = hits.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=FixedWindow(limit, window_seconds), outputStructType="key string, micros long, n long, allowed boolean", outputMode="append", timeMode="EventTime"
     )
     return decided.select("key", F.timestamp_micros("micros").alias("at"), "n", "allowed")
