@@ -120,3 +120,13 @@ def test_chunks_give_the_ids_of_whole_texts(texts):
             x = plain_tokens(text, known)
             assert row[:2] == ((len(x[0]), len(x[2])) if x else (0, 0))
             assert row[4] == plain([text], known)[0][0][6]
+
+
+def test_windows_are_aligned_without_a_memory_of_their_own(known):
+    """Slices in turn, equal and new windows in them, give what each text gives alone; only chunks are remembered between them."""
+    texts = ["the cat's whiskers", "naïve café 1234", "", "the cat's whiskers", "un élan vital!", "a\n b the cat's"]
+    part = next(slices(pa.array(texts, pa.string())))
+    rows = alignment.align_slice(part, known)
+    assert rows == [alignment.align_slice(next(slices(pa.array([t], pa.string()))), known)[0] for t in texts]
+    assert [r[4] for r in rows] == [r[6] for r in plain(texts, known)[0]]
+    assert {k for k, v in vars(known).items() if isinstance(v, alignment.Memory)} == {"a", "b"}

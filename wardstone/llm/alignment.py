@@ -15,12 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import rows_of, slices, stored, table
-from .encoded import Memory, apart, arrays, coded, gathered, strings
+from .encoded import Memory, apart, arrays, binary, coded, cut, gathered, strings
 
-#: Bytes of texts that are aligned at once; chunks and windows that a process remembers, some 200 bytes each.
-SLICE, REMEMBERED = 1 << 20, 1 << 18
-#: What stands between the ids of A and of B in a window's key: no id.
-APART = b"\xff\xff\xff\xff"
+#: Bytes of texts that are aligned at once; chunks that a process remembers of each tokenizer, some 200 bytes each.
+SLICE, REMEMBERED = 1 << 20, 3 << 17
 #: Pairs of ids whose counts one pass over the links holds.
 PAIR_BLOCK = 1 << 21
 
@@ -85,7 +83,6 @@ class Tokenizers:
         if any("▁" in p.lstrip("▁") for p in spelled):
             raise ValueError("a piece holds a space after another character, so chunks can't be encoded apart")
         self.b_bytes = TokenBytes([bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(spelled)])
-        self.windows = Memory(lambda keys: align_windows(keys, (self.a_bytes, self.b_bytes)), REMEMBERED)
 
 
 _loaded: dict[str, Tokenizers] = {}
@@ -108,43 +105,29 @@ def chunk_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def align_windows(keys: list[bytes], spelled: tuple[TokenBytes, TokenBytes]) -> list[bytes]:
-    """Of windows whose bytes agree (ids of A, APART, ids of B): the number of groups, linked ids (little-endian a << 32 | b), one a group, and the groups' text.
+def align_windows(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, spelled: tuple[TokenBytes, TokenBytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """Of windows whose bytes agree (ids of A and of B, with offsets): linked ids (a << 32 | b), one a group, with offsets; the groups' text, each with `;` behind, with offsets.
 
     Tokens have bytes, so that at most one of each ends at a place. All windows are aligned at once:
     their bytes follow one another, and places are counted over all of them.
     """
-    ids, bounds = arrays(keys, "<i4")
-    apart_at = np.flatnonzero(ids < 0)
-    window = np.repeat(np.arange(len(keys)), np.diff(bounds))
-    is_b = np.arange(len(ids)) > apart_at[window]
-    sides = []
-    for side, vocabulary in ((~is_b & (ids >= 0), spelled[0]), (is_b, spelled[1])):
-        at = np.flatnonzero(side)
-        sides.append((at, np.cumsum(vocabulary.length[ids[at]])))
-    (at_a, ends_a), (at_b, ends_b) = sides
-    place = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+    ends_a, ends_b = np.cumsum(spelled[0].length[a]), np.cumsum(spelled[1].length[b])
+    place = np.minimum(np.searchsorted(ends_b, ends_a), max(0, len(ends_b) - 1))
     met_a = np.flatnonzero(ends_b[place] == ends_a)
     met_b = place[met_a]
-    group_a, group_b = (np.searchsorted(met, np.arange(len(at))) for met, at in ((met_a, at_a), (met_b, at_b)))
-    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-    token = np.concatenate([at_a, at_b])[order]
-    text, lengths = gathered(_DECIMALS, _DECIMAL_AT, ids[token].astype(np.int64))
+    # a group's tokens of A stand behind all tokens of B of the groups before, those of B behind all of A up to the group
+    places = []
+    for n, own, shift in ((len(a), met_a, np.append(0, met_b + 1)), (len(b), met_b, np.append(met_a + 1, 0))):
+        sizes = np.diff(np.append(-1, own))
+        places.append(np.arange(n) + np.repeat(shift[: len(own)], sizes))
+    tokens, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    tokens[places[0]], tokens[places[1]] = a, b
+    mark[places[0][met_a]], mark[places[1][met_b]] = ord("|"), ord(";")
+    text, lengths = gathered(_DECIMALS, _DECIMAL_AT, tokens)
     ends = np.cumsum(lengths)
-    mark = np.full(len(token), ord(","), np.uint8)
-    closing = np.zeros(len(token), bool)
-    closing[: len(at_a)][met_a] = True
-    closing[len(at_a) :][met_b] = True
-    closing = closing[order]
-    mark[closing] = np.where(is_b[token[closing]], ord(";"), ord("|"))
     text[ends - 1] = mark
-    body = text.tobytes()
-    upto = [0, *ends[np.searchsorted(window[token], np.arange(len(keys)), "right") - 1].tolist()]
-    links = ids[at_a[met_a]].astype("<i8") << 32 | ids[at_b[met_b]]
-    n = np.bincount(window[at_a[met_a]], minlength=len(keys))
-    linked, link_at = links.tobytes(), [0, *(8 * np.cumsum(n)).tolist()]
-    numbers = n.astype("<i8").tobytes()
-    return [numbers[8 * i : 8 * i + 8] + linked[link_at[i] : link_at[i + 1]] + body[upto[i] : upto[i + 1] - 1] for i in range(len(keys))]
+    links = a[met_a].astype(np.int64) << 32 | b[met_b]
+    return links, np.searchsorted(met_a, at_a), text.tobytes(), np.append(0, ends)[at_a + at_b]
 
 
 def _windows(a: np.ndarray, b: np.ndarray, known: Tokenizers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,6 +143,13 @@ def _windows(a: np.ndarray, b: np.ndarray, known: Tokenizers) -> tuple[np.ndarra
     return starts_a[first_a[both]], first_a[both], first_b[place[both]]
 
 
+def _distinct(ids: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the distinct runs of ids each run between firsts is, and these: ids one after another, and offsets."""
+    codes, held = coded(strings(np.ascontiguousarray(ids, "<i4").view(np.uint8), np.append(firsts, len(ids)) * 4))
+    data, offsets = binary(held)
+    return codes, data.view("<i4"), offsets // 4
+
+
 def align_slice(part, known: Tokenizers) -> list[tuple]:
     """n_a, n_b, n_groups, n_links, groups_sha256, links of each text of a slice."""
     sizes = np.diff(part.offsets)
@@ -172,7 +162,8 @@ def align_slice(part, known: Tokenizers) -> list[tuple]:
     edges = np.concatenate([[0], np.cumsum(sizes[full] + 1)])
     starts = chunk_starts(data, edges)
     codes, chunks = coded(strings(data, np.append(starts, len(data))))
-    keys = chunks.to_pylist()
+    data_of, places = binary(chunks)
+    keys = cut(data_of.tobytes(), places)
     upto = np.searchsorted(starts, edges)  # chunks before each text
     ids, texts, whole = [], [], np.ones(len(full), bool)
     for memory, vocabulary in ((known.a, known.a_bytes), (known.b, known.b_bytes)):
@@ -198,22 +189,19 @@ def align_slice(part, known: Tokenizers) -> list[tuple]:
             return out
     a, b = ids
     bounds, first_a, first_b = _windows(a, b, known)
-    codes_a, held_a = coded(strings(np.ascontiguousarray(a, "<i4").view(np.uint8), np.append(first_a, len(a)) * 4))
-    codes_b, held_b = coded(strings(np.ascontiguousarray(b, "<i4").view(np.uint8), np.append(first_b, len(b)) * 4))
-    codes, both = coded(pa.array(codes_a * len(held_b) + codes_b))
-    both = both.to_numpy()
-    of_a, of_b = held_a.to_pylist(), held_b.to_pylist()
-    found = known.windows.of([of_a[i] + APART + of_b[j] for i, j in zip((both // len(held_b)).tolist(), (both % len(held_b)).tolist(), strict=True)])
-    n_links = np.array([int.from_bytes(x[:8], "little") for x in found], np.int64)
-    ends = (8 * (n_links + 1)).tolist()
-    held, places = arrays([x[8:e] for x, e in zip(found, ends, strict=True)], "<i8")
-    pairs, n_links = gathered(held, places, codes)
-    spelled = [x[e:] for x, e in zip(found, ends, strict=True)]
+    (codes_a, held_a, at_a), (codes_b, held_b, at_b) = (_distinct(x, first) for x, first in ((a, first_a), (b, first_b)))
+    n_b = len(at_b) - 1
+    codes, both = coded(pa.array(codes_a * n_b + codes_b))
+    (own_a, n_a), (own_b, n_b) = gathered(held_a, at_a, both.to_numpy() // n_b), gathered(held_b, at_b, both.to_numpy() % n_b)
+    ends = [np.append(0, np.cumsum(n)) for n in (n_a, n_b)]
+    links, link_at, body, body_at = align_windows(own_a, ends[0], own_b, ends[1], (known.a_bytes, known.b_bytes))
+    pairs, n_links = gathered(links, link_at, codes)
+    spelled = cut(body, body_at)
     window = np.searchsorted(bounds, edges)
     links_to = np.concatenate([[0], np.cumsum(n_links)])[window]
     listed = codes.tolist()
     for k, i in enumerate(full.tolist()):  # a group has one link
-        text = b";".join([spelled[c] for c in listed[window[k] : window[k + 1]]])
+        text = b"".join([spelled[c] for c in listed[window[k] : window[k + 1]]])[:-1]
         own = pairs[links_to[k] : links_to[k + 1]]
         out[i] = (
             int(texts[0][k + 1] - texts[0][k]), int(texts[1][k + 1] - texts[1][k]), len(own), len(own),
@@ -227,7 +215,7 @@ def linked_texts(docs: DataFrame, byte_level: str, pieces: bytes) -> DataFrame:
 
     After a text is tokenised whole by both (distinct chunks between single spaces once each, which
     gives the same ids), places where space-marked tokens of both begin cut it into windows of ids.
-    Equal windows, known by their ids, are aligned once. Texts that are null, empty or that either
+    Equal windows of a slice, known by their ids, are aligned once. Texts that are null, empty or that either
     tokenizer's bytes don't spell have no tokens.
     """
     shipped = docs.sparkSession.sparkContext.broadcast((byte_level, pieces))

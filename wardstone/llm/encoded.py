@@ -23,6 +23,20 @@ def coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
 
 
+def binary(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of byte strings, and their offsets."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    body = values.buffers()[2]
+    data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def cut(data: bytes, offsets: np.ndarray) -> list[bytes]:
+    """The byte strings data[offsets[i]:offsets[i + 1]]; much faster than an Arrow array's to_pylist()."""
+    at = offsets.tolist()
+    return [data[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+
 def gathered(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches flat[offsets[c]:offsets[c + 1]] of all codes one after another, and their lengths."""
     lengths = (offsets[1:] - offsets[:-1])[codes]
