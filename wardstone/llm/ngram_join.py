@@ -343,12 +343,14 @@ def _with_links(forest: DataFrame, more: DataFrame) -> DataFrame:
     return components(forest.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
 
-def _classed(grouped: DataFrame, forest: DataFrame) -> DataFrame:
-    """The postings with the class of each set: the root of its tree, or itself."""
-    return stored(
+def _classed(grouped: DataFrame, forest: DataFrame, n_parts: int) -> DataFrame:
+    """The postings with the class of each set: the root of its tree, or itself; dealt out by shingle, as they were."""
+    return stored_by(
         grouped.drop("p").join(forest, F.col("key") == F.col("node"), "left").select(
             "shingle", "key", "n", "place", F.coalesce("root", "key").alias("class")
         ),
+        "shingle",
+        n_parts,
         "classed",
     )
 
@@ -444,12 +446,13 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "key", "n", F.explode(F.arrays_zip("shingles", "places")).alias("x")
     ).select("key", "n", F.col("x.shingles").alias("shingle"), F.col("x.places").alias("place"))
 
-    pivots = postings.groupBy("shingle").agg(
+    # dealt out by shingle once: groups' pivots and classes, and joins with these, move no postings again
+    dealt = stored_by(postings.repartition(n_parts, "shingle").distinct(), "shingle", n_parts, "all-postings", placed=True)
+    pivots = dealt.groupBy("shingle").agg(
         F.min(F.struct("key", "n", "place")).alias("p"), F.max("key").alias("last")
     ).where("p.key <> last").select("shingle", "p")
-    pivots = stored(pivots, "shared-shingles")
-    grouped = stored(postings.join(pivots, "shingle").distinct(), "postings")
-    discard(pivots)
+    grouped = stored_by(dealt.join(pivots, "shingle"), "shingle", n_parts, "postings")
+    discard(dealt)
     candidates = grouped.where(
         (F.col("key") != F.col("p.key")) & _may_link(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"))
     ).groupBy(F.col("key").alias("a"), F.col("p.key").alias("b")).agg(F.count(F.lit(1)).alias("common"))
@@ -460,7 +463,7 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     forest = components(links)
-    classed = _classed(grouped, forest)
+    classed = _classed(grouped, forest, n_parts)
     for end in (F.min, F.max, F.min):
         pairs, more = _between_classes(classed, tried, signatures, texts, end)
         tried = tried.unionByName(pairs)
@@ -468,7 +471,7 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         forest = _with_links(forest, more)
         discard(classed)
-        classed = _classed(grouped, forest)
+        classed = _classed(grouped, forest, n_parts)
         free_shuffles(spark)
     discard(grouped)
     by_class = classed.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("size"))
