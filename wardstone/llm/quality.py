@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,14 +176,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
                 [rows_of(batch, "doc_id"), rows_of(batch, "quality"), pa.array(blobs, pa.binary())], ["doc_id", "quality", "x"]
             )
 
-    found = whole.select("doc_id", "quality", "text").mapInArrow(describe, "doc_id long, quality int, x binary").collect()
-    if len({r.quality for r in found}) < 2:
-        return None
-    found.sort(key=lambda r: r.doc_id)
-    arrays = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in found]
-    return GatedAttention.fit(
-        np.concatenate(arrays), np.array([len(x) for x in arrays]), np.array([r.quality for r in found], float)
-    )
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [row for batch in batches for row in zip(*(rows_of(batch, c).to_pylist() for c in ("doc_id", "quality", "x")), strict=True)]
+        if len({quality for _, quality, _ in found}) < 2:
+            return
+        found.sort(key=lambda row: row[0])
+        arrays = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, _, x in found]
+        model = GatedAttention.fit(np.concatenate(arrays), np.array([len(x) for x in arrays]), np.array([quality for _, quality, _ in found], float))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # the bounded sample is fitted in a task, so that the driver's memory holds the weights only
+    described = whole.select("doc_id", "quality", "text").mapInArrow(describe, "doc_id long, quality int, x binary")
+    models = described.repartition(1).mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(models[0].model) if models else None
 
 
 def score_quality(docs: DataFrame, model: GatedAttention | None, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
