@@ -118,6 +118,11 @@ def partitions_for(spark: SparkSession, n_bytes: float, each: int = 16 << 20) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // each) + 1)
 
 
+def narrowed(df: DataFrame, n_rows: int, each: int = 1 << 16) -> DataFrame:
+    """df in no more tasks than its rows need, about `each` in a task, but as many as there are cores. Partitions are joined, rows aren't dealt anew."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, n_rows // each + 1))
+
+
 def row_key(*cols: str) -> Column:
     return F.xxhash64(*cols)
 

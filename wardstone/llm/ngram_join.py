@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, discard, free_shuffles, grams, mix, rows_of, sequence_hashes, slices, stored, stored_by, string_hashes, table
+from .common import Slice, discard, free_shuffles, grams, mix, narrowed, rows_of, sequence_hashes, slices, stored, stored_by, string_hashes, table
 from .components import components
 from .shared_keys import with_shared_keys
 
@@ -303,7 +303,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     free_shuffles(spark)
     loads = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    loads = stored(loads, "pivots")
+    loads = stored(narrowed(loads, n_pairs), "pivots")
     pairs = pairs.join(loads, "b").select("a", "b", F.pmod(F.xxhash64("a"), "chunks").cast("int").alias("chunk"))
     pivots = loads.select("b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     rows = (
@@ -330,12 +330,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_pairs // 2000)
-    return stored(
-        rows.repartition(n_parts, "b", "chunk").sortWithinPartitions("b", "chunk", F.col("a").asc_nulls_first()).mapInArrow(
-            compare, "u long, v long"
-        ),
-        "verified",
-    )
+    dealt = narrowed(rows.repartition(n_parts, "b", "chunk"), n_pairs, 1000)
+    return stored(dealt.sortWithinPartitions("b", "chunk", F.col("a").asc_nulls_first()).mapInArrow(compare, "u long, v long"), "verified")
 
 
 def _with_links(forest: DataFrame, more: DataFrame) -> DataFrame:
