@@ -130,3 +130,23 @@ def test_windows_are_aligned_without_a_memory_of_their_own(known):
     assert rows == [alignment.align_slice(next(slices(pa.array([t], pa.string()))), known)[0] for t in texts]
     assert [r[4] for r in rows] == [r[6] for r in plain(texts, known)[0]]
     assert {k for k, v in vars(known).items() if isinstance(v, alignment.Memory)} == {"a", "b"}
+
+
+def test_links_are_stored_narrow_and_looked_up_in_pieces(spark, known, monkeypatch):
+    """Two bytes an id, as both vocabularies allow; no step sorts more than a piece of a batch, long rows and empty ones among them."""
+    texts = ["", *TEXTS[:18], None, "the cat sat on the mat " * 40, "", "", "naïve café", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    linked = alignment.linked_texts(df, *models())
+    assert {(len(r.links), r.n_links * 4) for r in linked.collect()} == {(r.n_links * 4, r.n_links * 4) for r in linked.collect()}
+    expected = dict(enumerate(plain(texts, known)[0]))
+    for piece in (1, 3, 7, 1000):
+        monkeypatch.setattr(alignment, "PIECE", piece)
+        rows = alignment.link_sums(linked, alignment.pair_counts(linked)).collect()
+        assert {r.doc_id: tuple(r[c] for c in COLUMNS) for r in rows} == expected
+
+
+def test_wide_ids_keep_eight_bytes():
+    links = np.array([(70000 << 32) | 3, (1 << 32) | 99999, 5], np.int64)
+    assert alignment._whole(alignment._narrow(links, "<i8")).tolist() == links.tolist()
+    links = np.array([(65535 << 32) | 3, (1 << 32) | 65535, 5], np.int64)
+    assert alignment._whole(alignment._narrow(links, "<u4")).tolist() == links.tolist()

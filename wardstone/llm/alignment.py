@@ -19,8 +19,8 @@ from .encoded import Memory, apart, arrays, binary, coded, cut, gathered, string
 
 #: Bytes of texts that are aligned at once; chunks that a process remembers of each tokenizer, some 200 bytes each.
 SLICE, REMEMBERED = 1 << 20, 3 << 17
-#: Pairs of ids whose counts one pass over the links holds.
-PAIR_BLOCK = 1 << 21
+#: Pairs of ids whose counts one pass over the links holds; links that are looked up at once.
+PAIR_BLOCK, PIECE = 1 << 21, 1 << 18
 
 LINKS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 
@@ -70,7 +70,8 @@ class Tokenizers:
         marked.no_truncation()
         marked.no_padding()
         mark = next(t.content for t in marked.get_added_tokens_decoder().values() if t.special)
-        ids = [lambda text, t=t: t.encode(text, add_special_tokens=False).ids for t in (marked, a)]
+        # the fast kind makes no places in the text
+        ids = [lambda text, t=t: t.encode_batch_fast([text], add_special_tokens=False)[0].ids for t in (marked, a)]
         encode = apart(*ids, mark, marked.token_to_id(mark))
         self.a = Memory(lambda chunks: encode([x.decode() for x in chunks]), REMEMBERED)
         # the space that each chunk begins with is added by B
@@ -79,6 +80,7 @@ class Tokenizers:
         special = {x["id"] for x in json.loads(byte_level)["added_tokens"]}
         entries = [a.id_to_token(i) or "" for i in range(a.get_vocab_size())]
         self.a_bytes = TokenBytes([t.encode() if i in special else bytes(of[c] for c in t) for i, t in enumerate(entries)])
+        self.kind = "<u4" if max(len(entries), b.vocab_size()) <= 1 << 16 else "<i8"
         spelled = [b.id_to_piece(i) for i in range(b.vocab_size())]
         if any("▁" in p.lstrip("▁") for p in spelled):
             raise ValueError("a piece holds a space after another character, so chunks can't be encoded apart")
@@ -143,6 +145,30 @@ def _windows(a: np.ndarray, b: np.ndarray, known: Tokenizers) -> tuple[np.ndarra
     return starts_a[first_a[both]], first_a[both], first_b[place[both]]
 
 
+def _narrow(links: np.ndarray, kind: str) -> np.ndarray:
+    """Links (a << 32 | b) as they are stored: in four bytes (a << 16 | b) where both vocabularies have ids of two bytes only."""
+    return (links >> 16 | links & 0xFFFF).astype(kind) if kind == "<u4" else links.astype(kind)
+
+
+def _stored_links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The links of all rows of LINKS as they are stored, and the place of each row's first one, with the end behind."""
+    column = rows_of(batch, "links").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    n = pc.sum(rows_of(batch, "n_links")).as_py() or 0
+    if not n:
+        return np.zeros(0, "<i8"), np.zeros(len(column) + 1, np.int64)
+    width = int(offsets[-1] - offsets[0]) // n
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4" if width == 4 else "<i8"), (offsets - offsets[0]) // width
+
+
+def _whole(links: np.ndarray) -> np.ndarray:
+    """Stored links as a << 32 | b."""
+    if links.dtype.itemsize == 8:
+        return links
+    links = links.astype(np.int64)
+    return links >> 16 << 32 | links & 0xFFFF
+
+
 def _distinct(ids: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which of the distinct runs of ids each run between firsts is, and these: ids one after another, and offsets."""
     codes, held = coded(strings(np.ascontiguousarray(ids, "<i4").view(np.uint8), np.append(firsts, len(ids)) * 4))
@@ -205,13 +231,13 @@ def align_slice(part, known: Tokenizers) -> list[tuple]:
         own = pairs[links_to[k] : links_to[k + 1]]
         out[i] = (
             int(texts[0][k + 1] - texts[0][k]), int(texts[1][k + 1] - texts[1][k]), len(own), len(own),
-            hashlib.sha256(text).hexdigest(), own.astype("<i8").tobytes(),
+            hashlib.sha256(text).hexdigest(), _narrow(own, known.kind).tobytes(),
         )
     return out
 
 
 def linked_texts(docs: DataFrame, byte_level: str, pieces: bytes) -> DataFrame:
-    """LINKS of every document, stored: sizes, the digest of its groups, and its linked ids in order (little-endian a << 32 | b).
+    """LINKS of every document, stored: sizes, the digest of its groups, and its linked ids in order (little-endian, see _narrow).
 
     After a text is tokenised whole by both (distinct chunks between single spaces once each, which
     gives the same ids), places where space-marked tokens of both begin cut it into windows of ids.
@@ -248,22 +274,20 @@ def pair_counts(linked: DataFrame) -> DataFrame:
             return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
         for batch in batches:
-            column = rows_of(batch, "links").cast(pa.large_binary())
-            low, high = (np.frombuffer(column.buffers()[1], np.int64)[column.offset + k] for k in (0, len(column)))
-            if high > low:
-                values = np.frombuffer(column.buffers()[2], np.uint8)[low:high].view("<i8")
-                for at in range(0, len(values), PAIR_BLOCK):
-                    held.append(np.unique(values[at : at + PAIR_BLOCK], return_counts=True))
-                    room += len(held[-1][0])
-                    if room > PAIR_BLOCK:
-                        held = [summed()]
-                        room = 0
-                        if len(held[0][0]) > PAIR_BLOCK // 2:
-                            yield _pairs(*held.pop())
+            values, _ = _stored_links(batch)
+            for at in range(0, len(values), PIECE):
+                keys, n = np.unique(values[at : at + PIECE], return_counts=True)
+                held.append((_whole(keys), n))
+                room += len(keys)
+                if room > PAIR_BLOCK:
+                    held = [summed()]
+                    room = 0
+                    if len(held[0][0]) > PAIR_BLOCK // 2:
+                        yield _pairs(*held.pop())
         if held:
             yield _pairs(*summed())
 
-    counts = linked.select("links").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counts = linked.select("n_links", "links").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     counts = stored(counts, "align-pairs")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))
     return counts.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -295,19 +319,20 @@ def link_sums(linked: DataFrame, counts: DataFrame) -> DataFrame:
         def add(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             keys, n, best = shipped.value
             for batch in batches:
-                column = rows_of(batch, "links").cast(pa.large_binary())
-                offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-                flat = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<i8") if offsets[-1] > offsets[0] else np.zeros(0, np.int64)
-                sums = []
-                if len(flat) and len(keys):
-                    distinct, at = np.unique(flat, return_inverse=True)
+                flat, ends = _stored_links(batch)
+                sums = np.zeros((2, len(ends)), np.int64)  # before each row
+                done = np.zeros(2, np.int64)
+                for at in range(0, len(flat) if len(keys) else 0, PIECE):
+                    distinct, of = np.unique(flat[at : at + PIECE], return_inverse=True)
+                    distinct = _whole(distinct)
                     place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
                     here = keys[place] == distinct
-                    for values in (here & best[place], np.where(here, n[place], 0)):
-                        total = np.concatenate([[0], np.cumsum(values.astype(np.int64)[at])])
-                        sums.append(np.diff(total[(offsets - offsets[0]) // 8]))
-                else:
-                    sums = [np.zeros(len(column), np.int64)] * 2
+                    within = slice(*np.searchsorted(ends, [at, at + PIECE], "right"))
+                    for k, values in enumerate((here & best[place], np.where(here, n[place], 0))):
+                        total = np.append(0, np.cumsum(values.astype(np.int64)[of])) + done[k]
+                        sums[k, within] = total[ends[within] - at]
+                        done[k] = total[-1]
+                sums = np.diff(sums)
                 yield pa.RecordBatch.from_arrays([*[rows_of(batch, c) for c in [*kept, "row"]], *map(pa.array, sums)], names)
 
         parts.append(rows.mapInArrow(add, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, row long, n_best long, count_sum long"))
