@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, stored, table
+from .common import free_shuffles, rows_of, stored, table
 
-#: Pivots; the nearest of them in whose files a vector is posted and a query looks; those that describe a vector.
+#: Pivots; the nearest of them in whose files a vector is posted and a query looks; those that describe a vector, 128 at most.
 PIVOTS, POSTED, COMPARED = 512, 24, 128
 #: Vectors of least footrule distance that are reranked for a query: so many, or this share of all vectors if that is more.
 RERANKED, SHARE = 512, 0.01
-#: Vectors of one part of a pivot's file, about.
-PART = 4096
+#: Vectors of one shard of the index, about; queries that are dealt to all shards at a time.
+SHARD, ASKED = 1 << 15, 1 << 14
+#: Vectors of a shard whose files are read at once, and for how many queries, so that they stay in a processor's cache.
+FILE, AT_ONCE = 1 << 13, 64
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -30,11 +33,12 @@ def _unit(values: np.ndarray) -> np.ndarray:
 
 
 def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): one vector of doubles for each id, without null, zero, non-finite or odd-sized ones.
+    """(vec_id, v): one vector for each id, of floats or else doubles, without null, zero, non-finite or odd-sized ones.
 
     Of rows that share an id the least vector counts; the size that most vectors have is the right one, the smaller on ties.
     """
-    v = F.col(vector_col).cast("array<double>")
+    floats = vectors.select(vector_col).schema[0].dataType.simpleString() == "array<float>"
+    v = F.col(vector_col).cast("array<float>" if floats else "array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull()
         & F.col("v").isNotNull()
@@ -46,6 +50,60 @@ def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
+class Shard:
+    """The pivots' files of some vectors, coded densely: for each pivot and vector a weight, COMPARED less the pivot's place in
+    the vector's description, 0 if it isn't there. Vectors stand by id, FILE of them in an array.
+
+    The footrule distance of two descriptions of n pivots, each that one lacks standing behind all others, is n * (n + 1)
+    less twice the sum, over pivots, of the smaller of both weights: files are read one by one and summed up.
+    """
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, near: np.ndarray, n_pivots: int, probed: int):
+        self.ids, self.values, self.norms = ids, values, np.sqrt((values * values).sum(axis=1))
+        self.compared, self.probed, self.files = near.shape[1], probed, []
+        weights = np.arange(self.compared, 0, -1, dtype=np.uint8)[:, None]
+        wide = min(FILE, len(ids) + len(ids) % 2)
+        for at in range(0, len(ids), wide):
+            lists = near[at : at + wide].T
+            self.files.append(np.zeros((n_pivots, wide), np.uint8))
+            self.files[-1][lists, np.arange(lists.shape[1])[None, :]] = weights
+        self.weights = np.repeat(weights, wide, axis=1)
+
+    def common(self, near: np.ndarray) -> np.ndarray:
+        """For each description and vector the sum of the smaller weights, 0 if they share none of their `probed` nearest pivots."""
+        half, wide = self.compared // 2, self.weights.shape[1]
+        read, out = np.empty_like(self.weights), np.empty((len(near), len(self.files) * wide), np.uint16)
+        pairs = read[: self.compared - half].view("<u2")  # of two vectors
+        upper = np.empty_like(pairs)
+        for i, files in enumerate(self.files):
+            for own, sums in zip(near, out[:, i * wide : (i + 1) * wide], strict=True):
+                np.take(files, own, axis=0, out=read, mode="clip")
+                np.minimum(read, self.weights, out=read)
+                met = read[: self.probed].max(axis=0) > self.compared - self.probed
+                # the smaller weights of the first and the last place, of the second and the last but one and so on are 129 together at most
+                np.add(read[:half], read[: -half - 1 : -1], out=read[:half])
+                second = np.right_shift(pairs, 8, out=upper).sum(axis=0, dtype=np.uint16)
+                sums[0::2] = pairs.sum(axis=0, dtype=np.uint16) - (second << 8)
+                sums[1::2] = second
+                sums *= met
+        return out[:, : len(self.ids)]
+
+    def nearest(self, vec_id: int, value: np.ndarray, common: np.ndarray, quota: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and cosines of the k vectors of largest cosine, then smaller id, among the `quota` first by footrule distance, then id."""
+        at = int(np.searchsorted(self.ids, vec_id))
+        if at < len(self.ids) and self.ids[at] == vec_id:
+            common[at] = 0
+        counts = np.bincount(common)
+        counts[0] = 0  # these it hasn't found
+        limit = max(1, len(counts) - 1 - int(np.searchsorted(counts[::-1].cumsum(), quota)))
+        best = np.flatnonzero(common >= limit)
+        if len(best) > quota:
+            best = np.delete(best, np.flatnonzero(common[best] == limit)[quota - len(best) :])
+        score = (self.values[best] * value).sum(axis=1) / (self.norms[best] * np.sqrt((value * value).sum()))
+        first = np.lexsort((self.ids[best], -score))[:k]
+        return self.ids[best[first]], score[first]
+
+
 def nearest(
     vectors: DataFrame,
     k: int = 5,
@@ -65,10 +123,15 @@ def nearest(
     `reranked` of them, or `share` of all vectors if that is more. Pivots are PIVOTS distinct
     vectors, those of least id hash: a bounded sample; every vector is indexed.
 
-    Files and queries meet by an equi-join on the pivot. A large file is cut into parts of bounded
-    size, so vectors that are equal or close to one pivot are spread; a task holds one part and
-    streams the queries past it, and each part passes on no more than a query reranks. Ids or
-    vectors that are null, vectors that are zero, of another size than most, or hold null or
+    The index is cut into shards of some SHARD vectors by a hash of their ids, each with files of
+    its own, so vectors that are equal or close to one pivot are spread. A vector is moved to its
+    shard once and the queries to each; a task holds one shard, streams the queries past it, reranks
+    there and passes on k vectors a query, so what a query finds isn't moved. More than ASKED
+    queries go in several rounds, whose results are stored: what is on disk at once stays in
+    proportion to the vectors. A shard reranks its part of the number above and six standard
+    deviations more: as ids are dealt at random, all that one ranking of the whole would rerank is among it.
+
+    Ids or vectors that are null, vectors that are zero, of another size than most, or hold null or
     non-finite components take no part. Of repeated ids one vector counts. Fewer than k candidates
     are all returned: with fewer pivots than a query reads every file is read, and else each file
     holds its pivot.
@@ -86,125 +149,63 @@ def nearest(
     shipped = spark.sparkContext.broadcast(chosen)  # PIVOTS rows
     n_pivots = len(chosen)
     compared, probed = min(COMPARED, n_pivots), min(POSTED, n_pivots)
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
-                near = np.argsort(-(_unit(_matrix(rows_of(part, "v"), dim)) @ shipped.value.T), axis=1, kind="stable")[:, :compared]
-                blobs = pa.array([x.tobytes() for x in near.astype(np.uint16)], pa.binary())
-                files = pa.array(near[:, :probed].tolist(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([rows_of(part, "vec_id"), files, blobs], ["vec_id", "files", "near"])
-
-    described = stored(rows.mapInArrow(describe, "vec_id long, files array<int>, near binary"), "descriptions")
-    posted = described.select(F.explode("files").alias("pivot"), "vec_id", "near")
-    parts = stored(posted.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "pivot-files")
-    parts = F.broadcast(parts)  # PIVOTS rows
-    postings = posted.join(parts, "pivot").select(
-        "pivot", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.lit(False).alias("asks"), "vec_id", "near"
-    )
-    probes = posted.where(F.col("vec_id") % every == 0).join(parts, "pivot").select(
-        "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "vec_id", "near"
-    )
-    n_rows = rows.count()
+    queries = rows.where(F.col("vec_id") % every == 0)
+    n_rows, n_queries = rows.count(), queries.count()
+    free_shuffles(spark)
+    shards, rounds = -(-n_rows // SHARD), max(1, -(-n_queries // ASKED))
     budget = max(k, reranked, int(np.ceil(share * n_rows)))
+    quota = budget if shards == 1 else max(k, int(np.ceil(budget / shards + 6 * np.sqrt(budget / shards) + 6)))
+
+    def described(values: np.ndarray) -> np.ndarray:
+        return np.argsort(-(_unit(values) @ shipped.value.T), axis=1, kind="stable")[:, :compared]
 
-    def nearest_of(ids: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The `budget` first by distance, then id."""
-        if len(ids) > budget:
-            limit = np.partition(distance, budget - 1)[budget - 1]
-            on = distance <= limit
-            ids, distance = ids[on], distance[on]
-        order = np.lexsort((ids, distance))[:budget]
-        return ids[order], distance[order]
-
-    def footrule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, lists, ranks = None, [], [], None
-        places = np.arange(compared, dtype=np.int16)[:, None]
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of one shard: its vectors by id, then queries."""
+        ids, values, nears, shard = [], [], [], None
         for batch in batches:
-            pivot, part = rows_of(batch, "pivot").to_numpy(), rows_of(batch, "part").to_numpy()
-            asks = rows_of(batch, "asks").to_numpy(zero_copy_only=False).astype(bool)
-            vec_id = rows_of(batch, "vec_id").to_numpy()
-            near = np.array([np.frombuffer(x.as_buffer(), np.uint16) for x in rows_of(batch, "near")])
-            edges = np.flatnonzero((np.diff(pivot) != 0) | (np.diff(part) != 0) | (np.diff(asks) != 0)) + 1
-            asked, found_ids, found_distances = [], [], []
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(pivot)], strict=True):
-                if (pivot[lo], part[lo]) != current:
-                    current, ids, lists, ranks = (pivot[lo], part[lo]), [], [], None
-                if not asks[lo]:
-                    ids.append(vec_id[lo:hi])
-                    lists.append(near[lo:hi])
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                vec_id, value = rows_of(part, "vec_id").to_numpy(), _matrix(rows_of(part, "v"), dim)
+                near, n = described(value), len(part) - rows_of(part, "asks").true_count
+                if n:
+                    ids.append(vec_id[:n])
+                    values.append(value[:n])
+                    nears.append(near[:n].astype(np.uint16))
+                if n == len(part) or not ids and shard is None:
                     continue
-                if ranks is None:
-                    own, all_lists = np.concatenate(ids), np.concatenate(lists)
-                    ranks = np.full((n_pivots, len(own)), compared, np.int16)
-                    ranks[all_lists.T, np.arange(len(own))[None, :]] = places
-                for q in range(lo, hi):
-                    theirs = ranks[near[q]]
-                    # pivots of theirs that the query lacks add what they are nearer than the last place
-                    distance = (np.abs(theirs - places) + theirs).sum(axis=0, dtype=np.int32)
-                    other = own != vec_id[q]
-                    best, distances = nearest_of(own[other], distance[other])
-                    asked.append(vec_id[q])
-                    found_ids.append(best.tobytes())
-                    found_distances.append(distances.tobytes())
-                    if len(asked) >= 1000:
-                        yield found_batch(asked, found_ids, found_distances)
-                        asked, found_ids, found_distances = [], [], []
-            if asked:
-                yield found_batch(asked, found_ids, found_distances)
-
-    def found_batch(asked: list, ids: list, distances: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(asked, pa.int64()), pa.array(ids, pa.binary()), pa.array(distances, pa.binary())], ["query_id", "ids", "distances"]
-        )
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, distances = None, np.zeros(0, np.int64), np.zeros(0, np.int32)
+                if shard is None:
+                    shard = Shard(np.concatenate(ids), np.concatenate(values), np.concatenate(nears), n_pivots, probed)
+                    ids, values, nears = [], [], []
+                got = []
+                for lo in range(n, len(part), AT_ONCE):
+                    common = shard.common(near[lo : lo + AT_ONCE])
+                    got += [shard.nearest(vec_id[lo + i], value[lo + i], x, quota, k) for i, x in enumerate(common)]
+                query_id = np.repeat(vec_id[n:], [len(x) for x, _ in got])
+                found, score = (np.concatenate(x) for x in zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(query_id), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    indexed = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
+    to_all = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-        def merged() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), current), pa.int64()), pa.array(ids)], ["query_id", "vec_id"])
+    def answered(asking: DataFrame) -> DataFrame:
+        return (
+            indexed.unionByName(asking.select(to_all, F.lit(True).alias("asks"), "vec_id", "v"))
+            .repartitionById(shards, "shard")
+            .sortWithinPartitions("asks", "vec_id")
+            .mapInArrow(search, "query_id long, vec_id long, score double")
+            .withColumn("rank", F.row_number().over(order))
+            .where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score")
+        )
 
-        for batch in batches:
-            for q, some, theirs in zip(rows_of(batch, "query_id").to_pylist(), rows_of(batch, "ids"), rows_of(batch, "distances"), strict=True):
-                if q != current:
-                    if current is not None:
-                        yield merged()
-                    current, ids, distances = q, np.zeros(0, np.int64), np.zeros(0, np.int32)
-                both = np.concatenate([ids, np.frombuffer(some.as_buffer(), np.int64)])
-                both, first = np.unique(both, return_index=True)
-                ids, distances = nearest_of(both, np.concatenate([distances, np.frombuffer(theirs.as_buffer(), np.int32)])[first])
-        if current is not None:
-            yield merged()
-
-    def rescore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = _matrix(rows_of(batch, "v"), dim), _matrix(rows_of(batch, "query_v"), dim)
-            score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([rows_of(batch, "query_id"), rows_of(batch, "vec_id"), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    candidates = (
-        postings.unionByName(probes)
-        .repartition(max(n, n_rows * probed // (8 * PART)), "pivot", "part")
-        .sortWithinPartitions("pivot", "part", "asks")
-        .mapInArrow(footrule, "query_id long, ids binary, distances binary")
-        .repartition(n, "query_id")
-        .sortWithinPartitions("query_id")
-        .mapInArrow(merge, "query_id long, vec_id long")
-    )
-    scored = (
-        candidates.join(rows, "vec_id")
-        .join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("query_v")), "query_id")
-        .select("query_id", "vec_id", "v", "query_v")
-        .mapInArrow(rescore, "query_id long, vec_id long, score double")
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        scored.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    if rounds == 1:
+        return answered(queries)
+    done = []
+    for i in range(rounds):
+        done.append(stored(answered(queries.where(F.pmod(F.hash("vec_id"), F.lit(rounds)) == i)), "nearest"))
+        free_shuffles(spark)
+    return reduce(DataFrame.unionByName, done)
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
